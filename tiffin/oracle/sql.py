@@ -278,3 +278,38 @@ def with_ctes(select: str) -> str:
 def as_double(cols: list[str]) -> str:
     """``* REPLACE`` list turning decimal columns into DOUBLE."""
     return "* REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols) + ")"
+
+
+CALENDAR_SQL = """SELECT d AS date_day, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
+  strftime(d, '%b') AS month_name, strftime(d, '%a') AS day_name, isodow(d) >= 6 AS is_weekend
+FROM (SELECT CAST(unnest(generate_series(min(order_date), max(order_date), INTERVAL 1 DAY)) AS DATE) AS d
+      FROM fct_orders) s"""
+
+
+def _dq(name, model, column, kind, failing_sql):
+    return (f"SELECT {q(name)} AS test_name, {q(model)} AS model, {q(column)} AS column_name, {q(kind)} AS test_kind, "
+            f"count(*) AS failures FROM ({failing_sql}) t")
+
+
+def _unique(model, col):
+    return (f"unique_{model}_{col}", model, col, "unique",
+            f"SELECT {col} FROM {model} WHERE {col} IS NOT NULL GROUP BY {col} HAVING count(*) > 1")
+
+
+def _not_null(model, col):
+    return (f"not_null_{model}_{col}", model, col, "not_null", f"SELECT * FROM {model} WHERE {col} IS NULL")
+
+
+DQ_REPORT_SQL = "\nUNION ALL\n".join(_dq(*t) for t in [
+    _unique("stg_orders", "order_id"), _not_null("stg_orders", "order_id"),
+    _not_null("stg_orders", "customer_id"), _not_null("stg_orders", "restaurant_id"),
+    _unique("stg_order_items", "order_item_id"), _not_null("stg_order_items", "order_item_id"),
+    _unique("stg_users", "customer_id"), _not_null("stg_users", "customer_id"),
+    _unique("fct_orders", "order_id"), _not_null("fct_orders", "order_id"),
+    ("relationships_fct_orders_customer_id", "fct_orders", "customer_id", "relationships",
+     "SELECT f.customer_id FROM fct_orders f WHERE f.customer_id IS NOT NULL AND NOT EXISTS "
+     "(SELECT 1 FROM dim_customers d WHERE d.customer_id = f.customer_id)"),
+    ("accepted_values_fct_orders_order_status", "fct_orders", "order_status", "accepted_values",
+     "SELECT order_status FROM fct_orders WHERE order_status IS NOT NULL AND "
+     "order_status NOT IN ('Delivered', 'Cancelled', 'Refunded') GROUP BY order_status"),
+])

@@ -64,3 +64,134 @@ for _name, _dec in [
     ("mart_review_insights", []),
 ]:
     _model_query(_name, _dec)
+
+
+def _models(spark: SparkSession, sf_dir: str) -> Models:
+    return Models.from_driver(spark, sf_dir)
+
+
+# ------------------------------------------------------------- calendar
+@register("dim_date_covering", O.with_ctes(O.CALENDAR_SQL))
+def _dim_date_covering(spark, sf_dir):
+    from .plans.marts import dim_date_covering
+    return dim_date_covering(_models(spark, sf_dir).fct_orders)
+
+
+# ------------------------------------------------------------- scalar functions
+@register("fn_city_cleanup", O.with_ctes(
+    f"SELECT order_id, restaurant_city, {O.after_last_comma('restaurant_city')} AS city FROM raw_orders"))
+def _fn_city(spark, sf_dir):
+    from .functions.columns import after_last_comma
+    return _models(spark, sf_dir).raw.orders.select("order_id", "restaurant_city",
+                                                    after_last_comma("restaurant_city").alias("city"))
+
+
+@register("fn_first_number", O.with_ctes(
+    f"SELECT id, rating_count, cost, {O.first_number('rating_count')} AS rating_count_n, "
+    f"{O.first_number('cost')} AS cost_n FROM raw_restaurants"))
+def _fn_first_number(spark, sf_dir):
+    from .functions.columns import first_number
+    return _models(spark, sf_dir).raw.restaurants.select(
+        "id", "rating_count", "cost", first_number("rating_count").alias("rating_count_n"),
+        first_number("cost").alias("cost_n"))
+
+
+@register("fn_try_number", O.with_ctes(
+    f"SELECT user_id, age, family_size, {O.try_number('user_id')} AS user_id_n, {O.try_number('age')} AS age_n, "
+    f"{O.try_number('family_size')} AS family_size_n FROM raw_users"))
+def _fn_try_number(spark, sf_dir):
+    from .functions.columns import try_number
+    return _models(spark, sf_dir).raw.users.select(
+        "user_id", "age", "family_size", try_number("user_id").alias("user_id_n"), try_number("age").alias("age_n"),
+        try_number("family_size").alias("family_size_n"))
+
+
+@register("fn_try_decimal", O.with_ctes(
+    "SELECT menu_id, price, CAST(TRY_CAST(price AS DECIMAL(10,2)) AS DOUBLE) AS price_d FROM raw_menu"))
+def _fn_try_decimal(spark, sf_dir):
+    from .functions.columns import try_decimal
+    return comparable(_models(spark, sf_dir).raw.menu.select("menu_id", "price",
+                                                             try_decimal("price", 10, 2).alias("price_d")))
+
+
+@register("fn_nullif", O.with_ctes(
+    "SELECT id, rating, nullif(rating, '--') AS rating_text, "
+    "CAST(TRY_CAST(nullif(rating, '--') AS DECIMAL(3,1)) AS DOUBLE) AS rating_d FROM raw_restaurants"))
+def _fn_nullif(spark, sf_dir):
+    from .functions.columns import null_if, try_decimal
+    return comparable(_models(spark, sf_dir).raw.restaurants.select(
+        "id", "rating", null_if("rating", "--").alias("rating_text"),
+        try_decimal(null_if("rating", "--"), 3, 1).alias("rating_d")))
+
+
+@register("fn_initcap", O.with_ctes(
+    f"SELECT f_id, veg_or_non_veg, {O.initcap('veg_or_non_veg')} AS label, {O.initcap('item')} AS item_title "
+    "FROM raw_food"))
+def _fn_initcap(spark, sf_dir):
+    from .functions.columns import initcap
+    return _models(spark, sf_dir).raw.food.select("f_id", "veg_or_non_veg", initcap("veg_or_non_veg").alias("label"),
+                                                  initcap("item").alias("item_title"))
+
+
+@register("fn_div0", O.with_ctes(
+    "SELECT city, count(CASE WHEN order_status = 'Cancelled' THEN 1 END) AS cancelled, "
+    "count(CASE WHEN is_delivered THEN 1 END) AS delivered, "
+    + O.sround("CASE WHEN count(CASE WHEN is_delivered THEN 1 END) = 0 THEN 0 ELSE "
+               "count(CASE WHEN order_status = 'Cancelled' THEN 1 END) / count(CASE WHEN is_delivered THEN 1 END) END",
+               4)
+    + " AS cancel_per_delivered FROM fct_orders GROUP BY city"))
+def _fn_div0(spark, sf_dir):
+    from .functions.columns import div0
+    c = F.count_if(F.col("order_status") == "Cancelled")
+    d = F.count_if(F.col("is_delivered"))
+    return _models(spark, sf_dir).fct_orders.groupBy("city").agg(
+        c.alias("cancelled"), d.alias("delivered"), F.round(div0(c, d), 4).alias("cancel_per_delivered"))
+
+
+@register("filter_castable", O.with_ctes(
+    f"SELECT * FROM raw_users WHERE {O.try_number('user_id')} IS NOT NULL"))
+def _filter_castable(spark, sf_dir):
+    from .functions.columns import try_number
+    raw = _models(spark, sf_dir).raw.users
+    return raw.where(try_number("user_id").isNotNull())
+
+
+# ------------------------------------------------------------- data quality
+@register("dq_report", O.with_ctes(O.DQ_REPORT_SQL))
+def _dq_report(spark, sf_dir):
+    from .operators.quality import dq_report
+    return dq_report(_models(spark, sf_dir))
+
+
+@register("dq_unique", O.with_ctes(
+    "SELECT order_id, count(*) AS n_records FROM fct_orders WHERE order_id IS NOT NULL GROUP BY order_id "
+    "HAVING count(*) > 1"))
+def _dq_unique(spark, sf_dir):
+    from .operators.quality import unique_failures
+    return unique_failures(_models(spark, sf_dir).fct_orders, "order_id")
+
+
+@register("dq_not_null", O.with_ctes(
+    "SELECT order_id, customer_id, restaurant_id FROM stg_orders WHERE restaurant_id IS NULL"))
+def _dq_not_null(spark, sf_dir):
+    from .operators.quality import not_null_failures
+    return not_null_failures(_models(spark, sf_dir).stg_orders, "restaurant_id").select(
+        "order_id", "customer_id", "restaurant_id")
+
+
+@register("dq_relationships", O.with_ctes(
+    "SELECT f.customer_id FROM fct_orders f WHERE f.customer_id IS NOT NULL AND NOT EXISTS "
+    "(SELECT 1 FROM dim_customers d WHERE d.customer_id = f.customer_id)"))
+def _dq_relationships(spark, sf_dir):
+    from .operators.quality import relationship_failures
+    m = _models(spark, sf_dir)
+    return relationship_failures(m.fct_orders, "customer_id", m.dim_customers, "customer_id")
+
+
+@register("dq_accepted_values", O.with_ctes(
+    "SELECT order_status, count(*) AS n_records FROM fct_orders WHERE order_status IS NOT NULL AND "
+    "order_status NOT IN ('Delivered', 'Cancelled', 'Refunded') GROUP BY order_status"))
+def _dq_accepted(spark, sf_dir):
+    from .operators.quality import accepted_values_failures
+    return accepted_values_failures(_models(spark, sf_dir).fct_orders, "order_status",
+                                    ["Delivered", "Cancelled", "Refunded"])
