@@ -201,7 +201,25 @@ def enrich_with_model(reviews: DataFrame, model: BatchModel) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["review_id", "sentiment", "category", "confidence", "error"])
             yield out
 
-    return reviews.select(F.col("review_id").cast("bigint"), "comment").mapInPandas(run, _PLUGGABLE_OUT)
+    out = reviews.select(F.col("review_id").cast("bigint"), "comment").mapInPandas(run, _PLUGGABLE_OUT)
+    # A model without a confidence of its own gets the key-derived one.
+    return out.withColumn("confidence", F.when(F.isnan("confidence") | F.col("confidence").isNull(),
+                                               confidence("review_id")).otherwise(F.col("confidence")))
+
+
+def python_keyword_model(comments: pd.Series) -> pd.DataFrame:
+    """The keyword model as a batch function (a stand-in for a remote model in the hook)."""
+    rows = []
+    for text in comments:
+        t = str(text).lower()
+        pos = sum(w in t for w in POSITIVE_WORDS)
+        neg = sum(w in t for w in NEGATIVE_WORDS)
+        label = "positive" if pos > neg else "negative" if neg > pos else "neutral"
+        cat = next((name for name, words in CATEGORY_RULES if any(w in t for w in words)), "other")
+        rows.append((label, cat))
+    out = pd.DataFrame(rows, columns=["sentiment", "category"])
+    out["confidence"] = float("nan")
+    return out
 
 
 def split_rejects(results: DataFrame) -> tuple[DataFrame, DataFrame]:

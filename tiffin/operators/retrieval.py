@@ -44,6 +44,17 @@ TEXT_SERVICE = "The relevant reviews discuss customer service and staff experien
 TEXT_PRICE = "The relevant reviews contain comments about pricing and perceived value."
 TEXT_NO_DELIVERY = "The provided reviews do not contain enough information about delivery."
 
+# Example questions for batch retrieval (our own; any question table works).
+EXAMPLE_QUESTIONS = [
+    "How is the delivery speed?",
+    "What do customers say about the food quality?",
+    "Is the packaging good?",
+    "How is the staff service?",
+    "Is it too expensive?",
+    "What is the average rating?",
+    "Anything else worth knowing?",
+]
+
 TOP_K = 5
 MAX_QUERIES = 256  # question vectors carried in the plan; larger sets must be batched
 
@@ -195,3 +206,27 @@ def build_context(top: DataFrame, questions: DataFrame) -> DataFrame:
     return j.select("question_id", "question", context.alias("context"),
                     F.concat(F.lit("Question: "), F.col("question"), F.lit("\n\nReviews:\n"), context)
                     .alias("prompt"))
+
+
+def questions_frame(spark: SparkSession, questions: list[str] = EXAMPLE_QUESTIONS) -> DataFrame:
+    return spark.createDataFrame([(i + 1, q) for i, q in enumerate(questions)], "question_id int, question string")
+
+
+def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> list[tuple]:
+    """Per-label mean vector, computed on Spark; only (#labels x width) numbers come back."""
+    per_dim = (vectors.select(label_col, F.posexplode(vec_col).alias("pos", "x"))
+               .groupBy(label_col, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
+    cents = per_dim.groupBy(label_col).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))
+    rows = cents.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} labels")
+    return [(r[0], list(r[1])) for r in rows]
+
+
+def nearest_to_centroids(vectors: DataFrame, k: int = TOP_K, id_col: str = "vec_id", label_col: str = "label",
+                         vec_col: str = "embedding", digits: int = 6) -> DataFrame:
+    """Top-k vectors by cosine similarity to each label's centroid (scores rounded)."""
+    cents = label_centroids(vectors, label_col, vec_col)
+    scored = score_against(vectors.select(id_col, label_col, vec_col), vec_col, cents, score_digits=digits)
+    return top_k(scored, k, id_col).select("query_id", "rank", id_col, label_col, "score")

@@ -313,3 +313,162 @@ DQ_REPORT_SQL = "\nUNION ALL\n".join(_dq(*t) for t in [
      "SELECT order_status FROM fct_orders WHERE order_status IS NOT NULL AND "
      "order_status NOT IN ('Delivered', 'Cancelled', 'Refunded') GROUP BY order_status"),
 ])
+
+
+# --------------------------------------------------------------------- enrichment / catalogue / retrieval
+from ..operators import catalogue as cat  # noqa: E402
+from ..operators import retrieval as rt  # noqa: E402
+
+ENRICH_CUTOFF = "1998-06-01"
+
+
+def topic_of(text: str) -> str:
+    return ("CASE " + category(text) + " " +
+            " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in enrich.TOPIC_BY_CATEGORY.items()) + " END")
+
+
+WS = r"[\s\x{0b}\p{Z}\x{1c}-\x{1f}\x{85}]"
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def route(text: str, plural_aware: bool = False) -> str:
+    qq = strip_ws(f"lower({text})")
+
+    def has(w):
+        if plural_aware and w == "city":
+            return f"(contains({qq}, 'city') OR contains({qq}, 'cities'))"
+        return f"contains({qq}, {q(w)})"
+    parts = []
+    for tid, rule in cat.ROUTES:
+        conds = []
+        if "all_of" in rule:
+            conds.append("(" + " AND ".join(has(w) for w in rule["all_of"]) + ")")
+        conds += [has(w) for w in rule.get("any_of", [])]
+        conds += [f"{qq} = {q(w)}" for w in rule.get("equals", [])]
+        parts.append(f"WHEN {' OR '.join(conds)} THEN {q(tid)}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def is_safe(text: str) -> str:
+    low = strip_ws(f"lower({text})")
+    body = f"regexp_replace({low}, '--[^\\n]*', '', 'g')"
+    pat = cat.forbidden_pattern().replace("'", "''")
+    return (f"coalesce({text} IS NOT NULL AND {text} <> '' AND (starts_with({low}, 'select') OR "
+            f"starts_with({low}, 'with')) AND NOT regexp_matches({body}, '{pat}') AND NOT contains({body}, ';'), "
+            f"false)")
+
+
+def is_safe_v1(text: str) -> str:
+    low = f"lower({text})"
+    bad = " OR ".join(f"contains({low}, {q(w)})" for w in cat.FORBIDDEN_WORDS)
+    return f"coalesce((starts_with({low}, 'select') OR starts_with({low}, 'with')) AND NOT ({bad}), false)"
+
+
+def normalize_sql(text: str, prefixes=("TIFFIN.MARTS.", "TIFFIN.")) -> str:
+    x = text
+    for p in prefixes:
+        x = f"replace({x}, {q(p)}, '')"
+    return f"regexp_replace({strip_ws(x)}, ';+$', '')"
+
+
+def keyword_vector(text: str) -> str:
+    t = f"lower({text})"
+    return "[" + ", ".join(f"CAST(contains({t}, {q(w)}) AS DOUBLE)" for w in rt.EMBED_KEYWORDS) + "]"
+
+
+def dot(a: str, b: str) -> str:
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]), lambda x, y: x + y)"
+
+
+def cosine(a: str, b: str) -> str:
+    den = f"(sqrt({dot(a, a)}) * sqrt({dot(b, b)}))"
+    return f"CASE WHEN {den} = 0 THEN 0.0 ELSE {dot(a, b)} / {den} END"
+
+
+def questions_values() -> str:
+    rows = ", ".join(f"({i + 1}, {q(t)})" for i, t in enumerate(rt.EXAMPLE_QUESTIONS))
+    return f"SELECT * FROM (VALUES {rows}) t(question_id, question)"
+
+
+RETRIEVAL_CTES = f"""qs AS ({questions_values()}),
+qv AS (SELECT CAST(question_id AS INTEGER) AS question_id, question, {keyword_vector('question')} AS v FROM qs),
+rv AS (SELECT review_id, city, rating, CAST(comment AS VARCHAR) AS comment, {keyword_vector('comment')} AS e
+       FROM stg_reviews WHERE comment IS NOT NULL),
+sc AS (SELECT qv.question_id AS query_id, rv.*, {cosine('qv.v', 'rv.e')} AS score FROM qv CROSS JOIN rv),
+top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id)
+        AS INTEGER) AS rank FROM sc) WHERE rank <= {rt.TOP_K})"""
+
+
+def _with_extra(extra: str, select: str) -> str:
+    ctes = {**RAW_CTES, **MODEL_CTES}
+    body = ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in ctes.items())
+    return f"WITH {body},\n{extra}\n{select}"
+
+
+def with_retrieval(select: str) -> str:
+    return _with_extra(RETRIEVAL_CTES, select)
+
+
+def answer_sql() -> str:
+    lq = "lower(qv.question)"
+    delivery = (f"CASE WHEN a.n_delivery > 0 THEN 'Based on the ' || CAST(a.n_delivery AS VARCHAR) || "
+                f"' most relevant reviews, delivery is mainly discussed in terms of timeliness and speed.' "
+                f"ELSE {q(rt.TEXT_NO_DELIVERY)} END")
+    rating = (f"'The average rating among the ' || CAST(coalesce(a.n_top, 0) AS VARCHAR) || ' most relevant reviews is ' "
+              f"|| CAST({sround('a.avg_rating', 2)} AS VARCHAR) || ' stars.'")
+    default = (f"'I found ' || CAST(coalesce(a.n_top, 0) AS VARCHAR) || ' relevant reviews, but the mock AI cannot "
+               f"provide a detailed answer to this question yet.'")
+    return (f"CASE WHEN {contains_any(lq, rt.ANSWER_DELIVERY_QUESTION)} THEN {delivery} "
+            f"WHEN {contains_any(lq, rt.ANSWER_FOOD)} THEN {q(rt.TEXT_FOOD)} "
+            f"WHEN {contains_any(lq, rt.ANSWER_PACKAGING)} THEN {q(rt.TEXT_PACKAGING)} "
+            f"WHEN {contains_any(lq, rt.ANSWER_SERVICE)} THEN {q(rt.TEXT_SERVICE)} "
+            f"WHEN {contains_any(lq, rt.ANSWER_PRICE)} THEN {q(rt.TEXT_PRICE)} "
+            f"WHEN {contains_any(lq, rt.ANSWER_RATING)} THEN {rating} ELSE {default} END")
+
+
+EMBED_CTES = f"""cdim AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m
+  FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
+cv AS (SELECT label AS query_id, list(m ORDER BY i) AS v FROM cdim GROUP BY label),
+ev AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+esc AS (SELECT cv.query_id, ev.vec_id, ev.label, {sround(cosine('cv.v', 'ev.e'), 6)} AS score FROM cv CROSS JOIN ev)"""
+
+
+def _half_up_ratio(num_cents: str, den: str, scale: int = 100) -> str:
+    """round(num / den, 2) for non-negative exact values, as integer half-up (DOUBLE)."""
+    return (f"CASE WHEN ({den}) = 0 THEN NULL ELSE CAST((2 * CAST({num_cents} AS HUGEINT) + ({den})) // "
+            f"(2 * ({den})) AS DOUBLE) / {scale} END")
+
+
+CATALOGUE_ORACLE = {
+    "city_gmv": """SELECT city, CAST(SUM(gmv) AS DOUBLE) AS gmv FROM mart_daily_city_revenue GROUP BY city
+ORDER BY SUM(gmv) DESC NULLS FIRST, city ASC NULLS LAST LIMIT 10""",
+    "cuisine_orders": """SELECT cuisine, COUNT(*) AS orders FROM fct_orders GROUP BY cuisine
+ORDER BY orders DESC, cuisine ASC NULLS LAST LIMIT 10""",
+    "delivery_by_city": f"""SELECT city, {sround('AVG(delivery_time_min)', 2)} AS avg_delivery_time_min FROM fct_orders
+WHERE is_delivered = TRUE GROUP BY city ORDER BY 2 DESC NULLS FIRST, city ASC NULLS LAST LIMIT 100""",
+    "cancel_by_payment": f"""SELECT payment_method,
+{_half_up_ratio("10000 * SUM(CASE WHEN lower(order_status) = 'cancelled' THEN 1 ELSE 0 END)", "COUNT(*)")} AS cancel_rate
+FROM fct_orders GROUP BY payment_method ORDER BY 2 DESC NULLS FIRST, payment_method ASC NULLS LAST LIMIT 100""",
+    "restaurant_revenue": """SELECT restaurant_name, city, CAST(revenue AS DOUBLE) AS revenue
+FROM mart_restaurant_performance ORDER BY mart_restaurant_performance.revenue DESC NULLS FIRST,
+restaurant_id ASC NULLS LAST LIMIT 10""",
+    "aov": f"""SELECT {_half_up_ratio("SUM(gmv) * 100", "SUM(orders)")} AS average_order_value
+FROM mart_daily_city_revenue""",
+    "cancel_city": """SELECT city, cancel_rate FROM mart_daily_city_revenue GROUP BY city, cancel_rate
+ORDER BY cancel_rate DESC NULLS FIRST, city ASC NULLS LAST LIMIT 10""",
+    "orders_by_payment": """SELECT payment_method, COUNT(*) AS orders FROM fct_orders GROUP BY payment_method
+ORDER BY orders DESC, payment_method ASC NULLS LAST LIMIT 100""",
+    "avg_delivery": f"""SELECT {sround('AVG(delivery_time_min)', 2)} AS average_delivery_time_min FROM fct_orders
+WHERE is_delivered = TRUE""",
+    "cuisine_revenue": """SELECT cuisine, CAST(SUM(sales_amount) AS DOUBLE) AS revenue FROM fct_orders GROUP BY cuisine
+ORDER BY SUM(sales_amount) DESC NULLS FIRST, cuisine ASC NULLS LAST LIMIT 10""",
+    "orders_by_city": """SELECT city, COUNT(*) AS orders FROM fct_orders GROUP BY city
+ORDER BY orders DESC, city ASC NULLS LAST LIMIT 100""",
+    "total_orders": "SELECT COUNT(*) AS total_orders FROM fct_orders",
+    "cancel_city_overall": f"""SELECT city,
+{sround("SUM(CASE WHEN order_status = 'Cancelled' THEN 1 ELSE 0 END) / COUNT(*)", 4)} AS cancel_rate
+FROM fct_orders GROUP BY city ORDER BY 2 DESC NULLS FIRST, city ASC NULLS LAST LIMIT 10""",
+}

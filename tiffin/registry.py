@@ -195,3 +195,234 @@ def _dq_accepted(spark, sf_dir):
     from .operators.quality import accepted_values_failures
     return accepted_values_failures(_models(spark, sf_dir).fct_orders, "order_status",
                                     ["Delivered", "Cancelled", "Refunded"])
+
+
+# ------------------------------------------------------------- enrichment
+def _reviews_with_comment(spark, sf_dir) -> DataFrame:
+    return _models(spark, sf_dir).raw.reviews.where(F.col("comment").isNotNull())
+
+
+_RC = "FROM raw_reviews WHERE comment IS NOT NULL"
+
+
+@register("keyword_sentiment", O.with_ctes(
+    f"SELECT review_id, comment, CAST({O.count_contained('lower(comment)', O.enrich.POSITIVE_WORDS)} AS INTEGER) "
+    f"AS positive_hits, CAST({O.count_contained('lower(comment)', O.enrich.NEGATIVE_WORDS)} AS INTEGER) "
+    f"AS negative_hits, {O.sentiment('comment')} AS sentiment, {O.sentiment_score('comment')} AS sentiment_score "
+    + _RC))
+def _keyword_sentiment(spark, sf_dir):
+    from .operators import enrich as E
+    return _reviews_with_comment(spark, sf_dir).select(
+        "review_id", "comment", E.positive_hits("comment").alias("positive_hits"),
+        E.negative_hits("comment").alias("negative_hits"), E.sentiment("comment").alias("sentiment"),
+        E.sentiment_score("comment").alias("sentiment_score"))
+
+
+@register("keyword_category", O.with_ctes(
+    f"SELECT review_id, comment, {O.category('comment')} AS category, {O.key_issue('comment')} AS key_issue " + _RC))
+def _keyword_category(spark, sf_dir):
+    from .operators import enrich as E
+    return _reviews_with_comment(spark, sf_dir).select(
+        "review_id", "comment", E.category("comment").alias("category"), E.key_issue("comment").alias("key_issue"))
+
+
+_ENRICH_SQL = (f"SELECT review_id, order_id, user_id, restaurant_id, rating, comment, review_date, "
+               f"{O.sentiment('comment')} AS sentiment, {O.category('comment')} AS category, "
+               f"{O.confidence('review_id')} AS confidence ")
+
+
+@register("enrich_reviews", O.with_ctes(_ENRICH_SQL + _RC))
+def _enrich_reviews(spark, sf_dir):
+    from .operators import enrich as E
+    return E.enrich_reviews(E.reviews_to_enrich(_models(spark, sf_dir).raw.reviews))
+
+
+@register("review_enriched", O.with_ctes(
+    f"SELECT review_id, sentiment_label, sentiment_score, topic, key_issue, model FROM review_enriched"))
+def _review_enriched(spark, sf_dir):
+    return _models(spark, sf_dir).review_enriched.drop("enriched_at")
+
+
+def _done_before_cutoff(spark, sf_dir) -> DataFrame:
+    """Reviews enriched by an earlier run: those dated before the cutoff."""
+    from .operators import enrich as E
+    raw = _models(spark, sf_dir).raw.reviews
+    earlier = raw.where(F.col("comment").isNotNull() & (F.col("review_date") < F.lit(O.ENRICH_CUTOFF).cast("date")))
+    return E.review_enriched(earlier).select(F.col("review_id").cast("bigint").alias("review_id"))
+
+
+_NEW_ONLY = (f" AND NOT (review_date IS NOT NULL AND review_date < DATE '{O.ENRICH_CUTOFF}')")
+
+
+@register("enrich_new_only", O.with_ctes(_ENRICH_SQL + _RC + _NEW_ONLY))
+def _enrich_new_only(spark, sf_dir):
+    from .operators import enrich as E
+    raw = _models(spark, sf_dir).raw.reviews
+    return E.enrich_reviews(E.reviews_to_enrich(raw, done=_done_before_cutoff(spark, sf_dir)))
+
+
+@register("enrich_batch", O.with_ctes(
+    _ENRICH_SQL + _RC + _NEW_ONLY + " ORDER BY review_date ASC NULLS LAST, review_id LIMIT 5"))
+def _enrich_batch(spark, sf_dir):
+    from .operators import enrich as E
+    raw = _models(spark, sf_dir).raw.reviews
+    return E.enrich_reviews(E.reviews_to_enrich(raw, done=_done_before_cutoff(spark, sf_dir), batch_size=5))
+
+
+@register("enrich_summary", O.with_ctes(
+    f"SELECT count(*) AS total, count(CASE WHEN review_date < DATE '{O.ENRICH_CUTOFF}' THEN 1 END) AS skipped, "
+    f"count(CASE WHEN NOT (review_date IS NOT NULL AND review_date < DATE '{O.ENRICH_CUTOFF}') THEN 1 END) "
+    f"AS processed " + _RC))
+def _enrich_summary(spark, sf_dir):
+    from .operators import enrich as E
+    return E.enrich_summary(_models(spark, sf_dir).raw.reviews, _done_before_cutoff(spark, sf_dir))
+
+
+@register("enrich_documents", (
+    f"SELECT doc_id, {O.sentiment('text')} AS sentiment, {O.category('text')} AS category, "
+    f"{O.sentiment_score('text')} AS sentiment_score, {O.key_issue('text')} AS key_issue FROM documents"))
+def _enrich_documents(spark, sf_dir):
+    from .operators import enrich as E
+    from .sources.fixtures import read_driver
+    d = read_driver(spark, sf_dir, "documents")
+    return d.select("doc_id", E.sentiment("text").alias("sentiment"), E.category("text").alias("category"),
+                    E.sentiment_score("text").alias("sentiment_score"), E.key_issue("text").alias("key_issue"))
+
+
+@register("enrich_pluggable", O.with_ctes(
+    f"SELECT review_id, {O.sentiment('comment')} AS sentiment, {O.category('comment')} AS category, "
+    f"{O.confidence('review_id')} AS confidence " + _RC))
+def _enrich_pluggable(spark, sf_dir):
+    from .operators import enrich as E
+    ok, _bad = E.split_rejects(E.enrich_with_model(_reviews_with_comment(spark, sf_dir), E.python_keyword_model))
+    return ok
+
+
+@register("mart_review_insights_active", O.with_ctes("SELECT * FROM mart_review_insights"))
+def _mart_review_insights_active(spark, sf_dir):
+    """The insight mart fed by the active enrichment shape through the bridge."""
+    from .operators import enrich as E
+    from .plans.marts import mart_review_insights
+    m = _models(spark, sf_dir)
+    active = E.enrich_reviews(E.reviews_to_enrich(m.raw.reviews))
+    return mart_review_insights(E.active_to_mart_shape(active), m.stg_reviews)
+
+
+# ------------------------------------------------------------- catalogue
+def _catalogue(template_id: str):
+    def fn(spark, sf_dir):
+        from .operators.catalogue import run_template
+        return comparable(run_template(_models(spark, sf_dir), template_id))
+    return fn
+
+
+for _tid, _sql in O.CATALOGUE_ORACLE.items():
+    register(f"catalogue_{_tid}", O.with_ctes(_sql))(_catalogue(_tid))
+
+
+def _conversations(spark, sf_dir) -> DataFrame:
+    from .sources.fixtures import read_driver
+    return read_driver(spark, sf_dir, "conversations")
+
+
+@register("route_questions", (
+    f"SELECT conv_id, turn, role, {O.route('text')} AS template_id, {O.route('text', True)} AS template_id_plural "
+    "FROM conversations"))
+def _route_questions(spark, sf_dir):
+    from .operators.catalogue import route
+    return _conversations(spark, sf_dir).select("conv_id", "turn", "role", route("text").alias("template_id"),
+                                                route("text", True).alias("template_id_plural"))
+
+
+@register("sql_safety", (
+    f"SELECT conv_id, turn, {O.is_safe('text')} AS is_safe, {O.is_safe_v1('text')} AS is_safe_v1 FROM conversations"))
+def _sql_safety(spark, sf_dir):
+    from .operators.catalogue import is_safe, is_safe_v1
+    return _conversations(spark, sf_dir).select("conv_id", "turn", is_safe("text").alias("is_safe"),
+                                                is_safe_v1("text").alias("is_safe_v1"))
+
+
+@register("normalize_sql_text", f"SELECT conv_id, turn, {O.normalize_sql('text')} AS sql_text FROM conversations")
+def _normalize_sql_text(spark, sf_dir):
+    from .operators.catalogue import normalize_sql_text
+    return _conversations(spark, sf_dir).select("conv_id", "turn", normalize_sql_text("text").alias("sql_text"))
+
+
+# ------------------------------------------------------------- retrieval
+def _top(spark, sf_dir):
+    from .operators import retrieval as R
+    corpus = R.review_vectors(_models(spark, sf_dir).stg_reviews)
+    questions = R.questions_frame(spark)
+    return R.retrieve(corpus, questions), questions
+
+
+@register("keyword_vector", O.with_ctes(
+    f"SELECT review_id, {O.keyword_vector('comment')} AS embedding FROM stg_reviews WHERE comment IS NOT NULL"))
+def _keyword_vector(spark, sf_dir):
+    from .operators import retrieval as R
+    return R.review_vectors(_models(spark, sf_dir).stg_reviews).select("review_id", "embedding")
+
+
+@register("cosine_similarity", O.with_retrieval("SELECT query_id, review_id, score FROM sc"))
+def _cosine_similarity(spark, sf_dir):
+    from .operators import retrieval as R
+    corpus = R.review_vectors(_models(spark, sf_dir).stg_reviews)
+    qv = R.question_vectors(R.questions_frame(spark))
+    return R.score_against(corpus, "embedding", qv).select("query_id", "review_id", "score")
+
+
+@register("retrieval_topk", O.with_retrieval("SELECT query_id, rank, review_id, city, rating, comment, score FROM top"))
+def _retrieval_topk(spark, sf_dir):
+    top, _ = _top(spark, sf_dir)
+    return top.select("query_id", "rank", "review_id", "city", "rating", "comment", "score")
+
+
+@register("answer_questions", O.with_retrieval(
+    "SELECT qv.question_id, qv.question, " + O.answer_sql() + " AS answer FROM qv LEFT JOIN (SELECT query_id, "
+    "count(*) AS n_top, count(CASE WHEN " + O.contains_any("lower(comment)", O.rt.ANSWER_DELIVERY_COMMENT)
+    + " THEN 1 END) AS n_delivery, avg(rating) AS avg_rating FROM top GROUP BY query_id) a "
+    "ON qv.question_id = a.query_id"))
+def _answer_questions(spark, sf_dir):
+    from .operators import retrieval as R
+    top, questions = _top(spark, sf_dir)
+    return R.answer_questions(top, questions)
+
+
+@register("build_context", O.with_retrieval(
+    "SELECT qv.question_id, qv.question, coalesce(c.context, '') AS context, "
+    "'Question: ' || qv.question || chr(10) || chr(10) || 'Reviews:' || chr(10) || coalesce(c.context, '') AS prompt "
+    "FROM qv LEFT JOIN (SELECT query_id, string_agg('(' || coalesce(city, 'None') || ', ' || CAST(rating AS VARCHAR) "
+    "|| ' stars) ' || comment || chr(10), '' ORDER BY rank) AS context FROM top GROUP BY query_id) c "
+    "ON qv.question_id = c.query_id"))
+def _build_context(spark, sf_dir):
+    from .operators import retrieval as R
+    top, questions = _top(spark, sf_dir)
+    return R.build_context(top, questions)
+
+
+@register("embedding_topk", (
+    f"WITH {O.EMBED_CTES} SELECT CAST(query_id AS INTEGER) AS query_id, rank, vec_id, label, score FROM "
+    f"(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank "
+    f"FROM esc) WHERE rank <= {5}"))
+def _embedding_topk(spark, sf_dir):
+    from .operators import retrieval as R
+    from .sources.fixtures import read_driver
+    return R.nearest_to_centroids(read_driver(spark, sf_dir, "embeddings"))
+
+
+@register("embedding_cache", O.with_ctes(
+    f"SELECT review_id, city, rating, CAST(comment AS VARCHAR) AS comment, {O.keyword_vector('comment')} AS embedding "
+    "FROM stg_reviews WHERE comment IS NOT NULL"))
+def _embedding_cache(spark, sf_dir):
+    from .operators import retrieval as R
+    from .session import scratch_path
+    path = scratch_path(spark, "review-vectors")
+    build = lambda: R.review_vectors(_models(spark, sf_dir).stg_reviews)
+    R.cached_vectors(spark, path, build)          # first call: build and write
+    return R.cached_vectors(spark, path, build)   # second call: served from the files
+
+
+@register("sample_rows")
+def _sample_rows(spark, sf_dir):
+    from .operators.sampling import sample_rows
+    return sample_rows(_models(spark, sf_dir).stg_reviews, 500, key="review_id")
