@@ -426,3 +426,160 @@ def _embedding_cache(spark, sf_dir):
 def _sample_rows(spark, sf_dir):
     from .operators.sampling import sample_rows
     return sample_rows(_models(spark, sf_dir).stg_reviews, 500, key="review_id")
+
+
+# ------------------------------------------------------------- incremental facts
+CUTOFF = "1998-06-01 00:00:00"
+CUTOFF_LATER = "1999-06-01 00:00:00"
+
+
+def _ts(s: str):
+    return F.lit(s).cast("timestamp_ntz")
+
+
+def _inc_table(spark, name: str, key: str, ts: str):
+    from .operators.incremental import IncrementalTable
+    from .session import scratch_path
+    return IncrementalTable(spark, scratch_path(spark, name), key, ts)
+
+
+_FCT_DEC = ["subtotal", "discount", "delivery_fee", "gst", "sales_amount"]
+
+
+@register("fct_orders_incremental", O.with_ctes(f"SELECT {O.as_double(_FCT_DEC)} FROM fct_orders"))
+def _fct_orders_incremental(spark, sf_dir):
+    fct = _models(spark, sf_dir).fct_orders
+    t = _inc_table(spark, "fct_orders", "order_id", "order_timestamp")
+    t.run(fct.where(F.col("order_timestamp") < _ts(CUTOFF)))   # first run: full build
+    t.run(fct)                                                 # later run: watermark + merge
+    return comparable(t.read())
+
+
+@register("fct_order_items_incremental", O.with_ctes(f"SELECT {O.as_double(['price', 'line_amount'])} "
+                                                     "FROM fct_order_items"))
+def _fct_order_items_incremental(spark, sf_dir):
+    fct = _models(spark, sf_dir).fct_order_items
+    t = _inc_table(spark, "fct_order_items", "order_item_id", "order_ts")
+    t.run(fct.where(F.col("order_ts") < _ts(CUTOFF)))
+    t.run(fct)
+    return comparable(t.read())
+
+
+@register("incremental_filter", O.with_ctes(
+    f"SELECT {O.as_double(_FCT_DEC)} FROM fct_orders WHERE order_timestamp > "
+    f"(SELECT coalesce(max(order_timestamp), TIMESTAMP '1900-01-01') FROM fct_orders "
+    f"WHERE order_timestamp < TIMESTAMP '{CUTOFF}')"))
+def _incremental_filter(spark, sf_dir):
+    from .operators.incremental import watermark_filter
+    fct = _models(spark, sf_dir).fct_orders
+    t = _inc_table(spark, "fct_orders_wm", "order_id", "order_timestamp")
+    t.run(fct.where(F.col("order_timestamp") < _ts(CUTOFF)))
+    return comparable(watermark_filter(fct, "order_timestamp", t.watermark()))
+
+
+@register("fct_orders_upsert", O.with_ctes(
+    f"SELECT * REPLACE (CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount, "
+    f"CAST(CASE WHEN order_timestamp >= TIMESTAMP '{CUTOFF}' THEN delivery_fee + 1 ELSE delivery_fee END AS DOUBLE) "
+    f"AS delivery_fee, CAST(gst AS DOUBLE) AS gst, CAST(sales_amount AS DOUBLE) AS sales_amount) FROM fct_orders"))
+def _fct_orders_upsert(spark, sf_dir):
+    fct = _models(spark, sf_dir).fct_orders
+    t = _inc_table(spark, "fct_orders_upsert", "order_id", "order_timestamp")
+    t.full_refresh(fct.where(F.col("order_timestamp") < _ts(CUTOFF_LATER)))
+    changed = fct.where(F.col("order_timestamp") >= _ts(CUTOFF)).withColumn(
+        "delivery_fee", (F.col("delivery_fee") + 1).cast("decimal(12,2)"))
+    t.merge(changed)   # overlapping keys are updated, new keys inserted, others kept
+    return comparable(t.read())
+
+
+@register("late_rows", O.with_ctes(
+    f"SELECT {O.as_double(_FCT_DEC)} FROM fct_orders WHERE order_timestamp >= TIMESTAMP '{CUTOFF}'"))
+def _late_rows(spark, sf_dir):
+    fct = _models(spark, sf_dir).fct_orders
+    t = _inc_table(spark, "fct_orders_late", "order_id", "order_timestamp")
+    t.run(fct.where(F.col("order_timestamp") >= _ts(CUTOFF)))
+    t.run(fct)   # rows older than the watermark arrive late and are not picked up
+    return comparable(t.read())
+
+
+_WM = f"(SELECT max(order_timestamp) FROM fct_orders WHERE order_timestamp < TIMESTAMP '{CUTOFF}')"
+
+
+@register("schema_evolution", O.with_ctes(
+    f"SELECT * REPLACE (CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount, "
+    f"CAST(delivery_fee AS DOUBLE) AS delivery_fee, CAST(gst AS DOUBLE) AS gst, "
+    f"CAST(sales_amount AS DOUBLE) AS sales_amount, "
+    f"CASE WHEN order_timestamp <= {_WM} THEN NULL ELSE customer_rating END AS customer_rating, "
+    f"CASE WHEN order_timestamp <= {_WM} THEN NULL ELSE delivery_time_min END AS delivery_time_min) FROM fct_orders"))
+def _schema_evolution(spark, sf_dir):
+    fct = _models(spark, sf_dir).fct_orders
+    t = _inc_table(spark, "fct_orders_evolve", "order_id", "order_timestamp")
+    t.run(fct.drop("customer_rating", "delivery_time_min").where(F.col("order_timestamp") < _ts(CUTOFF)))
+    t.run(fct)   # two new source columns: appended, NULL for rows loaded before
+    return comparable(t.read())
+
+
+@register("merge_duplicate_keys", O.with_ctes(
+    f"SELECT * REPLACE (CAST(subtotal AS DOUBLE) AS subtotal, CAST(discount AS DOUBLE) AS discount, "
+    f"CAST(CASE WHEN order_timestamp >= TIMESTAMP '{CUTOFF}' THEN delivery_fee + 1 ELSE delivery_fee END AS DOUBLE) "
+    f"AS delivery_fee, CAST(gst AS DOUBLE) AS gst, CAST(sales_amount AS DOUBLE) AS sales_amount, "
+    f"CASE WHEN order_timestamp >= TIMESTAMP '{CUTOFF}' THEN order_timestamp + INTERVAL 1 MINUTE "
+    f"ELSE order_timestamp END AS order_timestamp) FROM fct_orders"))
+def _merge_duplicate_keys(spark, sf_dir):
+    fct = _models(spark, sf_dir).fct_orders
+    t = _inc_table(spark, "fct_orders_dups", "order_id", "order_timestamp")
+    t.full_refresh(fct)
+    recent = fct.where(F.col("order_timestamp") >= _ts(CUTOFF))
+    newer = recent.withColumn("delivery_fee", (F.col("delivery_fee") + 1).cast("decimal(12,2)")).withColumn(
+        "order_timestamp", F.timestamp_add("MINUTE", F.lit(1), F.col("order_timestamp")))
+    t.merge(recent.unionByName(newer), on_duplicates="latest")   # each key twice: the newer row wins
+    return comparable(t.read())
+
+
+# ------------------------------------------------------------- ingestion
+_RAW_ORDERS_DEC = ["subtotal", "discount", "delivery_fee", "gst", "sales_amount"]
+
+
+@register("ingest_tolerant", O.with_ctes(
+    f"SELECT {O.as_double(_RAW_ORDERS_DEC)} FROM raw_orders WHERE order_id % 97 <> 0"))
+def _ingest_tolerant(spark, sf_dir):
+    from .sources.files import copy_into, write_landing
+    from .sources.raw import RAW_SCHEMAS
+    from .session import scratch_path
+    raw = _models(spark, sf_dir).raw.orders
+    # Landing files with unparsable amounts on some rows.
+    bad = raw.withColumn("sales_amount", F.when(F.col("order_id") % 97 == 0, F.lit("n/a"))
+                         .otherwise(F.col("sales_amount").cast("string")))
+    landing, table = scratch_path(spark, "landing-orders"), scratch_path(spark, "raw-orders")
+    write_landing(bad, landing)
+    copy_into(spark, landing, RAW_SCHEMAS["orders"], table, tolerant=True)
+    return comparable(spark.read.parquet(table))
+
+
+@register("ingest_strict", O.with_ctes(f"SELECT {O.as_double(_RAW_ORDERS_DEC)} FROM raw_orders"))
+def _ingest_strict(spark, sf_dir):
+    from .sources.files import copy_into, write_landing
+    from .sources.raw import RAW_SCHEMAS
+    from .session import scratch_path
+    raw = _models(spark, sf_dir).raw.orders
+    landing, table = scratch_path(spark, "landing-orders"), scratch_path(spark, "raw-orders")
+    write_landing(raw, landing)
+    copy_into(spark, landing, RAW_SCHEMAS["orders"], table, tolerant=False)
+    return comparable(spark.read.parquet(table))
+
+
+@register("ingest_incremental", O.with_ctes(f"SELECT {O.as_double(_RAW_ORDERS_DEC)} FROM raw_orders"))
+def _ingest_incremental(spark, sf_dir):
+    from .sources.files import write_landing
+    from .sources.raw import RAW_SCHEMAS
+    from .session import scratch_path
+    from .streaming.ingest import ingest_new_files
+    raw = _models(spark, sf_dir).raw.orders
+    landing, table, ckpt = (scratch_path(spark, "landing-orders"), scratch_path(spark, "raw-orders"),
+                            scratch_path(spark, "ckpt-orders"))
+    early = F.col("order_timestamp") < _ts(CUTOFF)
+    write_landing(raw.where(early), landing)           # day 1 files
+    ingest_new_files(spark, landing, RAW_SCHEMAS["orders"], table, ckpt)
+    write_landing(raw.where(~early), landing)          # day 2 files land next to them
+    ingest_new_files(spark, landing, RAW_SCHEMAS["orders"], table, ckpt)
+    ingest_new_files(spark, landing, RAW_SCHEMAS["orders"], table, ckpt)   # nothing new: no rows added
+    return comparable(spark.read.schema(RAW_SCHEMAS["orders"]).parquet(table))

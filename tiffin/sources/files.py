@@ -50,3 +50,14 @@ def write_landing(df: DataFrame, path: str, fmt: str = "csv", mode: str = "appen
     if fmt == "csv":
         w = w.option("header", "true").option("escape", '"')
     w.save(path)
+
+
+def copy_into(spark: SparkSession, landing: str, schema: T.StructType, table_path: str, tolerant: bool = True,
+              fmt: str = "csv", options: dict | None = None, mode: str = "append") -> None:
+    """Load landing files into a Parquet RAW table.
+
+    Every column is written, so every field of every row is parsed: a row with one
+    bad field is dropped (tolerant) or fails the load (strict), as in a COPY.
+    """
+    load = load_tolerant if tolerant else load_strict
+    load(spark, landing, schema, fmt, options).write.mode(mode).parquet(table_path)
