@@ -117,43 +117,77 @@ def reviews_to_enrich(reviews: DataFrame, done: DataFrame | None = None, batch_s
 
 
 # ---------------------------------------------------------------- outputs
+def with_keyword_hits(df: DataFrame, text_col: str = "comment") -> DataFrame:
+    """Add ``_lt`` (lower-cased text), ``_pos`` and ``_neg`` (hit counts), computed once per row.
+
+    Later columns read these instead of repeating the keyword tests, which keeps
+    the plan small; the optimizer does not inline a non-trivial column that is
+    used several times.
+    """
+    lt = F.lower(F.col(text_col))
+    return df.withColumn("_lt", lt).select(
+        "*", count_contained(F.col("_lt"), POSITIVE_WORDS).alias("_pos"),
+        count_contained(F.col("_lt"), NEGATIVE_WORDS).alias("_neg"))
+
+
+def _label(pos: Column, neg: Column) -> Column:
+    return F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
+
+
+def _score(pos: Column, neg: Column) -> Column:
+    return (pos - neg).cast("double") / F.greatest(pos + neg, F.lit(1))
+
+
+def _topic(cat: Column) -> Column:
+    out = None
+    for k, v in TOPIC_BY_CATEGORY.items():
+        out = F.when(cat == k, v) if out is None else out.when(cat == k, v)
+    return out
+
+
+def classify(df: DataFrame, text_col: str = "comment") -> DataFrame:
+    """All keyword outputs as columns: sentiment, category, sentiment_score, key_issue."""
+    f = with_keyword_hits(df, text_col)
+    pos, neg, lt = F.col("_pos"), F.col("_neg"), F.col("_lt")
+    return f.select("*", _label(pos, neg).alias("sentiment"), category(lt).alias("category"),
+                    _score(pos, neg).alias("sentiment_score"), key_issue(lt).alias("key_issue")) \
+        .drop("_lt", "_pos", "_neg")
+
+
 def enrich_reviews(reviews: DataFrame) -> DataFrame:
     """A3: the active output shape: the review columns + sentiment, category, confidence."""
-    c = F.col("comment")
-    return reviews.select(*REVIEW_COLUMNS, sentiment(c).alias("sentiment"), category(c).alias("category"),
-                          confidence("review_id").alias("confidence"))
+    c = classify(reviews.select(*REVIEW_COLUMNS))
+    return c.select(*REVIEW_COLUMNS, "sentiment", "category", confidence("review_id").alias("confidence"))
 
 
 def review_enriched(reviews: DataFrame, model: str = KEYWORD_MODEL,
                     enriched_at: Column | None = None) -> DataFrame:
     """A4: the mart-shaped table (review_id, sentiment_label, sentiment_score, topic, key_issue, model, enriched_at)."""
-    c = F.col("comment")
-    topic = None
-    cat = category(c)
-    for k, v in TOPIC_BY_CATEGORY.items():
-        topic = F.when(cat == k, v) if topic is None else topic.when(cat == k, v)
-    return reviews.select(
+    c = classify(reviews.select("review_id", "comment"))
+    return c.select(
         F.col("review_id").cast("string").alias("review_id"),
-        sentiment(c).alias("sentiment_label"),
-        sentiment_score(c).alias("sentiment_score"),
-        topic.alias("topic"),
-        key_issue(c).alias("key_issue"),
+        F.col("sentiment").alias("sentiment_label"),
+        "sentiment_score",
+        _topic(F.col("category")).alias("topic"),
+        "key_issue",
         F.lit(model).alias("model"),
         (enriched_at if enriched_at is not None else F.current_timestamp()).alias("enriched_at"),
     )
 
 
 def active_to_mart_shape(active: DataFrame) -> DataFrame:
-    """Bridge: map rows of the active shape onto the mart shape."""
-    topic = None
-    for k, v in TOPIC_BY_CATEGORY.items():
-        topic = F.when(F.col("category") == k, v) if topic is None else topic.when(F.col("category") == k, v)
-    c = F.col("comment")
-    return active.select(F.col("review_id").cast("string").alias("review_id"),
-                         F.col("sentiment").alias("sentiment_label"),
-                         sentiment_score(c).alias("sentiment_score"), topic.alias("topic"),
-                         key_issue(c).alias("key_issue"), F.lit(KEYWORD_MODEL).alias("model"),
-                         F.current_timestamp().alias("enriched_at"))
+    """Bridge: map rows of the active shape onto the mart shape.
+
+    Label and topic come from the active row; the score and key issue, which the
+    active shape does not carry, are derived from the comment with the keyword rules.
+    """
+    f = with_keyword_hits(active.select("review_id", "comment", "sentiment", "category"))
+    return f.select(F.col("review_id").cast("string").alias("review_id"),
+                    F.col("sentiment").alias("sentiment_label"),
+                    _score(F.col("_pos"), F.col("_neg")).alias("sentiment_score"),
+                    _topic(F.col("category")).alias("topic"),
+                    key_issue(F.col("_lt")).alias("key_issue"), F.lit(KEYWORD_MODEL).alias("model"),
+                    F.current_timestamp().alias("enriched_at"))
 
 
 def enrich_summary(reviews: DataFrame, done: DataFrame) -> DataFrame:

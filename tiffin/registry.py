@@ -36,11 +36,22 @@ def register(key: str, oracle: str | None = None):
     return deco
 
 
+_MODELS: dict[tuple[str, str], Models] = {}
+
+
+def _models(spark: SparkSession, sf_dir: str) -> Models:
+    """One lazily built model graph per session and data folder (plans are reused, never data)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _MODELS:
+        _MODELS[key] = Models.from_driver(spark, sf_dir)
+    return _MODELS[key]
+
+
 def _model_query(name: str, decimals: list[str]) -> None:
     sel = O.as_double(decimals) if decimals else "*"
 
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(Models.from_driver(spark, sf_dir).table(name))
+        return comparable(_models(spark, sf_dir).table(name))
     register(name, O.with_ctes(f"SELECT {sel} FROM {name}"))(fn)
 
 
@@ -66,10 +77,6 @@ for _name, _dec in [
     _model_query(_name, _dec)
 
 
-def _models(spark: SparkSession, sf_dir: str) -> Models:
-    return Models.from_driver(spark, sf_dir)
-
-
 # ------------------------------------------------------------- calendar
 @register("dim_date_covering", O.with_ctes(O.CALENDAR_SQL))
 def _dim_date_covering(spark, sf_dir):
@@ -212,10 +219,10 @@ _RC = "FROM raw_reviews WHERE comment IS NOT NULL"
     + _RC))
 def _keyword_sentiment(spark, sf_dir):
     from .operators import enrich as E
-    return _reviews_with_comment(spark, sf_dir).select(
-        "review_id", "comment", E.positive_hits("comment").alias("positive_hits"),
-        E.negative_hits("comment").alias("negative_hits"), E.sentiment("comment").alias("sentiment"),
-        E.sentiment_score("comment").alias("sentiment_score"))
+    f = E.with_keyword_hits(_reviews_with_comment(spark, sf_dir).select("review_id", "comment"))
+    return f.select("review_id", "comment", F.col("_pos").alias("positive_hits"),
+                    F.col("_neg").alias("negative_hits"), E._label(F.col("_pos"), F.col("_neg")).alias("sentiment"),
+                    E._score(F.col("_pos"), F.col("_neg")).alias("sentiment_score"))
 
 
 @register("keyword_category", O.with_ctes(
@@ -284,9 +291,8 @@ def _enrich_summary(spark, sf_dir):
 def _enrich_documents(spark, sf_dir):
     from .operators import enrich as E
     from .sources.fixtures import read_driver
-    d = read_driver(spark, sf_dir, "documents")
-    return d.select("doc_id", E.sentiment("text").alias("sentiment"), E.category("text").alias("category"),
-                    E.sentiment_score("text").alias("sentiment_score"), E.key_issue("text").alias("key_issue"))
+    d = read_driver(spark, sf_dir, "documents").select("doc_id", "text")
+    return E.classify(d, "text").select("doc_id", "sentiment", "category", "sentiment_score", "key_issue")
 
 
 @register("enrich_pluggable", O.with_ctes(

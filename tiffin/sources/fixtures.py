@@ -234,18 +234,34 @@ def raw_reviews(orders: DataFrame) -> DataFrame:
     )
 
 
+def _conform(df: DataFrame, name: str) -> DataFrame:
+    """Cast to the declared RAW schema (column order and types)."""
+    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMAS[name].fields])
+
+
+class DriverRaw(RawTables):
+    """RAW tables derived from the driver's tables, each built on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):  # noqa: D107 - lazy, no dataclass init
+        self._spark, self._dir, self._built = spark, sf_dir, {}
+
+    def get(self, name: str) -> DataFrame:
+        if name not in self._built:
+            if name == "reviews":
+                df = raw_reviews(self.get("orders"))
+            else:
+                df = globals()[f"raw_{name}"](self._spark, self._dir)
+            self._built[name] = _conform(df, name)
+        return self._built[name]
+
+    def names(self) -> list[str]:
+        return list(RAW_SCHEMAS)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in RAW_SCHEMAS:
+            raise AttributeError(name)
+        return self.get(name)
+
+
 def raw_from_driver(spark: SparkSession, sf_dir: str) -> RawTables:
-    orders = raw_orders(spark, sf_dir)
-    tables = RawTables(
-        restaurants=raw_restaurants(spark, sf_dir),
-        users=raw_users(spark, sf_dir),
-        food=raw_food(spark, sf_dir),
-        menu=raw_menu(spark, sf_dir),
-        orders=orders,
-        order_items=raw_order_items(spark, sf_dir),
-        reviews=raw_reviews(orders),
-    )
-    # Conform to the declared RAW schemas (column order and types).
-    return RawTables(**{n: tables.get(n).select([F.col(f.name).cast(f.dataType).alias(f.name)
-                                                  for f in RAW_SCHEMAS[n].fields])
-                        for n in tables.names()})
+    return DriverRaw(spark, sf_dir)
