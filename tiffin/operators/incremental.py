@@ -54,9 +54,12 @@ class IncrementalTable:
     def _log_path(self) -> str:
         return f"{self.path}/_log"
 
+    _LOG_SCHEMA = "version long, mode string, written_at string"
+
     def current_version(self) -> int | None:
+        # A declared schema: reading the log is one small scan, no inference job.
         try:
-            row = self.spark.read.json(self._log_path()).agg(F.max("version")).first()
+            row = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path()).agg(F.max("version")).first()
         except AnalysisException:
             return None
         return None if row is None or row[0] is None else int(row[0])
@@ -64,22 +67,23 @@ class IncrementalTable:
     def exists(self) -> bool:
         return self.current_version() is not None
 
-    def read(self) -> DataFrame:
-        v = self.current_version()
+    def read(self, version: int | None = None) -> DataFrame:
+        v = version if version is not None else self.current_version()
         if v is None:
             raise FileNotFoundError(f"no version of {self.path}")
         return self.spark.read.parquet(f"{self.path}/v{v:06d}")
 
-    def watermark(self) -> dt.datetime | None:
-        if not self.exists():
+    def watermark(self, version: int | None = None) -> dt.datetime | None:
+        v = version if version is not None else self.current_version()
+        if v is None:
             return None
-        return self.read().agg(F.max(self.ts_col)).first()[0]
+        return self.read(v).agg(F.max(self.ts_col)).first()[0]
 
-    def _publish(self, df: DataFrame, mode: str) -> int:
-        v = (self.current_version() or 0) + 1
+    def _publish(self, df: DataFrame, mode: str, previous: int | None = None) -> int:
+        v = (previous if previous is not None else (self.current_version() or 0)) + 1
         df.write.mode("overwrite").parquet(f"{self.path}/v{v:06d}")
-        entry = self.spark.createDataFrame([(v, mode, dt.datetime.utcnow().isoformat())],
-                                           "version long, mode string, written_at string")
+        entry = self.spark.createDataFrame([(v, mode, dt.datetime.now(dt.timezone.utc).isoformat())],
+                                           self._LOG_SCHEMA)
         entry.coalesce(1).write.mode("append").json(self._log_path())
         return v
 
@@ -87,21 +91,22 @@ class IncrementalTable:
     def full_refresh(self, df: DataFrame) -> int:
         return self._publish(df, "full")
 
-    def merge(self, batch: DataFrame, on_duplicates: str = "error") -> int:
+    def merge(self, batch: DataFrame, on_duplicates: str = "error", version: int | None = None) -> int:
         """Upsert ``batch`` on the unique key; new source columns are appended.
 
         ``on_duplicates``: ``"error"`` (a key repeated in the batch that also exists in the
         target is ambiguous and raises; repeated new keys are all inserted) or
         ``"latest"`` (keep the newest row per key by ``ts_col``).
         """
-        target = self.read()
+        version = self.current_version() if version is None else version
+        target = self.read(version)
         if on_duplicates == "latest":
             w = Window.partitionBy(*self.keys).orderBy(F.col(self.ts_col).desc_nulls_last())
             batch = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
         elif on_duplicates == "error":
+            # Only the batch is aggregated; the target is consulted only if a key repeats.
             dups = batch.groupBy(*self.keys).count().where("count > 1").select(*self.keys)
-            ambiguous = dups.join(target.select(*self.keys), self.keys, "left_semi")
-            if not ambiguous.isEmpty():
+            if not dups.isEmpty() and not dups.join(target.select(*self.keys), self.keys, "left_semi").isEmpty():
                 raise DuplicateKeyError(f"batch repeats keys present in {self.path}")
         else:
             raise ValueError(on_duplicates)
@@ -109,12 +114,13 @@ class IncrementalTable:
         merged = kept.unionByName(batch, allowMissingColumns=True)
         # append_new_columns: the target's columns first, new ones after.
         cols = target.columns + [c for c in batch.columns if c not in target.columns]
-        return self._publish(merged.select(*cols), "merge")
+        return self._publish(merged.select(*cols), "merge", version)
 
     def run(self, source: DataFrame, source_ts_col: str | None = None,
             lookback: dt.timedelta | None = None, on_duplicates: str = "error") -> int:
         """One model run: full build the first time, else filter by watermark and merge."""
-        if not self.exists():
-            return self.full_refresh(source)
-        batch = watermark_filter(source, source_ts_col or self.ts_col, self.watermark(), lookback)
-        return self.merge(batch, on_duplicates)
+        version = self.current_version()
+        if version is None:
+            return self._publish(source, "full", 0)
+        batch = watermark_filter(source, source_ts_col or self.ts_col, self.watermark(version), lookback)
+        return self.merge(batch, on_duplicates, version)

@@ -433,7 +433,7 @@ EMBED_CTES = f"""cdim AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m
   FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
 cv AS (SELECT label AS query_id, list(m ORDER BY i) AS v FROM cdim GROUP BY label),
 ev AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-esc AS (SELECT cv.query_id, ev.vec_id, ev.label, {sround(cosine('cv.v', 'ev.e'), 6)} AS score FROM cv CROSS JOIN ev)"""
+esc AS (SELECT cv.query_id, ev.vec_id, ev.label, round({cosine('cv.v', 'ev.e')}, 6) AS score FROM cv CROSS JOIN ev)"""
 
 
 def _half_up_ratio(num_cents: str, den: str, scale: int = 100) -> str:
