@@ -24,19 +24,28 @@ def _reader(spark: SparkSession, schema: T.StructType, fmt: str, options: dict |
 
 def load_tolerant(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",
                   options: dict | None = None) -> DataFrame:
+    """Rows that parse into ``schema``.
+
+    The CSV reader only parses the columns a query references, so a narrow
+    projection (or a bare ``count()``) does not see bad fields elsewhere in the
+    row; ``copy_into`` writes every column and is the way to land data.
+    """
     return _reader(spark, schema, fmt, options).option("mode", "DROPMALFORMED").load(path)
 
 
 def load_rejects(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",
                  options: dict | None = None) -> DataFrame:
-    """The lines a tolerant load skips, with their raw text."""
+    """The lines a tolerant load skips: their raw text, file, and the fields that did parse.
+
+    Every declared column stays in the output on purpose: the CSV reader only
+    parses referenced columns, so a narrower projection would miss bad fields
+    (and Spark refuses a scan that references only the corrupt-record column).
+    """
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
     df = (_reader(spark, with_corrupt, fmt, options).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").load(path))
-    # Spark refuses a query that only touches the corrupt column of a raw scan; cache is
-    # the documented workaround, but a projection with a real column avoids holding it.
     return df.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_corrupt_record").alias("raw_line"), F.input_file_name().alias("file"))
+        F.col("_corrupt_record").alias("raw_line"), F.input_file_name().alias("file"), *schema.fieldNames())
 
 
 def load_strict(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",
