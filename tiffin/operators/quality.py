@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,14 +81,40 @@ def failures(test: Test, models) -> DataFrame:
 
 
 def dq_report(models, tests: list[Test] = PROJECT_TESTS) -> DataFrame:
-    """Q5: one row per test with its number of failing rows, computed in one job."""
-    parts = [failures(t, models).agg(F.count(F.lit(1)).alias("failures")).select(
-        F.lit(t.name).alias("test_name"), F.lit(t.model).alias("model"), F.lit(t.column).alias("column_name"),
-        F.lit(t.kind).alias("test_kind"), F.col("failures")) for t in tests]
+    """Q5: one row per test with its number of failing rows.
+
+    Tests that only need a scan (not_null, accepted_values) share one aggregation
+    pass per model; unique tests group by their column and relationship tests
+    anti-join the parent, each with partial aggregation before any shuffle.
+    """
+    parts: list[DataFrame] = []
+    by_model: dict[str, list[Test]] = {}
+    for t in tests:
+        if t.kind in ("not_null", "accepted_values"):
+            by_model.setdefault(t.model, []).append(t)
+    for model, ts in by_model.items():
+        aggs = []
+        for t in ts:
+            c = F.col(t.column)
+            if t.kind == "not_null":
+                aggs.append(F.count_if(c.isNull()).alias(t.name))
+            else:  # one failing row per distinct unaccepted value
+                aggs.append(F.count_distinct(F.when(c.isNotNull() & ~c.isin(list(t.args)), c)).alias(t.name))
+        counts = models.table(model).agg(*aggs)
+        stack = ", ".join(f"'{t.name}', `{t.name}`" for t in ts)
+        parts.append(counts.selectExpr(f"stack({len(ts)}, {stack}) AS (test_name, failures)"))
+    for t in tests:
+        if t.kind in ("unique", "relationships"):
+            parts.append(failures(t, models).agg(F.count(F.lit(1)).alias("failures"))
+                         .select(F.lit(t.name).alias("test_name"), "failures"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    meta = models.table(tests[0].model).sparkSession.createDataFrame(
+        [(t.name, t.model, t.column, t.kind) for t in tests], "test_name string, model string, column_name string, "
+                                                              "test_kind string")
+    return meta.join(out, "test_name", "left").select("test_name", "model", "column_name", "test_kind",
+                                                      F.col("failures").cast("bigint").alias("failures"))
 
 
 class DataQualityError(RuntimeError):
