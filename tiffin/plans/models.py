@@ -110,3 +110,7 @@ class Models:
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
+
+    def pin(self, name: str, df: DataFrame) -> None:
+        """Use ``df`` (e.g. the materialised table) for ``name`` in models built after this call."""
+        self.__dict__[name] = df

@@ -589,3 +589,14 @@ def _ingest_incremental(spark, sf_dir):
     ingest_new_files(spark, landing, RAW_SCHEMAS["orders"], table, ckpt)
     ingest_new_files(spark, landing, RAW_SCHEMAS["orders"], table, ckpt)   # nothing new: no rows added
     return comparable(spark.read.schema(RAW_SCHEMAS["orders"]).parquet(table))
+
+
+# ------------------------------------------------------------- daily pipeline
+@register("pipeline_daily", O.with_ctes("SELECT * FROM mart_review_insights"))
+def _pipeline_daily(spark, sf_dir):
+    from .plans.pipeline import latest_table, run_daily
+    from .session import scratch_path
+    out = scratch_path(spark, "warehouse")
+    run_daily(spark, _models(spark, sf_dir).raw, out, tests_severity="warn")
+    run_daily(spark, _models(spark, sf_dir).raw, out, tests_severity="warn")   # a rerun adds nothing twice
+    return latest_table(spark, out, "mart_review_insights")
