@@ -4,14 +4,19 @@
 Storage is plain Parquet in versions: every run writes a complete new version
 folder, then appends one row to the table's ``_log``. Readers take the highest
 logged version, so a failed or half-written run is never seen and the folder
-being read is never overwritten. A merge shuffles the target only on the key;
-the batch side is usually small and AQE turns the anti join into a broadcast
-once the batch's real size is known.
+being read is never overwritten.
+
+A merge first writes its batch to a staging folder. That computes the source
+once (the duplicate check and the merge both read the staged files), cuts the
+lineage, and gives the planner the batch's real size: a small daily batch is
+broadcast and the target is streamed through the anti join without a shuffle,
+while a large batch falls back to a sort-merge join.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,6 +105,9 @@ class IncrementalTable:
         """
         version = self.current_version() if version is None else version
         target = self.read(version)
+        staged = f"{self.path}/_batches/b{version + 1:06d}-{uuid.uuid4().hex[:8]}"
+        batch.write.mode("overwrite").parquet(staged)
+        batch = self.spark.read.parquet(staged)
         if on_duplicates == "latest":
             w = Window.partitionBy(*self.keys).orderBy(F.col(self.ts_col).desc_nulls_last())
             batch = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
