@@ -94,20 +94,31 @@ def _money(c: Column) -> Column:
     return c.cast("decimal(12,2)")
 
 
+def _units(total: Column, scale: int) -> Column:
+    """A long count of 10^-scale units as DECIMAL(12,2), rounded half up."""
+    return (total.cast("decimal(20,0)") / F.lit(10 ** scale).cast(f"decimal({scale + 1},0)")).cast("decimal(12,2)")
+
+
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_driver(spark, sf_dir, "orders")
     c = read_driver(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_driver(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     li = read_driver(spark, sf_dir, "lineitem")
-    ext = _money(F.col("l_extendedprice"))
-    # One row per order; partial aggregation runs before the shuffle on l_orderkey.
+    # Money is summed in exact integer units (cents; cents x percent points for the
+    # discount and tax products) held in longs, then turned into DECIMAL(12,2) once
+    # per order. Summing DECIMAL(12,2) directly widens past 18 digits, where Spark
+    # keeps each partial sum as a BigDecimal object.
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     lines = li.groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("r_id"),
         F.count(F.lit(1)).alias("items_count"),
         F.sum("l_quantity").alias("sales_qty"),
-        F.sum(ext).alias("subtotal"),
-        F.sum(ext * F.col("l_discount").cast("decimal(4,2)")).alias("discount"),
-        F.sum(ext * F.col("l_tax").cast("decimal(4,2)")).alias("gst"))
+        F.sum(cents).alias("_sub"),
+        F.sum(cents * F.round(F.col("l_discount") * 100).cast("bigint")).alias("_disc"),
+        F.sum(cents * F.round(F.col("l_tax") * 100).cast("bigint")).alias("_gst"))
+    lines = lines.select("l_orderkey", "r_id", "items_count", "sales_qty",
+                         _units(F.col("_sub"), 2).alias("subtotal"), _units(F.col("_disc"), 4).alias("discount"),
+                         _units(F.col("_gst"), 4).alias("gst"))
     k = F.col("o_orderkey")
     j = (o.join(c, o.o_custkey == c.c_custkey, "left")
           .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
