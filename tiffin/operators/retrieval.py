@@ -71,6 +71,11 @@ def python_keyword_vector(text: str) -> list[float]:
     return [1.0 if w in t else 0.0 for w in EMBED_KEYWORDS]
 
 
+def python_keyword_batch(texts: pd.Series) -> list[list[float]]:
+    """The keyword embedding as a batch model (stand-in for a remote embedding service)."""
+    return [python_keyword_vector(str(t)) for t in texts]
+
+
 def review_vectors(reviews_stg: DataFrame) -> DataFrame:
     """The embedded review corpus: review_id, city, rating, comment, embedding."""
     return reviews_stg.where(F.col("comment").isNotNull()).select(

@@ -369,6 +369,14 @@ def _keyword_vector(spark, sf_dir):
     return R.review_vectors(_models(spark, sf_dir).stg_reviews).select("review_id", "embedding")
 
 
+@register("embed_pluggable", O.with_ctes(
+    f"SELECT review_id, {O.keyword_vector('comment')} AS embedding FROM stg_reviews WHERE comment IS NOT NULL"))
+def _embed_pluggable(spark, sf_dir):
+    from .operators import retrieval as R
+    texts = _models(spark, sf_dir).stg_reviews.where(F.col("comment").isNotNull())
+    return R.embed_with_model(texts, "comment", R.python_keyword_batch, ["review_id"])
+
+
 @register("cosine_similarity", O.with_retrieval("SELECT query_id, review_id, score FROM sc"))
 def _cosine_similarity(spark, sf_dir):
     from .operators import retrieval as R
