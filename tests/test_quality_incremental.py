@@ -96,3 +96,15 @@ def test_watermark_literal_reaches_parquet_scan(spark, tmp_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThan(ts," in plan
     assert [r.order_id for r in df.collect()] == [2]
+
+
+def test_partitioned_versions_prune(spark, tmp_dir):
+    schema = "order_id long, ts timestamp_ntz, d date"
+    rows = [(i, _t(i % 20), dt.date(2024, 1, 1 + i % 3)) for i in range(30)]
+    t = IncrementalTable(spark, f"{tmp_dir}/part", "order_id", "ts", partition_by=["d"])
+    t.run(spark.createDataFrame(rows[:10], schema))
+    t.run(spark.createDataFrame(rows, schema))
+    df = t.read().where(F.col("d") == dt.date(2024, 1, 2))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(d" in plan
+    assert df.count() == sum(1 for r in rows if r[2] == dt.date(2024, 1, 2) and (r in rows[:10] or r[1] > _t(9)))

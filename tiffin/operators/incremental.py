@@ -49,11 +49,15 @@ def watermark_filter(source: DataFrame, ts_col: str, watermark: dt.datetime | No
 
 
 class IncrementalTable:
-    def __init__(self, spark: SparkSession, path: str, unique_key: str | list[str], ts_col: str):
+    def __init__(self, spark: SparkSession, path: str, unique_key: str | list[str], ts_col: str,
+                 partition_by: list[str] | None = None):
+        """``partition_by``: folder partitioning of each version (e.g. ``["order_date"]``) so
+        date-bounded readers prune whole folders."""
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = [unique_key] if isinstance(unique_key, str) else list(unique_key)
         self.ts_col = ts_col
+        self.partition_by = list(partition_by or [])
 
     # -- versions
     def _log_path(self) -> str:
@@ -86,7 +90,10 @@ class IncrementalTable:
 
     def _publish(self, df: DataFrame, mode: str, previous: int | None = None) -> int:
         v = (previous if previous is not None else (self.current_version() or 0)) + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v:06d}")
+        w = df.write.mode("overwrite")
+        if self.partition_by:
+            w = w.partitionBy(*self.partition_by)
+        w.parquet(f"{self.path}/v{v:06d}")
         entry = self.spark.createDataFrame([(v, mode, dt.datetime.now(dt.timezone.utc).isoformat())],
                                            self._LOG_SCHEMA)
         entry.coalesce(1).write.mode("append").json(self._log_path())
