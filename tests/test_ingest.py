@@ -39,3 +39,20 @@ def test_streaming_ledger_loads_each_file_once(spark, tmp_dir):
     _write(land, "d2.csv", "id,amount,name\n1,1.00,a\n")         # same row again, new file: appended
     ingest_new_files(spark, land, SCHEMA, table, ckpt)
     assert spark.read.parquet(table).count() == 4
+
+
+def test_streaming_upsert_merges_each_new_file(spark, tmp_dir):
+    from tiffin.operators.incremental import IncrementalTable
+    from tiffin.streaming.ingest import upsert_new_files
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+                           T.StructField("status", T.StringType())])
+    land, ckpt = f"{tmp_dir}/land", f"{tmp_dir}/ckpt"
+    table = IncrementalTable(spark, f"{tmp_dir}/fct", "id", "ts")
+    _write(land, "d1.csv", "id,ts,status\n1,2024-01-01T10:00:00,Placed\n2,2024-01-01T11:00:00,Placed\n")
+    upsert_new_files(spark, land, schema, table, ckpt)
+    _write(land, "d2.csv", "id,ts,status\n2,2024-01-02T09:00:00,Delivered\n3,2024-01-02T10:00:00,Placed\n")
+    upsert_new_files(spark, land, schema, table, ckpt)
+    upsert_new_files(spark, land, schema, table, ckpt)       # no new files: no new version
+    assert sorted((r.id, r.status) for r in table.read().collect()) == [(1, "Placed"), (2, "Delivered"),
+                                                                      (3, "Placed")]
+    assert table.current_version() == 2
