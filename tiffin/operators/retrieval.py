@@ -305,11 +305,15 @@ def questions_frame(spark: SparkSession, questions: list[str] = EXAMPLE_QUESTION
 
 
 def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> list[tuple]:
-    """Per-label mean vector, computed on Spark; only (#labels x width) numbers come back."""
-    per_dim = (vectors.select(label_col, F.posexplode(vec_col).alias("pos", "x"))
-               .groupBy(label_col, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    cents = per_dim.groupBy(label_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("v"))
+    """Per-label mean vector, computed on Spark; only (#labels x width) numbers come back.
+
+    One hash aggregation with an ``avg`` per position (partial sums before the
+    shuffle); no row is exploded into one row per element.
+    """
+    width = vectors.select(F.max(F.size(vec_col))).first()[0] or 0
+    v = F.col(vec_col)
+    cents = vectors.groupBy(label_col).agg(
+        F.array(*[F.avg(v[i].cast("double")) for i in range(width)]).alias("v"))
     rows = cents.limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} labels")
