@@ -54,3 +54,10 @@ def test_cosine_zero_vector(spark):
                                "a array<double>, b array<double>")
     out = [round(r[0], 12) for r in df.select(C.cosine("a", "b")).collect()]
     assert out == [1.0, 0.0, round(2 ** -0.5, 12)]
+
+
+def test_scale_settings():
+    from tiffin.session import scale_settings
+    conf = scale_settings(100 * 2 ** 40, 8000)          # 100 TB on 1000 executors x 8 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_settings(10 * 2 ** 20, 8)["spark.sql.shuffle.partitions"]) == 16

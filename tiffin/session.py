@@ -68,3 +68,29 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared folder for one materialised table."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scale_settings(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Partition settings for a job reading ``input_bytes`` on ``total_cores`` cores.
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes`` each (so a
+    task's data fits in executor memory without spilling), with at least two
+    waves of tasks so stragglers and lost executors cost little. AQE coalesces
+    the shuffle side further at runtime and splits skewed partitions.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
+def apply_scale_settings(spark: SparkSession, input_bytes: int, total_cores: int | None = None) -> dict[str, str]:
+    """Set ``scale_settings`` on the session (explicit call; nothing is changed otherwise)."""
+    cores = total_cores or spark.sparkContext.defaultParallelism
+    conf = scale_settings(input_bytes, cores)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
