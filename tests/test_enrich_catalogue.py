@@ -119,3 +119,11 @@ def test_run_sql_refuses_unsafe(spark):
     with pytest.raises(K.UnsafeQueryError):
         K.run_sql(spark, "drop table x")
     assert K.run_sql(spark, "select 1 as x").first().x == 1
+
+
+def test_whole_words_mode(spark):
+    df = spark.createDataFrame([("great food, served on a clean plate",), ("late again",), ("not on time",)],
+                               "comment string")
+    out = [(r.sentiment, r.category, r.key_issue) for r in E.classify(df, whole_words=True).collect()]
+    assert out == [("positive", "food_quality", None), ("negative", "delivery", "late"),
+                   ("positive", "delivery", None)]

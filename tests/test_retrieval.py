@@ -72,3 +72,16 @@ def test_sample_rows_is_stable(spark):
     a = sorted(r.id for r in sample_rows(df, 50, "id").collect())
     b = sorted(r.id for r in sample_rows(df.repartition(3), 50, "id").collect())
     assert a == b and len(a) == 50
+
+
+def test_vector_cache_versions(spark, tmp_dir):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
+
+    a = R.cached_vectors(spark, f"{tmp_dir}/vec", build, version="m1")
+    b = R.cached_vectors(spark, f"{tmp_dir}/vec", build, version="m1")
+    c = R.cached_vectors(spark, f"{tmp_dir}/vec", build, version="m2")
+    assert len(calls) == 2 and a.count() == b.count() == c.count() == 1

@@ -111,3 +111,10 @@ def test_fct_order_items_inner_join(spark):
     items = raw(spark, "order_items", [("a", 1, 7, "f", 1.005, 2.5, 3.0), ("b", 2, 7, "f", 1.0, 1.0, 1.0)])
     out = marts.fct_order_items(staging.stg_order_items(items), staging.stg_orders(o)).collect()
     assert [(r.order_item_id, r.city, r.quantity) for r in out] == [("a", "Pune", 3)]
+
+
+def test_delivery_sla_approx_option(spark):
+    t = dt.datetime(2024, 1, 1, 9)
+    o = _orders(spark, [(i, t, "Pune", "Delivered", "1.00", m, 1, 1) for i, m in enumerate([10, 20, 30, 40, 50])])
+    r = marts.mart_delivery_sla(marts.fct_orders(staging.stg_orders(o)), approx_accuracy=10000).first()
+    assert (r.p50, r.p90) == (30.0, 50.0)      # nearest rank, no interpolation

@@ -6,6 +6,8 @@ inside whole-stage codegen and needs no Python worker.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,19 +99,28 @@ def initcap(x: ColumnOrName) -> Column:
         "")
 
 
-def contains_any(text: Column, words: list[str]) -> Column:
-    """True when any word occurs as a substring (``any(w in text for w in words)``)."""
+def has_word(text: Column, word: str, whole_words: bool = False) -> Column:
+    """``word in text`` (substring, the reference's rule) or, with ``whole_words``, only where
+    the word is not glued to a letter, digit or '_' ('late' then no longer matches 'plate')."""
+    if not whole_words:
+        return text.contains(word)
+    edge = "[\\p{L}\\p{N}_]"
+    return text.rlike(f"(?<!{edge}){re.escape(word)}(?!{edge})")
+
+
+def contains_any(text: Column, words: list[str], whole_words: bool = False) -> Column:
+    """True when any word occurs (``any(w in text for w in words)``)."""
     cond = F.lit(False)
     for w in words:
-        cond = cond | text.contains(w)
+        cond = cond | has_word(text, w, whole_words)
     return cond
 
 
-def count_contained(text: Column, words: list[str]) -> Column:
+def count_contained(text: Column, words: list[str], whole_words: bool = False) -> Column:
     """Number of words that occur at least once (``sum(w in text for w in words)``)."""
     total = F.lit(0)
     for w in words:
-        total = total + text.contains(w).cast("int")
+        total = total + has_word(text, w, whole_words).cast("int")
     return total
 
 

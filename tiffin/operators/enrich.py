@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import contains_any, count_contained
+from ..functions.columns import contains_any, count_contained, has_word
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's keyword classifier.
@@ -60,12 +60,12 @@ def sentiment(text: Column | str) -> Column:
     return F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
 
 
-def category(text: Column | str) -> Column:
+def category(text: Column | str, whole_words: bool = False) -> Column:
     """A2: ordered rules, first match wins."""
     t = _lower(text)
     out = None
     for name, words in CATEGORY_RULES:
-        cond = contains_any(t, words)
+        cond = contains_any(t, words, whole_words)
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return out.otherwise("other")
 
@@ -76,12 +76,13 @@ def sentiment_score(text: Column | str) -> Column:
     return (pos - neg).cast("double") / F.greatest(pos + neg, F.lit(1))
 
 
-def key_issue(text: Column | str) -> Column:
+def key_issue(text: Column | str, whole_words: bool = False) -> Column:
     """First negative word (list order) found in the text, else NULL."""
     t = _lower(text)
     out = None
     for w in NEGATIVE_WORDS:
-        out = F.when(t.contains(w), F.lit(w)) if out is None else out.when(t.contains(w), F.lit(w))
+        hit = has_word(t, w, whole_words)
+        out = F.when(hit, F.lit(w)) if out is None else out.when(hit, F.lit(w))
     return out
 
 
@@ -117,7 +118,7 @@ def reviews_to_enrich(reviews: DataFrame, done: DataFrame | None = None, batch_s
 
 
 # ---------------------------------------------------------------- outputs
-def with_keyword_hits(df: DataFrame, text_col: str = "comment") -> DataFrame:
+def with_keyword_hits(df: DataFrame, text_col: str = "comment", whole_words: bool = False) -> DataFrame:
     """Add ``_lt`` (lower-cased text), ``_pos`` and ``_neg`` (hit counts), computed once per row.
 
     Later columns read these instead of repeating the keyword tests, which keeps
@@ -126,8 +127,8 @@ def with_keyword_hits(df: DataFrame, text_col: str = "comment") -> DataFrame:
     """
     lt = F.lower(F.col(text_col))
     return df.withColumn("_lt", lt).select(
-        "*", count_contained(F.col("_lt"), POSITIVE_WORDS).alias("_pos"),
-        count_contained(F.col("_lt"), NEGATIVE_WORDS).alias("_neg"))
+        "*", count_contained(F.col("_lt"), POSITIVE_WORDS, whole_words).alias("_pos"),
+        count_contained(F.col("_lt"), NEGATIVE_WORDS, whole_words).alias("_neg"))
 
 
 def _label(pos: Column, neg: Column) -> Column:
@@ -145,12 +146,16 @@ def _topic(cat: Column) -> Column:
     return out
 
 
-def classify(df: DataFrame, text_col: str = "comment") -> DataFrame:
-    """All keyword outputs as columns: sentiment, category, sentiment_score, key_issue."""
-    f = with_keyword_hits(df, text_col)
+def classify(df: DataFrame, text_col: str = "comment", whole_words: bool = False) -> DataFrame:
+    """All keyword outputs as columns: sentiment, category, sentiment_score, key_issue.
+
+    ``whole_words`` switches from the reference's substring rule ('late' matches
+    'plate') to word matches."""
+    f = with_keyword_hits(df, text_col, whole_words)
     pos, neg, lt = F.col("_pos"), F.col("_neg"), F.col("_lt")
-    return f.select("*", _label(pos, neg).alias("sentiment"), category(lt).alias("category"),
-                    _score(pos, neg).alias("sentiment_score"), key_issue(lt).alias("key_issue")) \
+    return f.select("*", _label(pos, neg).alias("sentiment"), category(lt, whole_words).alias("category"),
+                    _score(pos, neg).alias("sentiment_score"),
+                    key_issue(lt, whole_words).alias("key_issue")) \
         .drop("_lt", "_pos", "_neg")
 
 

@@ -83,11 +83,16 @@ def review_vectors(reviews_stg: DataFrame) -> DataFrame:
         keyword_vector("comment").alias("embedding"))
 
 
-def cached_vectors(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def cached_vectors(spark: SparkSession, path: str, build: Callable[[], DataFrame],
+                   version: str | None = None) -> DataFrame:
     """Read the embedded corpus from ``path`` if present, else build, write, re-read.
 
-    A failed write is not fatal: the freshly built frame is returned instead.
+    ``version`` (e.g. the embedding model and source snapshot) names a sub-folder,
+    so a new model or source is rebuilt instead of served stale. A failed write is
+    not fatal: the freshly built frame is returned instead.
     """
+    if version is not None:
+        path = f"{path.rstrip('/')}/version={version}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:
