@@ -106,14 +106,15 @@ def reviews_to_enrich(reviews: DataFrame, done: DataFrame | None = None, batch_s
     ``oldest_first_then_skip`` the cap is applied first, as the reference does, and
     a run can end up with nothing to do.
     """
+    from .sampling import first_n
     r = reviews.where(F.col("comment").isNotNull())
     order = [F.col("review_date").asc_nulls_last(), F.col("review_id").asc()]
     if oldest_first_then_skip and batch_size is not None:
-        r = r.orderBy(*order).limit(batch_size)
+        r = first_n(r, batch_size, order)
     if done is not None:
         r = r.join(done.select("review_id").distinct(), "review_id", "left_anti")
     if batch_size is not None and not oldest_first_then_skip:
-        r = r.orderBy(*order).limit(batch_size)
+        r = first_n(r, batch_size, order)
     return r
 
 

@@ -2,22 +2,34 @@
 
 ``sample_rows`` keeps the ``n`` rows with the smallest seeded hash of their key:
 a uniform sample that is the same on every run and independent of how the data
-is partitioned. Spark plans ``orderBy(...).limit(n)`` as a per-partition top-n
-followed by one merge of at most n rows per partition, so no full sort happens.
+is partitioned. The top n is taken with ``first_n``: each task keeps at most n rows
+before the single final partition, so no full sort or shuffle of the data happens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """The first ``n`` rows by ``order`` as a bounded plan wherever it sits in a query.
+
+    ``orderBy().limit()`` is a bounded top-n only at the root of a query; nested
+    under further projections Spark plans a global range-partitioned sort of every
+    row. ``row_number() <= n`` is planned with a partial group limit in each task,
+    so at most n rows per task reach the single final partition.
+    """
+    w = Window.orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def sample_rows(df: DataFrame, n: int, key: str | list[str], seed: int = 17) -> DataFrame:
     keys = [key] if isinstance(key, str) else key
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
+    return first_n(df.withColumn("_h", h), n, [F.col("_h")] + [F.col(k) for k in keys]).drop("_h")
 
 
 def random_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """``SAMPLE (n ROWS)``: a random sample of n rows (different per seed)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+    return first_n(df.withColumn("_r", F.rand(seed)), n, [F.col("_r")]).drop("_r")
