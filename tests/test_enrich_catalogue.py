@@ -127,3 +127,37 @@ def test_whole_words_mode(spark):
     out = [(r.sentiment, r.category, r.key_issue) for r in E.classify(df, whole_words=True).collect()]
     assert out == [("positive", "food_quality", None), ("negative", "delivery", "late"),
                    ("positive", "delivery", None)]
+
+
+def test_parse_answers_rejects_prose_and_missing_fields(spark):
+    df = spark.createDataFrame([
+        (1, '{"sentiment":"positive","category":"delivery","confidence":0.9}'),
+        (2, "Sorry, I cannot classify this review."),
+        (3, '{"sentiment":"negative","category":"price"}'),
+        (4, None),
+        (5, '{"sentiment":"neutral","category":"other","confidence":"high"}'),
+    ], "review_id long, answer string")
+    out = {r.review_id: r for r in E.parse_answers(df).collect()}
+    assert (out[1].sentiment, out[1].category, out[1].confidence, out[1].rejected) == \
+        ("positive", "delivery", 0.9, False)
+    assert all(out[k].rejected for k in (2, 3, 4, 5))
+    assert out[3].sentiment == "negative" and out[3].confidence is None
+
+
+def test_model_answers_round_trip(spark):
+    df = spark.createDataFrame([(1, "great and fast"), (2, "okay")], "review_id long, comment string")
+    out = {r.review_id: r for r in E.parse_answers(E.model_answers(df)).collect()}
+    assert out[1].sentiment == "positive" and out[1].category == "delivery" and not out[1].rejected
+    assert 0.80 <= out[1].confidence <= 0.98
+    assert out[2].rejected and out[2].sentiment is None
+
+
+def test_append_is_idempotent(spark, tmp_dir):
+    from tiffin.plans.pipeline import append_new_enrichment
+    reviews = _reviews(spark)   # 8 reviews with a comment
+    path = f"{tmp_dir}/enriched"
+    first = append_new_enrichment(spark, reviews.where(F.col("review_id") <= 3), path).count()
+    second = append_new_enrichment(spark, reviews, path).count()
+    third = append_new_enrichment(spark, reviews, path)
+    assert (first, second) == (3, 8)
+    assert third.count() == 8 and third.select("review_id").distinct().count() == 8

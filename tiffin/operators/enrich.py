@@ -273,3 +273,26 @@ def parse_model_json(raw: Column | str) -> Column:
     schema = T.StructType([T.StructField("sentiment", T.StringType()), T.StructField("category", T.StringType()),
                            T.StructField("confidence", T.DoubleType())])
     return F.from_json(F.col(raw) if isinstance(raw, str) else raw, schema)
+
+
+NO_ANSWER_TEXT = "Sorry, I cannot classify this review."
+
+
+def model_answers(reviews: DataFrame, text_col: str = "comment") -> DataFrame:
+    """The raw answer text of a JSON-speaking model, derived from the keyword rules.
+
+    A review with a keyword hit gets a JSON object; one without gets prose, which
+    the parser has to reject.
+    """
+    c = classify(reviews.select("review_id", text_col), text_col)
+    js = F.to_json(F.struct("sentiment", "category", confidence("review_id").alias("confidence")))
+    no_hit = (F.col("sentiment") == "neutral") & (F.col("category") == "other")
+    return c.select("review_id", F.when(no_hit, F.lit(NO_ANSWER_TEXT)).otherwise(js).alias("answer"))
+
+
+def parse_answers(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
+    """parse answers; unparsable text or a missing field marks the row rejected."""
+    p = parse_model_json(answer_col)
+    ok = p["sentiment"].isNotNull() & p["category"].isNotNull() & p["confidence"].isNotNull()
+    return answers.select("review_id", p["sentiment"].alias("sentiment"), p["category"].alias("category"),
+                          p["confidence"].alias("confidence"), (~F.coalesce(ok, F.lit(False))).alias("rejected"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .oracle import sql as O
 from .plans.models import Models
+from .sources.raw import RAW_SCHEMAS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +78,26 @@ for _name, _dec in [
     _model_query(_name, _dec)
 
 
+# ------------------------------------------------------------- named sources
+@register("scan_sources", O.with_ctes("\nUNION ALL\n".join(
+    [f"SELECT {O.q(n)} AS source, count(*) AS n_rows, {len(s.fields)} AS n_columns FROM raw_{n}"
+     for n, s in RAW_SCHEMAS.items()]
+    + ["SELECT 'review_enriched' AS source, count(*) AS n_rows, 7 AS n_columns FROM review_enriched"])))
+def _scan_sources(spark, sf_dir):
+    """The RAW tables are landed once, then scanned by name with their declared schemas."""
+    from functools import reduce
+    from .session import scratch_path
+    from .sources.raw import scan_raw, write_raw
+    m = _models(spark, sf_dir)
+    root = scratch_path(spark, "raw")
+    write_raw(m.raw, root)
+    raw = scan_raw(spark, root)
+    named = [(n, raw.get(n)) for n in raw.names()] + [("review_enriched", m.review_enriched)]
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(n).alias("source"), "n_rows", F.lit(len(df.columns)).alias("n_columns")) for n, df in named]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ------------------------------------------------------------- calendar
 @register("dim_date_covering", O.with_ctes(O.CALENDAR_SQL))
 def _dim_date_covering(spark, sf_dir):
@@ -155,6 +176,46 @@ def _fn_div0(spark, sf_dir):
         c.alias("cancelled"), d.alias("delivered"), F.round(div0(c, d), 4).alias("cancel_per_delivered"))
 
 
+@register("fn_round", O.with_ctes(
+    "SELECT order_id, CAST(round(sales_amount, 0) AS DOUBLE) AS sales_amount_0, "
+    "CAST(round(gst, 1) AS DOUBLE) AS gst_1, "
+    + O.sround("CAST(delivery_time_min AS DOUBLE) / 7", 2) + " AS delivery_weeks_2, "
+    + O.sround("CAST(sales_qty AS DOUBLE) / nullif(items_count, 0)", 3) + " AS qty_per_item_3 FROM fct_orders"))
+def _fn_round(spark, sf_dir):
+    """round on decimals (half-up, exact) and on doubles, over every order."""
+    return comparable(_models(spark, sf_dir).fct_orders.select(
+        "order_id", F.round("sales_amount", 0).alias("sales_amount_0"), F.round("gst", 1).alias("gst_1"),
+        F.round(F.col("delivery_time_min").cast("double") / 7, 2).alias("delivery_weeks_2"),
+        F.round(F.col("sales_qty") / F.nullif(F.col("items_count"), F.lit(0)), 3).alias("qty_per_item_3")))
+
+
+@register("agg_count_if", O.with_ctes(
+    "SELECT city, count(*) AS orders, count(CASE WHEN is_delivered THEN 1 END) AS delivered_orders, "
+    "count(CASE WHEN order_status = 'Cancelled' THEN 1 END) AS cancelled_orders, "
+    "count(CASE WHEN delivery_time_min IS NOT NULL THEN 1 END) AS timed_orders FROM fct_orders GROUP BY city"))
+def _agg_count_if(spark, sf_dir):
+    """count_if over a boolean, an equality and a not-null test, one aggregation pass."""
+    return _models(spark, sf_dir).fct_orders.groupBy("city").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("is_delivered")).alias("delivered_orders"),
+        F.count_if(F.col("order_status") == "Cancelled").alias("cancelled_orders"),
+        F.count_if(F.col("delivery_time_min").isNotNull()).alias("timed_orders"))
+
+
+@register("agg_conditional_sum", O.with_ctes(
+    "SELECT restaurant_id, CAST(sum(CASE WHEN is_delivered THEN sales_amount ELSE 0 END) AS DOUBLE) "
+    "AS delivered_revenue, CAST(sum(CASE WHEN order_status = 'Cancelled' THEN sales_amount ELSE 0 END) AS DOUBLE) "
+    "AS cancelled_value, CAST(sum(CASE WHEN is_delivered THEN items_count ELSE 0 END) AS BIGINT) AS delivered_items "
+    "FROM fct_orders GROUP BY restaurant_id"))
+def _agg_conditional_sum(spark, sf_dir):
+    """sum(iff(cond, x, 0)); a NULL condition takes the else branch."""
+    from .functions.columns import iff
+    f = _models(spark, sf_dir).fct_orders
+    return comparable(f.groupBy("restaurant_id").agg(
+        F.sum(iff(F.col("is_delivered"), F.col("sales_amount"), 0)).alias("delivered_revenue"),
+        F.sum(iff(F.col("order_status") == "Cancelled", F.col("sales_amount"), 0)).alias("cancelled_value"),
+        F.sum(iff(F.col("is_delivered"), F.col("items_count"), 0)).alias("delivered_items")))
+
+
 @register("filter_castable", O.with_ctes(
     f"SELECT * FROM raw_users WHERE {O.try_number('user_id')} IS NOT NULL"))
 def _filter_castable(spark, sf_dir):
@@ -304,6 +365,32 @@ def _enrich_pluggable(spark, sf_dir):
     return ok
 
 
+@register("parse_enrichment_json", O.with_ctes(
+    "SELECT review_id, CASE WHEN json_valid(answer) THEN json_extract_string(answer, '$.sentiment') END AS sentiment, "
+    "CASE WHEN json_valid(answer) THEN json_extract_string(answer, '$.category') END AS category, "
+    "CASE WHEN json_valid(answer) THEN TRY_CAST(json_extract_string(answer, '$.confidence') AS DOUBLE) END "
+    "AS confidence, NOT json_valid(answer) AS rejected FROM (SELECT review_id, CASE WHEN "
+    f"{O.sentiment('comment')} = 'neutral' AND {O.category('comment')} = 'other' THEN {O.q(O.enrich.NO_ANSWER_TEXT)} "
+    f"ELSE '{{\"sentiment\":\"' || {O.sentiment('comment')} || '\",\"category\":\"' || {O.category('comment')} "
+    f"|| '\",\"confidence\":' || CAST({O.confidence('review_id')} AS VARCHAR) || '}}' END AS answer " + _RC + ") a"))
+def _parse_enrichment_json(spark, sf_dir):
+    """a model's JSON answers for every review, parsed; prose answers are rejected."""
+    from .operators import enrich as E
+    return E.parse_answers(E.model_answers(_reviews_with_comment(spark, sf_dir)))
+
+
+@register("enrich_append", O.with_ctes(_ENRICH_SQL + _RC))
+def _enrich_append(spark, sf_dir):
+    """The enriched table is created by the first append; later runs add only new reviews."""
+    from .plans.pipeline import append_new_enrichment
+    from .session import scratch_path
+    raw = _models(spark, sf_dir).raw.reviews
+    path = scratch_path(spark, "review-ai-enriched")
+    append_new_enrichment(spark, raw.where(F.col("review_date") < F.lit(O.ENRICH_CUTOFF).cast("date")), path)
+    append_new_enrichment(spark, raw, path)          # the rest
+    return append_new_enrichment(spark, raw, path)   # nothing new: no duplicates
+
+
 @register("mart_review_insights_active", O.with_ctes("SELECT * FROM mart_review_insights"))
 def _mart_review_insights_active(spark, sf_dir):
     """The insight mart fed by the active enrichment shape through the bridge."""
@@ -348,6 +435,13 @@ def _sql_safety(spark, sf_dir):
                                                 is_safe_v1("text").alias("is_safe_v1"))
 
 
+@register("sql_safety_v1", f"SELECT conv_id, turn, {O.is_safe_v1('text')} AS is_safe_v1 FROM conversations")
+def _sql_safety_v1(spark, sf_dir):
+    """The earlier filter, plain substring tests (it also rejects e.g. ``created_at``)."""
+    from .operators.catalogue import is_safe_v1
+    return _conversations(spark, sf_dir).select("conv_id", "turn", is_safe_v1("text").alias("is_safe_v1"))
+
+
 @register("normalize_sql_text", f"SELECT conv_id, turn, {O.normalize_sql('text')} AS sql_text FROM conversations")
 def _normalize_sql_text(spark, sf_dir):
     from .operators.catalogue import normalize_sql_text
