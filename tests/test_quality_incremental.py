@@ -108,3 +108,47 @@ def test_partitioned_versions_prune(spark, tmp_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(d" in plan
     assert df.count() == sum(1 for r in rows if r[2] == dt.date(2024, 1, 2) and (r in rows[:10] or r[1] > _t(9)))
+
+
+PSCHEMA = "order_id long, ts timestamp_ntz, v string, d date"
+
+
+def _files(root, part):
+    import os
+    p = f"{root}/{part}"
+    return sorted(f for f in os.listdir(p) if f.endswith(".parquet"))
+
+
+def test_partitioned_merge_rewrites_only_touched_partitions(spark, tmp_dir):
+    d1, d2, d3 = dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 1, 3)
+    t = IncrementalTable(spark, f"{tmp_dir}/pm", "order_id", "ts", partition_by=["d"])
+    t.run(spark.createDataFrame([(1, _t(1), "a", d1), (2, _t(2), "b", d2), (3, _t(3), "c", d3)], PSCHEMA))
+    loc = t._entry().location
+    before = {p: _files(loc, p) for p in ("d=2024-01-01", "d=2024-01-03")}
+    # order 2 updated, order 4 new: only 2024-01-02 is touched
+    t.run(spark.createDataFrame([(2, _t(5), "B", d2), (4, _t(6), "d", d2)], PSCHEMA))
+    assert {p: _files(loc, p) for p in before} == before
+    assert t._entry().partitions_rewritten == 1
+    assert t.watermark() == _t(6)
+    out = sorted((r.order_id, r.v, r.d) for r in t.read().collect())
+    assert out == [(1, "a", d1), (2, "B", d2), (3, "c", d3), (4, "d", d2)]
+    assert t.read().columns == ["order_id", "ts", "v", "d"]
+
+
+def test_partitioned_merge_key_moving_partition(spark, tmp_dir):
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    t = IncrementalTable(spark, f"{tmp_dir}/pmv", "order_id", "ts", partition_by=["d"])
+    t.run(spark.createDataFrame([(1, _t(1), "a", d1), (2, _t(2), "b", d2)], PSCHEMA))
+    t.run(spark.createDataFrame([(1, _t(5), "moved", d2)], PSCHEMA))   # d1 empties out
+    assert sorted((r.order_id, r.v, r.d) for r in t.read().collect()) == [(1, "moved", d2), (2, "b", d2)]
+
+
+def test_partitioned_merge_schema_evolution(spark, tmp_dir):
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    t = IncrementalTable(spark, f"{tmp_dir}/pme", "order_id", "ts", partition_by=["d"], keys_keep_partition=True)
+    t.run(spark.createDataFrame([(1, _t(1), "a", d1), (2, _t(2), "b", d2)], PSCHEMA))
+    t.run(spark.createDataFrame([(3, _t(5), "c", d2, 7)], "order_id long, ts timestamp_ntz, v string, d date, "
+                                                          "extra long"))
+    out = t.read()
+    assert out.columns == ["order_id", "ts", "v", "extra", "d"]
+    assert sorted((r.order_id, r.extra) for r in out.collect()) == [(1, None), (2, None), (3, 7)]

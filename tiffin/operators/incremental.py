@@ -16,10 +16,14 @@ while a large batch falls back to a sort-merge join.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 EPOCH_FLOOR = dt.datetime(1900, 1, 1)
@@ -48,61 +52,131 @@ def watermark_filter(source: DataFrame, ts_col: str, watermark: dt.datetime | No
     return source.where(F.col(ts_col) > ntz_literal(bound))
 
 
+# Most partition values one merge may rewrite before it falls back to a full rewrite
+# (the values are collected to the driver to build the partition filter).
+MAX_TOUCHED_PARTITIONS = 20_000
+
+
 class IncrementalTable:
+    """A fact table kept as Parquet plus an append-only ``_log`` of versions.
+
+    Each log entry records the data location, the table schema (DDL) and the high
+    watermark measured while the version was written, so readers never infer a
+    schema and a run never scans the table for ``max(ts)``.
+
+    Unpartitioned tables write every version to a new folder. Partitioned tables
+    (``partition_by``) keep one folder; a merge rewrites only the partitions the
+    batch touches (dynamic partition overwrite), so a daily merge costs the size of
+    the affected days, not of the table. Their older versions are not kept.
+    """
+
     def __init__(self, spark: SparkSession, path: str, unique_key: str | list[str], ts_col: str,
-                 partition_by: list[str] | None = None):
-        """``partition_by``: folder partitioning of each version (e.g. ``["order_date"]``) so
-        date-bounded readers prune whole folders."""
+                 partition_by: list[str] | None = None, keys_keep_partition: bool = False):
+        """``partition_by``: folder partitioning (e.g. ``["order_date"]``) so date-bounded
+        readers prune whole folders and merges rewrite only touched partitions.
+        ``keys_keep_partition``: a key's partition value never changes (an order keeps
+        its date), so a merge need not look for older rows of batch keys elsewhere."""
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = [unique_key] if isinstance(unique_key, str) else list(unique_key)
         self.ts_col = ts_col
         self.partition_by = list(partition_by or [])
+        self.keys_keep_partition = keys_keep_partition
 
     # -- versions
     def _log_path(self) -> str:
         return f"{self.path}/_log"
 
-    _LOG_SCHEMA = "version long, mode string, written_at string"
+    _LOG_SCHEMA = ("version long, mode string, written_at string, location string, table_schema string, "
+                   "watermark string, partitions_rewritten long")
 
-    def current_version(self) -> int | None:
+    def _entry(self, version: int | None = None):
+        """The log entry of ``version`` (default: the latest); None if the table has none."""
         # A declared schema: reading the log is one small scan, no inference job.
         try:
-            row = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path()).agg(F.max("version")).first()
+            log = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path())
         except AnalysisException:
             return None
-        return None if row is None or row[0] is None else int(row[0])
+        if version is not None:
+            log = log.where(F.col("version") == version)
+        return log.orderBy(F.col("version").desc()).first()
+
+    def current_version(self) -> int | None:
+        e = self._entry()
+        return None if e is None else int(e.version)
 
     def exists(self) -> bool:
         return self.current_version() is not None
 
     def read(self, version: int | None = None) -> DataFrame:
-        v = version if version is not None else self.current_version()
-        if v is None:
-            raise FileNotFoundError(f"no version of {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{v:06d}")
+        e = self._entry(version)
+        if e is None:
+            raise FileNotFoundError(f"no version {version if version is not None else ''} of {self.path}")
+        if self.partition_by and version is not None and version != self.current_version():
+            raise ValueError("partitioned tables are merged in place; only the current version can be read")
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(e.table_schema))).parquet(e.location)
 
     def watermark(self, version: int | None = None) -> dt.datetime | None:
-        v = version if version is not None else self.current_version()
-        if v is None:
+        e = self._entry(version)
+        if e is None or e.watermark is None:
             return None
-        return self.read(v).agg(F.max(self.ts_col)).first()[0]
+        return dt.datetime.fromisoformat(e.watermark)
 
-    def _publish(self, df: DataFrame, mode: str, previous: int | None = None) -> int:
-        v = (previous if previous is not None else (self.current_version() or 0)) + 1
-        w = df.write.mode("overwrite")
-        if self.partition_by:
-            w = w.partitionBy(*self.partition_by)
-        w.parquet(f"{self.path}/v{v:06d}")
-        entry = self.spark.createDataFrame([(v, mode, dt.datetime.now(dt.timezone.utc).isoformat())],
-                                           self._LOG_SCHEMA)
+    def _log(self, v: int, mode: str, location: str, schema: str, watermark, rewritten: int | None) -> int:
+        wm = None if watermark is None else watermark.isoformat(sep=" ")
+        entry = self.spark.createDataFrame(
+            [(v, mode, dt.datetime.now(dt.timezone.utc).isoformat(), location, schema, wm, rewritten)],
+            self._LOG_SCHEMA)
         entry.coalesce(1).write.mode("append").json(self._log_path())
         return v
 
+    def _write(self, df: DataFrame, location: str, dynamic: bool = False):
+        """Write ``df`` and return max(ts) of the written rows, measured during the write."""
+        obs = Observation(f"wm_{uuid.uuid4().hex[:8]}")
+        w = df.observe(obs, F.max(self.ts_col).alias("wm")).write.mode("overwrite")
+        if dynamic:
+            w = w.option("partitionOverwriteMode", "dynamic")
+        if self.partition_by:
+            w = w.partitionBy(*self.partition_by)
+        w.parquet(location)
+        return obs.get.get("wm")
+
+    def _publish(self, df: DataFrame, mode: str, previous: int | None = None) -> int:
+        """Write ``df`` as a whole new version in a new folder."""
+        v = (previous if previous is not None else (self.current_version() or 0)) + 1
+        location = f"{self.path}/v{v:06d}"
+        df = self._ordered(df)
+        wm = self._write(df, location)
+        return self._log(v, mode, location, df.schema.json(), wm, None)
+
+    def _ordered(self, df: DataFrame) -> DataFrame:
+        """Partition columns last: the order a partitioned folder is read back in."""
+        if not self.partition_by:
+            return df
+        return df.select(*[c for c in df.columns if c not in self.partition_by], *self.partition_by)
+
     # -- writes
     def full_refresh(self, df: DataFrame) -> int:
         return self._publish(df, "full")
 
+    def _dedupe(self, batch: DataFrame, target: DataFrame, on_duplicates: str) -> DataFrame:
+        if on_duplicates == "latest":
+            # Newest row per key as a max over (ts, row): a hash aggregation with a
+            # partial step, so a key repeated across a third of the batch is reduced
+            # map-side instead of landing in one task. Ties on ts resolve by the row.
+            rest = [c for c in batch.columns if c not in self.keys and c != self.ts_col]
+            best = F.max(F.struct(F.col(self.ts_col).alias("_ts"), *[F.col(c) for c in rest])).alias("_b")
+            return (batch.groupBy(*self.keys).agg(best)
+                    .select(*self.keys, F.col("_b._ts").alias(self.ts_col), *[F.col(f"_b.{c}") for c in rest])
+                    .select(*batch.columns))
+        if on_duplicates == "error":
+            # Only the batch is aggregated; the target is consulted only if a key repeats.
+            dups = batch.groupBy(*self.keys).count().where("count > 1").select(*self.keys)
+            if not dups.isEmpty() and not dups.join(target.select(*self.keys), self.keys, "left_semi").isEmpty():
+                raise DuplicateKeyError(f"batch repeats keys present in {self.path}")
+            return batch
+        raise ValueError(on_duplicates)
+
     def merge(self, batch: DataFrame, on_duplicates: str = "error", version: int | None = None) -> int:
         """Upsert ``batch`` on the unique key; new source columns are appended.
 
@@ -111,32 +185,59 @@ class IncrementalTable:
         ``"latest"`` (keep the newest row per key by ``ts_col``).
         """
         version = self.current_version() if version is None else version
+        entry = self._entry(version)
         target = self.read(version)
+        # Stage the batch: computed once, lineage cut, real size known to the planner.
         staged = f"{self.path}/_batches/b{version + 1:06d}-{uuid.uuid4().hex[:8]}"
         batch.write.mode("overwrite").parquet(staged)
-        batch = self.spark.read.parquet(staged)
-        if on_duplicates == "latest":
-            # Newest row per key as a max over (ts, row): a hash aggregation with a
-            # partial step, so a key repeated across a third of the batch is reduced
-            # map-side instead of landing in one task. Ties on ts resolve by the row.
-            rest = [c for c in batch.columns if c not in self.keys and c != self.ts_col]
-            best = F.max(F.struct(F.col(self.ts_col).alias("_ts"), *[F.col(c) for c in rest])).alias("_b")
-            batch = (batch.groupBy(*self.keys).agg(best)
-                     .select(*self.keys, F.col("_b._ts").alias(self.ts_col), *[F.col(f"_b.{c}") for c in rest])
-                     .select(*batch.columns))
-        elif on_duplicates == "error":
-            # Only the batch is aggregated; the target is consulted only if a key repeats.
-            dups = batch.groupBy(*self.keys).count().where("count > 1").select(*self.keys)
-            if not dups.isEmpty() and not dups.join(target.select(*self.keys), self.keys, "left_semi").isEmpty():
-                raise DuplicateKeyError(f"batch repeats keys present in {self.path}")
-        else:
-            raise ValueError(on_duplicates)
-        kept = target.join(batch.select(*self.keys), self.keys, "left_anti")
-        merged = kept.unionByName(batch, allowMissingColumns=True)
+        batch = self._dedupe(self.spark.read.parquet(staged), target, on_duplicates)
         # append_new_columns: the target's columns first, new ones after.
         cols = target.columns + [c for c in batch.columns if c not in target.columns]
+        if self.partition_by:
+            touched = self._touched_partitions(batch, target)
+            if touched is not None:
+                return self._merge_partitions(batch, target, cols, touched, entry, version, staged)
+        kept = target.join(batch.select(*self.keys), self.keys, "left_anti")
+        merged = kept.unionByName(batch, allowMissingColumns=True)
         return self._publish(merged.select(*cols), "merge", version)
 
+    def _touched_partitions(self, batch: DataFrame, target: DataFrame) -> list | None:
+        """Partition values the merge must rewrite: those the batch writes to. None (rewrite
+        the whole table) when there are too many to list or a key changed partition."""
+        pc = self.partition_by
+        parts = batch.select(*pc).distinct()
+        if not self.keys_keep_partition:
+            # Only the key and partition columns of the target are scanned. A key whose
+            # older row sits in a partition the batch does not write to has moved; its
+            # old partition could empty out, which an in-place swap cannot express.
+            older = target.select(*self.keys, *pc).join(batch.select(*self.keys), self.keys, "left_semi")
+            if not older.select(*pc).subtract(parts).isEmpty():
+                return None
+        rows = parts.limit(MAX_TOUCHED_PARTITIONS + 1).collect()
+        return None if len(rows) > MAX_TOUCHED_PARTITIONS else rows
+
+    def _merge_partitions(self, batch, target, cols, touched, entry, version, staged) -> int:
+        pc = self.partition_by
+        if not touched:
+            return self._log(version + 1, "merge", entry.location, entry.table_schema,
+                             self.watermark(version), 0)
+
+        def one(r):
+            return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(r[c]) for c in pc])
+        in_touched = reduce(lambda a, b: a | b, [one(r) for r in touched]) if len(pc) > 1 else \
+            F.col(pc[0]).isin([r[pc[0]] for r in touched]) | (
+                F.col(pc[0]).isNull() if any(r[pc[0]] is None for r in touched) else F.lit(False))
+        # Partition filter: only the touched folders of the target are read.
+        kept = target.where(in_touched).join(batch.select(*self.keys), self.keys, "left_anti")
+        merged = self._ordered(kept.unionByName(batch, allowMissingColumns=True).select(*cols))
+        # Stage the rewritten partitions (the table folder is being read), then swap them in.
+        rewritten = f"{staged}-merged"
+        wm = self._write(merged, rewritten)
+        self._write(self.spark.read.schema(merged.schema).parquet(rewritten), entry.location, dynamic=True)
+        prev = self.watermark(version)
+        wm = max([w for w in (prev, wm) if w is not None], default=None)
+        return self._log(version + 1, "merge", entry.location, merged.schema.json(), wm, len(touched))
+
     def run(self, source: DataFrame, source_ts_col: str | None = None,
             lookback: dt.timedelta | None = None, on_duplicates: str = "error") -> int:
         """One model run: full build the first time, else filter by watermark and merge."""
