@@ -64,8 +64,30 @@ REVIEW_PHRASES = [
 ]
 
 
+# Text tables and their keys: per-row work on them (keyword tests over long texts)
+# is heavy enough to be worth spreading a single-split scan over all cores.
+TEXT_TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id"}
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = TEXT_TABLE_KEYS.get(name)
+    return spread(df, key) if key else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` on ``keys`` when its scan yields fewer splits than there are cores.
+
+    A large table stored as one file with one row group is read by a single task,
+    and every per-row step fused into that scan (parsing, keyword tests) would run
+    on one core. Spreading it costs one shuffle of the scanned columns; partitioning
+    on the table key lets a later aggregation or join on that key reuse it. A
+    cluster scan of many files already has enough splits, and nothing is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
 
 
 def pick(index: Column, values: list) -> Column:
