@@ -26,3 +26,23 @@ def test_daily_run_gate_and_idempotent_rerun(spark, tmp_dir):
     # facts keep one row per key after the rerun
     fct = spark.read.parquet(f"{out}/fct_orders/v000002")
     assert fct.count() == fct.select("order_id").distinct().count() == raw.orders.count()
+
+
+def test_daily_runs_merge_partitioned_facts(spark, tmp_dir):
+    from tiffin.operators.incremental import IncrementalTable
+    from tiffin.sources.raw import RawTables
+    lazy = raw_from_driver(spark, SF)
+    raw = RawTables(**{n: lazy.get(n) for n in lazy.names()})
+    cutoff = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
+    day1 = RawTables(**{n: raw.get(n) for n in raw.names()})
+    day1.orders = raw.orders.where(F.col("order_timestamp") < cutoff)
+    out = f"{tmp_dir}/whp"
+    run_daily(spark, day1, out, tests_severity="warn", partition_facts_by=["city"])
+    run_daily(spark, raw, out, tests_severity="warn", partition_facts_by=["city"])
+    fo = IncrementalTable(spark, f"{out}/fct_orders", "order_id", "order_timestamp", partition_by=["city"])
+    fct = fo.read()
+    assert fct.count() == fct.select("order_id").distinct().count() == raw.orders.count()
+    assert fo._entry().mode == "merge" and fo._entry().partitions_rewritten > 0
+    fi = IncrementalTable(spark, f"{out}/fct_order_items", "order_item_id", "order_ts", partition_by=["city"]).read()
+    items = raw.order_items.join(raw.orders.select(F.col("order_id")), "order_id").count()
+    assert fi.count() == fi.select("order_item_id").distinct().count() == items
