@@ -25,8 +25,12 @@ def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: str | list[str], seed: int = 17) -> DataFrame:
+    """The n rows with the smallest ``md5('<seed>:<key>')``, ties by key.
+
+    MD5 spreads keys uniformly and is the same function in SQL engines, so the
+    sample can be restated exactly in SQL and checked."""
     keys = [key] if isinstance(key, str) else key
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return first_n(df.withColumn("_h", h), n, [F.col("_h")] + [F.col(k) for k in keys]).drop("_h")
 
 

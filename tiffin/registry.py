@@ -530,7 +530,8 @@ def _embedding_cache(spark, sf_dir):
     return R.cached_vectors(spark, path, build)   # second call: served from the files
 
 
-@register("sample_rows")
+@register("sample_rows", O.with_ctes(
+    "SELECT * FROM stg_reviews ORDER BY md5('17:' || CAST(review_id AS VARCHAR)), review_id LIMIT 500"))
 def _sample_rows(spark, sf_dir):
     from .operators.sampling import sample_rows
     return sample_rows(_models(spark, sf_dir).stg_reviews, 500, key="review_id")
