@@ -649,15 +649,15 @@ _RAW_ORDERS_DEC = ["subtotal", "discount", "delivery_fee", "gst", "sales_amount"
 
 
 @register("ingest_tolerant", O.with_ctes(
-    f"SELECT {O.as_double(_RAW_ORDERS_DEC)} FROM raw_orders WHERE order_id % 97 <> 0"))
+    f"SELECT {O.as_double(_RAW_ORDERS_DEC)} FROM raw_orders WHERE sales_amount IS NOT NULL"))
 def _ingest_tolerant(spark, sf_dir):
     from .sources.files import copy_into, write_landing
     from .sources.raw import RAW_SCHEMAS
     from .session import scratch_path
     raw = _models(spark, sf_dir).raw.orders
-    # Landing files with unparsable amounts on some rows.
-    bad = raw.withColumn("sales_amount", F.when(F.col("order_id") % 97 == 0, F.lit("n/a"))
-                         .otherwise(F.col("sales_amount").cast("string")))
+    # The landing files spell a missing amount as "n/a", which does not parse: the
+    # tolerant load skips those rows and keeps the rest.
+    bad = raw.withColumn("sales_amount", F.coalesce(F.col("sales_amount").cast("string"), F.lit("n/a")))
     landing, table = scratch_path(spark, "landing-orders"), scratch_path(spark, "raw-orders")
     write_landing(bad, landing)
     copy_into(spark, landing, RAW_SCHEMAS["orders"], table, tolerant=True)
