@@ -23,6 +23,10 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    # The keyword rules compile to very large generated methods; the JVM does not
+    # JIT-compile methods over 8000 bytes of bytecode, so such a stage would run
+    # interpreted. Above this size Spark generates code per operator instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
