@@ -85,3 +85,20 @@ def test_vector_cache_versions(spark, tmp_dir):
     b = R.cached_vectors(spark, f"{tmp_dir}/vec", build, version="m1")
     c = R.cached_vectors(spark, f"{tmp_dir}/vec", build, version="m2")
     assert len(calls) == 2 and a.count() == b.count() == c.count() == 1
+
+
+def test_more_queries_than_one_pass_holds(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_QUERIES", 4)
+    rng = np.random.default_rng(5)
+    n, d = 400, 8
+    vecs = rng.normal(size=(n, d))
+    ids = list(range(n))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vecs)], "id long, v array<double>")
+    queries = [(q, [float(x) for x in rng.normal(size=d)]) for q in range(1, 12)]   # 11 queries, batches of <= 4
+    qdf = spark.createDataFrame(queries, "qid int, qv array<double>")
+    assert all(len(b) <= 4 for b in R.query_batches(qdf, "qid", "qv"))
+    got = R.cosine_topk_all(df, "id", "v", qdf, "qid", "qv", k=3, digits=6).collect()
+    by_q = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by_q.setdefault(r.query_id, []).append(r.id)
+    assert by_q == brute_topk(ids, vecs, queries, 3, digits=6)

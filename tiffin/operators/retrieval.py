@@ -248,14 +248,64 @@ def question_vectors(questions: DataFrame, id_col: str = "question_id",
     """Embed a small question table on Spark and bring the (bounded) vectors back."""
     rows = questions.select(id_col, keyword_vector(text_col).alias("v")).limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} questions; split them into batches")
+        raise ValueError(f"more than {MAX_QUERIES} questions; use cosine_topk_all")
     return [(r[0], list(r[1])) for r in rows]
 
 
+def query_batches(queries: DataFrame, id_col: str, vec_col: str) -> Iterator[list[tuple]]:
+    """Query vectors in batches of at most ``MAX_QUERIES``, one batch on the driver at a time.
+
+    Queries are bucketed by a hash of their id; the bucket count is doubled until
+    no bucket exceeds the bound, so every query lands in exactly one batch.
+    """
+    from ..session import scratch_path
+    q = queries.select(id_col, vec_col)
+    rows = q.limit(MAX_QUERIES + 1).collect()
+    if len(rows) <= MAX_QUERIES:
+        yield [(r[0], list(r[1])) for r in rows]
+        return
+    # Computed once (e.g. centroids), then each batch reads only its bucket.
+    staged = scratch_path(q.sparkSession, "query-vectors")
+    q.write.parquet(staged)
+    q = q.sparkSession.read.parquet(staged)
+    buckets = -(-2 * q.count() // MAX_QUERIES)
+    while True:
+        b = F.pmod(F.xxhash64(id_col), F.lit(buckets))
+        sizes = q.groupBy(b.alias("_b")).count()       # at most ``buckets`` rows
+        if sizes.where(F.col("count") > MAX_QUERIES).isEmpty():
+            break
+        buckets *= 2
+    for (i,) in sizes.select("_b").orderBy("_b").collect():
+        yield [(r[0], list(r[1])) for r in q.where(b == i).collect()]
+
+
+def cosine_topk_all(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str,
+                    query_vec: str, k: int = TOP_K, keep: list[str] | None = None,
+                    digits: int | None = None) -> DataFrame:
+    """``cosine_topk`` for a query table of any size, exactly.
+
+    Up to ``MAX_QUERIES`` queries run as one pass. A larger set is scored batch by
+    batch, one pass over the corpus each; every batch's top rows are written to the
+    shared checkpoint folder, so neither the driver nor a plan holds more than
+    one batch of vectors.
+    """
+    from ..session import scratch_path
+    batches = query_batches(queries, query_id, query_vec)
+    first = next(batches)
+    second = next(batches, None)
+    if second is None:
+        return cosine_topk(corpus, id_col, vec_col, first, k, keep, digits)
+    out = scratch_path(corpus.sparkSession, "topk-batches")
+    for batch in (first, second, *batches):
+        cosine_topk(corpus, id_col, vec_col, batch, k, keep, digits).write.mode("append").parquet(out)
+    return corpus.sparkSession.read.parquet(out)
+
+
 def retrieve(corpus: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     """A8 + A9: top-k reviews per question (query_id, review columns, score, rank)."""
-    qv = question_vectors(questions)
-    return cosine_topk(corpus, "review_id", "embedding", qv, k, keep=["city", "rating", "comment"])
+    qv = questions.select("question_id", keyword_vector("question").alias("v"))
+    return cosine_topk_all(corpus, "review_id", "embedding", qv, "question_id", "v", k,
+                           keep=["city", "rating", "comment"])
 
 
 # ------------------------------------------------------------------ answers
@@ -309,25 +359,21 @@ def questions_frame(spark: SparkSession, questions: list[str] = EXAMPLE_QUESTION
     return spark.createDataFrame([(i + 1, q) for i, q in enumerate(questions)], "question_id int, question string")
 
 
-def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> list[tuple]:
-    """Per-label mean vector, computed on Spark; only (#labels x width) numbers come back.
+def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
+    """Per-label mean vector (label, v), computed on Spark.
 
     One hash aggregation with an ``avg`` per position (partial sums before the
     shuffle); no row is exploded into one row per element.
     """
     width = vectors.select(F.max(F.size(vec_col))).first()[0] or 0
     v = F.col(vec_col)
-    cents = vectors.groupBy(label_col).agg(
+    return vectors.groupBy(label_col).agg(
         F.array(*[F.avg(v[i].cast("double")) for i in range(width)]).alias("v"))
-    rows = cents.limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} labels")
-    return [(r[0], list(r[1])) for r in rows]
 
 
 def nearest_to_centroids(vectors: DataFrame, k: int = TOP_K, id_col: str = "vec_id", label_col: str = "label",
                          vec_col: str = "embedding", digits: int = 6) -> DataFrame:
     """Top-k vectors by cosine similarity to each label's centroid (scores rounded)."""
     cents = label_centroids(vectors, label_col, vec_col)
-    top = cosine_topk(vectors, id_col, vec_col, cents, k, keep=[label_col], digits=digits)
+    top = cosine_topk_all(vectors, id_col, vec_col, cents, label_col, "v", k, keep=[label_col], digits=digits)
     return top.select("query_id", "rank", id_col, label_col, "score")
