@@ -102,3 +102,12 @@ def test_more_queries_than_one_pass_holds(spark, monkeypatch):
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by_q.setdefault(r.query_id, []).append(r.id)
     assert by_q == brute_topk(ids, vecs, queries, 3, digits=6)
+
+
+def test_score_against_all_batches(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_QUERIES", 2)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id long, v array<double>")
+    qdf = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(5)], "qid int, qv array<double>")
+    got = {(r.id, r.query_id): r.score for r in R.score_against_all(df, "v", qdf, "qid", "qv", 6).collect()}
+    assert len(got) == 15
+    assert got[(2, 3)] == 0.0 and got[(1, 0)] == 1.0 and got[(3, 1)] == 1.0

@@ -301,6 +301,22 @@ def cosine_topk_all(corpus: DataFrame, id_col: str, vec_col: str, queries: DataF
     return corpus.sparkSession.read.parquet(out)
 
 
+def score_against_all(corpus: DataFrame, vec_col: str, queries: DataFrame, query_id: str, query_vec: str,
+                      score_digits: int | None = None) -> DataFrame:
+    """``score_against`` for a query table of any size: one pass per batch of queries,
+    each batch's scores written to the shared checkpoint folder."""
+    from ..session import scratch_path
+    batches = query_batches(queries, query_id, query_vec)
+    first = next(batches)
+    second = next(batches, None)
+    if second is None:
+        return score_against(corpus, vec_col, first, score_digits)
+    out = scratch_path(corpus.sparkSession, "score-batches")
+    for batch in (first, second, *batches):
+        score_against(corpus, vec_col, batch, score_digits).write.mode("append").parquet(out)
+    return corpus.sparkSession.read.parquet(out)
+
+
 def retrieve(corpus: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
     """A8 + A9: top-k reviews per question (query_id, review columns, score, rank)."""
     qv = questions.select("question_id", keyword_vector("question").alias("v"))

@@ -475,8 +475,8 @@ def _embed_pluggable(spark, sf_dir):
 def _cosine_similarity(spark, sf_dir):
     from .operators import retrieval as R
     corpus = R.review_vectors(_models(spark, sf_dir).stg_reviews)
-    qv = R.question_vectors(R.questions_frame(spark))
-    return R.score_against(corpus, "embedding", qv).select("query_id", "review_id", "score")
+    qv = R.questions_frame(spark).select("question_id", R.keyword_vector("question").alias("v"))
+    return R.score_against_all(corpus, "embedding", qv, "question_id", "v").select("query_id", "review_id", "score")
 
 
 @register("retrieval_topk", O.with_retrieval("SELECT query_id, rank, review_id, city, rating, comment, score FROM top"))
