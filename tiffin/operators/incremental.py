@@ -91,7 +91,13 @@ class IncrementalTable:
                    "watermark string, partitions_rewritten long")
 
     def _entry(self, version: int | None = None):
-        """The log entry of ``version`` (default: the latest); None if the table has none."""
+        """The log entry of ``version`` (default: the latest); None if the table has none.
+
+        Entries never change once written, so entries of a given version are kept;
+        only the question "which version is the latest" goes back to the log."""
+        cache = self.__dict__.setdefault("_entries", {})
+        if version is not None and version in cache:
+            return cache[version]
         # A declared schema: reading the log is one small scan, no inference job.
         try:
             log = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path())
@@ -99,7 +105,10 @@ class IncrementalTable:
             return None
         if version is not None:
             log = log.where(F.col("version") == version)
-        return log.orderBy(F.col("version").desc()).first()
+        e = log.orderBy(F.col("version").desc()).first()
+        if e is not None:
+            cache[int(e.version)] = e
+        return e
 
     def current_version(self) -> int | None:
         e = self._entry()
