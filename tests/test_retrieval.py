@@ -111,3 +111,10 @@ def test_score_against_all_batches(spark, monkeypatch):
     got = {(r.id, r.query_id): r.score for r in R.score_against_all(df, "v", qdf, "qid", "qv", 6).collect()}
     assert len(got) == 15
     assert got[(2, 3)] == 0.0 and got[(1, 0)] == 1.0 and got[(3, 1)] == 1.0
+
+
+def test_label_centroids_ragged_vectors(spark):
+    df = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [3.0, 4.0, 6.0]), (3, 1, [5.0, 5.0])],
+                               "vec_id long, label int, embedding array<double>").coalesce(1)
+    got = {r.label: list(r.v) for r in R.label_centroids(df).collect()}
+    assert got == {0: [2.0, 3.0, 6.0], 1: [5.0, 5.0, None]}

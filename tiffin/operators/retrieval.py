@@ -376,15 +376,30 @@ def questions_frame(spark: SparkSession, questions: list[str] = EXAMPLE_QUESTION
 
 
 def label_centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
-    """Per-label mean vector (label, v), computed on Spark.
+    """Per-label mean vector (label, v), computed on Spark and staged in the shared folder.
 
     One hash aggregation with an ``avg`` per position (partial sums before the
-    shuffle); no row is exploded into one row per element.
+    shuffle); no row is exploded into one row per element. The width is taken
+    from one row and checked by the same aggregation (largest size per label);
+    only ragged vectors cost a second pass.
     """
-    width = vectors.select(F.max(F.size(vec_col))).first()[0] or 0
+    from ..session import scratch_path
     v = F.col(vec_col)
-    return vectors.groupBy(label_col).agg(
-        F.array(*[F.avg(v[i].cast("double")) for i in range(width)]).alias("v"))
+    first = vectors.select(F.size(v)).limit(1).first()
+    width = max(first[0], 0) if first else 0
+
+    def centroids(w: int) -> DataFrame:
+        out = scratch_path(vectors.sparkSession, "centroids")
+        vectors.groupBy(label_col).agg(
+            F.array(*[F.avg(F.try_element_at(v, F.lit(i + 1)).cast("double")) for i in range(w)]).alias("v"),
+            F.max(F.size(v)).alias("_w")).write.parquet(out)
+        return vectors.sparkSession.read.parquet(out)
+
+    cents = centroids(width)
+    widest = cents.agg(F.max("_w")).first()[0]   # one row per label
+    if widest is not None and widest > width:
+        cents = centroids(widest)
+    return cents.drop("_w")
 
 
 def nearest_to_centroids(vectors: DataFrame, k: int = TOP_K, id_col: str = "vec_id", label_col: str = "label",
