@@ -56,3 +56,15 @@ def test_streaming_upsert_merges_each_new_file(spark, tmp_dir):
     assert sorted((r.id, r.status) for r in table.read().collect()) == [(1, "Placed"), (2, "Delivered"),
                                                                       (3, "Placed")]
     assert table.current_version() == 2
+
+
+def test_copy_into_with_rejects_parses_once(spark, tmp_dir):
+    land = f"{tmp_dir}/land2"
+    _write(land, "a.csv", "id,amount,name\n1,10.50,x\n2,abc,y\n3,7,\"a, b\"\nz,1.00,q\n")
+    table, rejects = f"{tmp_dir}/table2", f"{tmp_dir}/rejects2"
+    copy_into(spark, land, SCHEMA, table, tolerant=True, rejects_path=rejects)
+    good = sorted(tuple(r) for r in spark.read.parquet(table).collect())
+    assert [r[0] for r in good] == [1, 3] and good[1][2] == "a, b"
+    bad = sorted(r.raw_line for r in spark.read.parquet(f"{rejects}/rows").collect())
+    assert len(bad) == 2 and "abc" in bad[0] and bad[1].startswith("z,")
+    assert spark.read.parquet(table).columns == ["id", "amount", "name"]

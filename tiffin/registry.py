@@ -660,7 +660,8 @@ def _ingest_tolerant(spark, sf_dir):
     bad = raw.withColumn("sales_amount", F.coalesce(F.col("sales_amount").cast("string"), F.lit("n/a")))
     landing, table = scratch_path(spark, "landing-orders"), scratch_path(spark, "raw-orders")
     write_landing(bad, landing)
-    copy_into(spark, landing, RAW_SCHEMAS["orders"], table, tolerant=True)
+    copy_into(spark, landing, RAW_SCHEMAS["orders"], table, tolerant=True,
+              rejects_path=scratch_path(spark, "rejects-orders"))
     return comparable(spark.read.parquet(table))
 
 

@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,11 +64,29 @@ def write_landing(df: DataFrame, path: str, fmt: str = "csv", mode: str = "appen
 
 
 def copy_into(spark: SparkSession, landing: str, schema: T.StructType, table_path: str, tolerant: bool = True,
-              fmt: str = "csv", options: dict | None = None, mode: str = "append") -> None:
+              fmt: str = "csv", options: dict | None = None, mode: str = "append",
+              rejects_path: str | None = None) -> None:
     """Load landing files into a Parquet RAW table.
 
     Every column is written, so every field of every row is parsed: a row with one
     bad field is dropped (tolerant) or fails the load (strict), as in a COPY.
+
+    With ``rejects_path`` (tolerant loads) the files are parsed once: every row,
+    with its corrupt-record text, is staged as Parquet next to the rejects, then
+    split into the table (rows that parsed) and the rejects (raw line and file).
     """
-    load = load_tolerant if tolerant else load_strict
-    load(spark, landing, schema, fmt, options).write.mode(mode).parquet(table_path)
+    if rejects_path is None or not tolerant:
+        load = load_tolerant if tolerant else load_strict
+        load(spark, landing, schema, fmt, options).write.mode(mode).parquet(table_path)
+        return
+    with_corrupt = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
+    parsed = (_reader(spark, with_corrupt, fmt, options).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record").load(landing)
+              .withColumn("_file", F.input_file_name()))
+    staged = f"{rejects_path.rstrip('/')}/_staged-{uuid.uuid4().hex[:12]}"
+    parsed.write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    bad = F.col("_corrupt_record").isNotNull()
+    rows.where(~bad).select(*schema.fieldNames()).write.mode(mode).parquet(table_path)
+    rows.where(bad).select(F.col("_corrupt_record").alias("raw_line"), F.col("_file").alias("file"),
+                           *schema.fieldNames()).write.mode(mode).parquet(f"{rejects_path.rstrip('/')}/rows")
