@@ -38,7 +38,7 @@ def test_daily_runs_merge_partitioned_facts(spark, tmp_dir):
     day1.orders = raw.orders.where(F.col("order_timestamp") < cutoff)
     out = f"{tmp_dir}/whp"
     run_daily(spark, day1, out, tests_severity="warn", partition_facts_by=["city"])
-    run_daily(spark, raw, out, tests_severity="warn", partition_facts_by=["city"])
+    run_daily(spark, raw, out, tests_severity="warn", partition_facts_by=["city"], keys_keep_partition=True)
     fo = IncrementalTable(spark, f"{out}/fct_orders", "order_id", "order_timestamp", partition_by=["city"])
     fct = fo.read()
     assert fct.count() == fct.select("order_id").distinct().count() == raw.orders.count()

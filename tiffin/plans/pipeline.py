@@ -71,19 +71,25 @@ def order_items_source(spark: SparkSession, m: Models, items: IncrementalTable,
 
 
 def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity: str = "error",
-              enrich_batch: int | None = None, partition_facts_by: list[str] | None = None) -> RunResult:
+              enrich_batch: int | None = None, partition_facts_by: list[str] | None = None,
+              keys_keep_partition: bool = False) -> RunResult:
     """One daily run. ``partition_facts_by`` (e.g. ``["order_date"]`` on a large warehouse)
-    writes fact versions in folders per value; each task writes its own files, so a
-    hot day never funnels into one task. Leave it unset for small data."""
+    writes facts in folders per value, and a merge rewrites only the partitions its
+    batch touches; each task writes its own files, so a hot day never funnels into
+    one task. Leave it unset for small data. ``keys_keep_partition``: an order never
+    changes its partition value (its date), so merges skip the scan of the facts'
+    key column that looks for older rows elsewhere."""
     out = out_root.rstrip("/")
     run_id = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:6]
     m = Models(spark, raw)
     tables: dict[str, str] = {}
 
     # Facts: first run builds, later runs merge rows past the high watermark.
-    fo = IncrementalTable(spark, f"{out}/fct_orders", "order_id", "order_timestamp", partition_by=partition_facts_by)
+    fo = IncrementalTable(spark, f"{out}/fct_orders", "order_id", "order_timestamp", partition_by=partition_facts_by,
+                          keys_keep_partition=keys_keep_partition)
     fo.run(m.fct_orders)
-    fi = IncrementalTable(spark, f"{out}/fct_order_items", "order_item_id", "order_ts", partition_by=partition_facts_by)
+    fi = IncrementalTable(spark, f"{out}/fct_order_items", "order_item_id", "order_ts", partition_by=partition_facts_by,
+                          keys_keep_partition=keys_keep_partition)
     fi.run(order_items_source(spark, m, fi, f"{out}/_staging/orders-{run_id}"))
     m.pin("fct_orders", fo.read())
     m.pin("fct_order_items", fi.read())
