@@ -152,3 +152,13 @@ def test_partitioned_merge_schema_evolution(spark, tmp_dir):
     out = t.read()
     assert out.columns == ["order_id", "ts", "v", "extra", "d"]
     assert sorted((r.order_id, r.extra) for r in out.collect()) == [(1, None), (2, None), (3, 7)]
+
+
+def test_relationship_count_matches_rows_with_a_hot_orphan_key(spark):
+    from tiffin.operators.quality import relationship_failure_count, relationship_failures
+    child = spark.createDataFrame([(i, 7 if i % 3 == 0 else i % 5) for i in range(300)] + [(999, None)],
+                                  "order_id long, customer_id long")      # key 7: a third of the rows, no parent
+    parent = spark.createDataFrame([(1,), (2,), (3,)], "customer_id long")
+    rows = relationship_failures(child, "customer_id", parent, "customer_id").count()
+    assert relationship_failure_count(child, "customer_id", parent, "customer_id").first().failures == rows
+    assert rows == sum(1 for i in range(300) if i % 3 == 0 or i % 5 in (0, 4))

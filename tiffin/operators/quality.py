@@ -31,6 +31,17 @@ def relationship_failures(child: DataFrame, column: str, parent: DataFrame, fiel
     return c.join(keys, c["_child_key"] == keys["_parent_key"], "left_anti").withColumnRenamed("_child_key", column)
 
 
+def relationship_failure_count(child: DataFrame, column: str, parent: DataFrame, field: str) -> DataFrame:
+    """Q3 as a count of failing rows, pre-aggregated: child rows are counted per key
+    (partial aggregation before the shuffle), so the anti join sees one row per
+    distinct key, and a key holding a third of all rows costs one row."""
+    keys = parent.select(F.col(field).alias("_parent_key")).where(F.col("_parent_key").isNotNull())
+    per_key = (child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_child_key"))
+               .agg(F.count(F.lit(1)).alias("_n")))
+    orphans = per_key.join(keys, per_key["_child_key"] == keys["_parent_key"], "left_anti")
+    return orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("failures"))
+
+
 def accepted_values_failures(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """Q4: values outside the accepted list (NULL passes), one row per value."""
     return (df.where(F.col(column).isNotNull() & ~F.col(column).isin(values))
@@ -84,8 +95,9 @@ def dq_report(models, tests: list[Test] = PROJECT_TESTS) -> DataFrame:
     """Q5: one row per test with its number of failing rows.
 
     Tests that only need a scan (not_null, accepted_values) share one aggregation
-    pass per model; unique tests group by their column and relationship tests
-    anti-join the parent, each with partial aggregation before any shuffle.
+    pass per model; unique tests group by their column, and relationship tests count
+    child rows per key before anti-joining the parent, each with partial
+    aggregation before any shuffle.
     """
     parts: list[DataFrame] = []
     by_model: dict[str, list[Test]] = {}
@@ -104,9 +116,13 @@ def dq_report(models, tests: list[Test] = PROJECT_TESTS) -> DataFrame:
         stack = ", ".join(f"'{t.name}', `{t.name}`" for t in ts)
         parts.append(counts.selectExpr(f"stack({len(ts)}, {stack}) AS (test_name, failures)"))
     for t in tests:
-        if t.kind in ("unique", "relationships"):
+        if t.kind == "unique":
             parts.append(failures(t, models).agg(F.count(F.lit(1)).alias("failures"))
                          .select(F.lit(t.name).alias("test_name"), "failures"))
+        elif t.kind == "relationships":
+            parent, field = t.args
+            parts.append(relationship_failure_count(models.table(t.model), t.column, models.table(parent), field)
+                         .select(F.lit(t.name).alias("test_name"), "failures"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
