@@ -162,3 +162,15 @@ def test_relationship_count_matches_rows_with_a_hot_orphan_key(spark):
     rows = relationship_failures(child, "customer_id", parent, "customer_id").count()
     assert relationship_failure_count(child, "customer_id", parent, "customer_id").first().failures == rows
     assert rows == sum(1 for i in range(300) if i % 3 == 0 or i % 5 in (0, 4))
+
+
+def test_partitioned_merge_on_two_partition_columns(spark, tmp_dir):
+    schema = "order_id long, ts timestamp_ntz, v string, d date, c string"
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    t = IncrementalTable(spark, f"{tmp_dir}/p2", "order_id", "ts", partition_by=["d", "c"])
+    t.run(spark.createDataFrame([(1, _t(1), "a", d1, "x"), (2, _t(2), "b", d1, "y"), (3, _t(3), "c", d2, "x")],
+                                schema))
+    t.run(spark.createDataFrame([(2, _t(5), "B", d1, "y"), (4, _t(6), "d", d2, "x")], schema))
+    assert t._entry().partitions_rewritten == 2
+    out = sorted((r.order_id, r.v) for r in t.read().collect())
+    assert out == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]

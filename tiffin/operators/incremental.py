@@ -19,8 +19,6 @@ import datetime as dt
 import json
 import uuid
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,11 +229,12 @@ class IncrementalTable:
             return self._log(version + 1, "merge", entry.location, entry.table_schema,
                              self.watermark(version), 0)
 
-        def one(r):
-            return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(r[c]) for c in pc])
-        in_touched = reduce(lambda a, b: a | b, [one(r) for r in touched]) if len(pc) > 1 else \
-            F.col(pc[0]).isin([r[pc[0]] for r in touched]) | (
+        if len(pc) == 1:
+            in_touched = F.col(pc[0]).isin([r[pc[0]] for r in touched]) | (
                 F.col(pc[0]).isNull() if any(r[pc[0]] is None for r in touched) else F.lit(False))
+        else:
+            # One flat IN over partition-value structs (folded to a hash set), not a deep OR chain.
+            in_touched = F.struct(*pc).isin([F.struct(*[F.lit(r[c]).alias(c) for c in pc]) for r in touched])
         # Partition filter: only the touched folders of the target are read.
         kept = target.where(in_touched).join(batch.select(*self.keys), self.keys, "left_anti")
         merged = self._ordered(kept.unionByName(batch, allowMissingColumns=True).select(*cols))
