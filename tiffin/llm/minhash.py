@@ -181,17 +181,24 @@ def _matrix(col, dtype) -> np.ndarray:
 
 
 def _components_near(percent):
-    """One block of a bucket: (asking member, component) for every component with a promising row in the block."""
+    """One block of a bucket: (asking member, component) for every component with a promising row in the block.
+
+    A pair is looked at in the first band that its two members share, and once:
+    of two members that both ask, the one of the larger component does.
+    """
     def run(pdf):
         import pandas as pd
         here, ask = pdf[~pdf["asks"]], pdf[pdf["asks"]]
         out = []
         if len(here):
             regs, n, comp = _matrix(here["regs"], np.uint16), here["n"].to_numpy(), here["comp"].to_numpy()
-            for rid, c, r, k in zip(ask["id"], ask["comp"], ask["regs"], ask["n"]):
-                other = np.flatnonzero(comp != c)
-                hit = other[promising(np.frombuffer(r, np.uint16), k, regs[other], n[other], percent)] if len(other) else other
-                out += [(rid, c, x) for x in np.unique(comp[hit])]
+            keys, minor, band = np.stack(here["bands"].to_list()), here["minor"].to_numpy(), int(pdf["band"].iloc[0])
+            for rid, c, r, k, own in zip(ask["id"], ask["comp"], ask["regs"], ask["n"], ask["bands"]):
+                other = np.flatnonzero((comp != c) & (~minor | (comp < c)))
+                other = other[(keys[other] == own).argmax(axis=1) == band]
+                if len(other):
+                    hit = other[promising(np.frombuffer(r, np.uint16), k, regs[other], n[other], percent)]
+                    out += [(rid, c, x) for x in np.unique(comp[hit])]
         return pd.DataFrame(out, columns=["id", "own", "comp"]).astype("int64")
     return run
 
@@ -233,17 +240,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One representative per distinct set: copies never meet the comparisons below.
     classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("id")), "mh-classes")
     reps = stage(known.withColumnRenamed("doc_id", "id").join(classes, ["digest", "id"], "left_semi")
-                 .dropDuplicates(["digest"]).select("id", F.col("n_shingles").alias("n"), "regs", "bands"), "mh-reps")
+                 .dropDuplicates(["digest", "id"]).select("id", F.col("n_shingles").alias("n"), "regs", "bands"), "mh-reps")
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     leads = stage(rows.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1"), "mh-leads")
     member = stage(rows.join(leads, ["band", "key"]), "mh-members")   # only buckets that hold two sets or more
 
+    # Full sets of the bucket members: the only sets any exact check below can ask for.
+    sets = stage(_text_sets(docs, member.select("id").distinct()), "mh-sets")
+
     # 1. Members against the leader of their bucket.
     pairs = member.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     slim = reps.select("id", "n", "regs")
     side = lambda x: slim.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     likely = stage(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_estimate_pairs(percent), "a long, b long"), "mh-likely")
-    first = stage(_verified(docs, likely, percent), "mh-links")
+    first = stage(_verified(sets, likely, percent), "mh-links")
 
     # 2. Components of the confirmed links.
     comps = stage(connected_components(first).select(F.col("node").alias("id"), F.col("component").alias("comp")), "mh-comps")
@@ -254,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
     mixed = stage(per.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("comps"))
                   .where("comps > 1").select("band", "key", F.col("top.comp").alias("major"), "size", (F.col("size") - F.col("top.c")).alias("asking")), "mh-mixed")
-    found = _cross_links(docs, slim, stage(placed.join(mixed, ["band", "key"]), "mh-mixed-rows"), comps, percent)
+    found = _cross_links(sets, slim, reps.select("id", "bands"), stage(placed.join(mixed, ["band", "key"]), "mh-mixed-rows"), comps, percent)
     merged = connected_components(found).select(F.col("node").alias("comp"), F.col("component").alias("root"))
 
     comp_of = classes.join(comps, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp")) \
@@ -270,22 +280,20 @@ def _text_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage(_text_sets(docs, ids), "mh-sets")
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_check_pairs(percent), "a long, b long")
 
 
-def _cross_links(docs, slim, placed, comps, percent) -> DataFrame:
+def _cross_links(sets, slim, keys, placed, comps, percent) -> DataFrame:
     """(component, component) links between components that share a band bucket."""
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), blocks(n)).cast("int")
-    rows = placed.join(slim, "id")
+    rows = placed.join(slim.join(keys, "id"), "id").withColumn("minor", F.col("comp") != F.col("major"))
     here = rows.select("band", "key", spread("size", 1).alias("blk"), F.explode(F.sequence(F.lit(0), blocks("asking") - 1)).alias("chunk"),
-                       "id", "comp", "n", "regs", F.lit(False).alias("asks"))
-    ask = rows.where("comp != major").select("band", "key", F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("blk"),
-                                             spread("asking", 2).alias("chunk"), "id", "comp", "n", "regs", F.lit(True).alias("asks"))
+                       "id", "comp", "n", "regs", "bands", "minor", F.lit(False).alias("asks"))
+    ask = rows.where("minor").select("band", "key", F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("blk"),
+                                             spread("asking", 2).alias("chunk"), "id", "comp", "n", "regs", "bands", "minor", F.lit(True).alias("asks"))
     near = stage(here.unionAll(ask).groupBy("band", "key", "blk", "chunk")
                  .applyInPandas(_components_near(percent), "id long, own long, comp long").distinct(), "mh-near")
 
@@ -295,8 +303,8 @@ def _cross_links(docs, slim, placed, comps, percent) -> DataFrame:
         .join(asked, "comp")
     members = stage(members, "mh-asked")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
-    ids = members.select("id").unionAll(near.select("id")).distinct()
-    sets = stage(_text_sets(docs, ids).join(slim, "id"), "mh-asked-sets")
+    needed = members.select("id").unionAll(near.select("id")).distinct()
+    sets = stage(sets.join(needed, "id", "left_semi").join(slim, "id"), "mh-asked-sets")
     here = members.join(sizes, "comp").join(sets, "id").select(
         "comp", spread("size", 1).alias("blk"), F.explode(F.sequence(F.lit(0), blocks("asking") - 1)).alias("chunk"),
         F.col("comp").alias("own"), "n", "regs", "shingles", F.lit(False).alias("asks"))
