@@ -49,3 +49,43 @@ FROM documents d LEFT JOIN size s USING (doc_id) JOIN component c ON c.id = d.do
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.learnable(docs))
+    said = langid.identify(docs.select("doc_id", "text"), model)
+    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs)).drop("text") \
+        .select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
+@query("op1_robust_outliers")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+    return judge(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tiffin.session import scratch_path
+    from .tokenfile import read_tokens, write_tokens
+    path = scratch_path(spark, "token-table")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, path, with_ids=False)
+
+
+@query("op9_nbest_segmentation")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from .nbest import encode
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4, with_ids=False)
