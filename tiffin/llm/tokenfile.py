@@ -117,7 +117,7 @@ class Encoder:
     """
 
     PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
-    PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-zà-öø-ÿ0-9]+")
+    PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-zß-öø-ÿ0-9]+")
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
