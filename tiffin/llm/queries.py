@@ -89,3 +89,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from .nbest import encode
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4, with_ids=False)
+
+
+@query("op8_soft_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
