@@ -95,3 +95,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_metric_join", f"""
+WITH RECURSIVE unit AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM unit x JOIN unit y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.9
+), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a
+), nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}
+SELECT e.vec_id, coalesce(g.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN degree g ON g.a = e.vec_id JOIN component c ON c.id = e.vec_id""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .metricjoin import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
