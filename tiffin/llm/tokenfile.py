@@ -12,6 +12,7 @@ self-describing bytes: header, document ids, document lengths, control, data.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -27,8 +28,8 @@ MAGIC = b"FRV1"
 _HEAD = struct.Struct("<4sIQ")   # magic, documents, values
 #: A block is closed at this many values or documents; a longer document has a block of its own.
 BLOCK_VALUES, BLOCK_DOCS = 1 << 20, 4096
-#: Pre-tokens remembered by a worker before its memory is emptied.
-REMEMBERED = 400_000
+#: Pre-tokens in a worker's memory before it starts a new one (and keeps the old one to take over from).
+REMEMBERED = 200_000
 
 #: Lengths of the four values of a control byte.
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -81,12 +82,21 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # ------------------------------------------------------------------ encoding
 class PreTokenMemory(dict):
-    """Pre-token -> number; ids of a number are ``flat[offsets[number]:offsets[number + 1]]``."""
+    """Pre-token -> number; the ids of a number are ``flat[first[number]:first[number] + size[number]]``.
 
-    def __init__(self, tokenizer):
+    New pre-tokens are taken over from the memory before this one, if it has
+    them, or encoded many at a time, as one text with spaces between them; each
+    ends with the one id that carries the word-end mark.
+    """
+
+    AT_ONCE = 8192
+
+    def __init__(self, tokenizer, ends_word: np.ndarray, older: "PreTokenMemory | None" = None):
         super().__init__()
-        self.tokenizer, self.new = tokenizer, []
-        self.flat, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.tokenizer, self.ends_word, self.older, self.new = tokenizer, ends_word, older, []
+        self.flat, self.first, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        if older is not None:
+            older.older = None
 
     def __missing__(self, token: str) -> int:
         self.new.append(token)
@@ -94,15 +104,31 @@ class PreTokenMemory(dict):
         return number
 
     def learn(self) -> None:
-        if self.new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat] + [np.array(i, np.int32) for i in ids])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size)])
-            self.new = []
+        new, self.new = self.new, []
+        if not new:
+            return
+        size, ids = np.zeros(len(new), np.int64), []
+        old = np.array([self.older.get(t, -1) for t in new] if self.older is not None else [-1] * len(new), np.int64)
+        kept, unknown = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        if len(kept):
+            size[kept] = self.older.size[old[kept]]
+            ids.append(self.older.ids(old[kept]))
+        for lo in range(0, len(unknown), self.AT_ONCE):
+            part = unknown[lo:lo + self.AT_ONCE]
+            coded = np.array(self.tokenizer.encode(" ".join([new[i] for i in part]), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[coded]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end each pre-token with a word-end id")
+            size[part] = np.diff(ends, prepend=0)
+            ids.append(coded)
+        order = np.concatenate([kept, unknown])       # the order in which ids were gathered
+        first = np.empty(len(new), np.int64)
+        first[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
+        self.flat = np.concatenate([self.flat, *ids])
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
-        first, size = self.offsets[numbers], self.offsets[numbers + 1] - self.offsets[numbers]
+        first, size = self.first[numbers], self.size[numbers]
         end = np.cumsum(size)
         return self.flat[np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
@@ -116,24 +142,40 @@ class Encoder:
     Any other text, or one that spells a special token, goes to it whole.
     """
 
-    PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+    RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"    # as the tokenizer file states it
     PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-zß-öø-ÿ0-9]+")
+    PLAIN = bytes(range(0x80)) + bytes(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))   # ASCII and Latin letters
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.special = list(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.by_pre_token = '"Lowercase"' in tokenizer_json and "|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in tokenizer_json
-        self.memory = PreTokenMemory(self.tokenizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        rules = json.loads(tokenizer_json)
+        suffix = rules["model"].get("end_of_word_suffix")
+        stated = json.dumps(rules.get("pre_tokenizer"))
+        self.by_pre_token = bool(suffix) and json.dumps(self.RULE) in stated and '"Lowercase"' in json.dumps(rules.get("normalizer"))
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = bool(suffix) and token.endswith(suffix)
+        self.memory = PreTokenMemory(self.tokenizer, self.ends_word)
+
+    def _plain(self, text: str) -> bool:
+        if not text.isascii():
+            try:
+                if text.encode("latin-1").translate(None, self.PLAIN):
+                    return False
+            except UnicodeEncodeError:
+                return False
+        return not any(s in text for s in self.special)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.memory) > REMEMBERED:
-            self.memory = PreTokenMemory(self.tokenizer)
+            self.memory = PreTokenMemory(self.tokenizer, self.ends_word, self.memory)
         memory, found = self.memory, []
         for text in texts:
             if not text:
                 found.append(np.empty(0, np.int64))
-            elif self.by_pre_token and self.PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            elif self.by_pre_token and self._plain(text):
                 pre = self.PRE.findall(text.lower())
                 found.append(np.fromiter(map(memory.__getitem__, pre), np.int64, len(pre)))
             else:
