@@ -112,3 +112,9 @@ FROM embeddings e LEFT JOIN degree g ON g.a = e.vec_id JOIN component c ON c.id
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .metricjoin import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_url_words")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
