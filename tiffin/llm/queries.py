@@ -118,3 +118,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op2_style_tree")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .styletree import extract
+    return extract(table(spark, sf_dir, "pages"))
