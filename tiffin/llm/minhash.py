@@ -1,6 +1,6 @@
 """HyperMinHash near-duplicate detection: compressed registers, banding, corrected estimate, exact check.
 
-A document's set is its distinct 3-word shingles. Every distinct set is sketched
+A document's set is its distinct word shingles. Every distinct set is sketched
 once; sets that may be similar are found through bands of registers, thinned by
 the collision-corrected Jaccard estimate and confirmed on the full sets. Groups
 are found without listing their pairs:
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import connected_components, stage
 
 #: Sketch layout: 2**P buckets, R mantissa bits. Banding: BANDS bands of ROWS registers.
-#: At Jaccard 0.85 a pair misses every band with probability (1 - 0.85**4)**24, about 2e-8.
+#: A pair of Jaccard j misses every band with probability (1 - j**4)**24: 2e-8 at 0.85, 3e-6 at 0.8.
 P, R = 7, 10
 BUCKETS = 1 << P
 BANDS, ROWS = 24, 4
@@ -63,7 +63,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: bytes | None, width: int = 3) -> np.ndarray:
+def shingles(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a UTF-8 text; ``bytes.split`` cuts exactly at [\\x20\\x09-\\x0D]."""
     words = text.lower().split() if text else []   # bytes.lower changes A-Z only
     if not words:
@@ -133,29 +133,33 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 # ------------------------------------------------------------------ tasks
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        n, digest, regs, keys = [], [], [], []
-        for text in texts:
-            s = shingles(text)
-            n.append(len(s))
-            if len(s):
-                r = registers(s)
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                regs.append(r.tobytes())
-                keys.append(bands(r).tolist())
-            else:
-                digest.append(None), regs.append(None), keys.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "regs", "bands"])
-
-
-def _sets(batches):
-    for batch in batches:
-        sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+def _sketch(width):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            n, digest, regs, keys = [], [], [], []
+            for text in texts:
+                s = shingles(text, width)
+                n.append(len(s))
+                if len(s):
+                    r = registers(s)
+                    digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    regs.append(r.tobytes())
+                    keys.append(bands(r).tolist())
+                else:
+                    digest.append(None), regs.append(None), keys.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "regs", "bands"])
+    return run
+
+
+def _sets(width):
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+    return run
 
 
 def _estimate_pairs(percent):
@@ -224,17 +228,17 @@ def _first_links(percent):
 
 
 # ------------------------------------------------------------------ operator
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
-    Links: 100 * intersection >= percent * union of the 3-word shingle sets of the
-    whole texts (A-Z lower-cased). Null, empty and blank texts have an empty set
-    and link with nothing. Fewer than three words form one shingle. Rows without
+    Links: 100 * intersection >= percent * union of the shingle sets (``width`` words)
+    of the whole texts (A-Z lower-cased). Null, empty and blank texts have an empty
+    set and link with nothing. Fewer words than ``width`` form one shingle. Rows without
     an id link with nothing, get a null component and stay. Rows that repeat an id
     share its vertex. Ids are integers. Columns other than the two named are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    sketch = stage(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, regs binary, bands array<long>"), "mh-sketch")
+    sketch = stage(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, digest binary, regs binary, bands array<long>"), "mh-sketch")
     known = sketch.where("doc_id IS NOT NULL AND digest IS NOT NULL")
 
     # One representative per distinct set: copies never meet the comparisons below.
@@ -246,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = stage(rows.join(leads, ["band", "key"]), "mh-members")   # only buckets that hold two sets or more
 
     # Full sets of the bucket members: the only sets any exact check below can ask for.
-    sets = stage(_text_sets(docs, member.select("id").distinct()), "mh-sets")
+    sets = stage(_text_sets(docs, member.select("id").distinct(), width), "mh-sets")
 
     # 1. Members against the leader of their bucket.
     pairs = member.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
@@ -275,9 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _text_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _text_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the documents whose id is in ``ids``, one row per id."""
-    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles binary")
+    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, shingles binary")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

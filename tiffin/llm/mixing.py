@@ -73,14 +73,22 @@ class Classifier:
         heats = heats or self.heats or (1.0,) * len(self.weights)
         return [F.lit(math.log(self.prior[0]))] + [F.lit(math.log(p)) + F.col(f"s{k}") * F.lit(heats[k - 1] / UNIT) for k, p in enumerate(self.prior[1:], 1)]
 
-    def posteriors(self) -> dict[str, Column]:
-        """Per domain, in multiples of 1 / GRID; what rounding leaves goes to the first domain."""
+    def cell(self) -> dict[str, Column]:
+        """Posteriors of all domains but the first, in whole steps of 1 / GRID."""
         z = self.logits()
         top = F.greatest(*z)
         total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
-        cells = {d: F.floor(GRID * F.exp(x - top) / total).cast("int") for d, x in zip(DOMAINS[1:], z[1:])}
-        rest = sum(cells.values(), F.lit(0))
-        return {DOMAINS[0]: ((GRID - rest) / GRID).cast("double")} | {d: (c / GRID).cast("double") for d, c in cells.items()}
+        return {k: F.floor(GRID * F.exp(x - top) / total).cast("int") for k, x in zip(CELL, z[1:])}
+
+
+#: Columns that name a cell; there are at most (GRID + domains - 1 choose domains - 1) of them, 20,301 here.
+CELL = [f"k_{d}" for d in DOMAINS[1:]]
+
+
+def posteriors() -> dict[str, Column]:
+    """p_<domain> of a row that names its cell; what rounding leaves goes to the first domain."""
+    rest = F.lit(GRID) - sum((F.col(k) for k in CELL), F.lit(0))
+    return {f"p_{DOMAINS[0]}": (rest / GRID).cast("double")} | {f"p_{d}": (F.col(k) / GRID).cast("double") for d, k in zip(DOMAINS[1:], CELL)}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Classifier:
@@ -128,10 +136,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _domain_columns(model: Classifier) -> dict[str, Column]:
-    return {f"p_{d}": c for d, c in model.posteriors().items()}
-
-
 @dataclass
 class Rates:
     """Fitted rates as the history of gradient steps: any document's rate follows from its posterior alone."""
@@ -153,12 +157,9 @@ class Rates:
             return F.struct(F.least(F.greatest(y - self.step * slope, F.lit(0.0)), F.lit(MAX_RATE)).alias("r"), state["r"].alias("before"))
         return F.aggregate(steps, start, one)
 
-    def rate(self) -> Column:
-        return F.round(self.fold([F.col(f"p_{d}") for d in DOMAINS])["r"], 6)
-
 
 def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> Rates:
-    """Fit rates r >= 0 on ``cells`` (p_<domain>, tokens): least squares of expected domain tokens to their targets.
+    """Fit rates r >= 0 on ``cells`` (p_<domain>, tokens; staged): least squares of expected domain tokens to their targets.
 
     Minimises 1/2 |A(r) - t|^2 + PULL/2 * sum_i w_i (r_i - 1)^2, where w_i is the
     cell's share of all tokens, A(r)_d = sum_i w_i r_i p_id and t_d = budget *
@@ -166,7 +167,6 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, budget: flo
     to [0, MAX_RATE]. Each step is one distributed sum; its few numbers are the
     only thing the driver keeps.
     """
-    cells = stage(cells, "mix-cells")
     w = F.col("tokens") / F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 1))
     p = [F.col(f"p_{d}") for d in DOMAINS]
     goal = [budget * targets[d] / sum(targets.values()) for d in DOMAINS]
@@ -192,24 +192,37 @@ def copies(id_col: str = "doc_id") -> Column:
     return (F.floor(rate) + F.when(F.pmod(F.xxhash64(id_col, F.lit(8)), F.lit(1 << 20)) / (1 << 20) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (words of the whole text) and one posterior per domain. Null texts have no words: their posterior is the prior."""
-    found = docs.select(F.col(id_col).alias("doc_id"), model.evidence(text_col).alias("e")).select("doc_id", "e.*")
-    return found.select("doc_id", F.col("n").alias("n_tokens"), *[c.alias(n) for n, c in _domain_columns(model).items()])
+def _scored(docs: DataFrame, model: Classifier, text_col: str, *keep: Column) -> DataFrame:
+    """``keep``, n_tokens (words of the whole text) and the cell of each row; a text without words has the prior's cell."""
+    found = docs.select(*keep, model.evidence(text_col).alias("e"))
+    found = found.select(*[c for c in found.columns if c != "e"], "e.*")
+    return found.withColumns(model.cell()).withColumnRenamed("n", "n_tokens").drop(*[f"s{k}" for k in range(1, len(DOMAINS))])
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets, budget, id_col, text_col) -> tuple[Classifier, Rates, DataFrame]:
+def _fitted(docs: DataFrame, labels: DataFrame, targets, budget, id_col, text_col) -> tuple[Classifier, DataFrame, DataFrame]:
+    """(classifier, rate of every cell, scored documents)."""
     model = train(docs, labels, id_col, text_col)
-    member = stage(memberships(docs, model, id_col, text_col), "mix-members")
-    cells = member.groupBy(*[f"p_{d}" for d in DOMAINS]).agg(F.sum("n_tokens").alias("tokens"))
-    return model, fit_rates(cells, targets, budget), member
+    member = stage(_scored(docs, model, text_col, F.col(id_col).alias("doc_id")), "mix-members")
+    cells = stage(member.groupBy(*CELL).agg(F.sum("n_tokens").alias("tokens")).withColumns(posteriors()), "mix-cells")
+    rates = fit_rates(cells, targets, budget)
+    rate = F.round(rates.fold([F.col(f"p_{d}") for d in DOMAINS])["r"], 6)
+    return model, stage(cells.select(*CELL, rate.alias("rate")), "mix-rates"), member
+
+
+def _rated(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rows`` with the rate of their cell. Every cell has one; the bounded number of cells makes the broadcast safe.
+
+    The left join keeps the scores from being worked out a second time for a filter on the join keys.
+    """
+    return rows.join(F.broadcast(rates.withColumnRenamed("rate", "cell_rate")), CELL, "left").withColumn("rate", F.coalesce("cell_rate", F.lit(1.0))).drop("cell_rate")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET,
         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate and copies of every document. Other columns are not read; repeated rows are treated alike."""
     _, rates, member = _fitted(docs, labels, targets, budget, id_col, text_col)
-    return member.withColumn("rate", rates.rate()).withColumn("copies", copies())
+    return _rated(member, rates).withColumns(posteriors()).withColumn("copies", copies()) \
+        .select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies")
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET,
@@ -220,7 +233,6 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
     """
     names = docs.columns
     model, rates, _ = _fitted(docs, labels, targets, budget, id_col, text_col)
-    row = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), model.evidence(text_col).alias("e")).select("row", "id", "e.*")
-    row = row.select("row", "id", *[c.alias(n) for n, c in _domain_columns(model).items()]).withColumn("rate", rates.rate())
-    row = row.select("row", copies("id").alias("copies")).where("copies > 0")
-    return row.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    row = _scored(docs, model, text_col, F.struct(*names).alias("row"), F.col(id_col).alias("id"))
+    row = _rated(row, rates).select("row", copies("id").alias("copies"))
+    return row.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

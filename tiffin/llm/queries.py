@@ -48,7 +48,7 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN size s USING (doc_id) JOIN component c ON c.id = d.doc_id""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=3)
 
 
 @query("op10_language")
