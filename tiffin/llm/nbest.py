@@ -28,7 +28,7 @@ SPACE_MARK = "▁"
 #: Score of a character without a piece, below the worst piece; it is spelled in byte pieces.
 UNKNOWN_PENALTY = 10.0
 #: Distinct words remembered by a worker before its memory is emptied; texts handled at once; characters of one Viterbi pass.
-REMEMBERED, GROUP, PASS_CHARS = 1_000_000, 512, 400_000
+REMEMBERED, GROUP, PASS_CHARS = 300_000, 512, 100_000
 #: Scores at or below this mark pieces that the model keeps out of segmentations.
 UNUSED_SCORE = -1e8
 
