@@ -29,7 +29,7 @@ _HEAD = struct.Struct("<4sIQ")   # magic, documents, values
 #: A block is closed at this many values or documents; a longer document has a block of its own.
 BLOCK_VALUES, BLOCK_DOCS = 1 << 20, 4096
 #: Pre-tokens in a worker's memory before it starts a new one (and keeps the old one to take over from).
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 #: Lengths of the four values of a control byte.
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -198,7 +198,7 @@ def _encoder(tokenizer_json: str) -> Encoder:
 
 
 #: Texts encoded at once inside a batch: bounds the pre-tokens held.
-GROUP = 512
+GROUP = 128
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
