@@ -50,7 +50,7 @@ ARTICLE = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-_DIGITS = re.compile(r"\d+")
+_DIGITS = re.compile(r"\d{2,}")
 
 
 @dataclass
