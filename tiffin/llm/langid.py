@@ -181,8 +181,10 @@ def identify(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text",
     """``docs`` with the predicted language and its score (share of n-grams of that language, 0 to 1).
 
     Only the text decides. Null texts and texts without a letter get ``und`` and
-    0; equal shares go to the first language by name. All other columns pass through.
+    0; equal shares go to the first language by name. All other columns pass
+    through; input columns named like the new ones are replaced.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in (pred_col.lower(), score_col.lower())])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
