@@ -12,6 +12,8 @@ def one(spark, values, expr, schema="s string"):
 
 def test_try_number_rounds_and_rejects(spark):
     assert one(spark, ["12", "12.7", "N/A", None, "", "-3"], C.try_number("s")) == [12, 13, None, None, None, -3]
+    assert one(spark, ["9" * 20, "9" * 38, "9" * 60, "9223372036854775807"], C.try_number("s")) == [None, None, None, 9223372036854775807]
+    assert one(spark, ["12345678901234567890+ ratings"], C.first_number("s")) == [None]
 
 
 def test_try_decimal_half_up_and_overflow(spark):
@@ -61,17 +63,3 @@ def test_scale_settings():
     conf = scale_settings(100 * 2 ** 40, 8000)          # 100 TB on 1000 executors x 8 cores
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_settings(10 * 2 ** 20, 8)["spark.sql.shuffle.partitions"]) == 16
-
-
-def test_spread_only_when_the_scan_has_too_few_splits(spark, tmp_dir):
-    from tiffin.sources.fixtures import spread
-    cores = spark.sparkContext.defaultParallelism
-    one = f"{tmp_dir}/one"
-    spark.range(1000).coalesce(1).write.parquet(one)
-    df = spread(spark.read.parquet(one), "id")
-    assert df.rdd.getNumPartitions() == cores
-    many = f"{tmp_dir}/many"
-    spark.range(1000).repartition(cores * 2).write.parquet(many)
-    wide = spark.read.parquet(many)
-    assert spread(wide, "id") is wide          # already enough splits: plan unchanged
-    assert sorted(r.id for r in df.collect()) == list(range(1000))

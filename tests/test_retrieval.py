@@ -61,8 +61,10 @@ def test_keyword_vector_and_retrieve(spark):
 
 
 def test_score_against_all_pairs(spark):
-    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id long, v array<double>")
-    out = {(r.query_id, r.id): r.score for r in R.score_against(corpus, "v", [(7, [1.0, 1.0])]).collect()}
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0, 5.0]), (4, None), (5, [None, 1.0])], "id long, v array<double>")
+    qdf = spark.createDataFrame([(7, [1.0, 1.0]), (8, None)], "q long, qv array<double>")
+    out = {(r.query_id, r.id): r.score for r in R.score_against_all(corpus, "id", "v", qdf, "q", "qv").collect()}
+    assert set(out) == {(7, 1), (7, 2)}        # unequal lengths, null vectors and null parts have no score
     assert abs(out[(7, 1)] - 2 ** -0.5) < 1e-15 and out[(7, 2)] == 0.0
 
 
@@ -88,7 +90,8 @@ def test_vector_cache_versions(spark, tmp_dir):
 
 
 def test_more_queries_than_one_pass_holds(spark, monkeypatch):
-    monkeypatch.setattr(R, "MAX_QUERIES", 4)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(R, "ROW_BLOCK", 90)
     rng = np.random.default_rng(5)
     n, d = 400, 8
     vecs = rng.normal(size=(n, d))
@@ -96,7 +99,6 @@ def test_more_queries_than_one_pass_holds(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, vecs)], "id long, v array<double>")
     queries = [(q, [float(x) for x in rng.normal(size=d)]) for q in range(1, 12)]   # 11 queries, batches of <= 4
     qdf = spark.createDataFrame(queries, "qid int, qv array<double>")
-    assert all(len(b) <= 4 for b in R.query_batches(qdf, "qid", "qv"))
     got = R.cosine_topk_all(df, "id", "v", qdf, "qid", "qv", k=3, digits=6).collect()
     by_q = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
@@ -104,13 +106,27 @@ def test_more_queries_than_one_pass_holds(spark, monkeypatch):
     assert by_q == brute_topk(ids, vecs, queries, 3, digits=6)
 
 
-def test_score_against_all_batches(spark, monkeypatch):
-    monkeypatch.setattr(R, "MAX_QUERIES", 2)
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id long, v array<double>")
-    qdf = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(5)], "qid int, qv array<double>")
-    got = {(r.id, r.query_id): r.score for r in R.score_against_all(df, "v", qdf, "qid", "qv", 6).collect()}
-    assert len(got) == 15
-    assert got[(2, 3)] == 0.0 and got[(1, 0)] == 1.0 and got[(3, 1)] == 1.0
+def test_query_ids_of_any_kind_and_odd_vectors(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 0.0], None), (3, [1.0, 1.0], "c"), (4, None, "d"), (5, [1.0], "e"), (6, [float("nan"), 1.0], "f")],
+                               "id long, v array<double>, note string")
+    for kind, ids in (("string", ["x", "y", None]), ("long", [1 << 40, 2, None]), ("int", [1, 2, None])):
+        for block in (1024, 1):
+            monkeypatch.setattr(R, "QUERY_BLOCK", block)
+            qdf = spark.createDataFrame([(ids[0], [1.0, 0.0]), (ids[0], [1.0, 0.0]), (ids[1], [2.0]), (ids[2], [0.0, 3.0]), (ids[1], None)], f"q {kind}, qv array<double>")
+            top = R.cosine_topk_all(df, "id", "v", qdf, "q", "qv", k=2, keep=["note"])
+            assert dict(top.dtypes)["query_id"] == {"long": "bigint"}.get(kind, kind)
+            got = {(r.query_id, r["rank"]): (r.id, r.note) for r in top.collect()}
+            assert got == {(ids[0], 1): (1, "a"), (ids[0], 2): (3, "c"), (ids[1], 1): (5, "e"), (None, 1): (3, "c"), (None, 2): (1, "a")}
+    assert R.cosine_topk_all(df, "id", "v", qdf.limit(0), "q", "qv").count() == 0
+
+
+def test_samples_beyond_the_group_limit(spark):
+    from tiffin.operators.sampling import first_n, sample_rows
+    df = spark.range(20_000).repartition(7)
+    got = first_n(df, 5000, [F.col("id").desc()])
+    assert sorted(r.id for r in got.collect()) == list(range(15_000, 20_000))
+    assert sample_rows(df, 5000, "id").count() == 5000 and first_n(df, 30_000, [F.col("id")]).count() == 20_000
+    assert {r.id for r in sample_rows(df, 900, "id").collect()} < {r.id for r in sample_rows(df, 5000, "id").collect()}
 
 
 def test_label_centroids_ragged_vectors(spark):

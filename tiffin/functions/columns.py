@@ -21,9 +21,10 @@ def _c(x: ColumnOrName) -> Column:
 def try_number(x: ColumnOrName) -> Column:
     """``try_to_number(x)``: NUMBER(38,0) with rounding, NULL when not a number.
 
-    Going through DECIMAL(38,0) keeps '12.7' -> 13 (an INT cast would give NULL).
+    Going through DECIMAL(38,0) keeps '12.7' -> 13 (an INT cast would give NULL). Numbers
+    beyond BIGINT are no usable ids, ages or counts here: NULL as well, never an error.
     """
-    return _c(x).try_cast("decimal(38,0)").cast("bigint")
+    return _c(x).try_cast("decimal(38,0)").try_cast("bigint")
 
 
 def try_decimal(x: ColumnOrName, precision: int, scale: int) -> Column:
@@ -138,10 +139,3 @@ def cosine(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Cosine similarity; 0 when either vector has zero length."""
     den = norm(a) * norm(b)
     return F.when(den == 0, F.lit(0.0)).otherwise(dot(a, b) / den)
-
-
-def normalize(a: ColumnOrName) -> Column:
-    """Unit-length copy of a vector (all zeros stay zeros), so cosine becomes one dot."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(_c(a), lambda v: F.lit(0.0))) \
-        .otherwise(F.transform(_c(a), lambda v: v.cast("double") / n))

@@ -237,7 +237,7 @@ def enrich_with_model(reviews: DataFrame, model: BatchModel) -> DataFrame:
                         one = model(pd.Series([text])).iloc[0]
                         rows.append((rid, one["sentiment"], one["category"], float(one["confidence"]), None))
                     except Exception as exc:  # noqa: BLE001
-                        rows.append((rid, None, None, None, f"{type(exc).__name__}: {exc}"[:500]))
+                        rows.append((rid, None, None, None, f"{type(exc).__name__}: {exc}"))
                 out = pd.DataFrame(rows, columns=["review_id", "sentiment", "category", "confidence", "error"])
             yield out
 

@@ -50,11 +50,6 @@ def watermark_filter(source: DataFrame, ts_col: str, watermark: dt.datetime | No
     return source.where(F.col(ts_col) > ntz_literal(bound))
 
 
-# Most partition values one merge may rewrite before it falls back to a full rewrite
-# (the values are collected to the driver to build the partition filter).
-MAX_TOUCHED_PARTITIONS = 20_000
-
-
 class IncrementalTable:
     """A fact table kept as Parquet plus an append-only ``_log`` of versions.
 
@@ -210,7 +205,7 @@ class IncrementalTable:
 
     def _touched_partitions(self, batch: DataFrame, target: DataFrame) -> list | None:
         """Partition values the merge must rewrite: those the batch writes to. None (rewrite
-        the whole table) when there are too many to list or a key changed partition."""
+        the whole table) when a key changed partition."""
         pc = self.partition_by
         parts = batch.select(*pc).distinct()
         if not self.keys_keep_partition:
@@ -220,8 +215,8 @@ class IncrementalTable:
             older = target.select(*self.keys, *pc).join(batch.select(*self.keys), self.keys, "left_semi")
             if not older.select(*pc).subtract(parts).isEmpty():
                 return None
-        rows = parts.limit(MAX_TOUCHED_PARTITIONS + 1).collect()
-        return None if len(rows) > MAX_TOUCHED_PARTITIONS else rows
+        # One value per folder the batch writes to, which the writing driver lists anyway.
+        return parts.collect()
 
     def _merge_partitions(self, batch, target, cols, touched, entry, version, staged) -> int:
         pc = self.partition_by

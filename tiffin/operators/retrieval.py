@@ -1,11 +1,8 @@
 """Review retrieval and rule-based answers.
 
-Scoring is a map over the corpus: the question vectors (a small set whose size is
-checked) travel inside the plan as literals, every corpus row gets one score per
-question, and the per-question top-k is a ``row_number() <= k`` window. Spark
-plans that filter as a partial group limit before the shuffle, so each map task
-sends at most k rows per question whatever the corpus size; no join and no
-cross product is involved.
+Scoring is one pass over the corpus: blocks of question vectors meet blocks of
+rows in matrix products, every task sends at most k ids per question whatever the
+corpus size, and a ``row_number() <= k`` window picks the answer.
 """
 
 from __future__ import annotations
@@ -20,7 +17,6 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import contains_any
-from .enrich import REVIEW_COLUMNS  # noqa: F401  (re-export for callers)
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference: the 33 words of the keyword
@@ -57,7 +53,9 @@ EXAMPLE_QUESTIONS = [
 ]
 
 TOP_K = 5
-MAX_QUERIES = 256  # question vectors carried in the plan; larger sets must be batched
+# Query vectors one task scores at a time, and corpus rows it scores them against: the size
+# of a block, not a limit; larger sets are dealt in more blocks.
+QUERY_BLOCK, ROW_BLOCK = 1024, 20_000
 
 
 def keyword_vector(text: Column | str) -> Column:
@@ -66,14 +64,10 @@ def keyword_vector(text: Column | str) -> Column:
     return F.array(*[t.contains(w).cast("double") for w in EMBED_KEYWORDS])
 
 
-def python_keyword_vector(text: str) -> list[float]:
-    t = text.lower()
-    return [1.0 if w in t else 0.0 for w in EMBED_KEYWORDS]
-
-
-def python_keyword_batch(texts: pd.Series) -> list[list[float]]:
-    """The keyword embedding as a batch model (stand-in for a remote embedding service)."""
-    return [python_keyword_vector(str(t)) for t in texts]
+def keyword_batch(texts: pd.Series) -> list[list[float]]:
+    """A6 over a batch, one vectorised test per word: shows the model hook at work."""
+    low = texts.fillna("").str.lower()
+    return np.column_stack([low.str.contains(w, regex=False).to_numpy(float) for w in EMBED_KEYWORDS]).tolist()
 
 
 def review_vectors(reviews_stg: DataFrame) -> DataFrame:
@@ -121,68 +115,8 @@ def embed_with_model(texts: DataFrame, text_col: str, model: Callable[[pd.Series
 
 
 # ------------------------------------------------------------------ scoring
-UNROLL_LIMIT = 400  # query terms written out as arithmetic; above it the generic array form is used
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _sq_norm_unrolled(v: Column, width: int) -> Column:
-    out = None
-    for i in range(width):
-        term = v[i] * v[i]
-        out = term if out is None else out + term
-    return out if out is not None else F.lit(0.0)
-
-
-def _dot_literal(v: Column, q: list[float]) -> Column:
-    """v . q for a literal q, written out term by term (zero terms skipped, order kept)."""
-    out = None
-    for i, x in enumerate(q):
-        if x == 0.0:
-            continue
-        term = v[i] if x == 1.0 else v[i] * F.lit(float(x))
-        out = term if out is None else out + term
-    return out if out is not None else F.lit(0.0)
-
-
-def _py_norm(q: list[float]) -> float:
-    s = 0.0
-    for x in q:
-        s += x * x
-    return s ** 0.5
-
-
-def score_against(corpus: DataFrame, vec_col: str, queries: list[tuple], score_digits: int | None = None) -> DataFrame:
-    """One row per (corpus row, query) with the cosine similarity (0 for a zero vector).
-
-    ``queries`` is a list of ``(query_id, vector)``; it is a bounded, checked set.
-    The row norm is computed once per row; each query's dot product is plain
-    arithmetic on array elements, so the whole scoring stays in generated code.
-    """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"{len(queries)} query vectors; score at most {MAX_QUERIES} per pass")
-    width = max((len(v) for _, v in queries), default=0)
-    unroll = width * (len(queries) + 1) <= UNROLL_LIMIT
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    base = corpus.withColumn("_v", v)
-    vv = F.col("_v")
-    base = base.withColumn("_rn", F.sqrt(_sq_norm_unrolled(vv, width) if unroll else _dot(vv, vv)))
-    items = []
-    for qid, qvec in queries:
-        qvec = [float(x) for x in qvec]
-        qn = F.lit(_py_norm(qvec))
-        den = qn * F.col("_rn")
-        d = _dot_literal(vv, qvec) if unroll else _dot(F.array(*[F.lit(x) for x in qvec]), vv)
-        score = F.when(den == 0, F.lit(0.0)).otherwise(d / den)
-        if score_digits is not None:
-            score = F.round(score, score_digits)
-        items.append(F.struct(F.lit(qid).alias("query_id"), score.alias("score")))
-    return base.withColumn("_s", F.explode(F.array(*items))).select(
-        "*", F.col("_s.query_id").alias("query_id"), F.col("_s.score").alias("score")).drop("_s", "_v", "_rn")
-
-
+# One rule everywhere: the cosine of two vectors of equal length without null or
+# non-finite parts, 0 if either is all zeros; any other pair has no score and no row.
 def top_k(scored: DataFrame, k: int, order_key: str, part: str = "query_id") -> DataFrame:
     """Best k per query by score (ties: smaller ``order_key`` first)."""
     w = Window.partitionBy(part).orderBy(F.col("score").desc(), F.col(order_key).asc())
@@ -196,125 +130,127 @@ def round_half_away(x: np.ndarray, digits: int) -> np.ndarray:
     return np.where(y < 0, -np.floor(-y + 0.5), np.floor(y + 0.5)) / m
 
 
-def cosine_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: list[tuple], k: int = TOP_K,
-                keep: list[str] | None = None, digits: int | None = None) -> DataFrame:
-    """Exact top-k rows per query by cosine similarity, ties by smaller id.
-
-    Each Arrow batch is scored with one matrix product against the (bounded)
-    query matrix and only its best k rows per query leave the Python worker; a
-    final ``row_number`` window over at most k x batches rows per query picks the
-    answer. Memory per task is one batch, whatever the corpus or a hot group holds.
-    """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"{len(queries)} query vectors; score at most {MAX_QUERIES} per pass")
-    if not queries:
-        raise ValueError("no query vectors")
-    keep = list(keep or [])
-    qids = [q for q, _ in queries]
-    qmat = np.array([[float(x) for x in v] for _, v in queries], dtype=np.float64)
-    qnorm = np.array([_py_norm(list(v)) for v in qmat])
-    src = corpus.select(id_col, vec_col, *keep)
-    fields = {f.name: f for f in src.schema.fields}
-    out_schema = T.StructType([T.StructField("query_id", T.IntegerType(), False), fields[id_col],
-                               T.StructField("score", T.DoubleType())] + [fields[c] for c in keep])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            mat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            rnorm = np.sqrt((mat * mat).sum(axis=1))
-            dots = mat @ qmat.T
-            den = rnorm[:, None] * qnorm[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.where(den == 0, 0.0, dots / den)
-            if digits is not None:
-                scores = round_half_away(scores, digits)
-            ids = pdf[id_col].to_numpy()
-            parts = []
-            for j, qid in enumerate(qids):
-                order = np.lexsort((ids, -scores[:, j]))[:k]
-                part = pdf.iloc[order][[id_col] + keep].copy()
-                part.insert(0, "query_id", qid)
-                part.insert(2, "score", scores[order, j])
-                parts.append(part)
-            yield pd.concat(parts, ignore_index=True)
-
-    return top_k(src.mapInPandas(run, out_schema), k, id_col)
-
-
-def question_vectors(questions: DataFrame, id_col: str = "question_id",
-                     text_col: str = "question") -> list[tuple]:
-    """Embed a small question table on Spark and bring the (bounded) vectors back."""
-    rows = questions.select(id_col, keyword_vector(text_col).alias("v")).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} questions; use cosine_topk_all")
-    return [(r[0], list(r[1])) for r in rows]
-
-
-def query_batches(queries: DataFrame, id_col: str, vec_col: str) -> Iterator[list[tuple]]:
-    """Query vectors in batches of at most ``MAX_QUERIES``, one batch on the driver at a time.
-
-    Queries are bucketed by a hash of their id; the bucket count is doubled until
-    no bucket exceeds the bound, so every query lands in exactly one batch.
+def _usable(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Positions and matrix of the usable vectors of each length."""
+    by: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and len(v):
+            by.setdefault(len(v), []).append(i)
+    out = {}
+    for width, at in by.items():
+        m = np.array([np.asarray(vectors[i], dtype=np.float64) for i in at])
+        ok = np.isfinite(m).all(axis=1)
+        out[width] = np.array(at)[ok], m[ok]
+    return out
+
+
+def _block_scores(queries: list, rows: pd.DataFrame, id_col: str, vec_col: str, k: int | None, digits: int | None) -> pd.DataFrame:
+    """Scores of a block of (query id, vector) against a block of rows: the best ``k`` per query, or all."""
+    qs, vs = _usable([v for _, v in queries]), _usable(rows[vec_col].to_list())
+    parts = []
+    for width in qs.keys() & vs.keys():
+        (qi, q), (at, m) = qs[width], vs[width]
+        ids = rows[id_col].iloc[at]
+        place = np.empty(len(at), dtype=np.int64)
+        place[np.argsort(ids.to_numpy(), kind="stable")] = np.arange(len(at))
+        norm = np.sqrt((m * m).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(norm == 0, 0.0, (m @ q.T) / norm)
+        if digits is not None:
+            score = round_half_away(score, digits)
+        for j, i in enumerate(qi):
+            best = np.arange(len(at)) if k is None else np.lexsort((place, -score[:, j]))[:k]
+            part = rows.iloc[at[best]].drop(columns=[vec_col])
+            part.insert(0, "query_id", [queries[i][0]] * len(best))
+            part.insert(1, "score", score[best, j])
+            parts.append(part)
+    return pd.concat(parts, ignore_index=True) if parts else rows.iloc[:0].drop(columns=[vec_col]).assign(query_id=None, score=None)
+
+
+def _best(found: pd.DataFrame, id_col: str, k: int | None) -> pd.DataFrame:
+    if k is None or found.empty:
+        return found
+    found = found.sort_values(["score", id_col], ascending=[False, True], kind="stable")
+    return found.groupby("query_id", sort=False, dropna=False).head(k)
+
+
+def _scored(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str,
+            k: int | None, keep: list[str], digits: int | None) -> DataFrame:
+    """(query_id, score, id, keep ...) of every query with the rows, in one pass over the corpus.
+
+    Up to one block of queries travels to the tasks, and each keeps a running best
+    k. More queries are dealt in blocks by a hash, every row meets every block
+    once, and no task holds more than one block of each side.
     """
     from ..session import scratch_path
-    q = queries.select(id_col, vec_col)
-    rows = q.limit(MAX_QUERIES + 1).collect()
-    if len(rows) <= MAX_QUERIES:
-        yield [(r[0], list(r[1])) for r in rows]
-        return
-    # Computed once (e.g. centroids), then each batch reads only its bucket.
-    staged = scratch_path(q.sparkSession, "query-vectors")
-    q.write.parquet(staged)
-    q = q.sparkSession.read.parquet(staged)
-    buckets = -(-2 * q.count() // MAX_QUERIES)
-    while True:
-        b = F.pmod(F.xxhash64(id_col), F.lit(buckets))
-        sizes = q.groupBy(b.alias("_b")).count()       # at most ``buckets`` rows
-        if sizes.where(F.col("count") > MAX_QUERIES).isEmpty():
-            break
-        buckets *= 2
-    for (i,) in sizes.select("_b").orderBy("_b").collect():
-        yield [(r[0], list(r[1])) for r in q.where(b == i).collect()]
+    spark = corpus.sparkSession
+    staged = scratch_path(spark, "query-vectors")                # computed once, e.g. centroids
+    queries.select(F.col(query_id).alias("_q"), F.col(query_vec).cast("array<double>").alias("_v")).distinct().write.parquet(staged)
+    q = spark.read.parquet(staged)
+    src = corpus.select(id_col, F.col(vec_col).cast("array<double>").alias(vec_col), *keep)
+    fields = {f.name: f for f in src.schema.fields}
+    schema = T.StructType([T.StructField("query_id", q.schema["_q"].dataType), T.StructField("score", T.DoubleType()), fields[id_col]]
+                          + [fields[c] for c in keep])
+    names = schema.names
+    n = q.count()
+    if n <= QUERY_BLOCK:
+        block = [(r[0], r[1]) for r in q.collect()]
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for pdf in batches:
+                found = _block_scores(block, pdf, id_col, vec_col, k, digits)[names]
+                if k is None:
+                    yield found
+                else:
+                    best = _best(found if best is None else pd.concat([best, found]), id_col, k)
+            if best is not None:
+                yield best[names]
+        return src.mapInPandas(scan, schema)
+
+    blocks, chunks = -(-n // QUERY_BLOCK), max(1, -(-src.select(id_col).count() // ROW_BLOCK))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = q.withColumn("_block", F.pmod(F.xxhash64("_q", "_v"), F.lit(blocks)).cast("int")).withColumn("_chunk", every(chunks))
+    right = src.withColumn("_chunk", F.pmod(F.xxhash64(id_col, vec_col), F.lit(chunks)).cast("int")).withColumn("_block", every(blocks))
+
+    def meet(qs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        return _block_scores(list(zip(qs["_q"], qs["_v"])), rows[[id_col, vec_col, *keep]], id_col, vec_col, k, digits)[names]
+    return left.groupBy("_chunk", "_block").cogroup(right.groupBy("_chunk", "_block")).applyInPandas(meet, schema)
 
 
 def cosine_topk_all(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str,
                     query_vec: str, k: int = TOP_K, keep: list[str] | None = None,
                     digits: int | None = None) -> DataFrame:
-    """``cosine_topk`` for a query table of any size, exactly.
+    """Exact top-k rows per query by cosine similarity, ties by smaller id, for any number of queries.
 
-    Up to ``MAX_QUERIES`` queries run as one pass. A larger set is scored batch by
-    batch, one pass over the corpus each; every batch's top rows are written to the
-    shared checkpoint folder, so neither the driver nor a plan holds more than
-    one batch of vectors.
+    Query ids may be of any type; a null id is an id like another, and a repeated
+    (id, vector) counts once. Tasks send ids and scores only; the kept columns
+    of the answer are joined back by id.
     """
-    from ..session import scratch_path
-    batches = query_batches(queries, query_id, query_vec)
-    first = next(batches)
-    second = next(batches, None)
-    if second is None:
-        return cosine_topk(corpus, id_col, vec_col, first, k, keep, digits)
-    out = scratch_path(corpus.sparkSession, "topk-batches")
-    for batch in (first, second, *batches):
-        cosine_topk(corpus, id_col, vec_col, batch, k, keep, digits).write.mode("append").parquet(out)
-    return corpus.sparkSession.read.parquet(out)
-
-
-def score_against_all(corpus: DataFrame, vec_col: str, queries: DataFrame, query_id: str, query_vec: str,
+    found = top_k(_scored(corpus, id_col, vec_col, queries, query_id, query_vec, k, [], digits), k, id_col)
+    if not keep:
+        return found
+    rows = corpus.select(F.col(id_col).alias("_id"), *keep)
+    return found.join(rows, found[id_col].eqNullSafe(rows["_id"]), "left").select("query_id", id_col, "score", *keep, "rank")
+
+
+def cosine_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: list[tuple], k: int = TOP_K,
+                keep: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """``cosine_topk_all`` for a short list of (id, vector)."""
+    spark = corpus.sparkSession
+    if not queries:
+        qdf = spark.createDataFrame([], "q int, v array<double>")
+    else:
+        qdf = spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], ["q", "v"])
+        if isinstance(queries[0][0], int):
+            qdf = qdf.withColumn("q", F.col("q").cast("int"))
+    return cosine_topk_all(corpus, id_col, vec_col, qdf, "q", "v", k, keep, digits)
+
+
+def score_against_all(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str,
                       score_digits: int | None = None) -> DataFrame:
-    """``score_against`` for a query table of any size: one pass per batch of queries,
-    each batch's scores written to the shared checkpoint folder."""
-    from ..session import scratch_path
-    batches = query_batches(queries, query_id, query_vec)
-    first = next(batches)
-    second = next(batches, None)
-    if second is None:
-        return score_against(corpus, vec_col, first, score_digits)
-    out = scratch_path(corpus.sparkSession, "score-batches")
-    for batch in (first, second, *batches):
-        score_against(corpus, vec_col, batch, score_digits).write.mode("append").parquet(out)
-    return corpus.sparkSession.read.parquet(out)
+    """(query_id, score, id) of every row and query that have a cosine."""
+    return _scored(corpus, id_col, vec_col, queries, query_id, query_vec, None, [], score_digits)
 
 
 def retrieve(corpus: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:

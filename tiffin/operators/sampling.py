@@ -2,8 +2,7 @@
 
 ``sample_rows`` keeps the ``n`` rows with the smallest seeded hash of their key:
 a uniform sample that is the same on every run and independent of how the data
-is partitioned. The top n is taken with ``first_n``: each task keeps at most n rows
-before the single final partition, so no full sort or shuffle of the data happens.
+is partitioned. The top n is taken with ``first_n``.
 """
 
 from __future__ import annotations
@@ -11,17 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """The first ``n`` rows by ``order`` as a bounded plan wherever it sits in a query.
+    """The first ``n`` rows by ``order``, exactly, for any ``n``; rows equal in ``order`` count as given.
 
-    ``orderBy().limit()`` is a bounded top-n only at the root of a query; nested
-    under further projections Spark plans a global range-partitioned sort of every
-    row. ``row_number() <= n`` is planned with a partial group limit in each task,
-    so at most n rows per task reach the single final partition.
+    Up to Spark's own threshold, ``row_number() <= n`` is planned with a partial
+    group limit in each task, so at most n rows per task reach the final
+    partition. Beyond it the rows are range-sorted and staged with their
+    place, and each partition keeps what the partitions before it leave of n:
+    no task ever holds more than one range.
     """
-    w = Window.orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    spark = df.sparkSession
+    if n <= int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        w = Window.orderBy(*order)
+        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    path = scratch_path(spark, "first-n")
+    # The low 33 bits of monotonically_increasing_id count the rows of a partition.
+    df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}) \
+        .write.parquet(path)
+    placed = spark.read.parquet(path)
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))          # one row per partition
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return placed.join(before, "_part").where(F.col("_before") + F.col("_at") < n).drop("_part", "_at", "_before")
 
 
 def sample_rows(df: DataFrame, n: int, key: str | list[str], seed: int = 17) -> DataFrame:
@@ -32,8 +44,3 @@ def sample_rows(df: DataFrame, n: int, key: str | list[str], seed: int = 17) ->
     keys = [key] if isinstance(key, str) else key
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return first_n(df.withColumn("_h", h), n, [F.col("_h")] + [F.col(k) for k in keys]).drop("_h")
-
-
-def random_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """``SAMPLE (n ROWS)``: a random sample of n rows (different per seed)."""
-    return first_n(df.withColumn("_r", F.rand(seed)), n, [F.col("_r")]).drop("_r")

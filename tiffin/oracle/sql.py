@@ -43,7 +43,7 @@ def case_map(expr: str, mapping: dict) -> str:
 
 
 def try_number(x: str) -> str:
-    return f"CAST(TRY_CAST({x} AS DECIMAL(38,0)) AS BIGINT)"
+    return f"TRY_CAST(TRY_CAST({x} AS DECIMAL(38,0)) AS BIGINT)"
 
 
 def after_last_comma(x: str) -> str:

@@ -468,7 +468,7 @@ def _keyword_vector(spark, sf_dir):
 def _embed_pluggable(spark, sf_dir):
     from .operators import retrieval as R
     texts = _models(spark, sf_dir).stg_reviews.where(F.col("comment").isNotNull())
-    return R.embed_with_model(texts, "comment", R.python_keyword_batch, ["review_id"])
+    return R.embed_with_model(texts, "comment", R.keyword_batch, ["review_id"])
 
 
 @register("cosine_similarity", O.with_retrieval("SELECT query_id, review_id, score FROM sc"))
@@ -476,7 +476,7 @@ def _cosine_similarity(spark, sf_dir):
     from .operators import retrieval as R
     corpus = R.review_vectors(_models(spark, sf_dir).stg_reviews)
     qv = R.questions_frame(spark).select("question_id", R.keyword_vector("question").alias("v"))
-    return R.score_against_all(corpus, "embedding", qv, "question_id", "v").select("query_id", "review_id", "score")
+    return R.score_against_all(corpus, "review_id", "embedding", qv, "question_id", "v").select("query_id", "review_id", "score")
 
 
 @register("retrieval_topk", O.with_retrieval("SELECT query_id, rank, review_id, city, rating, comment, score FROM top"))

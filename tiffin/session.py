@@ -57,12 +57,16 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (tests, local runs) a fresh scratch folder is created
-    and registered, so every later job in the session uses the same place.
+    Only when it is unset in a local run (tests, one machine) a fresh scratch folder
+    is created and registered, so every later job in the session uses the same
+    place. A cluster must name one: executors elsewhere cannot see the driver's disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tiffin-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -89,12 +93,3 @@ def scale_settings(input_bytes: int, total_cores: int, target_partition_bytes: i
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
     }
-
-
-def apply_scale_settings(spark: SparkSession, input_bytes: int, total_cores: int | None = None) -> dict[str, str]:
-    """Set ``scale_settings`` on the session (explicit call; nothing is changed otherwise)."""
-    cores = total_cores or spark.sparkContext.defaultParallelism
-    conf = scale_settings(input_bytes, cores)
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    return conf

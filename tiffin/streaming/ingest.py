@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from ..operators.incremental import IncrementalTable
-from .. import session as S
 
 
 def ingest_new_files(spark: SparkSession, landing: str, schema: T.StructType, table_path: str,
@@ -33,13 +33,23 @@ def ingest_new_files(spark: SparkSession, landing: str, schema: T.StructType, ta
     for k, v in opts.items():
         reader = reader.option(k, v)
     stream = reader.load(landing)
+    done = _last_batch(spark, checkpoint)
     q = (stream.writeStream.format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return len(q.recentProgress)
+    return _last_batch(spark, checkpoint) - done
+
+
+def _last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """Id of the last committed micro-batch, -1 before the first: commit files are named by it."""
+    try:
+        files = spark.read.format("binaryFile").load(f"{checkpoint.rstrip('/')}/commits").select("path").collect()   # Spark keeps about a hundred
+    except AnalysisException:
+        return -1
+    return max((int(name) for name in (f.path.rsplit("/", 1)[-1] for f in files) if name.isdigit()), default=-1)
 
 
 def upsert_new_files(spark: SparkSession, landing: str, schema: T.StructType, table: IncrementalTable,
@@ -64,7 +74,3 @@ def upsert_new_files(spark: SparkSession, landing: str, schema: T.StructType, ta
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-
-
-def default_checkpoint(spark: SparkSession, name: str) -> str:
-    return S.scratch_path(spark, f"stream-{name}")
