@@ -63,7 +63,7 @@ def test_pluggable_model_routes_failures(spark):
     def flaky(texts: pd.Series) -> pd.DataFrame:
         if any("boom" in str(t) for t in texts):
             raise RuntimeError("remote error")
-        return E.python_keyword_model(texts)
+        return E.keyword_model(texts)
 
     r = spark.createDataFrame([(1, "good"), (2, "boom"), (3, "bad")], "review_id long, comment string")
     ok, bad = E.split_rejects(E.enrich_with_model(r.repartition(1), flaky))
@@ -161,3 +161,15 @@ def test_append_is_idempotent(spark, tmp_dir):
     third = append_new_enrichment(spark, reviews, path)
     assert (first, second) == (3, 8)
     assert third.count() == 8 and third.select("review_id").distinct().count() == 8
+
+
+def test_keyed_texts_reach_every_outcome(spark):
+    from tiffin.operators import catalogue as C
+    from tiffin.sources.fixtures import QUESTION_TEXTS, SQL_TEXTS
+    q = spark.createDataFrame([(t,) for t in QUESTION_TEXTS], "t string").select(C.route("t").alias("a"), C.route("t", True).alias("b")).collect()
+    every = {tid for tid, _ in C.ROUTES} | {None}
+    assert {r.a for r in q} == every == {r.b for r in q} and any(r.a != r.b for r in q)
+    s = spark.createDataFrame([(t,) for t in SQL_TEXTS], "t string").select(
+        "t", C.is_safe("t").alias("a"), C.is_safe_v1("t").alias("b"), C.normalize_sql_text("t").alias("n")).collect()
+    assert {(r.a, r.b) for r in s} == {(True, True), (True, False), (False, True), (False, False)}
+    assert sum(r.n != r.t for r in s) >= 6

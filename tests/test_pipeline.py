@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from tiffin.operators.quality import DataQualityError
+from tiffin.operators.incremental import IncrementalTable
 from tiffin.plans.pipeline import latest_table, run_daily
 from tiffin.sources.fixtures import raw_from_driver
 
@@ -12,6 +15,10 @@ def test_daily_run_gate_and_idempotent_rerun(spark, tmp_dir):
     raw = raw_from_driver(spark, SF)
     with pytest.raises(DataQualityError):          # the adapter carries failing rows on purpose
         run_daily(spark, raw, f"{tmp_dir}/strict")
+    for fact in ("fct_orders", "fct_order_items"):  # a failed gate publishes nothing
+        assert not IncrementalTable(spark, f"{tmp_dir}/strict/{fact}", "k", "t").exists()
+        assert not (Path(tmp_dir) / "strict" / fact).exists()
+    assert not (Path(tmp_dir) / "strict" / "_runs").exists() and not (Path(tmp_dir) / "strict" / "dim_customers").exists()
     out = f"{tmp_dir}/wh"
     first = run_daily(spark, raw, out, tests_severity="warn")
     enriched = spark.read.parquet(f"{out}/review_ai_enriched").count()
@@ -24,7 +31,9 @@ def test_daily_run_gate_and_idempotent_rerun(spark, tmp_dir):
     failing = {r.test_name for r in second.report.where("failures > 0").collect()}
     assert "relationships_fct_orders_customer_id" in failing
     # facts keep one row per key after the rerun
-    fct = spark.read.parquet(f"{out}/fct_orders/v000002")
+    table = IncrementalTable(spark, f"{out}/fct_orders", "order_id", "order_timestamp")
+    assert table.current_version() == 1            # nothing new: nothing written
+    fct = table.read()
     assert fct.count() == fct.select("order_id").distinct().count() == raw.orders.count()
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -247,20 +248,18 @@ def enrich_with_model(reviews: DataFrame, model: BatchModel) -> DataFrame:
                                                confidence("review_id")).otherwise(F.col("confidence")))
 
 
-def python_keyword_model(comments: pd.Series) -> pd.DataFrame:
-    """The keyword model as a batch function (a stand-in for a remote model in the hook)."""
-    rows = []
-    for text in comments:
-        t = str(text).lower()
-        pos = sum(w in t for w in POSITIVE_WORDS)
-        neg = sum(w in t for w in NEGATIVE_WORDS)
-        label = "positive" if pos > neg else "negative" if neg > pos else "neutral"
-        cat = next((name for name, words in CATEGORY_RULES if any(w in t for w in words)), "other")
-        rows.append((label, cat))
-    out = pd.DataFrame(rows, columns=["sentiment", "category"])
-    out["confidence"] = float("nan")
-    return out
+def keyword_model(comments: pd.Series) -> pd.DataFrame:
+    """The keyword rules over a whole batch, one vectorised test per word: shows the model hook at work."""
+    low = comments.fillna("").astype(str).str.lower()
+
+    def hits(words: list[str]) -> np.ndarray:
+        return np.column_stack([low.str.contains(w, regex=False).to_numpy(bool) for w in words])
 
+    tilt = hits(POSITIVE_WORDS).sum(axis=1) - hits(NEGATIVE_WORDS).sum(axis=1)
+    names, words = zip(*CATEGORY_RULES)
+    return pd.DataFrame({"sentiment": np.select([tilt > 0, tilt < 0], ["positive", "negative"], "neutral"),
+                         "category": np.select([hits(w).any(axis=1) for w in words], names, "other"),
+                         "confidence": np.nan}, index=comments.index)
 
 def split_rejects(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = results.where(F.col("error").isNull()).drop("error")

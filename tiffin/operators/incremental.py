@@ -179,26 +179,50 @@ class IncrementalTable:
             return batch
         raise ValueError(on_duplicates)
 
-    def merge(self, batch: DataFrame, on_duplicates: str = "error", version: int | None = None) -> int:
+    def staged_batch(self, source: DataFrame, stage_path: str) -> tuple[DataFrame, DataFrame]:
+        """(rows of ``source`` past the watermark, written to ``stage_path``; the table as it would be with them).
+
+        Nothing of the table changes: tests can run on the second frame before ``publish``.
+        """
+        version = self.current_version()
+        batch = source if version is None else watermark_filter(source, self.ts_col, self.watermark(version))
+        batch.write.mode("overwrite").parquet(stage_path)
+        batch = self.spark.read.parquet(stage_path)
+        if version is None:
+            return batch, batch
+        kept = self.read(version).join(batch.select(*self.keys), self.keys, "left_anti")
+        return batch, kept.unionByName(batch, allowMissingColumns=True)
+
+    def publish(self, batch: DataFrame, on_duplicates: str = "error") -> int:
+        """Make a staged batch part of the table: its first version, or a merge."""
+        version = self.current_version()
+        return self._publish(batch, "full", 0) if version is None else self.merge(batch, on_duplicates, version, staged=True)
+
+    def merge(self, batch: DataFrame, on_duplicates: str = "error", version: int | None = None, staged: bool = False) -> int:
         """Upsert ``batch`` on the unique key; new source columns are appended.
 
         ``on_duplicates``: ``"error"`` (a key repeated in the batch that also exists in the
         target is ambiguous and raises; repeated new keys are all inserted) or
-        ``"latest"`` (keep the newest row per key by ``ts_col``).
+        ``"latest"`` (keep the newest row per key by ``ts_col``). ``staged``: the batch is
+        read from files already. An empty batch writes and logs nothing.
         """
         version = self.current_version() if version is None else version
         entry = self._entry(version)
         target = self.read(version)
         # Stage the batch: computed once, lineage cut, real size known to the planner.
-        staged = f"{self.path}/_batches/b{version + 1:06d}-{uuid.uuid4().hex[:8]}"
-        batch.write.mode("overwrite").parquet(staged)
-        batch = self._dedupe(self.spark.read.parquet(staged), target, on_duplicates)
+        place = f"{self.path}/_batches/b{version + 1:06d}-{uuid.uuid4().hex[:8]}"
+        if not staged:
+            batch.write.mode("overwrite").parquet(place)
+            batch = self.spark.read.parquet(place)
+        if batch.isEmpty():
+            return version
+        batch = self._dedupe(batch, target, on_duplicates)
         # append_new_columns: the target's columns first, new ones after.
         cols = target.columns + [c for c in batch.columns if c not in target.columns]
         if self.partition_by:
             touched = self._touched_partitions(batch, target)
             if touched is not None:
-                return self._merge_partitions(batch, target, cols, touched, entry, version, staged)
+                return self._merge_partitions(batch, target, cols, touched, entry, version, place)
         kept = target.join(batch.select(*self.keys), self.keys, "left_anti")
         merged = kept.unionByName(batch, allowMissingColumns=True)
         return self._publish(merged.select(*cols), "merge", version)

@@ -352,10 +352,20 @@ def route(text: str, plural_aware: bool = False) -> str:
     return "CASE " + " ".join(parts) + " END"
 
 
+def keyed_texts(texts: list[str]) -> str:
+    """Conversations with a text of the list by key (DuckDB lists count from 1)."""
+    literals = ", ".join(q(t) for t in texts)
+    return f"(SELECT conv_id, turn, role, [{literals}][CAST(1 + (conv_id * 7 + turn) % {len(texts)} AS INTEGER)] AS text FROM conversations)"
+
+
+#: The statement words a text may not hold as a word of their own, stated apart from the code under test.
+_FORBIDDEN = r"(?:^|[^\p{L}\p{N}_])(?:drop|delete|truncate|alter|update|insert|create|replace|grant|revoke)(?:[^\p{L}\p{N}_]|$)"
+
+
 def is_safe(text: str) -> str:
     low = strip_ws(f"lower({text})")
     body = f"regexp_replace({low}, '--[^\\n]*', '', 'g')"
-    pat = cat.forbidden_pattern().replace("'", "''")
+    pat = _FORBIDDEN
     return (f"coalesce({text} IS NOT NULL AND {text} <> '' AND (starts_with({low}, 'select') OR "
             f"starts_with({low}, 'with')) AND NOT regexp_matches({body}, '{pat}') AND NOT contains({body}, ';'), "
             f"false)")

@@ -84,13 +84,27 @@ def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity
     m = Models(spark, raw)
     tables: dict[str, str] = {}
 
-    # Facts: first run builds, later runs merge rows past the high watermark.
+    # Facts: first run builds, later runs merge rows past the high watermark. Both are staged first.
     fo = IncrementalTable(spark, f"{out}/fct_orders", "order_id", "order_timestamp", partition_by=partition_facts_by,
                           keys_keep_partition=keys_keep_partition)
-    fo.run(m.fct_orders)
+    new_orders, all_orders = fo.staged_batch(m.fct_orders, f"{out}/_staging/fct_orders-{run_id}")
     fi = IncrementalTable(spark, f"{out}/fct_order_items", "order_item_id", "order_ts", partition_by=partition_facts_by,
                           keys_keep_partition=keys_keep_partition)
-    fi.run(order_items_source(spark, m, fi, f"{out}/_staging/orders-{run_id}"))
+    new_items, all_items = fi.staged_batch(order_items_source(spark, m, fi, f"{out}/_staging/orders-{run_id}"), f"{out}/_staging/fct_order_items-{run_id}")
+
+    # Data tests on the facts as they would be; with severity "error" a failure stops
+    # the run before anything is published: no version, no log entry, no moved watermark.
+    m.pin("fct_orders", all_orders)
+    m.pin("fct_order_items", all_items)
+    report_path = f"{out}/dq_report/run={run_id}"
+    quality.dq_report(m).write.mode("overwrite").parquet(report_path)
+    report = spark.read.parquet(report_path)
+    failed = [r.test_name for r in report.where("failures > 0").select("test_name").collect()]
+    if tests_severity == "error" and failed:
+        raise quality.DataQualityError(f"data tests failed: {failed}")
+
+    fo.publish(new_orders)
+    fi.publish(new_items)
     m.pin("fct_orders", fo.read())
     m.pin("fct_order_items", fi.read())
 
@@ -101,14 +115,6 @@ def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity
         tables[name] = path
         m.pin(name, spark.read.parquet(path))
 
-    # Data tests; with severity "error" a failure stops the run before enrichment.
-    report_path = f"{out}/dq_report/run={run_id}"
-    quality.dq_report(m).write.mode("overwrite").parquet(report_path)
-    report = spark.read.parquet(report_path)
-    if tests_severity == "error" and not report.where("failures > 0").isEmpty():
-        failed = [r.test_name for r in report.where("failures > 0").select("test_name").collect()]
-        raise quality.DataQualityError(f"data tests failed: {failed}")
-
     # Enrichment (active shape, appended) and the insight mart over its bridged rows.
     enriched = append_new_enrichment(spark, m.raw.reviews, f"{out}/review_ai_enriched", enrich_batch)
     m.pin("review_enriched", enrich.active_to_mart_shape(enriched))

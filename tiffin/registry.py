@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sources.fixtures import QUESTION_TEXTS, SQL_TEXTS
 from .oracle import sql as O
 from .plans.models import Models
 from .sources.raw import RAW_SCHEMAS
@@ -361,7 +362,7 @@ def _enrich_documents(spark, sf_dir):
     f"{O.confidence('review_id')} AS confidence " + _RC))
 def _enrich_pluggable(spark, sf_dir):
     from .operators import enrich as E
-    ok, _bad = E.split_rejects(E.enrich_with_model(_reviews_with_comment(spark, sf_dir), E.python_keyword_model))
+    ok, _bad = E.split_rejects(E.enrich_with_model(_reviews_with_comment(spark, sf_dir), E.keyword_model))
     return ok
 
 
@@ -413,39 +414,40 @@ for _tid, _sql in O.CATALOGUE_ORACLE.items():
     register(f"catalogue_{_tid}", O.with_ctes(_sql))(_catalogue(_tid))
 
 
-def _conversations(spark, sf_dir) -> DataFrame:
-    from .sources.fixtures import read_driver
-    return read_driver(spark, sf_dir, "conversations")
+def _conversations(spark, sf_dir, texts: list[str]) -> DataFrame:
+    """One question or SQL text per conversation turn, so that every rule has rows."""
+    from .sources.fixtures import keyed_texts, read_driver
+    return keyed_texts(read_driver(spark, sf_dir, "conversations"), texts)
 
 
 @register("route_questions", (
     f"SELECT conv_id, turn, role, {O.route('text')} AS template_id, {O.route('text', True)} AS template_id_plural "
-    "FROM conversations"))
+    f"FROM {O.keyed_texts(QUESTION_TEXTS)}"))
 def _route_questions(spark, sf_dir):
     from .operators.catalogue import route
-    return _conversations(spark, sf_dir).select("conv_id", "turn", "role", route("text").alias("template_id"),
+    return _conversations(spark, sf_dir, QUESTION_TEXTS).select("conv_id", "turn", "role", route("text").alias("template_id"),
                                                 route("text", True).alias("template_id_plural"))
 
 
 @register("sql_safety", (
-    f"SELECT conv_id, turn, {O.is_safe('text')} AS is_safe, {O.is_safe_v1('text')} AS is_safe_v1 FROM conversations"))
+    f"SELECT conv_id, turn, {O.is_safe('text')} AS is_safe, {O.is_safe_v1('text')} AS is_safe_v1 FROM {O.keyed_texts(SQL_TEXTS)}"))
 def _sql_safety(spark, sf_dir):
     from .operators.catalogue import is_safe, is_safe_v1
-    return _conversations(spark, sf_dir).select("conv_id", "turn", is_safe("text").alias("is_safe"),
+    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", is_safe("text").alias("is_safe"),
                                                 is_safe_v1("text").alias("is_safe_v1"))
 
 
-@register("sql_safety_v1", f"SELECT conv_id, turn, {O.is_safe_v1('text')} AS is_safe_v1 FROM conversations")
+@register("sql_safety_v1", f"SELECT conv_id, turn, {O.is_safe_v1('text')} AS is_safe_v1 FROM {O.keyed_texts(SQL_TEXTS)}")
 def _sql_safety_v1(spark, sf_dir):
     """The earlier filter, plain substring tests (it also rejects e.g. ``created_at``)."""
     from .operators.catalogue import is_safe_v1
-    return _conversations(spark, sf_dir).select("conv_id", "turn", is_safe_v1("text").alias("is_safe_v1"))
+    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", is_safe_v1("text").alias("is_safe_v1"))
 
 
-@register("normalize_sql_text", f"SELECT conv_id, turn, {O.normalize_sql('text')} AS sql_text FROM conversations")
+@register("normalize_sql_text", f"SELECT conv_id, turn, {O.normalize_sql('text')} AS sql_text FROM {O.keyed_texts(SQL_TEXTS)}")
 def _normalize_sql_text(spark, sf_dir):
     from .operators.catalogue import normalize_sql_text
-    return _conversations(spark, sf_dir).select("conv_id", "turn", normalize_sql_text("text").alias("sql_text"))
+    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", normalize_sql_text("text").alias("sql_text"))
 
 
 # ------------------------------------------------------------- retrieval

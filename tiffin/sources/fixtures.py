@@ -68,6 +68,30 @@ def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Texts for the question catalogue, picked by key: every route and none, "cities", spelling
+# and white space; and SQL texts for every branch of the safety checks and the normaliser.
+QUESTION_TEXTS = [
+    "Which city has the highest GMV?", "Which cuisine gets the most orders?", "What is the delivery time in each city?",
+    "How often do people cancel by payment method?", "Which restaurant earns the most revenue?", "What is the AOV?",
+    "average order value please", "Where is cancellation worst, by city?", "Show orders by payment method", "Average delivery minutes?",
+    "avg delivery", "Which cuisine brings the most revenue?", "orders per city", "How many orders are there?", "  ORDERS \n", "Total Orders",
+    "GMV over all cities", "cancellation in big cities", "orders in the cities", "delivery time across cities", "What is the weather?", "",
+    "Orders!", "city and gmv and cuisine most orders",
+]
+SQL_TEXTS = [
+    "SELECT city FROM TIFFIN.MARTS.FCT_ORDERS", "  select 1;", "with x as (select 1) select * from x", "SELECT 1; SELECT 2", "select 1;;;",
+    "DELETE FROM TIFFIN.FCT_ORDERS", "select * from t -- drop table t", "select 1 -- a; b\nfrom t", "-- note\nselect 1", "select /* drop */ 1",
+    "select /* fine */ 1", "select created_at from t", "select drop_off from t", "select updated from t", "select 'x' as replace from t",
+    "select a from t where b = 'grant'", "SELECT Insert_ts FROM t", "selection of rows", "without", "explain select 1", "", "  ",
+    "select 1\n;\n", "Select\tTRUNCATE(1.5)", "select revoke\u00e9 from t", "TIFFIN.MARTS.TIFFIN.X;", "tiffin.marts.x", "update t set a = 1",
+]
+
+
+def keyed_texts(conversations: DataFrame, texts: list[str]) -> DataFrame:
+    """``conversations`` with ``text`` replaced by one of ``texts`` chosen by conversation and turn."""
+    return conversations.withColumn("text", pick((F.col("conv_id") * 7 + F.col("turn")) % len(texts), texts))
+
+
 def pick(index: Column, values: list) -> Column:
     """``values[index]`` for a 0-based integer Column (fixed list lookup)."""
     return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
