@@ -429,6 +429,27 @@ def _route_questions(spark, sf_dir):
                                                 route("text", True).alias("template_id_plural"))
 
 
+def _asked_sql() -> str:
+    """One row per question and result row: every routed report, its groups joined and its last column as the value."""
+    from .operators.catalogue import REPORTS, ROUTES
+    parts = []
+    for tid, _ in ROUTES:
+        by = ", ".join(REPORTS[tid].by)
+        label = f"concat_ws(', ', {by})" if by else "CAST(NULL AS VARCHAR)"
+        parts.append(f"SELECT '{tid}' AS id, {label} AS label, CAST({REPORTS[tid].name} AS DOUBLE) AS value FROM ({O.CATALOGUE_ORACLE[tid]})")
+    return O.with_ctes(
+        f"SELECT c.conv_id, c.turn, c.template_id, CASE WHEN c.template_id IS NULL THEN 'unroutable' ELSE 'answered' END AS status, r.label, r.value "
+        f"FROM (SELECT conv_id, turn, {O.route('text')} AS template_id FROM {O.keyed_texts(QUESTION_TEXTS)}) c "
+        f"LEFT JOIN ({' UNION ALL '.join(parts)}) r ON r.id = c.template_id")
+
+
+@register("ask_questions", _asked_sql())
+def _ask_questions(spark, sf_dir):
+    from .operators.catalogue import ask
+    return ask(_models(spark, sf_dir), _conversations(spark, sf_dir, QUESTION_TEXTS), "text") \
+        .select("conv_id", "turn", "template_id", "status", "label", "value")
+
+
 @register("sql_safety", (
     f"SELECT conv_id, turn, {O.is_safe('text')} AS is_safe, {O.is_safe_v1('text')} AS is_safe_v1 FROM {O.keyed_texts(SQL_TEXTS)}"))
 def _sql_safety(spark, sf_dir):
