@@ -55,3 +55,24 @@ def test_daily_runs_merge_partitioned_facts(spark, tmp_dir):
     fi = IncrementalTable(spark, f"{out}/fct_order_items", "order_item_id", "order_ts", partition_by=["city"]).read()
     items = raw.order_items.join(raw.orders.select(F.col("order_id")), "order_id").count()
     assert fi.count() == fi.select("order_item_id").distinct().count() == items
+
+
+def test_daily_run_from_landing_files(spark, tmp_dir):
+    from tiffin.plans.pipeline import TOLERANT, land, run_daily_from_landing
+    from tiffin.registry import _landing
+    landing, out = _landing(spark, SF), f"{tmp_dir}/wh"
+    raw = land(spark, landing, f"{out}/raw")
+    given = raw_from_driver(spark, SF)
+    for name in raw.names():
+        assert raw.get(name).count() == given.get(name).count()
+        if name in TOLERANT:
+            rejects = spark.read.parquet(f"{out}/raw/_rejects/{name}").collect()
+            assert [r.raw_line.startswith("bad,bad") for r in rejects] == [True]
+    again = land(spark, landing, f"{out}/raw")                     # every file is loaded once
+    assert all(again.get(n).count() == given.get(n).count() for n in raw.names())
+    # a bad row in a strict table stops the run before anything is published
+    spark.createDataFrame([("order_item_id,order_id,r_id,f_id,price,quantity,line_amount",), ("x,not a number,1,f,1,1,1",)], "value string") \
+        .coalesce(1).write.mode("append").text(f"{landing}/order_items")
+    with pytest.raises(Exception):
+        run_daily_from_landing(spark, landing, out, tests_severity="warn")
+    assert not (Path(out) / "fct_orders").exists() and not (Path(out) / "_runs").exists()

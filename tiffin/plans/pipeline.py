@@ -20,7 +20,8 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators import enrich, quality
 from ..operators.incremental import IncrementalTable
-from ..sources.raw import RawTables
+from ..sources.raw import RAW_SCHEMAS, RawTables, scan_raw
+from ..streaming.ingest import ingest_new_files, ingest_rejects
 from .models import Models
 
 TABLE_MARTS = ["dim_customers", "dim_restaurants", "dim_food", "mart_daily_city_revenue", "mart_delivery_sla",
@@ -70,6 +71,30 @@ def order_items_source(spark: SparkSession, m: Models, items: IncrementalTable,
     return marts.fct_order_items(m.stg_order_items, spark.read.parquet(stage_path))
 
 
+#: Tables whose bad rows are skipped and kept as rejects; a bad row of any other stops the run.
+TOLERANT = ("restaurants", "users", "food", "menu")
+
+
+def land(spark: SparkSession, landing: str, root: str) -> RawTables:
+    """Load every new file of the seven landing folders into RAW tables under ``root``, each file once.
+
+    Strict tables go first: a bad row in one of them stops the run before anything
+    else is loaded, and its files are read again once they are mended.
+    """
+    landing, root = landing.rstrip("/"), root.rstrip("/")
+    for name in sorted(RAW_SCHEMAS, key=lambda n: (n in TOLERANT, n)):
+        schema, tolerant = RAW_SCHEMAS[name], name in TOLERANT
+        ingest_new_files(spark, f"{landing}/{name}", schema, f"{root}/{name}", f"{root}/_loaded/{name}", tolerant=tolerant)
+        if tolerant:
+            ingest_rejects(spark, f"{landing}/{name}", schema, f"{root}/_rejects/{name}", f"{root}/_loaded/{name}-rejects")
+    return scan_raw(spark, root)
+
+
+def run_daily_from_landing(spark: SparkSession, landing: str, out_root: str, **options) -> RunResult:
+    """Land what is new, then the daily run over the RAW tables (under ``out_root``/raw)."""
+    return run_daily(spark, land(spark, landing, f"{out_root.rstrip('/')}/raw"), out_root, **options)
+
+
 def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity: str = "error",
               enrich_batch: int | None = None, partition_facts_by: list[str] | None = None,
               keys_keep_partition: bool = False) -> RunResult:

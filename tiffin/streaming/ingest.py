@@ -10,6 +10,7 @@ restarted driver or a lost executor resumes from the last committed batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -43,6 +44,20 @@ def ingest_new_files(spark: SparkSession, landing: str, schema: T.StructType, ta
     return _last_batch(spark, checkpoint) - done
 
 
+def ingest_rejects(spark: SparkSession, landing: str, schema: T.StructType, table_path: str, checkpoint: str) -> None:
+    """Append the CSV lines that a tolerant load of new files skips: raw text, file and the fields that did parse."""
+    corrupt = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
+    lines = (spark.readStream.format("csv").schema(corrupt).option("header", "true").option("escape", '"')
+             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").load(landing))
+    bad = lines.where(F.col("_corrupt_record").isNotNull()).select(
+        F.col("_corrupt_record").alias("raw_line"), F.col("_metadata.file_path").alias("file"), *schema.fieldNames())
+    q = (bad.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 def _last_batch(spark: SparkSession, checkpoint: str) -> int:
     """Id of the last committed micro-batch, -1 before the first: commit files are named by it."""
     try:
