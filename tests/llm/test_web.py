@@ -18,6 +18,14 @@ def test_marked_furniture_goes():
     assert styletree.main_text(page).split("\n\n") == ["T", "x"]
 
 
+def test_names_are_no_proof_for_the_wrapper_of_the_article():
+    page = '<div class="layout with-sidebar"><div class="sidebar">a b</div><main><h1>T</h1><p>long text here that is more</p></main></div>'
+    assert styletree.main_text(page).split("\n\n") == ["T", "long text here that is more"]
+    page = '<h1>T</h1><p>x</p><div class="comments"><p>very long comments that dominate the text of the page by far</p></div>'
+    assert styletree.main_text(page).split("\n\n") == ["T", "x"]
+    assert styletree.main_text('<p>one <button>press</button> two <span class="share">s <b>t</b></span>three</p><label><p>lab</p></label>') == "one two three"
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("plain < text & more", "plain < text & more"), ("<p>a<div>b</div>c<p", "a\n\nb\n\nc"),
                                        ("<p>a&nbsp;\n b", "a b"), ("<!-- <p>x</p> --><p>y", "y"), ("<script>x", ""), ("</p></div>z", "z"),
                                        ("<p title='a>b'>q</p>", "q"), ("<div " * 3, "")])

@@ -43,8 +43,8 @@ SCOPES = frozenset("html body table ul ol dl div section article main aside nav
 #: Words in class, id and role that name furniture, and those that name the article.
 FURNITURE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|widget|menu|nav\w*|breadcrumbs?|footer|foot|"
                        r"header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|"
-                       r"social|related|recommend\w*|comments?|disqus|replies|respond|pagination|pager|copyright|legal|search|skip|complementary|contentinfo|"
-                       r"navigation|form)(?:$|[\s_-])")
+                       r"social|related|recommend\w*|comments?|discussion|responses|feedback|disqus|replies|respond|pagination|pager|copyright|legal|disclaimer|"
+                       r"search|skip|complementary|contentinfo|navigation|form|trending|popular|teasers?|sr-only|visually-hidden)(?:$|[\s_-])")
 ASIDE = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies|related|promo\w*|sponsor\w*|ads?|advert\w*|teasers?)(?:$|[\s_-])")
 ARTICLE = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])")
 
@@ -58,9 +58,12 @@ class Element:
     tag: str
     path: int                       # hash of the names from the body down
     above: tuple["Element", ...]
-    out: bool                       # marked furniture, or inside it
+    hard: bool                      # furniture by its tag, or hidden, or inside such
+    named: tuple["Element", ...]    # elements named like furniture, from the outermost to this one
     article: bool                   # inside an article
+    out: bool = False               # furniture, once the whole page is known
     shared: bool = False            # an ancestor's children continue here (inline or too deep)
+    muted: bool = False             # inline furniture, or inside it: its text is left out of the block around it
     children: list[int] = field(default_factory=list)
 
 
@@ -73,7 +76,7 @@ class Block:
 def parse(page: str | None) -> tuple[list[Block], list[Element]]:
     """Text blocks in page order and the elements met, of any bytes: unclosed and stray tags are repaired as browsers do."""
     blocks: list[Block] = []
-    root = Element("body", 0, (), False, False)
+    root = Element("body", 0, (), False, (), False)
     elements, stack = [root], [root]
     parts: list[str] = []
     owner = root
@@ -86,7 +89,7 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
 
     def close(to: int) -> None:
         nonlocal owner
-        if any(e.tag in BLOCK or e.out for e in stack[to:]):
+        if any(e.tag in BLOCK for e in stack[to:]):
             flush()
         del stack[to:]
         owner = next(e for e in reversed(stack) if not e.shared)
@@ -94,7 +97,7 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
     page, at = page or "", 0
     while True:
         m = _TOKEN.search(page, at)
-        parts.append(page[at:m.start() if m else len(page)])
+        parts.append(" " if stack[-1].muted else page[at:m.start() if m else len(page)])
         if not m:
             break
         at = m.end()
@@ -148,24 +151,43 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
         else:
             named = bool(FURNITURE.search(names))
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
-        out = parent.out or tag in DROPPED or named or hidden or (tag == "header" and not article)
-        shared = (tag not in BLOCK and not (out and not parent.out)) or len(stack) > MAX_DEPTH
-        if tag in BLOCK or (out and not parent.out):
+        hard = tag in DROPPED or hidden or (tag == "header" and not article)
+        muted = parent.muted or (tag not in BLOCK and (named or hard))
+        if tag in BLOCK:
             flush()
-        if shared:
-            e = Element(tag, parent.path, parent.above, out, article, True)
+        if tag not in BLOCK or (len(stack) > MAX_DEPTH and not named and not hard):
+            e = Element(tag, parent.path, parent.above, parent.hard or muted, parent.named, article, shared=True, muted=muted)
         else:
             base = next(x for x in reversed(stack) if not x.shared)
             name = f"{tag}.{_DIGITS.sub('#', names)}"
-            e = Element(tag, xxhash.xxh3_64_intdigest(name.encode(), base.path) >> 1, base.above + (base,), out, article)
+            e = Element(tag, xxhash.xxh3_64_intdigest(name.encode(), base.path) >> 1, base.above + (base,), parent.hard or hard, parent.named, article, muted=muted)
+            if named:
+                e.named += (e,)
             base.children.append(xxhash.xxh3_64_intdigest(name.encode()) >> 1)
             elements.append(e)
             owner = e
         stack.append(e)
     flush()
+    _settle(blocks, elements)
     return blocks, elements
 
 
+def _settle(blocks: list[Block], elements: list[Element]) -> None:
+    """Decide what is furniture. A name is no proof for a wrapper that holds most of the page's text and its article or top heading."""
+    whole, held, holds = 0, {}, set()
+    for b in blocks:
+        if not b.element.hard:
+            whole += len(b.text)
+            for e in b.element.named:
+                held[id(e)] = held.get(id(e), 0) + len(b.text)
+                inside = b.element.above[b.element.above.index(e) + 1:] + (b.element,) if e is not b.element else ()
+                if any(x.tag in ("article", "main", "h1") for x in inside):
+                    holds.add(id(e))
+    wrappers = {e for e in holds if 2 * held[e] > whole}
+    for e in {id(x): x for x in (*elements, *(b.element for b in blocks))}.values():
+        e.out = e.hard or any(id(n) not in wrappers for n in e.named)
+
+
 def block_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
