@@ -76,3 +76,23 @@ def test_daily_run_from_landing_files(spark, tmp_dir):
     with pytest.raises(Exception):
         run_daily_from_landing(spark, landing, out, tests_severity="warn")
     assert not (Path(out) / "fct_orders").exists() and not (Path(out) / "_runs").exists()
+
+
+def test_daily_run_with_a_model_keeps_its_name_and_rejects(spark, tmp_dir):
+    from tiffin.operators import enrich as E
+
+    def picky(texts):
+        if texts.str.contains("awesome").any():
+            raise ValueError("no superlatives, please: " + "x" * 600)
+        return E.keyword_model(texts)
+
+    raw = raw_from_driver(spark, SF)
+    out = f"{tmp_dir}/wh"
+    run_daily(spark, raw, out, tests_severity="warn", model=picky, model_name="picky-1")
+    enriched = spark.read.parquet(f"{out}/review_ai_enriched")
+    rejects = spark.read.parquet(f"{out}/review_ai_enriched_rejects")
+    awesome = raw.reviews.where("comment LIKE '%awesome%'").count()
+    assert awesome and rejects.count() == awesome and enriched.count() == raw.reviews.where("comment IS NOT NULL").count() - awesome
+    assert {r.model for r in enriched.select("model").distinct().collect()} == {"picky-1"}
+    assert len(rejects.first().error) > 600                       # the whole error text is kept
+    assert latest_table(spark, out, "mart_review_insights").agg(F.sum("reviews")).first()[0] == enriched.count()

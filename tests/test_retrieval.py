@@ -76,17 +76,25 @@ def test_sample_rows_is_stable(spark):
     assert a == b and len(a) == 50
 
 
-def test_vector_cache_versions(spark, tmp_dir):
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
-
-    a = R.cached_vectors(spark, f"{tmp_dir}/vec", build, version="m1")
-    b = R.cached_vectors(spark, f"{tmp_dir}/vec", build, version="m1")
-    c = R.cached_vectors(spark, f"{tmp_dir}/vec", build, version="m2")
-    assert len(calls) == 2 and a.count() == b.count() == c.count() == 1
+def test_vector_cache_embeds_new_reviews_only(spark, tmp_dir):
+    from pathlib import Path
+    rows = [(i, "Pune", 5, f"good food {i}") for i in range(6)]
+    reviews = spark.createDataFrame(rows, "review_id long, city string, rating long, comment string")
+    seen = []
+
+    def embed(df):
+        seen.append(sorted(r.review_id for r in df.select("review_id").collect()))
+        return R.review_vectors(df)
+
+    path = f"{tmp_dir}/vec"
+    assert R.cached_vectors(spark, path, reviews.where("review_id < 4"), embed, "m1").count() == 4
+    assert R.cached_vectors(spark, path, reviews, embed, "m1").count() == 6
+    assert R.cached_vectors(spark, path, reviews, embed, "m1").count() == 6
+    (Path(path) / "version=m1" / "part-broken").mkdir()           # a refresh that never finished
+    (Path(path) / "version=m1" / "part-broken" / "part-0.parquet").write_bytes(b"not parquet")
+    assert R.cached_vectors(spark, path, reviews, embed, "m1").count() == 6
+    assert R.cached_vectors(spark, path, reviews, embed, "m2").count() == 6
+    assert seen == [[0, 1, 2, 3], [4, 5], [], [], [0, 1, 2, 3, 4, 5]]
 
 
 def test_more_queries_than_one_pass_holds(spark, monkeypatch):

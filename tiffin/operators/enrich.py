@@ -187,13 +187,15 @@ def active_to_mart_shape(active: DataFrame) -> DataFrame:
 
     Label and topic come from the active row; the score and key issue, which the
     active shape does not carry, are derived from the comment with the keyword rules.
+    A ``model`` column names whoever labelled the row; without one it was the keyword rules.
     """
-    f = with_keyword_hits(active.select("review_id", "comment", "sentiment", "category"))
+    named = active if "model" in active.columns else active.withColumn("model", F.lit(KEYWORD_MODEL))
+    f = with_keyword_hits(named.select("review_id", "comment", "sentiment", "category", "model"))
     return f.select(F.col("review_id").cast("string").alias("review_id"),
                     F.col("sentiment").alias("sentiment_label"),
                     _score(F.col("_pos"), F.col("_neg")).alias("sentiment_score"),
                     _topic(F.col("category")).alias("topic"),
-                    key_issue(F.col("_lt")).alias("key_issue"), F.lit(KEYWORD_MODEL).alias("model"),
+                    key_issue(F.col("_lt")).alias("key_issue"), "model",
                     F.current_timestamp().alias("enriched_at"))
 
 

@@ -7,6 +7,7 @@ corpus size, and a ``row_number() <= k`` window picks the answer.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,33 +71,36 @@ def keyword_batch(texts: pd.Series) -> list[list[float]]:
     return np.column_stack([low.str.contains(w, regex=False).to_numpy(float) for w in EMBED_KEYWORDS]).tolist()
 
 
-def review_vectors(reviews_stg: DataFrame) -> DataFrame:
-    """The embedded review corpus: review_id, city, rating, comment, embedding."""
-    return reviews_stg.where(F.col("comment").isNotNull()).select(
-        "review_id", "city", "rating", F.col("comment").cast("string").alias("comment"),
-        keyword_vector("comment").alias("embedding"))
+def review_vectors(reviews_stg: DataFrame, model: Callable[[pd.Series], list[list[float]]] | None = None) -> DataFrame:
+    """The embedded review corpus: review_id, city, rating, comment, embedding (keyword vectors, or the caller's model)."""
+    rows = reviews_stg.where(F.col("comment").isNotNull()).select(
+        "review_id", "city", "rating", F.col("comment").cast("string").alias("comment"))
+    if model is None:
+        return rows.withColumn("embedding", keyword_vector("comment"))
+    return embed_with_model(rows, "comment", model, ["review_id", "city", "rating", "comment"])
 
 
-def cached_vectors(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                   version: str | None = None) -> DataFrame:
-    """Read the embedded corpus from ``path`` if present, else build, write, re-read.
+def cached_vectors(spark: SparkSession, path: str, reviews: DataFrame, embed: Callable[[DataFrame], DataFrame],
+                   version: str | None = None, key: str = "review_id") -> DataFrame:
+    """The embedded corpus kept under ``path``; only reviews without a vector there are embedded.
 
-    ``version`` (e.g. the embedding model and source snapshot) names a sub-folder,
-    so a new model or source is rebuilt instead of served stale. A failed write is
-    not fatal: the freshly built frame is returned instead.
+    Each refresh writes a folder of its own and logs it afterwards, and readers take
+    logged folders only, so a broken or half-written refresh is embedded again and
+    never served. ``version`` (e.g. the model's name) keeps the vectors of different
+    models apart. An error while writing is an error.
     """
-    if version is not None:
-        path = f"{path.rstrip('/')}/version={version}"
+    root = path.rstrip("/") + (f"/version={version}" if version is not None else "")
     try:
-        return spark.read.parquet(path)
+        parts = [r.folder for r in spark.read.schema("folder string").json(f"{root}/_parts").distinct().collect()]   # one row per refresh
     except AnalysisException:
-        pass
-    df = build()
-    try:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - a cache write error must not stop the answer
-        return df
+        parts = []
+    new = reviews if not parts else reviews.join(spark.read.parquet(*parts).select(key), key, "left_anti")
+    folder = f"{root}/part-{uuid.uuid4().hex[:12]}"
+    embed(new).write.parquet(folder)
+    if not parts or not spark.read.parquet(folder).isEmpty():
+        spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("append").json(f"{root}/_parts")
+        parts.append(folder)
+    return spark.read.parquet(*parts)
 
 
 def embed_with_model(texts: DataFrame, text_col: str, model: Callable[[pd.Series], list[list[float]]],
@@ -111,7 +115,7 @@ def embed_with_model(texts: DataFrame, text_col: str, model: Callable[[pd.Series
             out["embedding"] = [list(map(float, v)) for v in model(pdf[text_col])]
             yield out
 
-    return texts.select(*key_cols, text_col).mapInPandas(run, schema)
+    return texts.select(*dict.fromkeys([*key_cols, text_col])).mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------------ scoring
@@ -253,9 +257,15 @@ def score_against_all(corpus: DataFrame, id_col: str, vec_col: str, queries: Dat
     return _scored(corpus, id_col, vec_col, queries, query_id, query_vec, None, [], score_digits)
 
 
-def retrieve(corpus: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
-    """A8 + A9: top-k reviews per question (query_id, review columns, score, rank)."""
-    qv = questions.select("question_id", keyword_vector("question").alias("v"))
+def retrieve(corpus: DataFrame, questions: DataFrame, k: int = TOP_K,
+             model: Callable[[pd.Series], list[list[float]]] | None = None) -> DataFrame:
+    """A8 + A9: top-k reviews per question (query_id, review columns, score, rank).
+
+    ``model`` must be the one that embedded the corpus; without it both are keyword vectors."""
+    if model is None:
+        qv = questions.select("question_id", keyword_vector("question").alias("v"))
+    else:
+        qv = embed_with_model(questions, "question", model, ["question_id"]).withColumnRenamed("embedding", "v")
     return cosine_topk_all(corpus, "review_id", "embedding", qv, "question_id", "v", k,
                            keep=["city", "rating", "comment"])
 

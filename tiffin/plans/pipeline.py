@@ -46,11 +46,26 @@ def _read_or_none(spark: SparkSession, path: str, schema: str | None = None) ->
 
 
 def append_new_enrichment(spark: SparkSession, reviews: DataFrame, table_path: str,
-                          batch_size: int | None = None) -> DataFrame:
-    """Classify reviews that are not in the enriched table yet and append them."""
+                          batch_size: int | None = None, model: enrich.BatchModel | None = None,
+                          model_name: str | None = None) -> DataFrame:
+    """Classify reviews that are not in the enriched table yet and append them, with the model's name.
+
+    With ``model`` (a batch classifier) each new review is sent to it once; rows it fails on
+    go to ``<table_path>_rejects`` with the error and are tried again by the next run.
+    """
     done = _read_or_none(spark, table_path)
     todo = enrich.reviews_to_enrich(reviews, done, batch_size)
-    enrich.enrich_reviews(todo).write.mode("append").parquet(table_path)
+    if model is None:
+        new = enrich.enrich_reviews(todo)
+    else:
+        staged = f"{table_path}_answers/{uuid.uuid4().hex[:12]}"       # the model answers once for both outputs
+        enrich.enrich_with_model(todo, model).write.parquet(staged)
+        good, bad = enrich.split_rejects(spark.read.parquet(staged))
+        bad.write.mode("append").parquet(f"{table_path}_rejects")
+        new = todo.select(*enrich.REVIEW_COLUMNS).join(good.select("review_id", "sentiment", "category", "confidence"), "review_id") \
+            .select(*enrich.REVIEW_COLUMNS, "sentiment", "category", "confidence")
+    name = model_name or (enrich.KEYWORD_MODEL if model is None else getattr(model, "__name__", "model"))
+    new.withColumn("model", F.lit(name)).write.mode("append").parquet(table_path)
     return spark.read.parquet(table_path)
 
 
@@ -97,7 +112,8 @@ def run_daily_from_landing(spark: SparkSession, landing: str, out_root: str, **o
 
 def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity: str = "error",
               enrich_batch: int | None = None, partition_facts_by: list[str] | None = None,
-              keys_keep_partition: bool = False) -> RunResult:
+              keys_keep_partition: bool = False, model: enrich.BatchModel | None = None,
+              model_name: str | None = None) -> RunResult:
     """One daily run. ``partition_facts_by`` (e.g. ``["order_date"]`` on a large warehouse)
     writes facts in folders per value, and a merge rewrites only the partitions its
     batch touches; each task writes its own files, so a hot day never funnels into
@@ -141,7 +157,7 @@ def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity
         m.pin(name, spark.read.parquet(path))
 
     # Enrichment (active shape, appended) and the insight mart over its bridged rows.
-    enriched = append_new_enrichment(spark, m.raw.reviews, f"{out}/review_ai_enriched", enrich_batch)
+    enriched = append_new_enrichment(spark, m.raw.reviews, f"{out}/review_ai_enriched", enrich_batch, model, model_name)
     m.pin("review_enriched", enrich.active_to_mart_shape(enriched))
     path = f"{out}/mart_review_insights/run={run_id}"
     m.mart_review_insights.write.mode("overwrite").parquet(path)
