@@ -174,3 +174,39 @@ def test_partitioned_merge_on_two_partition_columns(spark, tmp_dir):
     assert t._entry().partitions_rewritten == 2
     out = sorted((r.order_id, r.v) for r in t.read().collect())
     assert out == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
+
+
+def test_latest_row_with_maps_and_ties(spark, tmp_dir):
+    import datetime as dt
+    from tiffin.operators.incremental import IncrementalTable
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    table = IncrementalTable(spark, f"{tmp_dir}/t", "k", "ts")
+    schema = "k long, ts timestamp_ntz, v string, m map<string,int>"
+    table.full_refresh(spark.createDataFrame([(1, t0, "a", {"x": 1})], schema))
+    table.merge(spark.createDataFrame([(1, t1, "b", {"x": 2}), (1, t1, "c", {"x": 3}), (1, t0, "z", None), (2, t0, None, None)], schema), on_duplicates="latest")
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [(1, "c"), (2, None)]
+
+
+def test_two_writers_of_one_version_are_noticed(spark, tmp_dir):
+    import datetime as dt
+    import pytest
+    from tiffin.operators.incremental import ConcurrentWriteError, IncrementalTable
+    row = spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "k long, ts timestamp_ntz")
+    one, two = (IncrementalTable(spark, f"{tmp_dir}/t", "k", "ts") for _ in range(2))
+    one.full_refresh(row)
+    with pytest.raises(ConcurrentWriteError):
+        two._publish(row, "full", 0)              # began before the other's version was logged
+
+
+def test_retention_keeps_the_newest_versions(spark, tmp_dir):
+    import datetime as dt
+    from pathlib import Path
+    from tiffin.operators.incremental import IncrementalTable
+    table = IncrementalTable(spark, f"{tmp_dir}/t", "k", "ts")
+    for day in range(1, 5):
+        row = spark.createDataFrame([(day, dt.datetime(2024, 1, day))], "k long, ts timestamp_ntz")
+        table.full_refresh(row) if day == 1 else table.merge(row)
+    assert [Path(p).name for p in table.retain(2)] == ["_batches", "v000001", "v000002"]
+    assert table.read().count() == 4 and table.read(3).count() == 3 and table.retain(2) == []
+    table.merge(spark.createDataFrame([(9, dt.datetime(2024, 2, 1))], "k long, ts timestamp_ntz"))
+    assert table.read().count() == 5

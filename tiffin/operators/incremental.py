@@ -19,7 +19,7 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -50,6 +50,10 @@ def watermark_filter(source: DataFrame, ts_col: str, watermark: dt.datetime | No
     return source.where(F.col(ts_col) > ntz_literal(bound))
 
 
+class ConcurrentWriteError(RuntimeError):
+    """Two runs wrote the same version of a table at once; one writer at a time is supported."""
+
+
 class IncrementalTable:
     """A fact table kept as Parquet plus an append-only ``_log`` of versions.
 
@@ -130,6 +134,9 @@ class IncrementalTable:
             [(v, mode, dt.datetime.now(dt.timezone.utc).isoformat(), location, schema, wm, rewritten)],
             self._LOG_SCHEMA)
         entry.coalesce(1).write.mode("append").json(self._log_path())
+        written = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path()).where(F.col("version") == v).count()
+        if written > 1:
+            raise ConcurrentWriteError(f"another run has logged version {v} of {self.path} as well")
         return v
 
     def _write(self, df: DataFrame, location: str, dynamic: bool = False):
@@ -163,14 +170,12 @@ class IncrementalTable:
 
     def _dedupe(self, batch: DataFrame, target: DataFrame, on_duplicates: str) -> DataFrame:
         if on_duplicates == "latest":
-            # Newest row per key as a max over (ts, row): a hash aggregation with a
-            # partial step, so a key repeated across a third of the batch is reduced
-            # map-side instead of landing in one task. Ties on ts resolve by the row.
-            rest = [c for c in batch.columns if c not in self.keys and c != self.ts_col]
-            best = F.max(F.struct(F.col(self.ts_col).alias("_ts"), *[F.col(c) for c in rest])).alias("_b")
-            return (batch.groupBy(*self.keys).agg(best)
-                    .select(*self.keys, F.col("_b._ts").alias(self.ts_col), *[F.col(f"_b.{c}") for c in rest])
-                    .select(*batch.columns))
+            # row_number() = 1 is planned with a partial group limit: each task keeps one row of
+            # a key, so a key repeated across a third of the batch does not land in one task.
+            # Ties on ts resolve by the row; map columns have no order and do not take part.
+            rest = [f.name for f in batch.schema.fields if f.name not in (*self.keys, self.ts_col) and not isinstance(f.dataType, T.MapType)]
+            w = Window.partitionBy(*self.keys).orderBy(F.col(self.ts_col).desc(), *[F.col(c).desc() for c in rest])
+            return batch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
         if on_duplicates == "error":
             # Only the batch is aggregated; the target is consulted only if a key repeats.
             dups = batch.groupBy(*self.keys).count().where("count > 1").select(*self.keys)
@@ -265,6 +270,31 @@ class IncrementalTable:
         wm = max([w for w in (prev, wm) if w is not None], default=None)
         return self._log(version + 1, "merge", entry.location, merged.schema.json(), wm, len(touched))
 
+    def retain(self, versions: int = 7) -> list[str]:
+        """Remove version folders that none of the newest ``versions`` log entries names, and finished staging folders.
+
+        Nothing calls this by itself: run it when no reader holds an older version and no
+        merge is under way. Returns the removed folders. The log keeps its entries.
+        """
+        if versions < 1:
+            raise ValueError("keep at least one version")
+        current = self.current_version()
+        if current is None:
+            return []
+        log = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path())
+        kept = {r.location.rstrip("/") for r in log.where(F.col("version") > current - versions).select("location").collect()}
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        removed = []
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            old = name.startswith("v") and name[1:].isdigit() and f"{self.path}/{name}" not in kept
+            if old or name == "_batches":
+                fs.delete(status.getPath(), True)
+                removed.append(f"{self.path}/{name}")
+        return sorted(removed)
+
     def run(self, source: DataFrame, source_ts_col: str | None = None,
             lookback: dt.timedelta | None = None, on_duplicates: str = "error") -> int:
         """One model run: full build the first time, else filter by watermark and merge."""
