@@ -94,35 +94,53 @@ def failures(test: Test, models) -> DataFrame:
 def dq_report(models, tests: list[Test] = PROJECT_TESTS) -> DataFrame:
     """Q5: one row per test with its number of failing rows.
 
-    Tests that only need a scan (not_null, accepted_values) share one aggregation
-    pass per model; unique tests group by their column, and relationship tests count
-    child rows per key before anti-joining the parent, each with partial
-    aggregation before any shuffle.
+    A model is read once for its unique column and all its not_null tests (one row
+    per key after partial aggregation, then one row in all) and once more if it has
+    accepted_values or relationships tests: their columns are grouped together, so
+    both work on one row per distinct pair, and a customer holding a third of all
+    orders reaches the anti join as a few rows.
     """
     parts: list[DataFrame] = []
+
+    def stacked(counts: DataFrame, names: list[str]) -> None:
+        stack = ", ".join(f"'{n}', `{n}`" for n in names)
+        parts.append(counts.selectExpr(f"stack({len(names)}, {stack}) AS (test_name, failures)"))
+
     by_model: dict[str, list[Test]] = {}
     for t in tests:
-        if t.kind in ("not_null", "accepted_values"):
-            by_model.setdefault(t.model, []).append(t)
+        by_model.setdefault(t.model, []).append(t)
     for model, ts in by_model.items():
-        aggs = []
-        for t in ts:
-            c = F.col(t.column)
-            if t.kind == "not_null":
-                aggs.append(F.count_if(c.isNull()).alias(t.name))
-            else:  # one failing row per distinct unaccepted value
-                aggs.append(F.count_distinct(F.when(c.isNotNull() & ~c.isin(list(t.args)), c)).alias(t.name))
-        counts = models.table(model).agg(*aggs)
-        stack = ", ".join(f"'{t.name}', `{t.name}`" for t in ts)
-        parts.append(counts.selectExpr(f"stack({len(ts)}, {stack}) AS (test_name, failures)"))
-    for t in tests:
-        if t.kind == "unique":
-            parts.append(failures(t, models).agg(F.count(F.lit(1)).alias("failures"))
-                         .select(F.lit(t.name).alias("test_name"), "failures"))
-        elif t.kind == "relationships":
-            parent, field = t.args
-            parts.append(relationship_failure_count(models.table(t.model), t.column, models.table(parent), field)
-                         .select(F.lit(t.name).alias("test_name"), "failures"))
+        df = models.table(model)
+        unique = [t for t in ts if t.kind == "unique"]
+        null = [t for t in ts if t.kind == "not_null"]
+        keys = list(dict.fromkeys(t.column for t in unique))
+        if keys or null:
+            # The not_null counts ride along with the first unique column, or form a plain scan.
+            for i, key in enumerate(keys or [None]):
+                ride = null if i == 0 else []
+                counts = [F.count_if(F.col(t.column).isNull()).alias(t.name) for t in ride]
+                if key is None:
+                    stacked(df.agg(*counts), [t.name for t in ride])
+                    continue
+                per_key = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), *counts)
+                mine = [t.name for t in unique if t.column == key]
+                repeated = F.count_if(F.col("_key").isNotNull() & (F.col("_n") > 1))
+                stacked(per_key.agg(*[repeated.alias(n) for n in mine],
+                                    *[F.coalesce(F.sum(t.name), F.lit(0)).alias(t.name) for t in ride]), mine + [t.name for t in ride])
+        values = [t for t in ts if t.kind == "accepted_values"]
+        links = [t for t in ts if t.kind == "relationships"]
+        columns = list(dict.fromkeys(t.column for t in values + links))
+        if columns:
+            groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+            if values:   # one failing row per distinct unaccepted value
+                stacked(groups.agg(*[F.count_distinct(F.when(F.col(t.column).isNotNull() & ~F.col(t.column).isin(list(t.args)), F.col(t.column)))
+                                     .alias(t.name) for t in values]), [t.name for t in values])
+            for t in links:
+                parent, field = t.args
+                keys_ = models.table(parent).select(F.col(field).alias("_parent_key")).where(F.col("_parent_key").isNotNull())
+                child = groups.where(F.col(t.column).isNotNull())
+                orphans = child.join(keys_, child[t.column] == keys_["_parent_key"], "left_anti")
+                parts.append(orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("failures")).select(F.lit(t.name).alias("test_name"), "failures"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
