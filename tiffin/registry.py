@@ -596,6 +596,27 @@ def _fct_orders_incremental(spark, sf_dir):
     return comparable(t.read())
 
 
+@register("fct_orders_partitioned", O.with_ctes(f"SELECT {O.as_double(_FCT_DEC)} FROM fct_orders"))
+def _fct_orders_partitioned(spark, sf_dir):
+    """The fact in one folder per year: each later run rewrites only the years its rows fall in."""
+    from .operators.incremental import IncrementalTable
+    from .session import scratch_path
+    fct = _models(spark, sf_dir).fct_orders
+    t = IncrementalTable(spark, scratch_path(spark, "fct_orders_by_year"), "order_id", "order_timestamp",
+                         partition_by=["order_year"], keys_keep_partition=True)
+    by_year = fct.withColumn("order_year", F.year("order_date"))
+    for until in (CUTOFF, "1998-07-15 00:00:00", None, None):          # the last run finds nothing new
+        t.run(by_year if until is None else by_year.where(F.col("order_timestamp") < _ts(until)))
+    return comparable(t.read().select(*fct.columns))
+
+
+@register("sample_rows_large", O.with_ctes(
+    "SELECT * FROM stg_reviews ORDER BY md5('17:' || CAST(review_id AS VARCHAR)), review_id LIMIT 5000"))
+def _sample_rows_large(spark, sf_dir):
+    from .operators.sampling import sample_rows
+    return sample_rows(_models(spark, sf_dir).stg_reviews, 5000, key="review_id")
+
+
 @register("fct_order_items_incremental", O.with_ctes(f"SELECT {O.as_double(['price', 'line_amount'])} "
                                                      "FROM fct_order_items"))
 def _fct_order_items_incremental(spark, sf_dir):
