@@ -90,7 +90,11 @@ def tokens(host: str | None, path: str | None, words: Unigrams) -> list[str]:
 
 
 def count_words(texts: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS) -> dict[str, int]:
-    """The ``max_words`` most frequent words (runs of letters, lower case) of all texts; ties go by the alphabet."""
+    """The most frequent words (runs of letters, lower case) of all texts, at most ``max_words`` of them.
+
+    The cut falls between two of the fine steps of a logarithmic count scale, so
+    words of one count stay or go together and only they reach the driver.
+    """
     word = re.compile(r"[^\W\d_]+")
 
     def run(batches):
@@ -108,8 +112,15 @@ def count_words(texts: DataFrame, text_col: str = "text", max_words: int = MAX_W
         yield emit()
 
     counts = texts.select(text_col).mapInArrow(run, "word string, n long").where(F.length("word") <= MAX_WORD) \
-        .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_words)
-    return {r["word"]: r["n"] for r in counts.collect()}
+        .groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 64).cast("int"))
+    counts = stage(counts, "url-words")
+    least, total = 1 << 30, 0
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():       # a few thousand steps at most
+        total += r["count"]
+        if total > max_words:
+            break
+        least = r["step"]
+    return {r["word"]: r["n"] for r in counts.where(F.col("step") >= least).collect()}
 
 
 # ------------------------------------------------------------------ operator
