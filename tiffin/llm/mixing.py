@@ -21,7 +21,7 @@ from .common import SPACE, let, stage
 #: Domains, most wanted first, and their target shares of the tokens kept; tokens kept per token of input.
 TARGETS = {"high": 0.82, "low": 0.08, "toxic": 0.1}
 BUDGET = 0.95
-#: Labelled documents learned from, at most (picked by a hash of the id); a fifth of them sets the temperature.
+#: Labelled documents learned from, at most about (picked by a hash of the id); a fifth of them sets the temperature.
 MAX_LABELLED = 6000
 #: Word buckets of the classifier; integer steps per unit of log-likelihood; a bucket counts as evidence if its document
 #: shares in two domains differ by this many standard errors.
@@ -92,16 +92,17 @@ def posteriors() -> dict[str, Column]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Classifier:
-    """Learn domains from at most ``max_labelled`` labelled documents.
+    """Learn domains from at most about ``max_labelled`` labelled documents, picked by a hash of the id.
 
     Labels without an id or a usable value are ignored; of repeated labels the
     worst counts. Domains that no document has keep a small prior.
     """
     order = F.create_map(*[x for i, d in enumerate(DOMAINS) for x in (F.lit(d), F.lit(i))])
-    picked = labels.select(F.col(id_col).alias("label_id"), order[label_domain()].alias("domain")).where("label_id IS NOT NULL AND domain IS NOT NULL") \
-        .groupBy("label_id").agg(F.max("domain").alias("domain")) \
-        .withColumn("h", F.xxhash64("label_id")).orderBy("h", "label_id").limit(max_labelled)
-    # At most max_labelled rows of three numbers: safe to send to every executor.
+    usable = labels.select(F.col(id_col).alias("label_id"), order[label_domain()].alias("domain")).where("label_id IS NOT NULL AND domain IS NOT NULL") \
+        .groupBy("label_id").agg(F.max("domain").alias("domain")).withColumn("h", F.xxhash64("label_id"))
+    share = min(1.0, max_labelled / max(1, usable.count()))
+    picked = usable.where(F.pmod(F.shiftright("h", 8), F.lit(1_000_000)) < share * 1_000_000)
+    # About max_labelled rows of three numbers: safe to send to every executor.
     known = stage(docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "label_id"), "mix-labelled")
     learn, check = known.where(F.pmod("h", F.lit(5)) != 0), known.where(F.pmod("h", F.lit(5)) == 0)
     seen = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
