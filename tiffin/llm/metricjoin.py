@@ -115,9 +115,12 @@ def _links(classes: DataFrame, width: int, dtype: str, least: float, cell: int,
     reach = math.sqrt(max(0.0, 2 - 2 * least))
     n = classes.count()
     want = max(1, min(max_pivots, -(-n // cell)))
-    # At most max_pivots * CANDIDATES vectors reach the driver.
-    seen = classes.select("id", "vec", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(want * CANDIDATES).collect()
-    pivots = choose_pivots(unit(_matrix([r["vec"] for r in seen], dtype, width)), want)
+    # About max_pivots * CANDIDATES vectors reach the driver, picked by a hash of the id; all of a table smaller than that.
+    share = want * CANDIDATES / n
+    seen = classes.select("id", "vec").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < share * 1_000_000_000).collect()
+    if not seen:
+        seen = classes.select("id", "vec").limit(1).collect()
+    pivots = choose_pivots(unit(_matrix([r["vec"] for r in sorted(seen, key=lambda r: r["id"])], dtype, width)), want)
     shared = spark.sparkContext.broadcast(pivots)
 
     def count(batches):
