@@ -103,15 +103,16 @@ def edges(word: str, pieces: Pieces) -> list[list[tuple[int, tuple[int, ...], fl
 def best_paths(word: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The ``n`` segmentations of highest score (fewer if there are fewer), best first.
 
-    Of equal scores the path found first stays first; longer last pieces are tried first.
+    Of equal scores the path found first stays first.
     """
     ends = edges(word, pieces)
     ahead = [0.0] + [0.0] * len(word)   # best score of a path from the start: the exact heuristic
     for end in range(1, len(word) + 1):
         ahead[end] = max(ahead[start] + score for start, _, score in ends[end])
-    out, agenda, order = [], [(-ahead[-1], 0, len(word), 0.0, ())], 1
+    # Of equal scores the place nearest the start goes first, so ties are followed to their end one by one.
+    out, agenda, order = [], [(-ahead[-1], len(word), 0, 0.0, ())], 1
     while agenda and len(out) < n:
-        _, _, at, behind, tail = heapq.heappop(agenda)
+        _, at, _, behind, tail = heapq.heappop(agenda)
         if at == 0:
             ids: list[int] = []
             while tail:
@@ -120,7 +121,7 @@ def best_paths(word: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int
             out.append((behind, tuple(ids)))
             continue
         for start, ids_, score in reversed(ends[at]):
-            heapq.heappush(agenda, (-(ahead[start] + score + behind), order, start, behind + score, (ids_, tail)))
+            heapq.heappush(agenda, (-(ahead[start] + score + behind), start, order, behind + score, (ids_, tail)))
             order += 1
     return out
 
