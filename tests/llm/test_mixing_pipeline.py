@@ -35,6 +35,49 @@ def test_rates_match_a_plain_solver(spark):
     assert np.abs(np.array([r["r"] for r in got]) - want).max() < 0.1
 
 
+def reached(spark, p, tokens, shares):
+    cells = stage(spark.createDataFrame([(*map(float, x), int(t)) for x, t in zip(p, tokens)], "p_high double, p_low double, p_toxic double, tokens long"), "t")
+    rates = mixing.fit_rates(cells, dict(zip(mixing.DOMAINS, shares)), 0.95)
+    rows = cells.select("p_high", "p_low", "p_toxic", "tokens", rates.fold([F.col(f"p_{d}") for d in mixing.DOMAINS])["r"].alias("r")).collect()
+    p, w, r = (np.array(x, float) for x in ([list(x)[:3] for x in rows], [x["tokens"] for x in rows], [x["r"] for x in rows]))
+    return (w / w.sum() * r) @ p, r, rows
+
+
+def test_feasible_targets_are_met(spark):
+    # A domain with 1 % of the tokens and a goal of 9.5 % needs rates of 9.5.
+    totals, r, rows = reached(spark, np.eye(3), [9800, 100, 100], (0.8, 0.1, 0.1))
+    assert np.abs(totals - 0.95 * np.array([0.8, 0.1, 0.1])).max() < 1e-6
+    assert {round(x["r"], 4) for x in rows if x["tokens"] == 100} == {9.5}
+    rng = np.random.default_rng(4)
+    p = np.vstack([np.eye(3), rng.dirichlet([4, 0.5, 0.5], 300)])
+    tokens = [3, 3, 3, *rng.integers(1, 500, 300)]
+    for shares in ((0.82, 0.08, 0.1), (0.5, 0.2, 0.3), (0.6, 0.35, 0.05)):
+        assert np.abs(reached(spark, p, tokens, shares)[0] - 0.95 * np.array(shares)).max() < 1e-6
+    # Of many ways to meet what is met already, the rates that stay at one.
+    w = np.array(tokens) / sum(tokens)
+    assert np.abs(reached(spark, p, tokens, w @ p)[1] - 0.95).max() < 0.06
+
+
+def test_targets_beyond_the_posteriors_are_approached_as_near_as_can_be(spark):
+    # Every posterior has a fifth or more of toxic: of the two rays, the nearest point of their cone.
+    p, tokens = np.array([[0.8, 0.0, 0.2], [0.1, 0.7, 0.2], [0.1, 0.1, 0.8]]), [500, 300, 200]
+    goal = 0.95 * np.array([0.6, 0.35, 0.05])
+    face = p[:2].T
+    nearest = face @ np.linalg.lstsq(face, goal, rcond=None)[0]
+    totals, r, _ = reached(spark, p, tokens, (0.6, 0.35, 0.05))
+    assert np.abs(totals - nearest).max() < 1e-6 and min(r) == 0
+
+
+def test_copies_of_one_row_are_dealt_over_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    member = docs.withColumns({k: F.lit(0) for k in mixing.CELL})
+    rates = spark.createDataFrame([(0, 0, 200.0)], ", ".join(f"{k} int" for k in mixing.CELL) + ", rate double")
+    monkeypatch.setattr(mixing, "_fitted", lambda *a: (None, rates, None))
+    monkeypatch.setattr(mixing, "_scored", lambda d, m, t, *keep: member.select(*keep, *mixing.CELL))
+    again = mixing.resample(docs, None)
+    assert sorted(map(str, (tuple(r) for r in again.collect()))) == sorted(str(x) for x in [(1, "a"), (2, "b"), (3, "c"), (None, "d")] for _ in range(200))
+
+
 def test_mix_follows_targets_and_labels(spark):
     rng = np.random.default_rng(5)
     say = lambda words, n: " ".join(rng.choice(words, n))

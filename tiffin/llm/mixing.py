@@ -2,10 +2,10 @@
 
 A classifier learned from the labels table gives every document a posterior over
 domains. Document rates (expected numbers of copies) are then fitted by
-projected-gradient least squares, so that the expected tokens per domain meet
-their targets while rates stay near one. DataFrame expressions do all the work;
-the driver sees bounded things only: word-bucket counts of the labelled sample
-and one small vector per gradient step.
+nonnegative least squares, so that the expected tokens per domain meet their
+targets; of all rates that do so equally well, the ones closest to one are taken.
+DataFrame expressions do all the work; the driver sees bounded things only:
+word-bucket counts of the labelled sample and a few sums per step of the fit.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import math
 from dataclasses import dataclass
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACE, let, stage
@@ -28,8 +29,12 @@ MAX_LABELLED = 6000
 BUCKETS, UNIT, EVIDENT = 16384, 1024, 6.0
 #: Posteriors are multiples of 1 / GRID, so documents fall into a bounded number of cells with equal rates.
 GRID = 200
-#: Pull of the rates towards one, their upper bound, gradient steps at most, and the change of the totals that ends them.
-PULL, MAX_RATE, STEPS, SETTLED = 0.02, 4.0, 80, 1e-5
+#: Pull of the rates towards one: only breaks ties, domain totals are off by this times a few units. Rates have no upper bound.
+PULL, MAX_RATE = 1e-9, math.inf
+#: Newton steps at most for each of the falling pulls on the way there, and the error of the totals that ends them.
+STEPS, SETTLED = 60, 1e-10
+#: Copies of a row that are made at once; more are dealt over the tasks first.
+COPIES = 64
 
 DOMAINS = list(TARGETS)
 
@@ -139,52 +144,66 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 @dataclass
 class Rates:
-    """Fitted rates as the history of gradient steps: any document's rate follows from its posterior alone."""
+    """Fitted rates: any document's rate follows from its posterior alone."""
 
-    step: float
-    history: list[tuple[list[float], float]]     # per step: residual per domain, momentum before the step
+    slope: list[float]                           # per domain
 
     def fold(self, p: list[Column]) -> Column:
-        """struct(r, before): the rate after all steps and after all but the last."""
-        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before"))
-        if not self.history:
-            return start
-        steps = F.split(F.lit(";".join(",".join(map(repr, [*g, beta])) for g, beta in self.history)), ";")
-        steps = F.transform(steps, lambda s: F.split(s, ",").cast("array<double>"))
+        """struct(r): the rate, max(0, 1 + slope * posterior)."""
+        return F.struct(F.greatest(sum((F.lit(k) * c for k, c in zip(self.slope, p)), F.lit(1.0)), F.lit(0.0)).alias("r"))
 
-        def one(state: Column, s: Column) -> Column:
-            y = state["r"] + s[len(p)] * (state["r"] - state["before"])
-            slope = sum((c * s[i] for i, c in enumerate(p)), F.lit(0.0)) + PULL * (y - 1)
-            return F.struct(F.least(F.greatest(y - self.step * slope, F.lit(0.0)), F.lit(MAX_RATE)).alias("r"), state["r"].alias("before"))
-        return F.aggregate(steps, start, one)
 
-
-def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> Rates:
+def fit_rates(cells: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, pull: float = PULL) -> Rates:
     """Fit rates r >= 0 on ``cells`` (p_<domain>, tokens; staged): least squares of expected domain tokens to their targets.
 
-    Minimises 1/2 |A(r) - t|^2 + PULL/2 * sum_i w_i (r_i - 1)^2, where w_i is the
+    Minimises 1/2 |A(r) - t|^2 + pull/2 * sum_i w_i (r_i - 1)^2, where w_i is the
     cell's share of all tokens, A(r)_d = sum_i w_i r_i p_id and t_d = budget *
-    target share: accelerated gradient steps in the metric of the w_i, projected
-    to [0, MAX_RATE]. Each step is one distributed sum; its few numbers are the
-    only thing the driver keeps.
+    target share. The minimum has r_i = max(0, 1 + slope * p_i) with one slope per
+    domain, where A(r) - t + pull * slope = 0; Newton steps find the slopes, for
+    pulls that fall tenfold from 0.1 to ``pull``. Targets that some rates can meet
+    are met; of others the nearest that can is. Each step is one or two
+    distributed sums; their few numbers are the only thing the driver keeps.
     """
     w = F.col("tokens") / F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 1))
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    goal = [budget * targets[d] / sum(targets.values()) for d in DOMAINS]
-    spread = cells.agg(F.sum(w * sum((x * x for x in p), F.lit(0.0)))).first()[0] or 0.0   # bounds the largest eigenvalue
-    rates = Rates(1.0 / (spread + PULL), [])
-    t, last = 1.0, None
-    for _ in range(STEPS):
-        nxt = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        beta = (t - 1) / nxt if rates.history else 0.0
-        state = rates.fold(p)
-        now = cells.select("*", state.alias("state")).select(*p, "tokens", (F.col("state.r") + beta * (F.col("state.r") - F.col("state.before"))).alias("y"))
-        totals = [x or 0.0 for x in now.agg(*[F.sum(w * F.col("y") * x) for x in p]).first()]
-        rates.history.append(([a - b for a, b in zip(totals, goal)], beta))
-        if last and max(abs(a - b) for a, b in zip(totals, last)) < SETTLED:
-            break
-        t, last = nxt, totals
-    return rates
+    n, goal = len(p), np.array([budget * targets[d] / sum(targets.values()) for d in DOMAINS])
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def sums(at: list[np.ndarray], curved: bool = False) -> np.ndarray:
+        """Per slopes of ``at``: the domain totals; with ``curved``, their derivatives as well."""
+        rate = [Rates([float(x) for x in a]).fold(p)["r"] for a in at]
+        terms = [F.sum(w * r * c) for r in rate for c in p]
+        if curved:
+            terms += [F.sum(F.when(r > 0, w * p[i] * p[j]).otherwise(0.0)) for r in rate for i, j in pairs]
+        return np.array([x or 0.0 for x in cells.agg(*terms).first()])
+
+    slope, eps = np.zeros(n), max(0.1, pull)
+    while True:
+        found = sums([slope], curved=True)
+        for _ in range(STEPS):
+            rest = found[:n] - goal + eps * slope
+            if np.abs(rest).max() <= SETTLED:
+                break
+            bend = eps * np.eye(n)
+            for (i, j), x in zip(pairs, found[n:]):
+                bend[i, j] += x
+                if i != j:
+                    bend[j, i] += x
+            step = np.linalg.solve(bend, -rest)
+            # The longest part of the step that does not climb, as the slope along it tells.
+            climb = lambda s, totals: (totals - goal + eps * (slope + s * step)) @ step
+            ahead, s = sums([slope + step], curved=True), 1.0
+            if climb(1.0, ahead[:n]) > abs(rest @ step) / 2:
+                parts = [2.0 ** -k for k in range(1, 13)]
+                tried = sums([slope + x * step for x in parts]).reshape(len(parts), n)
+                s = next((x for x, t in zip(parts, tried) if climb(x, t) <= abs(rest @ step) / 2), parts[-1])
+                ahead = sums([slope + s * step], curved=True)
+            moved, slope, found = np.abs(s * step).max() / (1 + np.abs(slope).max()), slope + s * step, ahead
+            if moved < 1e-14:
+                break
+        if eps <= pull:
+            return Rates([float(x) for x in slope])
+        eps = max(eps / 10, pull)
 
 
 def copies(id_col: str = "doc_id") -> Column:
@@ -206,7 +225,8 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets, budget, id_col, text_co
     member = stage(_scored(docs, model, text_col, F.col(id_col).alias("doc_id")), "mix-members")
     cells = stage(member.groupBy(*CELL).agg(F.sum("n_tokens").alias("tokens")).withColumns(posteriors()), "mix-cells")
     rates = fit_rates(cells, targets, budget)
-    rate = F.round(rates.fold([F.col(f"p_{d}") for d in DOMAINS])["r"], 6)
+    # A cell without any tokens changes no total: the rate closest to one is one.
+    rate = F.when(F.col("tokens") > 0, F.round(rates.fold([F.col(f"p_{d}") for d in DOMAINS])["r"], 6)).otherwise(1.0)
     return model, stage(cells.select(*CELL, rate.alias("rate")), "mix-rates"), member
 
 
@@ -230,10 +250,13 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every row as often as its copies say (none: the row goes); same columns.
 
-    The posterior is evaluated again on each row instead of joined, so texts are not shuffled.
+    The posterior is evaluated again on each row instead of joined. Rates have no upper bound, so a row goes to
+    the shuffle once for every ``COPIES`` of its copies, and is repeated after it: no task makes all copies of one row.
     """
     names = docs.columns
     model, rates, _ = _fitted(docs, labels, targets, budget, id_col, text_col)
     row = _scored(docs, model, text_col, F.struct(*names).alias("row"), F.col(id_col).alias("id"))
     row = _rated(row, rates).select("row", copies("id").alias("copies"))
-    return row.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    part = row.where("copies > 0").select("row", "copies", F.posexplode(F.array_repeat(F.lit(1), F.ceil(F.col("copies") / COPIES).cast("int"))).alias("part", "one"))
+    part = part.select("row", F.least(F.col("copies") - F.col("part") * COPIES, F.lit(COPIES)).cast("int").alias("copies")).hint("rebalance")
+    return part.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
