@@ -57,6 +57,25 @@ def test_style_tree_removes_unmarked_templates(spark):
     assert got == {i: (u, t, len(t)) for i, u, _, t in rows}
 
 
+def test_articles_are_weighed_and_titles_stay():
+    cards = "".join(f"<article><h2>Card {i}</h2><p>read more</p></article>" for i in range(3))
+    story = "<h1>Storm</h1><p>" + "the storm came over the hills and took the roofs " * 5 + "</p>"
+    for page in (f"<div class=content>{story}</div>{cards}", f"<div class=x7>{story}</div>{cards}", f"<div class=content>{story}</div><article><p>one card</p></article>"):
+        text = styletree.main_text(page)
+        assert text.startswith("Storm\n\nthe storm") and "card" not in text.lower() and "read more" not in text
+    assert styletree.main_text(f"<article>{story}</article>{cards}").startswith("Storm\n\nthe storm")
+    for head in ("<header class=entry-header><h1>T</h1></header>", "<div class=entry-header><h1>T</h1></div>"):
+        assert styletree.main_text(f"<article>{head}<p>x</p><div class=share>s</div></article>").split("\n\n") == ["T", "x"]
+
+
+def test_style_tree_removes_a_notice_inside_articles(spark):
+    words = lambda i: " ".join(f"w{i * 37 + k}" for k in range(30))
+    rows = [(i, f"http://h.example/{i}", f"<article><h1>Daily news</h1><p>{words(i)}</p><p>All rights kept by us</p><ul><li>{words(i + 500)}</li><li>Write to us</li></ul></article>") for i in range(20)]
+    copied = [(100 + i, f"http://copy.example/{i}", f"<article><p>{words(7)}</p><p>w{i}</p></article>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in styletree.extract(spark.createDataFrame(rows + copied, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Daily news\n\n{words(i)}\n\n{words(i + 500)}" for i, *_ in rows} | {100 + i: f"{words(7)}\n\nw{i}" for i in range(20)}
+
+
 def test_importance_matches_the_formula(spark):
     import math
     rows = [(p, "h", 7, 1 if p < 9 else 2, None) for p in range(12)] + [(p, "h", 7, None, 5) for p in range(12)] + [(p, "h", 7, None, 100 + p) for p in range(12)]

@@ -25,6 +25,8 @@ from .urls import host_of
 
 #: Weight of an element's own presentation against the content below it; importance at or below which a branch goes.
 GAMMA, LEAST = 0.9, 0.25
+#: Content importance at or below which a single block of an article goes.
+EMPTY = 0.05
 #: Distinct pages of a host that must show an element before its importance counts.
 MIN_PAGES = 8
 #: Elements deeper than this belong to their ancestor at this depth; parts of an element's name kept.
@@ -46,10 +48,12 @@ FURNITURE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|pr
                        r"social|related|recommend\w*|comments?|discussion|responses|feedback|disqus|replies|respond|pagination|pager|copyright|legal|disclaimer|"
                        r"search|skip|complementary|contentinfo|navigation|form|trending|popular|teasers?|sr-only|visually-hidden)(?:$|[\s_-])")
 ASIDE = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies|related|promo\w*|sponsor\w*|ads?|advert\w*|teasers?)(?:$|[\s_-])")
+TITLE = re.compile(r"(?i)(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])")
 ARTICLE = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+HEADING = re.compile(r"h[1-6]$")
 _DIGITS = re.compile(r"\d{2,}")
 
 
@@ -61,6 +65,7 @@ class Element:
     hard: bool                      # furniture by its tag, or hidden, or inside such
     named: tuple["Element", ...]    # elements named like furniture, from the outermost to this one
     article: bool                   # inside an article
+    names: str = ""                 # class, id and role
     out: bool = False               # furniture, once the whole page is known
     shared: bool = False            # an ancestor's children continue here (inline or too deep)
     muted: bool = False             # inline furniture, or inside it: its text is left out of the block around it
@@ -148,6 +153,8 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
             named = False
         elif tag == "article" or (not parent.article and ARTICLE.search(names)):
             named = bool(ASIDE.search(names))
+        elif tag == "header" and parent.article:                   # the head of an article holds its title
+            named = bool(ASIDE.search(names))
         else:
             named = bool(FURNITURE.search(names))
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
@@ -160,7 +167,9 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
         else:
             base = next(x for x in reversed(stack) if not x.shared)
             name = f"{tag}.{_DIGITS.sub('#', names)}"
-            e = Element(tag, xxhash.xxh3_64_intdigest(name.encode(), base.path) >> 1, base.above + (base,), parent.hard or hard, parent.named, article, muted=muted)
+            e = Element(tag, xxhash.xxh3_64_intdigest(name.encode(), base.path) >> 1, base.above + (base,), parent.hard or hard, parent.named, article, names, muted=muted)
+            if tag in ("h1", "h2") and article:                    # so does an element of it that is named so
+                e.named = tuple(x for x in e.named if not x.article or not TITLE.search(x.names) or ASIDE.search(x.names))
             if named:
                 e.named += (e,)
             base.children.append(xxhash.xxh3_64_intdigest(name.encode()) >> 1)
@@ -242,24 +251,57 @@ def importance(rows: DataFrame) -> DataFrame:
         "host", "path", (F.round(((1 - share) * presentation + share * content_imp) * 1e9) / 1e9).alias("importance"))
 
 
-def main_text(page: str | None, low: set[int] = frozenset()) -> str:
+def common_blocks(rows: DataFrame) -> DataFrame:
+    """(host, path, block) of blocks on nearly all of the distinct pages that show an element: content importance of EMPTY or less."""
+    element = rows.where("look IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("m")).where(F.col("m") >= MIN_PAGES)
+    blocks = rows.where("block IS NOT NULL").groupBy("host", "path", "block").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return blocks.join(element, ["host", "path"]).where(1 - F.log("n") / F.log("m") <= EMPTY).select("host", "path", "block")
+
+
+def _size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def _branch(kept: list[Block], low: set[int]) -> list[Block]:
+    """The blocks of the articles, or those beside them if these have more text that is no template of the host.
+
+    A single article is taken for the story unless an element beside it is named
+    like one; several may be cards, and any text beside them counts.
+    """
+    inside = [b for b in kept if b.element.article]
+    if not inside:
+        return kept
+    outermost = {id(next(e for e in (*b.element.above, b.element) if e.tag in ("article", "main") or e is b.element)) for b in inside}
+    around = {id(e) for b in inside for e in (*b.element.above, b.element)}
+    beside = [b for b in kept if not b.element.article and not any(e.path in low for e in (*b.element.above, b.element))]
+    if len(outermost) == 1:
+        beside = [b for b in beside if any(id(e) not in around and ARTICLE.search(e.names) for e in (*b.element.above, b.element))]
+    return beside if _size(beside) > _size(inside) else inside
+
+
+def main_text(page: str | None, low: set[int] = frozenset(), common: set[int] = frozenset()) -> str:
     """Blocks of a page that are in no furniture and no branch of ``low`` paths, joined by two line breaks.
 
-    A page with an article is that article (all its outermost ones). An article
-    copied to many pages of its host is still their text: a branch with half of
-    the text or more stays, and so do the paragraphs and headings of an article.
+    Of the page's articles and the text beside them, one is taken (``_branch``). An
+    article copied to many pages of its host is still their text: a branch with half
+    of the text or more stays, and the paragraphs and headings of an article do not
+    go with its branch. Blocks of an article other than headings go one by one if
+    they are ``common`` to the host's pages and have less than half of the text.
     """
-    kept = [b for b in parse(page)[0] if not b.element.out]
-    if any(b.element.article for b in kept):
-        kept = [b for b in kept if b.element.article]
+    kept = _branch([b for b in parse(page)[0] if not b.element.out], low)
     if low:
         held: dict[int, int] = {}
         for b in kept:
             for path in {e.path for e in (*b.element.above, b.element)}:
                 held[path] = held.get(path, 0) + len(b.text)
-        whole = sum(len(b.text) for b in kept)
+        whole = _size(kept)
         going = {p for p, n in held.items() if p in low and 2 * n < whole}
         kept = [b for b in kept if not any(e.path in going and not (e.article and e.tag in TEXT) for e in (*b.element.above, b.element))]
+    if common:
+        alike = [b for b in kept if b.element.article and not HEADING.match(b.element.tag) and block_hash(b.text) in common]
+        if 2 * _size(alike) < _size(kept):
+            gone = {id(b) for b in alike}
+            kept = [b for b in kept if id(b) not in gone]
     return "\n\n".join(b.text for b in kept)
 
 
@@ -281,15 +323,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     tree = stage(tree, "html-elements")
     distinct = tree.join(digest.select(F.col("first").alias("page")).distinct(), "page", "left_semi")
     low = stage(importance(distinct).where(F.col("importance") <= LEAST).select("host", "path"), "html-low")
-    marked = tree.where("look IS NOT NULL").select("page", "host", "path").distinct().join(low, ["host", "path"], "left_semi") \
-        .groupBy("page").agg(F.collect_set("path").alias("low"))       # a page's own elements at most
-    marked = stage(marked, "html-marked")
+    alike = stage(common_blocks(distinct).select("host", "path", "block"), "html-common")
+    # A page's own elements and blocks at most.
+    marked = tree.where("look IS NOT NULL").select("page", "host", "path").join(low, ["host", "path"], "left_semi") \
+        .select("page", "path", F.lit(None).cast("long").alias("block")) \
+        .unionAll(tree.where("block IS NOT NULL").join(alike, ["host", "path", "block"], "left_semi").select("page", F.lit(None).cast("long").alias("path"), "block"))
+    marked = stage(marked.groupBy("page").agg(F.collect_set("path").alias("low"), F.collect_set("block").alias("common")), "html-marked")
 
     def run(batches):
         for b in batches:
-            text = [main_text(h, set(low or ())) for h, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            text = [main_text(h, set(low or ()), set(common or ())) for h, low, common in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(marked, rows["page_id"] == marked["page"], "left").select("page_id", "url", "html", "low") \
+    return rows.join(marked, rows["page_id"] == marked["page"], "left").select("page_id", "url", "html", "low", "common") \
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")
