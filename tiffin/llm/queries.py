@@ -124,3 +124,91 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .styletree import extract
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from .tokencount import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def _edit(cost: str, name: str, rest: str) -> str:
+    """SQL: an edit put before an outcome, which is its cost in nine digits and its audit."""
+    return f"(lpad(CAST(CAST(left({rest}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || '{name}' || substr({rest}, 10))"
+
+
+def _outcomes(e0: str, e1: str, e2: str, e3: str) -> str:
+    """SQL: best outcome by state, inserts first, from the outcomes without them."""
+    two, one = f"least({e2}, {_edit('5', 'I', e3)})", f"least({e3}, {_edit('5', 'I', e2)})"
+    return f"[least({e0}, {_edit('5', 'I', two)}), least({e1}, {_edit('5', 'I', two)}), {two}, {one}]"
+
+
+_NEVER = "'900000000~'"
+_FINE = "(CASE WHEN x[1] <> lower(x[1]) THEN 5 ELSE 0 END)"
+
+
+def _edits(state: int) -> str:
+    """SQL: outcome of the row x from a state, given the outcomes ``acc`` after it."""
+    to, role = ("acc[4]", "a") if state == 2 else ("acc[3]", "u")
+    keep = f"CASE WHEN lower(x[1]) = '{role}' THEN {_edit(_FINE, 'K', to)} "
+    if state == 0:
+        keep += f"WHEN lower(x[1]) = 's' THEN {_edit(_FINE, 'K', 'acc[2]')} "
+    return (f"least({_edit('2', 'D', f'acc[{state + 1}]')}, {keep}ELSE {_NEVER} END, "
+            f"CASE WHEN x[1] <> 'x' THEN {_edit(f'1 + {_FINE}', 'R', to)} ELSE {_NEVER} END)")
+
+
+@query("op12_conversation_repair", rf"""
+WITH keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                        lambda c: CAST(ord(c) AS BIGINT)) AS bytes FROM conversations
+), harmed AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(bytes, lambda crc, b: list_reduce(range(8),
+      lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, b)), 4294967295), 4294967295) % 20 AS harm FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN harm = 3 THEN [1, 2] ELSE [1] END) AS copy FROM harmed WHERE harm <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last_char FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS c,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY k), 1) || left(role, 1) AS pair FROM ordered
+), conversation AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+         count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+         count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, list(role ORDER BY k) AS roles, list(text ORDER BY k) AS texts,
+         list([CASE fault WHEN 'truncated' THEN upper(c) WHEN '' THEN c ELSE 'x' END] ORDER BY k DESC) AS symbols FROM judged GROUP BY conv_id
+), best AS (
+  SELECT *, list_reduce(symbols, lambda acc, x: list_transform([[{', '.join(_edits(s) for s in range(4))}]],
+      lambda e: {_outcomes('e[1]', 'e[2]', 'e[3]', 'e[4]')})[1], ['000000000', '000000010II', '000000005I', '000000000'])[1] AS outcome FROM conversation
+), written AS (
+  SELECT *, CAST(left(outcome, 9) AS BIGINT) AS cost, substr(outcome, 10) AS audit,
+    list_reduce(list_transform(string_split(substr(outcome, 10), ''), lambda o: {{'state': 0, 'k': 1, 'op': o, 'rows': CAST([] AS VARCHAR[])}}),
+      lambda acc, x: CASE WHEN x.op = '' THEN acc WHEN x.op = 'D' THEN {{'state': acc.state, 'k': acc.k + 1, 'op': '', 'rows': acc.rows}} ELSE
+        {{'state': CASE WHEN acc.state = 2 THEN 3 WHEN x.op = 'K' AND left(roles[acc.k], 1) = 's' THEN 1 ELSE 2 END,
+          'k': acc.k + CASE WHEN x.op = 'I' THEN 0 ELSE 1 END, 'op': '',
+          'rows': list_append(acc.rows, CASE WHEN x.op = 'K' THEN roles[acc.k] WHEN acc.state = 2 THEN 'assistant' ELSE 'user' END || ':'
+                              || CASE WHEN x.op = 'I' THEN '' ELSE texts[acc.k] END)}} END,
+      {{'state': 0, 'k': 1, 'op': '', 'rows': CAST([] AS VARCHAR[])}}).rows AS repaired FROM best
+)
+SELECT a.conv_id, CAST(coalesce(w.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(w.blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(w.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(w.truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(w.illegal, 0) AS BIGINT) AS illegal, coalesce(w.cost, 0) AS cost, coalesce(w.audit, '') AS audit,
+       sha256(coalesce(array_to_string(w.repaired, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN written w ON a.conv_id IS NOT DISTINCT FROM w.conv_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, repair_conversations
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import find_runs, periodic_tail
+    return find_runs(table(spark, sf_dir, "documents"), rewrite=periodic_tail)
