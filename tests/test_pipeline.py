@@ -51,7 +51,7 @@ def test_daily_runs_merge_partitioned_facts(spark, tmp_dir):
     fo = IncrementalTable(spark, f"{out}/fct_orders", "order_id", "order_timestamp", partition_by=["city"])
     fct = fo.read()
     assert fct.count() == fct.select("order_id").distinct().count() == raw.orders.count()
-    assert fo._entry().mode == "merge" and fo._entry().partitions_rewritten > 0
+    assert fo.current_version() == 2 and fo.partitions_rewritten() > 0
     fi = IncrementalTable(spark, f"{out}/fct_order_items", "order_item_id", "order_ts", partition_by=["city"]).read()
     items = raw.order_items.join(raw.orders.select(F.col("order_id")), "order_id").count()
     assert fi.count() == fi.select("order_item_id").distinct().count() == items

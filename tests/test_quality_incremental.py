@@ -123,12 +123,12 @@ def test_partitioned_merge_rewrites_only_touched_partitions(spark, tmp_dir):
     d1, d2, d3 = dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 1, 3)
     t = IncrementalTable(spark, f"{tmp_dir}/pm", "order_id", "ts", partition_by=["d"])
     t.run(spark.createDataFrame([(1, _t(1), "a", d1), (2, _t(2), "b", d2), (3, _t(3), "c", d3)], PSCHEMA))
-    loc = t._entry().location
+    loc = spark.sql(f"DESCRIBE EXTENDED {t._tables()[-1]}").where("col_name = 'Location'").first().data_type.replace("file:", "")
     before = {p: _files(loc, p) for p in ("d=2024-01-01", "d=2024-01-03")}
     # order 2 updated, order 4 new: only 2024-01-02 is touched
     t.run(spark.createDataFrame([(2, _t(5), "B", d2), (4, _t(6), "d", d2)], PSCHEMA))
     assert {p: _files(loc, p) for p in before} == before
-    assert t._entry().partitions_rewritten == 1
+    assert t.partitions_rewritten() == 1
     assert t.watermark() == _t(6)
     out = sorted((r.order_id, r.v, r.d) for r in t.read().collect())
     assert out == [(1, "a", d1), (2, "B", d2), (3, "c", d3), (4, "d", d2)]
@@ -171,7 +171,7 @@ def test_partitioned_merge_on_two_partition_columns(spark, tmp_dir):
     t.run(spark.createDataFrame([(1, _t(1), "a", d1, "x"), (2, _t(2), "b", d1, "y"), (3, _t(3), "c", d2, "x")],
                                 schema))
     t.run(spark.createDataFrame([(2, _t(5), "B", d1, "y"), (4, _t(6), "d", d2, "x")], schema))
-    assert t._entry().partitions_rewritten == 2
+    assert t.partitions_rewritten() == 2
     out = sorted((r.order_id, r.v) for r in t.read().collect())
     assert out == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
 
@@ -187,26 +187,88 @@ def test_latest_row_with_maps_and_ties(spark, tmp_dir):
     assert sorted((r.k, r.v) for r in table.read().collect()) == [(1, "c"), (2, None)]
 
 
-def test_two_writers_of_one_version_are_noticed(spark, tmp_dir):
-    import datetime as dt
-    import pytest
-    from tiffin.operators.incremental import ConcurrentWriteError, IncrementalTable
-    row = spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "k long, ts timestamp_ntz")
+def test_two_writers_of_one_version_are_noticed(spark, tmp_dir, monkeypatch):
+    from tiffin.operators.incremental import ConcurrentWriteError
+    rows = [spark.createDataFrame([(1, dt.datetime(2024, 1, d))], "k long, ts timestamp_ntz") for d in (1, 2, 3)]
     one, two = (IncrementalTable(spark, f"{tmp_dir}/t", "k", "ts") for _ in range(2))
-    one.full_refresh(row)
+    one.full_refresh(rows[0])
+    dedupe = two._dedupe
+    monkeypatch.setattr(two, "_dedupe", lambda *a: (one.merge(rows[1]), dedupe(*a))[1])    # the other run ends first
     with pytest.raises(ConcurrentWriteError):
-        two._publish(row, "full", 0)              # began before the other's version was logged
+        two.merge(rows[2])
+    assert [r.ts.day for r in one.read().collect()] == [2]
 
 
-def test_retention_keeps_the_newest_versions(spark, tmp_dir):
-    import datetime as dt
-    from pathlib import Path
-    from tiffin.operators.incremental import IncrementalTable
+def test_older_tables_are_dropped_by_the_catalogue(spark, tmp_dir):
+    import os
     table = IncrementalTable(spark, f"{tmp_dir}/t", "k", "ts")
     for day in range(1, 5):
         row = spark.createDataFrame([(day, dt.datetime(2024, 1, day))], "k long, ts timestamp_ntz")
         table.full_refresh(row) if day == 1 else table.merge(row)
-    assert [Path(p).name for p in table.retain(2)] == ["_batches", "v000001", "v000002"]
-    assert table.read().count() == 4 and table.read(3).count() == 3 and table.retain(2) == []
+    assert [n.split(".")[1][:10] for n in table.drop_older(2)] == ["t__v000001", "t__v000002"] and table.drop_older(2) == []
+    assert table.read().count() == 4 and spark.table(table.name).count() == 4 and table.read(3).count() == 3
+    assert len([d for d in os.listdir(tmp_dir) if d.startswith("t__")]) == 2             # batches are gone as well
     table.merge(spark.createDataFrame([(9, dt.datetime(2024, 2, 1))], "k long, ts timestamp_ntz"))
-    assert table.read().count() == 5
+    assert table.read().count() == 5 and table.current_version() == 5
+
+
+# ------------------------------------------------------------------ bucketed merge, change capture
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_merge_does_not_shuffle_the_target(spark, tmp_dir, broadcast):
+    t = IncrementalTable(spark, f"{tmp_dir}/b", "order_id", "ts", buckets=4)
+    t.full_refresh(spark.createDataFrame([(i, _t(i % 20), "a") for i in range(200)], SCHEMA))
+    batch = spark.createDataFrame([(i, _t(22), "b") for i in range(150, 260)], SCHEMA)
+    place = f"{tmp_dir}/batch"
+    batch.write.parquet(place)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        plan = _plan(t.not_replaced(spark.read.parquet(place)))
+        # Every line above the target's scan up to the join is free of exchanges: one at most, the batch's.
+        assert plan.count("Exchange hashpartitioning") <= (1 if broadcast == "-1" else 0)
+        scan = next(line for line in plan.splitlines() if "b__v000001" in line or "Bucketed: true" in line)
+        assert ("Bucketed: true" in scan) == (broadcast == "-1")
+        t.merge(batch)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.order_id, r.v) for r in t.read().collect()) == [(i, "a" if i < 150 else "b") for i in range(260)]
+    stored = spark.sql(f"DESCRIBE EXTENDED {t._tables()[-1]}").where("col_name = 'Num Buckets'").first()
+    assert stored.data_type == "4"
+
+
+@pytest.mark.parametrize("partition_by", [None, ["d"]])
+def test_changes_without_a_newer_timestamp_are_merged(spark, tmp_dir, partition_by):
+    schema = "order_id long, ts timestamp_ntz, status string, note string, d date"
+    d = dt.date(2024, 1, 1)
+    t = IncrementalTable(spark, f"{tmp_dir}/cc", "order_id", "ts", partition_by=partition_by, track_changes=True)
+    t.run_changes(spark.createDataFrame([(1, _t(1), "Placed", None, d), (2, _t(2), "Placed", "x", d), (None, _t(3), "Odd", None, d)], schema))
+    # 1: the status moves on, the timestamp stays; 2: null and value change places; 3: new and old; null key: as it was, and a new one.
+    later = spark.createDataFrame([(1, _t(1), "Delivered", None, d), (2, _t(2), None, "Placed", d), (3, _t(0), "Placed", None, d),
+                                   (None, _t(3), "Odd", None, d), (None, _t(3), "Odder", None, d)], schema)
+    got = {(r.order_id, r.status): r.change for r in t.changes(later).collect()}
+    assert got == {(1, "Delivered"): "update", (2, None): "update", (3, "Placed"): "insert", (None, "Odd"): "unchanged", (None, "Odder"): "insert"}
+    t.run_changes(later)
+    want = [(None, "Odd"), (None, "Odder"), (1, "Delivered"), (2, None), (3, "Placed")]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(((r.order_id, r.status) for r in t.read().collect()), key=key) == want
+    assert t.read().columns == ["order_id", "ts", "status", "note", "d"]
+    v = t.current_version()
+    t.run_changes(later)                                   # nothing differs: nothing is written
+    assert t.current_version() == v
+    t.run(later.withColumn("ts", F.col("ts")))             # by watermark, none of them is seen
+    assert t.current_version() == v
+    assert t.changes(later.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        IncrementalTable(spark, f"{tmp_dir}/plain", "order_id", "ts").changes(later)
+
+
+def test_change_capture_reads_two_columns_of_a_bucketed_target(spark, tmp_dir):
+    t = IncrementalTable(spark, f"{tmp_dir}/two", "order_id", "ts", buckets=4, track_changes=True)
+    rows = spark.createDataFrame([(i, _t(i % 20), "a") for i in range(50)], SCHEMA)
+    t.run_changes(rows)
+    plan = _plan(t.changes(rows))
+    assert "ReadSchema: struct<order_id:bigint,_row_digest:bigint>" in plan

@@ -1,28 +1,34 @@
 """Incremental fact tables: high-watermark filter, merge on a unique key and
 ``append_new_columns`` schema evolution (I1-I5, P8, G8, J7).
 
-Storage is plain Parquet in versions: every run writes a complete new version
-folder, then appends one row to the table's ``_log``. Readers take the highest
-logged version, so a failed or half-written run is never seen and the folder
-being read is never overwritten.
-
-A merge first writes its batch to a staging folder. That computes the source
-once (the duplicate check and the merge both read the staged files), cuts the
-lineage, and gives the planner the batch's real size: a small daily batch is
-broadcast and the target is streamed through the anti join without a shuffle,
-while a large batch falls back to a sort-merge join.
+Facts are tables of the session catalogue, written and committed by Spark:
+
+* unpartitioned facts are bucketed by their key. A merge writes the next table,
+  then the view that readers use is replaced in one catalogue call. The target
+  meets the batch bucket by bucket, so only the batch is shuffled;
+* partitioned facts stay one table behind their view, and a merge overwrites the
+  partitions it touches (dynamic partition overwrite, committed by Spark after all tasks).
+
+Watermark and version are properties of the view. Runs in different sessions
+need a catalogue that outlives a session, such as a metastore.
+
+A merge first writes its batch to a table of its own, dropped afterwards. That
+computes the source once, cuts the lineage, and gives the planner the batch's
+real size: a small one is broadcast, a large one is dealt to the buckets.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
+import re
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+
+from .changes import DIGEST, classify, with_digest
 
 EPOCH_FLOOR = dt.datetime(1900, 1, 1)
 
@@ -51,122 +57,134 @@ def watermark_filter(source: DataFrame, ts_col: str, watermark: dt.datetime | No
 
 
 class ConcurrentWriteError(RuntimeError):
-    """Two runs wrote the same version of a table at once; one writer at a time is supported."""
+    """The table was changed by another run since this one began; one writer at a time is supported."""
 
 
 class IncrementalTable:
-    """A fact table kept as Parquet plus an append-only ``_log`` of versions.
-
-    Each log entry records the data location, the table schema (DDL) and the high
-    watermark measured while the version was written, so readers never infer a
-    schema and a run never scans the table for ``max(ts)``.
-
-    Unpartitioned tables write every version to a new folder. Partitioned tables
-    (``partition_by``) keep one folder; a merge rewrites only the partitions the
-    batch touches (dynamic partition overwrite), so a daily merge costs the size of
-    the affected days, not of the table. Their older versions are not kept.
+    """A fact table of the session catalogue, merged on its key.
+
+    ``path`` names the table and its place: the last part is its name, the rest the
+    location of the catalogue database that holds its files.
+
+    ``partition_by`` (e.g. ``["order_date"]``): folders per value, so date-bounded
+    readers prune them and a merge rewrites only those it touches.
+    ``keys_keep_partition``: a key's partition value never changes (an order keeps its
+    date), so a merge need not look for older rows of batch keys elsewhere.
+    ``buckets``: buckets of an unpartitioned fact (default: the session's shuffle
+    partitions, so a batch is dealt to them by one plain exchange).
+    ``track_changes``: keep a digest of every row, so ``run_changes`` finds rows
+    that changed without a newer timestamp.
     """
 
     def __init__(self, spark: SparkSession, path: str, unique_key: str | list[str], ts_col: str,
-                 partition_by: list[str] | None = None, keys_keep_partition: bool = False):
-        """``partition_by``: folder partitioning (e.g. ``["order_date"]``) so date-bounded
-        readers prune whole folders and merges rewrite only touched partitions.
-        ``keys_keep_partition``: a key's partition value never changes (an order keeps
-        its date), so a merge need not look for older rows of batch keys elsewhere."""
+                 partition_by: list[str] | None = None, keys_keep_partition: bool = False, buckets: int | None = None,
+                 track_changes: bool = False):
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = [unique_key] if isinstance(unique_key, str) else list(unique_key)
         self.ts_col = ts_col
         self.partition_by = list(partition_by or [])
         self.keys_keep_partition = keys_keep_partition
-
-    # -- versions
-    def _log_path(self) -> str:
-        return f"{self.path}/_log"
-
-    _LOG_SCHEMA = ("version long, mode string, written_at string, location string, table_schema string, "
-                   "watermark string, partitions_rewritten long")
-
-    def _entry(self, version: int | None = None):
-        """The log entry of ``version`` (default: the latest); None if the table has none.
-
-        Entries never change once written, so entries of a given version are kept;
-        only the question "which version is the latest" goes back to the log."""
-        cache = self.__dict__.setdefault("_entries", {})
-        if version is not None and version in cache:
-            return cache[version]
-        # A declared schema: reading the log is one small scan, no inference job.
-        try:
-            log = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path())
-        except AnalysisException:
-            return None
-        if version is not None:
-            log = log.where(F.col("version") == version)
-        e = log.orderBy(F.col("version").desc()).first()
-        if e is not None:
-            cache[int(e.version)] = e
-        return e
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.track_changes = track_changes
+        root, _, name = self.path.rpartition("/")
+        self.database = f"tiffin_{zlib.crc32(root.encode()):08x}"
+        self.root = root
+        self.name = f"{self.database}.{re.sub('[^A-Za-z0-9_]', '_', name).lower()}"
+
+    # -- what the catalogue knows
+    def _properties(self) -> dict[str, str]:
+        """The table's properties in the catalogue; empty if there is no table."""
+        if not self.spark.catalog.tableExists(self.name):
+            return {}
+        return {r["key"]: r["value"] for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.name}").collect()}
 
     def current_version(self) -> int | None:
-        e = self._entry()
-        return None if e is None else int(e.version)
+        v = self._properties().get("tiffin.version")
+        return None if v is None else int(v)
 
     def exists(self) -> bool:
         return self.current_version() is not None
 
-    def read(self, version: int | None = None) -> DataFrame:
-        e = self._entry(version)
-        if e is None:
-            raise FileNotFoundError(f"no version {version if version is not None else ''} of {self.path}")
-        if self.partition_by and version is not None and version != self.current_version():
+    def watermark(self) -> dt.datetime | None:
+        w = self._properties().get("tiffin.watermark")
+        return dt.datetime.fromisoformat(w) if w else None
+
+    def partitions_rewritten(self) -> int | None:
+        """Partitions that the last merge wrote (None: the whole table)."""
+        n = self._properties().get("tiffin.partitions_rewritten")
+        return int(n) if n else None
+
+    def _tables(self) -> list[str]:
+        """The tables behind the view, oldest first, the current one last."""
+        found = self._properties().get("tiffin.tables")
+        return found.split(",") if found else []
+
+    def _stored(self, version: int | None = None) -> DataFrame:
+        """The rows as stored: the bucketed table itself, so a join sees its buckets."""
+        now = self.current_version()
+        if now is None:
+            raise FileNotFoundError(f"no table {self.name} at {self.path}")
+        if self.partition_by and version not in (None, now):
             raise ValueError("partitioned tables are merged in place; only the current version can be read")
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(e.table_schema))).parquet(e.location)
-
-    def watermark(self, version: int | None = None) -> dt.datetime | None:
-        e = self._entry(version)
-        if e is None or e.watermark is None:
-            return None
-        return dt.datetime.fromisoformat(e.watermark)
-
-    def _log(self, v: int, mode: str, location: str, schema: str, watermark, rewritten: int | None) -> int:
-        wm = None if watermark is None else watermark.isoformat(sep=" ")
-        entry = self.spark.createDataFrame(
-            [(v, mode, dt.datetime.now(dt.timezone.utc).isoformat(), location, schema, wm, rewritten)],
-            self._LOG_SCHEMA)
-        entry.coalesce(1).write.mode("append").json(self._log_path())
-        written = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path()).where(F.col("version") == v).count()
-        if written > 1:
-            raise ConcurrentWriteError(f"another run has logged version {v} of {self.path} as well")
-        return v
-
-    def _write(self, df: DataFrame, location: str, dynamic: bool = False):
-        """Write ``df`` and return max(ts) of the written rows, measured during the write."""
+        tables, back = self._tables(), now - (now if version is None else version)
+        if not 0 <= back < len(tables):
+            raise FileNotFoundError(f"version {version} of {self.name} is not kept")
+        return self.spark.table(tables[-1 - back])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The current rows, or those of an older version that is still kept."""
+        return self._stored(version).drop(DIGEST)
+
+    # -- writes
+    def _measured(self, df: DataFrame) -> tuple[DataFrame, Observation]:
+        """``df`` with max(ts) measured while it is written."""
         obs = Observation(f"wm_{uuid.uuid4().hex[:8]}")
-        w = df.observe(obs, F.max(self.ts_col).alias("wm")).write.mode("overwrite")
-        if dynamic:
-            w = w.option("partitionOverwriteMode", "dynamic")
+        return df.observe(obs, F.max(self.ts_col).alias("wm")), obs
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table of the fact's database."""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}'")
+        df.write.format("parquet").saveAsTable(name)
+        return self.spark.table(name)
+
+    @staticmethod
+    def _clause(version: int, watermark, **more) -> str:
+        known = {"version": version, "watermark": "" if watermark is None else watermark.isoformat(sep=" "), **more}
+        return ", ".join(f"'tiffin.{k}' = '{v}'" for k, v in known.items())
+
+    def _unchanged_since(self, version: int | None) -> None:
+        now = self.current_version()
+        if now != version:
+            raise ConcurrentWriteError(f"{self.name} went from version {version} to {now} under this run")
+
+    def _replace(self, df: DataFrame, version: int | None, dealt: bool = False) -> int:
+        """Make ``df`` the whole table. ``dealt``: each task of ``df`` holds rows of one bucket already."""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}'")
+        new = 1 if version is None else version + 1
+        table = f"{self.name}__v{new:06d}_{uuid.uuid4().hex[:6]}"
         if self.partition_by:
-            w = w.partitionBy(*self.partition_by)
-        w.parquet(location)
-        return obs.get.get("wm")
-
-    def _publish(self, df: DataFrame, mode: str, previous: int | None = None) -> int:
-        """Write ``df`` as a whole new version in a new folder."""
-        v = (previous if previous is not None else (self.current_version() or 0)) + 1
-        location = f"{self.path}/v{v:06d}"
-        df = self._ordered(df)
-        wm = self._write(df, location)
-        return self._log(v, mode, location, df.schema.json(), wm, None)
+            df, obs = self._measured(self._ordered(df))
+            df.write.format("parquet").partitionBy(*self.partition_by).saveAsTable(table)
+        else:
+            df, obs = self._measured(df if dealt else df.repartition(self.buckets, *self.keys))
+            df.write.format("parquet").bucketBy(self.buckets, *self.keys).saveAsTable(table)
+        self._unchanged_since(version)
+        self._show(new, obs.get.get("wm"), [*self._tables(), table])
+        return new
+
+    def _show(self, version: int, watermark, tables: list[str], rewritten: int | str = "") -> None:
+        """Point the view at the last of ``tables``: one catalogue call, readers see the old table or the new one."""
+        columns = ", ".join(f"`{c}`" for c in self.spark.table(tables[-1]).columns if c != DIGEST)
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ({self._clause(version, watermark, tables=','.join(tables), partitions_rewritten=rewritten)}) "
+                       f"AS SELECT {columns} FROM {tables[-1]}")
 
     def _ordered(self, df: DataFrame) -> DataFrame:
-        """Partition columns last: the order a partitioned folder is read back in."""
-        if not self.partition_by:
-            return df
+        """Partition columns last: the order of a partitioned table."""
         return df.select(*[c for c in df.columns if c not in self.partition_by], *self.partition_by)
 
-    # -- writes
     def full_refresh(self, df: DataFrame) -> int:
-        return self._publish(df, "full")
+        return self._replace(with_digest(df, self.keys) if self.track_changes else df, self.current_version())
 
     def _dedupe(self, batch: DataFrame, target: DataFrame, on_duplicates: str) -> DataFrame:
         if on_duplicates == "latest":
@@ -189,117 +207,127 @@ class IncrementalTable:
 
         Nothing of the table changes: tests can run on the second frame before ``publish``.
         """
-        version = self.current_version()
-        batch = source if version is None else watermark_filter(source, self.ts_col, self.watermark(version))
+        first = not self.exists()
+        batch = source if first else watermark_filter(source, self.ts_col, self.watermark())
         batch.write.mode("overwrite").parquet(stage_path)
         batch = self.spark.read.parquet(stage_path)
-        if version is None:
+        if first:
             return batch, batch
-        kept = self.read(version).join(batch.select(*self.keys), self.keys, "left_anti")
+        kept = self.read().join(batch.select(*self.keys), self.keys, "left_anti")
         return batch, kept.unionByName(batch, allowMissingColumns=True)
 
     def publish(self, batch: DataFrame, on_duplicates: str = "error") -> int:
         """Make a staged batch part of the table: its first version, or a merge."""
-        version = self.current_version()
-        return self._publish(batch, "full", 0) if version is None else self.merge(batch, on_duplicates, version, staged=True)
+        return self.merge(batch, on_duplicates, staged=True) if self.exists() else self.full_refresh(batch)
 
-    def merge(self, batch: DataFrame, on_duplicates: str = "error", version: int | None = None, staged: bool = False) -> int:
+    def merge(self, batch: DataFrame, on_duplicates: str = "error", staged: bool = False) -> int:
         """Upsert ``batch`` on the unique key; new source columns are appended.
 
         ``on_duplicates``: ``"error"`` (a key repeated in the batch that also exists in the
         target is ambiguous and raises; repeated new keys are all inserted) or
         ``"latest"`` (keep the newest row per key by ``ts_col``). ``staged``: the batch is
-        read from files already. An empty batch writes and logs nothing.
+        read from files already. An empty batch writes nothing.
         """
-        version = self.current_version() if version is None else version
-        entry = self._entry(version)
-        target = self.read(version)
-        # Stage the batch: computed once, lineage cut, real size known to the planner.
-        place = f"{self.path}/_batches/b{version + 1:06d}-{uuid.uuid4().hex[:8]}"
+        version, watermark, target = self.current_version(), self.watermark(), self._stored()
+        batch_table = f"{self.name}__batch_{uuid.uuid4().hex[:12]}"
         if not staged:
-            batch.write.mode("overwrite").parquet(place)
-            batch = self.spark.read.parquet(place)
-        if batch.isEmpty():
-            return version
-        batch = self._dedupe(batch, target, on_duplicates)
-        # append_new_columns: the target's columns first, new ones after.
-        cols = target.columns + [c for c in batch.columns if c not in target.columns]
-        if self.partition_by:
-            touched = self._touched_partitions(batch, target)
-            if touched is not None:
-                return self._merge_partitions(batch, target, cols, touched, entry, version, place)
-        kept = target.join(batch.select(*self.keys), self.keys, "left_anti")
-        merged = kept.unionByName(batch, allowMissingColumns=True)
-        return self._publish(merged.select(*cols), "merge", version)
-
-    def _touched_partitions(self, batch: DataFrame, target: DataFrame) -> list | None:
-        """Partition values the merge must rewrite: those the batch writes to. None (rewrite
-        the whole table) when a key changed partition."""
-        pc = self.partition_by
-        parts = batch.select(*pc).distinct()
-        if not self.keys_keep_partition:
-            # Only the key and partition columns of the target are scanned. A key whose
-            # older row sits in a partition the batch does not write to has moved; its
-            # old partition could empty out, which an in-place swap cannot express.
-            older = target.select(*self.keys, *pc).join(batch.select(*self.keys), self.keys, "left_semi")
-            if not older.select(*pc).subtract(parts).isEmpty():
-                return None
-        # One value per folder the batch writes to, which the writing driver lists anyway.
-        return parts.collect()
-
-    def _merge_partitions(self, batch, target, cols, touched, entry, version, staged) -> int:
+            batch = self._written(batch, batch_table)
+        try:
+            if batch.isEmpty():
+                return version
+            batch = self._dedupe(batch, target, on_duplicates)
+            if self.track_changes:
+                batch = with_digest(batch.drop(DIGEST), self.keys)
+            # append_new_columns: the target's columns first, new ones after.
+            cols = target.columns + [c for c in batch.columns if c not in target.columns]
+            if self.partition_by:
+                return self._merge_partitions(batch, target, cols, version, watermark)
+            dealt = batch.repartition(self.buckets, *self.keys)
+            merged = self.not_replaced(batch, target).unionByName(dealt, allowMissingColumns=True)
+            return self._replace(merged.select(*cols), version, dealt=True)
+        finally:
+            if not staged:
+                self.spark.sql(f"DROP TABLE IF EXISTS {batch_table}")
+
+    def not_replaced(self, batch: DataFrame, target: DataFrame | None = None) -> DataFrame:
+        """Rows of the target that the batch does not replace: no exchange of the target, whatever the size of the batch."""
+        target = self._stored() if target is None else target
+        return target.join(batch.select(*self.keys), self.keys, "left_anti")
+
+    def _among(self, values: list) -> Column:
+        """Partition filter: one flat IN, nulls apart."""
         pc = self.partition_by
-        if not touched:
-            return self._log(version + 1, "merge", entry.location, entry.table_schema,
-                             self.watermark(version), 0)
-
         if len(pc) == 1:
-            in_touched = F.col(pc[0]).isin([r[pc[0]] for r in touched]) | (
-                F.col(pc[0]).isNull() if any(r[pc[0]] is None for r in touched) else F.lit(False))
+            some = F.col(pc[0]).isin([r[pc[0]] for r in values])
+            return some | F.col(pc[0]).isNull() if any(r[pc[0]] is None for r in values) else some
+        return F.struct(*pc).isin([F.struct(*[F.lit(r[c]).alias(c) for c in pc]) for r in values])
+
+    def _merge_partitions(self, batch: DataFrame, target: DataFrame, cols: list[str], version: int, watermark) -> int:
+        """Overwrite the partitions that the batch writes to and those that hold older rows of its keys."""
+        pc, table = self.partition_by, self._tables()[-1]
+        touched = {tuple(r): r for r in batch.select(*pc).distinct().collect()}       # one value per folder written
+        if not self.keys_keep_partition:
+            # Only the key and partition columns of the target are scanned.
+            older = target.select(*self.keys, *pc).join(batch.select(*self.keys), self.keys, "left_semi").select(*pc).distinct().collect()
+            moved = [r for r in older if tuple(r) not in touched]
         else:
-            # One flat IN over partition-value structs (folded to a hash set), not a deep OR chain.
-            in_touched = F.struct(*pc).isin([F.struct(*[F.lit(r[c]).alias(c) for c in pc]) for r in touched])
+            moved = []
         # Partition filter: only the touched folders of the target are read.
-        kept = target.where(in_touched).join(batch.select(*self.keys), self.keys, "left_anti")
-        merged = self._ordered(kept.unionByName(batch, allowMissingColumns=True).select(*cols))
-        # Stage the rewritten partitions (the table folder is being read), then swap them in.
-        rewritten = f"{staged}-merged"
-        wm = self._write(merged, rewritten)
-        self._write(self.spark.read.schema(merged.schema).parquet(rewritten), entry.location, dynamic=True)
-        prev = self.watermark(version)
-        wm = max([w for w in (prev, wm) if w is not None], default=None)
-        return self._log(version + 1, "merge", entry.location, merged.schema.json(), wm, len(touched))
-
-    def retain(self, versions: int = 7) -> list[str]:
-        """Remove version folders that none of the newest ``versions`` log entries names, and finished staging folders.
-
-        Nothing calls this by itself: run it when no reader holds an older version and no
-        merge is under way. Returns the removed folders. The log keeps its entries.
+        kept = target.where(self._among([*touched.values(), *moved])).join(batch.select(*self.keys), self.keys, "left_anti")
+        merged, obs = self._measured(self._ordered(kept.unionByName(batch, allowMissingColumns=True).select(*cols)))
+        # A partition whose last rows moved away is dropped: an overwrite by what is there would leave it.
+        left = {tuple(r) for r in kept.select(*pc).distinct().collect()} if moved else set()
+        new = [c for c in cols if c not in target.columns]
+        if new:
+            types = {f.name: f.dataType.simpleString() for f in merged.schema.fields}
+            self.spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(f'`{c}` {types[c]}' for c in new)})")
+            merged = merged.select(*self.spark.table(table).columns)
+        self._unchanged_since(version)
+        # Spark writes beside the table and moves the partitions in when all tasks are done, so the table may be read here.
+        mode = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            merged.write.mode("overwrite").insertInto(table)
+        finally:
+            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        for r in moved:
+            if tuple(r) not in left:
+                spec = ", ".join(f"{c} = " + ("NULL" if r[c] is None else f"'{r[c]}'") for c in pc)
+                self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+        now = max([w for w in (watermark, obs.get.get("wm")) if w is not None], default=None)
+        self._show(version + 1, now, self._tables(), len(touched) + len(moved))
+        return version + 1
+
+    def drop_older(self, versions: int = 1) -> list[str]:
+        """Drop all but the newest ``versions`` tables behind the view; Spark removes their files.
+
+        Nothing calls this by itself: run it when no reader holds an older version and no merge is under way.
         """
         if versions < 1:
             raise ValueError("keep at least one version")
-        current = self.current_version()
-        if current is None:
-            return []
-        log = self.spark.read.schema(self._LOG_SCHEMA).json(self._log_path())
-        kept = {r.location.rstrip("/") for r in log.where(F.col("version") > current - versions).select("location").collect()}
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        removed = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            old = name.startswith("v") and name[1:].isdigit() and f"{self.path}/{name}" not in kept
-            if old or name == "_batches":
-                fs.delete(status.getPath(), True)
-                removed.append(f"{self.path}/{name}")
-        return sorted(removed)
+        tables = self._tables()
+        gone, kept = tables[:-versions], tables[-versions:]
+        if gone:
+            self._show(self.current_version(), self.watermark(), kept)
+        for t in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        return gone
 
     def run(self, source: DataFrame, source_ts_col: str | None = None,
             lookback: dt.timedelta | None = None, on_duplicates: str = "error") -> int:
         """One model run: full build the first time, else filter by watermark and merge."""
-        version = self.current_version()
-        if version is None:
-            return self._publish(source, "full", 0)
-        batch = watermark_filter(source, source_ts_col or self.ts_col, self.watermark(version), lookback)
-        return self.merge(batch, on_duplicates, version)
+        if not self.exists():
+            return self.full_refresh(source)
+        return self.merge(watermark_filter(source, source_ts_col or self.ts_col, self.watermark(), lookback), on_duplicates)
+
+    def changes(self, source: DataFrame) -> DataFrame:
+        """Rows of ``source`` with ``change``: insert, update or unchanged against the table (``changes.classify``)."""
+        if not self.track_changes:
+            raise ValueError("the table keeps no digests; build it with track_changes=True")
+        return classify(source, self._stored(), self.keys)
+
+    def run_changes(self, source: DataFrame, on_duplicates: str = "error") -> int:
+        """One model run by content, not by time: rows that are new or differ from the table are merged, however old they are."""
+        if not self.exists():
+            return self.full_refresh(source)
+        return self.merge(self.changes(source).where("change <> 'unchanged'").drop("change", DIGEST), on_duplicates)

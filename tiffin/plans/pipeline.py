@@ -2,7 +2,7 @@
 rebuild) -> data tests -> review enrichment (append) -> review insight mart.
 
 Every output is a Parquet table under ``out_root`` (on a cluster: a shared
-folder). Facts keep versions (see ``IncrementalTable``); dimensions and marts
+folder). Facts are catalogue tables (see ``IncrementalTable``); dimensions and marts
 are rebuilt into a new folder per run and a run-log row points readers at it,
 so a mart folder that is being read is never overwritten. Enrichment appends
 only reviews not present yet, so re-running a failed day adds nothing twice.
@@ -76,12 +76,11 @@ def order_items_source(spark: SparkSession, m: Models, items: IncrementalTable,
     are filtered first and written to ``stage_path``; the join then sees their real
     (small) size and broadcasts them, streaming the items without a shuffle.
     """
-    version = items.current_version()
-    if version is None:
+    if not items.exists():
         return m.fct_order_items
     from ..operators.incremental import watermark_filter
     from . import marts
-    new_orders = watermark_filter(m.stg_orders, "order_timestamp", items.watermark(version))
+    new_orders = watermark_filter(m.stg_orders, "order_timestamp", items.watermark())
     new_orders.write.mode("overwrite").parquet(stage_path)
     return marts.fct_order_items(m.stg_order_items, spark.read.parquet(stage_path))
 

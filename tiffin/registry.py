@@ -653,6 +653,37 @@ def _fct_orders_upsert(spark, sf_dir):
     return comparable(t.read())
 
 
+#: Yesterday's state: orders up to the cut-off, every fourth of them still "Placed"; the timestamps are those of today.
+_PLACED = "CASE WHEN order_id % 4 = 0 THEN 'Placed' ELSE order_status END"
+
+
+def _tracked_orders(spark, sf_dir):
+    from .operators.incremental import IncrementalTable
+    from .session import scratch_path
+    fct = _models(spark, sf_dir).fct_orders
+    t = IncrementalTable(spark, scratch_path(spark, "fct_orders_tracked"), "order_id", "order_timestamp", track_changes=True)
+    t.run_changes(fct.where(F.col("order_timestamp") < _ts(CUTOFF)).withColumn("order_status", F.expr(_PLACED)))
+    return t, fct
+
+
+@register("fct_orders_changes", O.with_ctes(f"SELECT {O.as_double(_FCT_DEC)} FROM fct_orders"))
+def _fct_orders_changes(spark, sf_dir):
+    """Statuses that move on under an unchanged timestamp are merged, which no watermark would see."""
+    t, fct = _tracked_orders(spark, sf_dir)
+    t.run_changes(fct)
+    t.run_changes(fct)                                         # nothing differs any more: nothing is written
+    return comparable(t.read())
+
+
+@register("change_classes", O.with_ctes(
+    f"SELECT CASE WHEN order_timestamp >= TIMESTAMP '{CUTOFF}' THEN 'insert' WHEN order_status IS DISTINCT FROM {_PLACED} "
+    f"THEN 'update' ELSE 'unchanged' END AS change, order_status, count(*) AS n FROM fct_orders GROUP BY ALL"))
+def _change_classes(spark, sf_dir):
+    """Source rows by change class and status against the stored table."""
+    t, fct = _tracked_orders(spark, sf_dir)
+    return t.changes(fct).groupBy("change", "order_status").agg(F.count("*").alias("n"))
+
+
 @register("late_rows", O.with_ctes(
     f"SELECT {O.as_double(_FCT_DEC)} FROM fct_orders WHERE order_timestamp >= TIMESTAMP '{CUTOFF}'"))
 def _late_rows(spark, sf_dir):
