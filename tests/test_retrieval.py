@@ -131,12 +131,45 @@ def test_query_ids_of_any_kind_and_odd_vectors(spark, monkeypatch):
 def test_samples_beyond_the_group_limit(spark):
     from tiffin.operators.sampling import first_n, sample_rows
     df = spark.range(20_000).repartition(7)
-    got = first_n(df, 5000, [F.col("id").desc()])
+    got = first_n(df, 5000, [-F.col("id")])
     assert sorted(r.id for r in got.collect()) == list(range(15_000, 20_000))
     assert sample_rows(df, 5000, "id").count() == 5000 and first_n(df, 30_000, [F.col("id")]).count() == 20_000
     assert {r.id for r in sample_rows(df, 900, "id").collect()} < {r.id for r in sample_rows(df, 5000, "id").collect()}
 
 
+def test_first_n_equals_a_sort_for_any_n_and_partitioning(spark):
+    import datetime as dt
+    import decimal
+    import random
+    from tiffin.operators.sampling import first_n
+    rng = random.Random(3)
+    day = dt.date(1969, 12, 1)
+    rows = [(i, rng.choice([None, rng.randint(-(1 << 63) + 5, (1 << 63) - 1), rng.randint(-4, 4)]),
+             rng.choice([None, "", "a", "a\0", "ab", "abcdefgh", "abcdefghi", "Zürich", "x" * 40 + str(i)]),
+             rng.choice([None, day + dt.timedelta(days=rng.randint(0, 60))]),
+             rng.choice([None, dt.datetime(1960 + rng.randint(0, 70), 1, 1, 3, 4, 5, rng.randint(0, 9))]),
+             rng.choice([None, decimal.Decimal(rng.randint(-500, 500)) / 100]), rng.choice([None, True, False])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, n long, s string, d date, t timestamp_ntz, m decimal(9,2), b boolean")
+    high = lambda r, c: (r[c] is None, r[c].encode() if isinstance(r[c], str) else r[c] or 0 if c != 3 and c != 4 else r[c] or (day if c == 3 else dt.datetime(1, 1, 1)))
+    at = {"id": 0, "n": 1, "s": 2, "d": 3, "t": 4, "m": 5, "b": 6}
+    for order in (["n", "id"], ["s", "n", "id"], ["d", "id"], ["t", "s", "id"], ["b", "m", "id"]):
+        want = [r[0] for r in sorted(rows, key=lambda r: [high(r, at[c]) for c in order])]
+        for n, parts in ((1, 5), (700, 2), (1499, 3)):
+            got = first_n(df.repartition(parts), n, [F.col(c) for c in order])
+            assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want[:n]), (order, n)
+    # rows equal in the order: exactly n, all that are surely in
+    same = spark.range(100).select("id", (F.col("id") >= 10).cast("int").alias("g"))
+    got = [r.id for r in first_n(same, 30, [F.col("g")]).collect()]
+    assert len(got) == 30 and set(range(10)) <= set(got)
+    assert first_n(same, 0, [F.col("g")]).count() == 0 and first_n(same.limit(0), 5, [F.col("g")]).count() == 0
+
+
+def test_first_n_is_one_filter(spark):
+    from tiffin.operators.sampling import sample_rows
+    plan = sample_rows(spark.range(50_000), 700, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and "Exchange" not in plan
+
+
 def test_label_centroids_ragged_vectors(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [3.0, 4.0, 6.0]), (3, 1, [5.0, 5.0])],
                                "vec_id long, label int, embedding array<double>").coalesce(1)

@@ -109,7 +109,7 @@ def reviews_to_enrich(reviews: DataFrame, done: DataFrame | None = None, batch_s
     """
     from .sampling import first_n
     r = reviews.where(F.col("comment").isNotNull())
-    order = [F.col("review_date").asc_nulls_last(), F.col("review_id").asc()]
+    order = [F.col("review_date"), F.col("review_id")]
     if oldest_first_then_skip and batch_size is not None:
         r = first_n(r, batch_size, order)
     if done is not None:
