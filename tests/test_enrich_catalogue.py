@@ -173,3 +173,35 @@ def test_keyed_texts_reach_every_outcome(spark):
         "t", C.is_safe("t").alias("a"), C.is_safe_v1("t").alias("b"), C.normalize_sql_text("t").alias("n")).collect()
     assert {(r.a, r.b) for r in s} == {(True, True), (True, False), (False, True), (False, False)}
     assert sum(r.n != r.t for r in s) >= 6
+
+
+def test_a_batch_that_broke_off_or_ran_twice_leaves_one_copy(spark, tmp_dir):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from tiffin.operators import enrich as E
+    from tiffin.plans.pipeline import append_new_enrichment
+    path = f"{tmp_dir}/enriched"
+    day = dt.date(2024, 1, 1)
+    reviews = spark.createDataFrame([(i, i, i, str(i), 5, f"great food {i}" if i % 5 else "broken", day) for i in range(1, 41)],
+                                    "review_id long, order_id long, user_id long, restaurant_id string, rating long, comment string, review_date date")
+
+    def dies_in_the_second_half(rows):
+        return rows.repartition(4, "review_id").withColumn("rating", F.when(F.col("review_id") > 20, F.raise_error(F.lit("lost"))).otherwise(F.col("rating")))
+
+    def picky(texts):
+        if (texts == "broken").any():
+            raise ValueError("no")
+        return E.keyword_model(texts)
+
+    append_new_enrichment(spark, reviews.where("review_id <= 10"), path, batch_id="d1")
+    with pytest.raises(Exception):
+        append_new_enrichment(spark, dies_in_the_second_half(reviews), path, batch_id="d2")
+    assert spark.read.parquet(path).count() == 10                       # nothing of the broken batch is seen
+    append_new_enrichment(spark, reviews, path, batch_id="d2")
+    got = append_new_enrichment(spark, reviews, path, batch_id="d2")    # the same batch twice
+    assert sorted(r.review_id for r in got.collect()) == list(range(1, 41))
+    assert got.where("batch = 'run-d1'").count() == 10
+    model = f"{tmp_dir}/model"
+    for _ in range(2):
+        append_new_enrichment(spark, reviews, model, model=picky, batch_id="d1")
+    assert spark.read.parquet(model).count() == 32 and spark.read.parquet(f"{model}_rejects").count() == 8

@@ -68,3 +68,31 @@ def test_copy_into_with_rejects_parses_once(spark, tmp_dir):
     bad = sorted(r.raw_line for r in spark.read.parquet(f"{rejects}/rows").collect())
     assert len(bad) == 2 and "abc" in bad[0] and bad[1].startswith("z,")
     assert spark.read.parquet(table).columns == ["id", "amount", "name"]
+
+
+def test_rows_and_rejects_come_from_one_stream(spark, tmp_dir, monkeypatch):
+    from tiffin.streaming import ingest
+    land, table, rejects, ckpt = (f"{tmp_dir}/{d}" for d in ("land", "table", "rejects", "ckpt"))
+    _write(land, "d1.csv", "id,amount,name\n1,1.00,a\nx,2.00,b\n3,3.00,\"c, d\"\n")
+    load = lambda **o: ingest.ingest_with_rejects(spark, land, SCHEMA, table, rejects, ckpt, **o)
+    assert load() == 1 and load() == 0
+    _write(land, "d2.csv", "id,amount,name\n4,4.00,e\n")
+    _write(land, "d3.csv", "id,amount,name\n5,oops,f\n")
+    # The second batch breaks off between rows and rejects.
+    from pyspark.sql import DataFrameWriter
+    parquet = DataFrameWriter.parquet
+
+    def broken(self, path, *a, **k):
+        if path.startswith(rejects):
+            raise RuntimeError("killed")
+        return parquet(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(Exception):
+        load()
+    monkeypatch.undo()
+    assert load() == 1                                       # done again, as a whole
+    rows = spark.read.schema(SCHEMA).parquet(table)
+    assert sorted(tuple(r) for r in rows.select("id", "name").collect()) == [(1, "a"), (3, "c, d"), (4, "e")]
+    bad = spark.read.parquet(rejects)
+    assert sorted((r.raw_line, r.file.rsplit("/", 1)[1]) for r in bad.collect()) == [("5,oops,f", "d3.csv"), ("x,2.00,b", "d1.csv")]

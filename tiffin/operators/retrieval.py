@@ -92,7 +92,9 @@ def cached_vectors(spark: SparkSession, path: str, reviews: DataFrame, embed: Ca
     root = path.rstrip("/") + (f"/version={version}" if version is not None else "")
     try:
         parts = [r.folder for r in spark.read.schema("folder string").json(f"{root}/_parts").distinct().collect()]   # one row per refresh
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         parts = []
     new = reviews if not parts else reviews.join(spark.read.parquet(*parts).select(key), key, "left_anti")
     folder = f"{root}/part-{uuid.uuid4().hex[:12]}"

@@ -21,7 +21,8 @@ from pyspark.sql.utils import AnalysisException
 from ..operators import enrich, quality
 from ..operators.incremental import IncrementalTable
 from ..sources.raw import RAW_SCHEMAS, RawTables, scan_raw
-from ..streaming.ingest import ingest_new_files, ingest_rejects
+from ..session import scratch_path
+from ..streaming.ingest import ingest_new_files, ingest_with_rejects
 from .models import Models
 
 TABLE_MARTS = ["dim_customers", "dim_restaurants", "dim_food", "mart_daily_city_revenue", "mart_delivery_sla",
@@ -35,38 +36,48 @@ class RunResult:
     report: DataFrame
 
 
-def _read_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, None if there is none (or nothing in it yet); any other error is raised."""
     try:
-        r = spark.read
-        if schema:
-            r = r.schema(schema)
-        return r.parquet(path)
-    except AnalysisException:
-        return None
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def append_new_enrichment(spark: SparkSession, reviews: DataFrame, table_path: str,
                           batch_size: int | None = None, model: enrich.BatchModel | None = None,
-                          model_name: str | None = None) -> DataFrame:
+                          model_name: str | None = None, batch_id: str | None = None) -> DataFrame:
     """Classify reviews that are not in the enriched table yet and append them, with the model's name.
 
+    A run's rows are the partition ``batch=<batch_id>`` (a new id if none is given), which
+    Spark's committer puts in place as a whole. A run with an id that is there already does
+    that batch anew and replaces it: two runs of one batch, or a run after one that broke
+    off, leave one copy. Give each scheduled run an id of its own, such as its date.
+
     With ``model`` (a batch classifier) each new review is sent to it once; rows it fails on
-    go to ``<table_path>_rejects`` with the error and are tried again by the next run.
+    go to ``<table_path>_rejects`` with the error, in the same way, and are tried again by the next run.
     """
-    done = _read_or_none(spark, table_path)
-    todo = enrich.reviews_to_enrich(reviews, done, batch_size)
+    mine = F.lit(f"run-{batch_id or uuid.uuid4().hex[:12]}")
+    done = read_or_none(spark, table_path)
+    todo = enrich.reviews_to_enrich(reviews, None if done is None else done.where(F.col("batch") != mine), batch_size)
+
+    def put(df: DataFrame, path: str) -> None:
+        df.withColumn("batch", mine).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
     if model is None:
         new = enrich.enrich_reviews(todo)
     else:
-        staged = f"{table_path}_answers/{uuid.uuid4().hex[:12]}"       # the model answers once for both outputs
+        staged = scratch_path(spark, "answers")                        # the model answers once for both outputs
         enrich.enrich_with_model(todo, model).write.parquet(staged)
         good, bad = enrich.split_rejects(spark.read.parquet(staged))
-        bad.write.mode("append").parquet(f"{table_path}_rejects")
+        put(bad, f"{table_path}_rejects")
         new = todo.select(*enrich.REVIEW_COLUMNS).join(good.select("review_id", "sentiment", "category", "confidence"), "review_id") \
             .select(*enrich.REVIEW_COLUMNS, "sentiment", "category", "confidence")
     name = model_name or (enrich.KEYWORD_MODEL if model is None else getattr(model, "__name__", "model"))
-    new.withColumn("model", F.lit(name)).write.mode("append").parquet(table_path)
-    return spark.read.parquet(table_path)
+    put(new.withColumn("model", F.lit(name)), table_path)
+    return read_or_none(spark, table_path)
 
 
 def order_items_source(spark: SparkSession, m: Models, items: IncrementalTable, stage_path: str) -> DataFrame:
@@ -97,10 +108,11 @@ def land(spark: SparkSession, landing: str, root: str) -> RawTables:
     """
     landing, root = landing.rstrip("/"), root.rstrip("/")
     for name in sorted(RAW_SCHEMAS, key=lambda n: (n in TOLERANT, n)):
-        schema, tolerant = RAW_SCHEMAS[name], name in TOLERANT
-        ingest_new_files(spark, f"{landing}/{name}", schema, f"{root}/{name}", f"{root}/_loaded/{name}", tolerant=tolerant)
-        if tolerant:
-            ingest_rejects(spark, f"{landing}/{name}", schema, f"{root}/_rejects/{name}", f"{root}/_loaded/{name}-rejects")
+        new_files, ledger = f"{landing}/{name}", f"{root}/_loaded/{name}"
+        if name in TOLERANT:
+            ingest_with_rejects(spark, new_files, RAW_SCHEMAS[name], f"{root}/{name}", f"{root}/_rejects/{name}", ledger)
+        else:
+            ingest_new_files(spark, new_files, RAW_SCHEMAS[name], f"{root}/{name}", ledger, tolerant=False)
     return scan_raw(spark, root)
 
 
@@ -112,8 +124,9 @@ def run_daily_from_landing(spark: SparkSession, landing: str, out_root: str, **o
 def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity: str = "error",
               enrich_batch: int | None = None, partition_facts_by: list[str] | None = None,
               keys_keep_partition: bool = False, model: enrich.BatchModel | None = None,
-              model_name: str | None = None) -> RunResult:
-    """One daily run. ``partition_facts_by`` (e.g. ``["order_date"]`` on a large warehouse)
+              model_name: str | None = None, batch_id: str | None = None) -> RunResult:
+    """One daily run (``batch_id``: its name, such as the date, under which a second run of the same day
+    replaces the first one's enrichment). ``partition_facts_by`` (e.g. ``["order_date"]`` on a large warehouse)
     writes facts in folders per value, and a merge rewrites only the partitions its
     batch touches; each task writes its own files, so a hot day never funnels into
     one task. Leave it unset for small data. ``keys_keep_partition``: an order never
@@ -156,7 +169,7 @@ def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity
         m.pin(name, spark.read.parquet(path))
 
     # Enrichment (active shape, appended) and the insight mart over its bridged rows.
-    enriched = append_new_enrichment(spark, m.raw.reviews, f"{out}/review_ai_enriched", enrich_batch, model, model_name)
+    enriched = append_new_enrichment(spark, m.raw.reviews, f"{out}/review_ai_enriched", enrich_batch, model, model_name, batch_id or run_id)
     m.pin("review_enriched", enrich.active_to_mart_shape(enriched))
     path = f"{out}/mart_review_insights/run={run_id}"
     m.mart_review_insights.write.mode("overwrite").parquet(path)

@@ -380,16 +380,17 @@ def _parse_enrichment_json(spark, sf_dir):
     return E.parse_answers(E.model_answers(_reviews_with_comment(spark, sf_dir)))
 
 
-@register("enrich_append", O.with_ctes(_ENRICH_SQL + _RC))
+@register("enrich_append", O.with_ctes(_ENRICH_SQL + f", '{O.enrich.KEYWORD_MODEL}' AS model " + _RC))
 def _enrich_append(spark, sf_dir):
     """The enriched table is created by the first append; later runs add only new reviews."""
     from .plans.pipeline import append_new_enrichment
     from .session import scratch_path
     raw = _models(spark, sf_dir).raw.reviews
     path = scratch_path(spark, "review-ai-enriched")
-    append_new_enrichment(spark, raw.where(F.col("review_date") < F.lit(O.ENRICH_CUTOFF).cast("date")), path)
-    append_new_enrichment(spark, raw, path)          # the rest
-    return append_new_enrichment(spark, raw, path)   # nothing new: no duplicates
+    append_new_enrichment(spark, raw.where(F.col("review_date") < F.lit(O.ENRICH_CUTOFF).cast("date")), path, batch_id="1")
+    append_new_enrichment(spark, raw, path, batch_id="2")          # the rest
+    append_new_enrichment(spark, raw, path, batch_id="2")          # the same batch again: replaced, not repeated
+    return append_new_enrichment(spark, raw, path, batch_id="3").drop("batch")   # nothing new
 
 
 @register("mart_review_insights_active", O.with_ctes("SELECT * FROM mart_review_insights"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.incremental import IncrementalTable
 
@@ -34,37 +33,52 @@ def ingest_new_files(spark: SparkSession, landing: str, schema: T.StructType, ta
     for k, v in opts.items():
         reader = reader.option(k, v)
     stream = reader.load(landing)
-    done = _last_batch(spark, checkpoint)
     q = (stream.writeStream.format("parquet").option("path", table_path)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return _last_batch(spark, checkpoint) - done
+    # Spark keeps the progress of the last hundred batches, by default.
+    return len({p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0})
 
 
-def ingest_rejects(spark: SparkSession, landing: str, schema: T.StructType, table_path: str, checkpoint: str) -> None:
-    """Append the CSV lines that a tolerant load of new files skips: raw text, file and the fields that did parse."""
+def ingest_with_rejects(spark: SparkSession, landing: str, schema: T.StructType, table_path: str, rejects_path: str,
+                        checkpoint: str, max_files_per_trigger: int | None = None) -> int:
+    """Tolerant load of new CSV files in one stream: rows that parse go to ``table_path``, the others to ``rejects_path``.
+
+    Rejects keep the raw line, the file and the fields that did parse. Each file is read and
+    parsed once: a micro-batch is staged, then split. Both parts are the partition
+    ``batch=<id>`` of their table, so a batch that broke off between the two is done again by
+    the next run and replaces what it had written; rows and rejects never part ways.
+    Returns the number of micro-batches run.
+    """
+    from ..session import scratch_path
     corrupt = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
-    lines = (spark.readStream.format("csv").schema(corrupt).option("header", "true").option("escape", '"')
-             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").load(landing))
-    bad = lines.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_corrupt_record").alias("raw_line"), F.col("_metadata.file_path").alias("file"), *schema.fieldNames())
-    q = (bad.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
+    reader = (spark.readStream.format("csv").schema(corrupt).option("header", "true").option("escape", '"')
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    lines = reader.load(landing).withColumn("file", F.col("_metadata.file_path"))
+    ran = []
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        staged = scratch_path(spark, "parsed")
+        batch.write.parquet(staged)
+        rows = spark.read.schema(T.StructType([*corrupt.fields, T.StructField("file", T.StringType())])).parquet(staged)
+        bad = F.col("_corrupt_record").isNotNull()
+        for part, path in ((rows.where(~bad).select(*schema.fieldNames()), table_path),
+                           (rows.where(bad).select(F.col("_corrupt_record").alias("raw_line"), "file", *schema.fieldNames()), rejects_path)):
+            # A batch without rows of a kind still leaves its (empty) partition, so the table can be read.
+            part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        ran.append(batch_id)
+
+    q = (lines.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-
-
-def _last_batch(spark: SparkSession, checkpoint: str) -> int:
-    """Id of the last committed micro-batch, -1 before the first: commit files are named by it."""
-    try:
-        files = spark.read.format("binaryFile").load(f"{checkpoint.rstrip('/')}/commits").select("path").collect()   # Spark keeps about a hundred
-    except AnalysisException:
-        return -1
-    return max((int(name) for name in (f.path.rsplit("/", 1)[-1] for f in files) if name.isdigit()), default=-1)
+    return len(ran)
 
 
 def upsert_new_files(spark: SparkSession, landing: str, schema: T.StructType, table: IncrementalTable,
