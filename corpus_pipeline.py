@@ -8,10 +8,10 @@ back, so a lost executor never costs more than the stage at work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tiffin.llm import langid, minhash, mixing, nbest, pii
-from tiffin.llm.common import stage, table
+from tiffin.llm.common import free_name, stage, table
 
 #: Documents whose best language covers less than this share of their n-grams are in none of the languages.
 MIN_LANGUAGE_SCORE = 0.3
@@ -27,9 +27,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document (by id) of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    """Keep the first document (by id) of each near-duplicate group: five-word shingles, similarity 0.8 or more.
+
+    Of rows that repeat an id, whatever their texts, one stays: the first by source, language and md5 of the text. Rows
+    without an id are compared as wholes only: of those with one text (or none), the first stays in the same way.
+    """
+    names = docs.columns
     gone = minhash.near_duplicates(docs, percent=80, width=5).where(~F.col("kept")).select("doc_id")
-    return docs.join(stage(gone, "dedup-gone"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(stage(gone, "dedup-gone"), "doc_id", "left_anti").select(*names)
+    key, order = free_name(names, "__key"), free_name(names, "__order")
+    # The few repeated rows are told apart by their keys, so no text is shuffled for the others.
+    keyed = kept.withColumn(key, F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.coalesce(F.md5("text"), F.lit("none"))))
+                            .otherwise(F.col("doc_id").cast("string")))
+    again = stage(keyed.groupBy(key).count().where("count > 1").select(key), "dedup-again")
+    first = Window.partitionBy(key).orderBy("source", "lang", F.md5("text"))
+    # row_number() = 1 keeps one row of a key in each task before the shuffle.
+    one = keyed.join(again, key, "left_semi").withColumn(order, F.row_number().over(first)).where(F.col(order) == 1)
+    return keyed.join(again, key, "left_anti").select(*names).unionAll(one.select(*names))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

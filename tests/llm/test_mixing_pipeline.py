@@ -7,16 +7,16 @@ from tiffin.llm import mixing
 from tiffin.llm.common import stage, table
 
 
-def brute_rates(cells, targets, budget):
+def brute_rates(cells, targets, budget, pull=mixing.PULL):
     """The same objective, minimised by plain projected gradient steps until nothing moves."""
     w = np.array([c[1] for c in cells], float)
     w /= w.sum()
     p = np.array([c[0] for c in cells])
     goal = budget * np.array([targets[d] for d in mixing.DOMAINS]) / sum(targets.values())
+    metric = np.linalg.pinv((p * w[:, None]).T @ p)
     r = np.ones(len(cells))
-    size = 1 / ((w[:, None] * p * p).sum() + mixing.PULL)
-    for _ in range(20_000):
-        r = np.clip(r - size * (p @ ((w * r) @ p - goal) + mixing.PULL * (r - 1)), 0, mixing.MAX_RATE)
+    for _ in range(50_000):
+        r = np.clip(r - (p @ (metric @ ((w * r) @ p - goal)) + pull * (r - 1)) / (1 + pull), 0, mixing.MAX_RATE)
     return r, (w * r) @ p
 
 
@@ -32,12 +32,12 @@ def test_rates_match_a_plain_solver(spark):
     w = np.array([r["tokens"] for r in got], float) / sum(r["tokens"] for r in got)
     mine = (w * np.array([r["r"] for r in got])) @ np.array([list(r)[:3] for r in got])
     assert np.abs(mine - totals).max() < 2e-3
-    assert np.abs(np.array([r["r"] for r in got]) - want).max() < 0.1
+    assert np.abs(np.array([r["r"] for r in got]) - want).max() < 0.01
 
 
-def reached(spark, p, tokens, shares):
+def reached(spark, p, tokens, shares, pull=mixing.PULL):
     cells = stage(spark.createDataFrame([(*map(float, x), int(t)) for x, t in zip(p, tokens)], "p_high double, p_low double, p_toxic double, tokens long"), "t")
-    rates = mixing.fit_rates(cells, dict(zip(mixing.DOMAINS, shares)), 0.95)
+    rates = mixing.fit_rates(cells, dict(zip(mixing.DOMAINS, shares)), 0.95, pull)
     rows = cells.select("p_high", "p_low", "p_toxic", "tokens", rates.fold([F.col(f"p_{d}") for d in mixing.DOMAINS])["r"].alias("r")).collect()
     p, w, r = (np.array(x, float) for x in ([list(x)[:3] for x in rows], [x["tokens"] for x in rows], [x["r"] for x in rows]))
     return (w / w.sum() * r) @ p, r, rows
@@ -45,27 +45,55 @@ def reached(spark, p, tokens, shares):
 
 def test_feasible_targets_are_met(spark):
     # A domain with 1 % of the tokens and a goal of 9.5 % needs rates of 9.5.
-    totals, r, rows = reached(spark, np.eye(3), [9800, 100, 100], (0.8, 0.1, 0.1))
-    assert np.abs(totals - 0.95 * np.array([0.8, 0.1, 0.1])).max() < 1e-6
-    assert {round(x["r"], 4) for x in rows if x["tokens"] == 100} == {9.5}
+    totals, r, rows = reached(spark, np.eye(3), [9800, 100, 100], (0.8, 0.1, 0.1), 1e-6)
+    assert np.abs(totals - 0.95 * np.array([0.8, 0.1, 0.1])).max() < 1e-5
+    assert {round(x["r"], 2) for x in rows if x["tokens"] == 100} == {9.5}
     rng = np.random.default_rng(4)
     p = np.vstack([np.eye(3), rng.dirichlet([4, 0.5, 0.5], 300)])
     tokens = [3, 3, 3, *rng.integers(1, 500, 300)]
     for shares in ((0.82, 0.08, 0.1), (0.5, 0.2, 0.3), (0.6, 0.35, 0.05)):
-        assert np.abs(reached(spark, p, tokens, shares)[0] - 0.95 * np.array(shares)).max() < 1e-6
+        goal = 0.95 * np.array(shares)
+        assert (np.abs(reached(spark, p, tokens, shares)[0] - goal) < 0.01 * goal).all()            # with the pull of the query
     # Of many ways to meet what is met already, the rates that stay at one.
     w = np.array(tokens) / sum(tokens)
     assert np.abs(reached(spark, p, tokens, w @ p)[1] - 0.95).max() < 0.06
 
 
 def test_targets_beyond_the_posteriors_are_approached_as_near_as_can_be(spark):
-    # Every posterior has a fifth or more of toxic: of the two rays, the nearest point of their cone.
-    p, tokens = np.array([[0.8, 0.0, 0.2], [0.1, 0.7, 0.2], [0.1, 0.1, 0.8]]), [500, 300, 200]
-    goal = 0.95 * np.array([0.6, 0.35, 0.05])
-    face = p[:2].T
-    nearest = face @ np.linalg.lstsq(face, goal, rcond=None)[0]
-    totals, r, _ = reached(spark, p, tokens, (0.6, 0.35, 0.05))
-    assert np.abs(totals - nearest).max() < 1e-6 and min(r) == 0
+    # Every posterior has a fifth or more of toxic: of the two rays, the nearest point of their cone in the measure of the fit.
+    p, tokens = np.array([[0.8, 0.0, 0.2], [0.1, 0.7, 0.2], [0.1, 0.1, 0.8]]), np.array([500, 300, 200])
+    goal, w = 0.95 * np.array([0.6, 0.35, 0.05]), tokens / 1000
+    half = np.linalg.cholesky(np.linalg.inv((p * w[:, None]).T @ p)).T
+    face = half @ p[:2].T
+    nearest = p[:2].T @ np.linalg.lstsq(face, half @ goal, rcond=None)[0]
+    totals, r, _ = reached(spark, p, tokens, (0.6, 0.35, 0.05), 1e-6)
+    assert np.abs(totals - nearest).max() < 1e-3 and min(r) == 0
+
+
+def test_registered_targets_keep_the_corpus(spark):
+    """At 0.1: totals within 1 % of their targets, nine tenths of the documents stay, none takes more than a thousandth."""
+    path = "/root/testdata/sf0.1"
+    docs = table(spark, path, "documents")
+    rows = stage(mixing.mix(docs, table(spark, path, "labels")), "t-mix")
+    f = rows.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in mixing.DOMAINS], F.sum("n_tokens").alias("n"),
+                 F.count_if(F.col("copies") > 0).alias("kept"), F.sum("copies").alias("copies"), F.max("copies").alias("most"), F.count("*").alias("docs")).first()
+    for d, share in mixing.TARGETS.items():
+        goal = mixing.BUDGET * share / sum(mixing.TARGETS.values())
+        assert abs(f[d] / f["n"] - goal) < 0.01 * goal, d
+    assert f["kept"] > 0.85 * f["docs"] and f["most"] <= 8 and f["most"] < f["copies"] / 1000
+
+
+def test_cells_share_out_what_rounding_leaves(spark):
+    model = mixing.Classifier([0.5, 0.3, 0.2], [[0] * 4, [0] * 4], (1.0, 1.0))
+    rows = spark.range(1).select(F.lit(0).alias("s1"), F.lit(0).alias("s2")).withColumns(model.cell()).withColumns(mixing.posteriors()).first()
+    assert (rows["p_high"], rows["p_low"], rows["p_toxic"]) == (0.5, 0.3, 0.2)
+    rng = np.random.default_rng(1)
+    s = rng.integers(-3000, 3000, (400, 2))
+    got = spark.createDataFrame([(int(a), int(b)) for a, b in s], "s1 long, s2 long").withColumns(model.cell()).withColumns(mixing.posteriors()).collect()
+    z = np.column_stack([np.full(400, np.log(0.5)), np.log(0.3) + s[:, 0] / mixing.UNIT, np.log(0.2) + s[:, 1] / mixing.UNIT])
+    true = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    mine = np.array([[r["p_high"], r["p_low"], r["p_toxic"]] for r in got])
+    assert np.abs(mine - true).max() < 1 / mixing.GRID and np.abs((mine - true).mean(axis=0)).max() < 0.2 / mixing.GRID
 
 
 def test_copies_of_one_row_are_dealt_over_tasks(spark, monkeypatch):
@@ -142,6 +170,29 @@ def test_pipeline_stages(spark, sf):
     assert len(pieces) == mixed.count() and all(r["round_trip"] for r in pieces)
 
 
+def test_near_dedup_keeps_one_row_of_repeated_ids_and_of_copies_without_id(spark, nasty):
+    work = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    text = "one two three four five six seven eight nine ten"
+    row = nasty.first().asDict()
+    rows = [dict(row, doc_id=i, text=t, source=s) for i, t, s in [
+        (1, text, "b"), (1, text, "a"), (2, text, "a"), (3, "quite another text of some other words here", "a"), (3, "same id and not the same text at all, ever", "a"),
+        (None, "no id", "x"), (None, "no id", "x"), (None, "no id", "y"), (None, "other, no id", "x"), (None, None, "x"), (None, None, "x"), (4, None, "x"), (4, None, "x")]]
+    got = work(spark, spark.createDataFrame([tuple(r[c] for c in nasty.columns) for r in rows], nasty.schema), "")
+    assert got.columns == nasty.columns
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
+    assert [i for i, _ in kept if i is not None] == [1, 3, 4] and [t for i, t in kept if i is None] == ["", "no id", "other, no id"]
+    assert [r["source"] for r in got.where("doc_id = 1").collect()] == ["a"]
+
+
+def test_stages_take_odd_rows(spark, nasty, sf):
+    """Nulls, repeated rows, clashing names and extra columns, through every stage."""
+    for name, work in corpus_pipeline.STAGES[:-1]:
+        out = work(spark, nasty, sf)
+        assert out.columns == nasty.columns, name
+        out.count()
+    assert dict(corpus_pipeline.STAGES)["sentencepiece"](spark, nasty, sf).count() == nasty.count()
+
+
 def test_pipeline_on_nothing(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, work in corpus_pipeline.STAGES:
