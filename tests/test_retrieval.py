@@ -175,3 +175,26 @@ def test_label_centroids_ragged_vectors(spark):
                                "vec_id long, label int, embedding array<double>").coalesce(1)
     got = {r.label: list(r.v) for r in R.label_centroids(df).collect()}
     assert got == {0: [2.0, 3.0, 6.0], 1: [5.0, 5.0, None]}
+
+
+def test_class_scoring_equals_scoring_every_row(spark):
+    import random
+    rng = random.Random(8)
+    kinds = [[1.0, 0.0, 1.0], [1.0, 0.0, 0.0], [0.0, 0.0, 0.0], [2.0, 0.0, 2.0], [0.0, 1.0], [1.0, None, 0.0], None, []]
+    rows = [(i, kinds[0] if i % 3 == 0 else rng.choice(kinds), "t") for i in rng.sample(range(5000), 900)]    # a third share one vector
+    df = spark.createDataFrame(rows, "id long, v array<double>, note string").repartition(6)
+    qs = spark.createDataFrame([(1, [1.0, 0.0, 1.0]), (2, [0.0, 1.0, 0.0]), (None, [1.0, 1.0]), (4, [0.0, 0.0, 0.0]), (5, [3.0])], "q int, qv array<double>")
+    for k in (1, 5, 400, 2000):
+        a = R.class_topk(df, "id", "v", qs, "q", "qv", k, keep=["note"])
+        b = R.cosine_topk_all(df, "id", "v", qs, "q", "qv", k, keep=["note"])
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect())), k
+    assert R.vector_classes(df, "id", "v", 5).count() == len(kinds) - 1
+    every = R.score_against_all(df, "id", "v", qs, "q", "qv").collect()
+    want = {}
+    for r in every:
+        key = (-r.score, r.query_id is not None, r.query_id or 0)                # a null id is the smallest
+        if r.id not in want or key < want[r.id][0]:
+            want[r.id] = (key, r.query_id, r.score)
+    got = {r.id: (r.query_id, r.score) for r in R.best_query_each(df, "id", "v", qs, "q", "qv").collect()}
+    assert got == {i: w[1:] for i, w in want.items()}
+    assert R.class_topk(df.limit(0), "id", "v", qs, "q", "qv").count() == 0

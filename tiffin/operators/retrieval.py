@@ -259,6 +259,58 @@ def score_against_all(corpus: DataFrame, id_col: str, vec_col: str, queries: Dat
     return _scored(corpus, id_col, vec_col, queries, query_id, query_vec, None, [], score_digits)
 
 
+# ------------------------------------------------------------------ classes of equal vectors
+def vector_classes(corpus: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
+    """(vec, members, firsts, class): each distinct vector once, its number of rows and its ``k`` smallest ids, staged.
+
+    Two partial aggregations: a task sends one count, and at most k ids, per vector,
+    however many of its rows share it.
+    """
+    from ..session import scratch_path
+    rows = corpus.select(F.col(vec_col).cast("array<double>").alias("vec"), F.col(id_col).alias("id")).where("vec IS NOT NULL")
+    counts = rows.groupBy("vec").agg(F.count("*").alias("members"))
+    w = Window.partitionBy("vec").orderBy(F.col("id").asc())
+    firsts = rows.withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("firsts"))
+    path = scratch_path(corpus.sparkSession, "vector-classes")
+    counts.join(firsts, "vec").withColumn("class", F.monotonically_increasing_id()).write.parquet(path)
+    return corpus.sparkSession.read.parquet(path)
+
+
+def class_topk(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str,
+               k: int = TOP_K, keep: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """``cosine_topk_all`` for a corpus with few distinct vectors: a vector is scored once, whatever its number of rows.
+
+    Of a query's classes, those count whose strictly better classes hold fewer than k rows; only they are
+    expanded, to k ids each. Same rows, scores and ranks as row by row. Ids must not be null.
+    """
+    classes = vector_classes(corpus, id_col, vec_col, k)
+    scored = _scored(classes, "class", "vec", queries, query_id, query_vec, None, [], digits)
+    sized = scored.join(classes.select("class", "members", "firsts"), "class")
+    upto = Window.partitionBy("query_id").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = sized.withColumn("_upto", F.sum("members").over(upto)).withColumn("_here", F.sum("members").over(Window.partitionBy("query_id", "score"))) \
+        .where(F.col("_upto") - F.col("_here") < k)
+    found = top_k(near.select("query_id", "score", F.explode("firsts").alias(id_col)), k, id_col)
+    if not keep:
+        return found.select("query_id", "score", id_col, "rank")
+    rows = corpus.select(F.col(id_col).alias("_id"), *keep)
+    return found.join(rows, found[id_col].eqNullSafe(rows["_id"]), "left").select("query_id", id_col, "score", *keep, "rank")
+
+
+def best_query_each(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame, query_id: str, query_vec: str) -> DataFrame:
+    """(id, query_id, score): the query nearest to each row (ties: smaller query id); rows without a score are left out.
+
+    One row per row of the corpus, not one per pair: distinct vectors are scored, and rows meet the answer of their vector.
+    """
+    from ..session import scratch_path
+    classes = vector_classes(corpus, id_col, vec_col, 1)
+    scored = _scored(classes, "class", "vec", queries, query_id, query_vec, None, [], None)
+    best = scored.groupBy("class").agg(F.min_by(F.struct("query_id", "score"), F.struct(-F.col("score"), F.col("query_id"))).alias("b"))
+    path = scratch_path(corpus.sparkSession, "class-answers")
+    classes.join(best, "class").select("vec", "b.query_id", "b.score").write.parquet(path)
+    answers = corpus.sparkSession.read.parquet(path)                # its size is known: broadcast if small, else sort-merge with skew split
+    return corpus.select(id_col, F.col(vec_col).cast("array<double>").alias("vec")).join(answers, "vec").select(id_col, "query_id", "score")
+
+
 def retrieve(corpus: DataFrame, questions: DataFrame, k: int = TOP_K,
              model: Callable[[pd.Series], list[list[float]]] | None = None) -> DataFrame:
     """A8 + A9: top-k reviews per question (query_id, review columns, score, rank).
@@ -268,8 +320,9 @@ def retrieve(corpus: DataFrame, questions: DataFrame, k: int = TOP_K,
         qv = questions.select("question_id", keyword_vector("question").alias("v"))
     else:
         qv = embed_with_model(questions, "question", model, ["question_id"]).withColumnRenamed("embedding", "v")
-    return cosine_topk_all(corpus, "review_id", "embedding", qv, "question_id", "v", k,
-                           keep=["city", "rating", "comment"])
+    # Keyword vectors are few however many reviews there are; a model's are nearly all distinct.
+    top = class_topk if model is None else cosine_topk_all
+    return top(corpus, "review_id", "embedding", qv, "question_id", "v", k, keep=["city", "rating", "comment"])
 
 
 # ------------------------------------------------------------------ answers
@@ -280,7 +333,7 @@ def answer(question: Column, n_top: Column, n_delivery: Column, avg_rating: Colu
         "Based on the %s most relevant reviews, delivery is mainly discussed in terms of timeliness and speed.",
         n_delivery)).otherwise(F.lit(TEXT_NO_DELIVERY))
     rating = F.format_string("The average rating among the %s most relevant reviews is %s stars.",
-                             n_top, F.round(avg_rating, 2).cast("string"))
+                             n_top, F.coalesce(F.round(avg_rating, 2).cast("string"), F.lit("None")))
     default = F.format_string(
         "I found %s relevant reviews, but the mock AI cannot provide a detailed answer to this question yet.", n_top)
     return (F.when(contains_any(q, ANSWER_DELIVERY_QUESTION), delivery)
@@ -308,7 +361,7 @@ def answer_questions(top: DataFrame, questions: DataFrame) -> DataFrame:
 def build_context(top: DataFrame, questions: DataFrame) -> DataFrame:
     """Prompt text per question: '(city, rating stars) comment' lines in rank order."""
     line = F.format_string("(%s, %s stars) %s\n", F.coalesce(F.col("city"), F.lit("None")),
-                           F.col("rating").cast("string"), F.col("comment"))
+                           F.coalesce(F.col("rating").cast("string"), F.lit("None")), F.col("comment"))
     ctx = top.groupBy("query_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("rank"), line.alias("line")))),
                                  lambda s: s["line"]), "").alias("context"))

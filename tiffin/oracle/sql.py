@@ -179,9 +179,9 @@ FROM part""",
        ELSE CAST(100 + (p_partkey * 13) % 900 AS VARCHAR) || '.50' END AS price
 FROM part""",
     "raw_reviews": f"""SELECT order_id AS review_id, order_id, user_id, CAST(r_id AS VARCHAR) AS restaurant_id,
-  CAST(1 + (order_id * 7) % 5 AS BIGINT) AS rating,
-  CASE WHEN order_id % 29 = 0 THEN NULL ELSE {pick(f'order_id % {len(fx.REVIEW_PHRASES)}', fx.REVIEW_PHRASES)} END
-    AS comment,
+  CASE WHEN order_id % 37 = 0 THEN NULL ELSE CAST(1 + (order_id * 7) % 5 AS BIGINT) END AS rating,
+  CASE WHEN order_id % 29 = 0 THEN NULL ELSE {pick(f'order_id % {len(fx.REVIEW_PHRASES)}', fx.REVIEW_PHRASES)}
+    || {pick(f'(order_id // 3) % {len(fx.REVIEW_ENDINGS)}', fx.REVIEW_ENDINGS)} END AS comment,
   CASE WHEN order_id % 31 = 0 THEN NULL ELSE order_date END AS review_date
 FROM raw_orders""",
 }
@@ -353,9 +353,10 @@ def route(text: str, plural_aware: bool = False) -> str:
 
 
 def keyed_texts(texts: list[str]) -> str:
-    """Conversations with a text of the list by key (DuckDB lists count from 1)."""
+    """Conversations with their own texts, and with a text of the list by key (DuckDB lists count from 1)."""
     literals = ", ".join(q(t) for t in texts)
-    return f"(SELECT conv_id, turn, role, [{literals}][CAST(1 + (conv_id * 7 + turn) % {len(texts)} AS INTEGER)] AS text FROM conversations)"
+    return (f"(SELECT conv_id, turn, role, 'given' AS origin, text FROM conversations UNION ALL SELECT conv_id, turn, role, 'keyed', "
+            f"[{literals}][CAST(1 + (conv_id * 7 + turn) % {len(texts)} AS INTEGER)] FROM conversations)")
 
 
 #: The statement words a text may not hold as a word of their own, stated apart from the code under test.
@@ -428,7 +429,7 @@ def answer_sql() -> str:
                 f"' most relevant reviews, delivery is mainly discussed in terms of timeliness and speed.' "
                 f"ELSE {q(rt.TEXT_NO_DELIVERY)} END")
     rating = (f"'The average rating among the ' || CAST(coalesce(a.n_top, 0) AS VARCHAR) || ' most relevant reviews is ' "
-              f"|| CAST({sround('a.avg_rating', 2)} AS VARCHAR) || ' stars.'")
+              f"|| coalesce(CAST({sround('a.avg_rating', 2)} AS VARCHAR), 'None') || ' stars.'")
     default = (f"'I found ' || CAST(coalesce(a.n_top, 0) AS VARCHAR) || ' relevant reviews, but the mock AI cannot "
                f"provide a detailed answer to this question yet.'")
     return (f"CASE WHEN {contains_any(lq, rt.ANSWER_DELIVERY_QUESTION)} THEN {delivery} "

@@ -416,17 +416,17 @@ for _tid, _sql in O.CATALOGUE_ORACLE.items():
 
 
 def _conversations(spark, sf_dir, texts: list[str]) -> DataFrame:
-    """One question or SQL text per conversation turn, so that every rule has rows."""
+    """The texts of all conversation turns, and one question or SQL text per turn besides, so that every rule has rows."""
     from .sources.fixtures import keyed_texts, read_driver
     return keyed_texts(read_driver(spark, sf_dir, "conversations"), texts)
 
 
 @register("route_questions", (
-    f"SELECT conv_id, turn, role, {O.route('text')} AS template_id, {O.route('text', True)} AS template_id_plural "
+    f"SELECT conv_id, turn, role, origin, {O.route('text')} AS template_id, {O.route('text', True)} AS template_id_plural "
     f"FROM {O.keyed_texts(QUESTION_TEXTS)}"))
 def _route_questions(spark, sf_dir):
     from .operators.catalogue import route
-    return _conversations(spark, sf_dir, QUESTION_TEXTS).select("conv_id", "turn", "role", route("text").alias("template_id"),
+    return _conversations(spark, sf_dir, QUESTION_TEXTS).select("conv_id", "turn", "role", "origin", route("text").alias("template_id"),
                                                 route("text", True).alias("template_id_plural"))
 
 
@@ -439,8 +439,8 @@ def _asked_sql() -> str:
         label = f"concat_ws(', ', {by})" if by else "CAST(NULL AS VARCHAR)"
         parts.append(f"SELECT '{tid}' AS id, {label} AS label, CAST({REPORTS[tid].name} AS DOUBLE) AS value FROM ({O.CATALOGUE_ORACLE[tid]})")
     return O.with_ctes(
-        f"SELECT c.conv_id, c.turn, c.template_id, CASE WHEN c.template_id IS NULL THEN 'unroutable' ELSE 'answered' END AS status, r.label, r.value "
-        f"FROM (SELECT conv_id, turn, {O.route('text')} AS template_id FROM {O.keyed_texts(QUESTION_TEXTS)}) c "
+        f"SELECT c.conv_id, c.turn, c.origin, c.template_id, CASE WHEN c.template_id IS NULL THEN 'unroutable' ELSE 'answered' END AS status, r.label, r.value "
+        f"FROM (SELECT conv_id, turn, origin, {O.route('text')} AS template_id FROM {O.keyed_texts(QUESTION_TEXTS)}) c "
         f"LEFT JOIN ({' UNION ALL '.join(parts)}) r ON r.id = c.template_id")
 
 
@@ -448,28 +448,28 @@ def _asked_sql() -> str:
 def _ask_questions(spark, sf_dir):
     from .operators.catalogue import ask
     return ask(_models(spark, sf_dir), _conversations(spark, sf_dir, QUESTION_TEXTS), "text") \
-        .select("conv_id", "turn", "template_id", "status", "label", "value")
+        .select("conv_id", "turn", "origin", "template_id", "status", "label", "value")
 
 
 @register("sql_safety", (
-    f"SELECT conv_id, turn, {O.is_safe('text')} AS is_safe, {O.is_safe_v1('text')} AS is_safe_v1 FROM {O.keyed_texts(SQL_TEXTS)}"))
+    f"SELECT conv_id, turn, origin, {O.is_safe('text')} AS is_safe, {O.is_safe_v1('text')} AS is_safe_v1 FROM {O.keyed_texts(SQL_TEXTS)}"))
 def _sql_safety(spark, sf_dir):
     from .operators.catalogue import is_safe, is_safe_v1
-    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", is_safe("text").alias("is_safe"),
+    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", "origin", is_safe("text").alias("is_safe"),
                                                 is_safe_v1("text").alias("is_safe_v1"))
 
 
-@register("sql_safety_v1", f"SELECT conv_id, turn, {O.is_safe_v1('text')} AS is_safe_v1 FROM {O.keyed_texts(SQL_TEXTS)}")
+@register("sql_safety_v1", f"SELECT conv_id, turn, origin, {O.is_safe_v1('text')} AS is_safe_v1 FROM {O.keyed_texts(SQL_TEXTS)}")
 def _sql_safety_v1(spark, sf_dir):
     """The earlier filter, plain substring tests (it also rejects e.g. ``created_at``)."""
     from .operators.catalogue import is_safe_v1
-    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", is_safe_v1("text").alias("is_safe_v1"))
+    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", "origin", is_safe_v1("text").alias("is_safe_v1"))
 
 
-@register("normalize_sql_text", f"SELECT conv_id, turn, {O.normalize_sql('text')} AS sql_text FROM {O.keyed_texts(SQL_TEXTS)}")
+@register("normalize_sql_text", f"SELECT conv_id, turn, origin, {O.normalize_sql('text')} AS sql_text FROM {O.keyed_texts(SQL_TEXTS)}")
 def _normalize_sql_text(spark, sf_dir):
     from .operators.catalogue import normalize_sql_text
-    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", normalize_sql_text("text").alias("sql_text"))
+    return _conversations(spark, sf_dir, SQL_TEXTS).select("conv_id", "turn", "origin", normalize_sql_text("text").alias("sql_text"))
 
 
 # ------------------------------------------------------------- retrieval
@@ -503,6 +503,16 @@ def _cosine_similarity(spark, sf_dir):
     return R.score_against_all(corpus, "review_id", "embedding", qv, "question_id", "v").select("query_id", "review_id", "score")
 
 
+@register("cosine_best_question", O.with_retrieval(
+    "SELECT review_id, first(query_id ORDER BY score DESC, query_id) AS query_id, max(score) AS score FROM sc GROUP BY review_id"))
+def _cosine_best_question(spark, sf_dir):
+    """One row per review: the question it answers best; equal vectors are scored once."""
+    from .operators import retrieval as R
+    corpus = R.review_vectors(_models(spark, sf_dir).stg_reviews)
+    qv = R.questions_frame(spark).select("question_id", R.keyword_vector("question").alias("v"))
+    return R.best_query_each(corpus, "review_id", "embedding", qv, "question_id", "v").select("review_id", "query_id", "score")
+
+
 @register("retrieval_topk", O.with_retrieval("SELECT query_id, rank, review_id, city, rating, comment, score FROM top"))
 def _retrieval_topk(spark, sf_dir):
     top, _ = _top(spark, sf_dir)
@@ -532,7 +542,7 @@ def _answer_questions(spark, sf_dir):
 @register("build_context", O.with_retrieval(
     "SELECT qv.question_id, qv.question, coalesce(c.context, '') AS context, "
     "'Question: ' || qv.question || chr(10) || chr(10) || 'Reviews:' || chr(10) || coalesce(c.context, '') AS prompt "
-    "FROM qv LEFT JOIN (SELECT query_id, string_agg('(' || coalesce(city, 'None') || ', ' || CAST(rating AS VARCHAR) "
+    "FROM qv LEFT JOIN (SELECT query_id, string_agg('(' || coalesce(city, 'None') || ', ' || coalesce(CAST(rating AS VARCHAR), 'None') "
     "|| ' stars) ' || comment || chr(10), '' ORDER BY rank) AS context FROM top GROUP BY query_id) c "
     "ON qv.question_id = c.query_id"))
 def _build_context(spark, sf_dir):

@@ -62,6 +62,8 @@ REVIEW_PHRASES = [
     "great taste, poor packaging",
     "GREAT Service",
 ]
+# Ends of comments: words of the retrieval vector, none of the classifier's positive or negative ones, so scores stay exact.
+REVIEW_ENDINGS = ["", "; table service", "; again from this restaurant", "; packaging as usual", "; the staff knew us", "; portion and price as listed", "; taste of home", "; delivery by bike"]
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,8 +90,10 @@ SQL_TEXTS = [
 
 
 def keyed_texts(conversations: DataFrame, texts: list[str]) -> DataFrame:
-    """``conversations`` with ``text`` replaced by one of ``texts`` chosen by conversation and turn."""
-    return conversations.withColumn("text", pick((F.col("conv_id") * 7 + F.col("turn")) % len(texts), texts))
+    """Every conversation turn twice: with its own text (origin ``given``), and with one of ``texts`` chosen by
+    conversation and turn (``keyed``), so that every rule has rows."""
+    keyed = conversations.withColumn("text", pick((F.col("conv_id") * 7 + F.col("turn")) % len(texts), texts))
+    return conversations.withColumn("origin", F.lit("given")).unionByName(keyed.withColumn("origin", F.lit("keyed")))
 
 
 def pick(index: Column, values: list) -> Column:
@@ -263,8 +267,9 @@ def raw_reviews(orders: DataFrame) -> DataFrame:
         k.alias("order_id"),
         F.col("user_id"),
         F.col("r_id").cast("string").alias("restaurant_id"),
-        (1 + (k * 7) % 5).cast("bigint").alias("rating"),
-        F.when(k % 29 == 0, F.lit(None)).otherwise(pick(k % len(REVIEW_PHRASES), REVIEW_PHRASES)).alias("comment"),
+        F.when(k % 37 == 0, F.lit(None)).otherwise(1 + (k * 7) % 5).cast("bigint").alias("rating"),
+        F.when(k % 29 == 0, F.lit(None)).otherwise(F.concat(
+            pick(k % len(REVIEW_PHRASES), REVIEW_PHRASES), pick(F.expr("order_id div 3") % len(REVIEW_ENDINGS), REVIEW_ENDINGS))).alias("comment"),
         F.when(k % 31 == 0, F.lit(None)).otherwise(F.col("order_date")).alias("review_date"),
     )
 
