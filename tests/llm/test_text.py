@@ -243,3 +243,32 @@ def test_language_edge_cases(nasty, empty):
     assert all(lang in ("en", "fr", "de", "und") for _, lang in got)
     none = langid.train(langid.learnable(empty))
     assert langid.identify(empty, none).count() == 0 and none.predict("text") == ("und", 0.0)
+
+
+# ------------------------------------------------------------------ past former limits
+def test_long_addresses_are_candidates_as_a_whole():
+    local, host = "x" * 90, ".".join(f"part{k}" for k in range(30))
+    text = f"mail {local} [at] mail3 [dot] com soon, or {local}(at){host} or a@b@c.d"
+    spans = {text[s:e] for s, e, k in pii.candidates(text) if k == pii.EMAIL}
+    assert f"{local} [at] mail3 [dot] com" in spans and f"{local}(at){host}" in spans
+    assert all(x.startswith(local) or x in ("b@c.d",) for x in spans)
+
+
+def test_regions_of_any_length_are_learned_from():
+    text = "call " + " ".join(f"555 010 {k:04d}" for k in range(200)) + " now"
+    windows = list(pii._windows(text))
+    assert windows and max(map(len, windows)) < 1000
+    found = {text[s:e] for s, e, _ in pii.candidates(text)}
+    seen = {w[s:e] for w in windows for s, e, _ in pii.candidates(w)}
+    assert {x for x in found if len(x) <= 12} <= seen
+    word = "y" * 1000 + "@" + "z" * 500 + ".com"
+    assert list(pii._windows(f"to {word} it")) == [f"to {word} it"]
+
+
+def test_each_language_keeps_its_part_of_the_filter(spark):
+    from tiffin.llm import langid
+    rows = [(i, "alpha beta gamma delta words here " * 3 + f"w{i}", "big") for i in range(400)] + [(1000, "zzyzx qwrty plugh", "small"), (1001, "ünïcöde ßtraße", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_grams=120)                     # far fewer than the n-grams of the large language
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got[1000] == "small" and got[1001] == "tiny" and got[3] == "big"

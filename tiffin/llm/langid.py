@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 ORDERS = (3, 4, 5)
 #: Documents learned from, per language: the bound of the training sample (chosen by a hash of the id).
 MAX_TRAIN_DOCS = 2000
-#: n-grams in the filter: the rarest are left out, by whole document-count classes, beyond this bound.
+#: (language, n-gram) pairs in the filter, an equal part for each language: of a language with more, those in fewest of
+#: its documents are left out, within the last count by a hash.
 MAX_GRAMS = 1_000_000
-#: An n-gram belongs to a language if its document share there is at least this part of its largest share.
-MIN_SHARE = 0.2
+#: Languages with fewer learnable documents keep the n-grams of single documents.
+FEW_DOCS = 20
 #: Characters handled at once; a longer text is read in overlapping pieces.
 PIECE = 1 << 20
 
@@ -155,21 +156,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / n))).otherwise(share)
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).where("text IS NOT NULL").select("lang", "text")
-    counts = picked.mapInArrow(_count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where("docs >= 2")
+    counts = picked.mapInArrow(_count, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    # An n-gram of one document says little, unless its language has few documents to show.
+    few = [x for x, n in sizes.items() if n < FEW_DOCS]
     from .common import stage
-    counts = stage(counts, "lang-grams")
-    least, kept = 2, 0
-    for r in sorted(counts.groupBy("docs").count().collect(), key=lambda r: -r["docs"]):
-        if kept + r["count"] > max_grams:
-            least = r["docs"] + 1
-            break
-        kept += r["count"]
-    part = F.col("docs") / F.lit(1.0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, F.col("docs") / F.lit(float(min(n, max_docs)))).otherwise(part)
-    rated = counts.where(F.col("docs") >= least).withColumn("part", part)
-    member = rated.groupBy("gram").agg(F.max("part").alias("top"), F.collect_list(F.struct("lang", "part")).alias("has")) \
-        .select("gram", F.explode("has").alias("h"), "top").where(F.col("h.part") >= MIN_SHARE * F.col("top")).select("gram", F.col("h.lang").alias("lang"))
+    counts = stage(counts.where((F.col("docs") >= 2) | F.col("lang").isin(few)), "lang-grams")
+    classes: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("lang", "docs").count().collect():           # at most max_docs counts a language
+        classes.setdefault(r["lang"], []).append((r["docs"], r["count"]))
+    room, kept_rows = max_grams // len(sizes), F.lit(False)
+    for lang, found in classes.items():
+        least, part, left = 0, 0.0, room
+        for docs_n, n in sorted(found, reverse=True):
+            if n > left:
+                least, part = docs_n, left / n
+                break
+            left -= n
+        here = (F.col("docs") > least) | ((F.col("docs") == least) & (F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < part * 1_000_000))
+        kept_rows = kept_rows | ((F.col("lang") == lang) & here)
+    member = counts.where(kept_rows).select("gram", "lang")
     names = sorted(sizes)
     found = member.toArrow().to_pandas()
     number = {x: i for i, x in enumerate(names)}

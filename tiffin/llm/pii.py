@@ -3,7 +3,7 @@
 The patterns (e-mail, IP, card, phone) give base spans, which always stay. The
 semi-CRF scores whole candidate segments (digit groups, separators, checksums,
 neighbouring words) and a dynamic programme over segment ends chooses boundaries
-and types together; a segment has at most ``MAX_GROUPS`` parts. It is trained
+and types together; a host is tried at each of its first ``MAX_GROUPS`` parts and as a whole. It is trained
 on a bounded sample of text windows: base spans are the labels, rewritten forms
 of them (a phone without country code, ``name [at] host [dot] com``) are added as
 further examples, and numbers that fail the checks are counter-examples.
@@ -34,8 +34,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
-#: Parts (digit groups, domain labels) of one segment, at most; and the reach of a region of candidates.
-MAX_GROUPS, GAP = 8, 40
+#: Ends of a host that are tried, its whole besides; the reach of a region of candidates; characters of a window for training.
+MAX_GROUPS, GAP, WINDOW = 8, 40, 400
 #: Bounds of the training sample: documents scanned for windows, and windows of each sort learned from.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 40_000, 400
 EPOCHS, RATE, SHRINK = 6, 0.2, 1e-4
@@ -104,7 +104,7 @@ def candidates(text: str) -> list[Span]:
             groups = [m.span() for m in _GROUP.finditer(text, run.start(), run.end())]
             for i in range(len(groups)):
                 digits = 0
-                for j in range(i, min(i + MAX_GROUPS, len(groups))):
+                for j in range(i, len(groups)):
                     digits += groups[j][1] - groups[j][0]
                     if digits > 19:
                         break
@@ -121,20 +121,23 @@ def candidates(text: str) -> list[Span]:
         return sorted(out, key=lambda s: (s[1], s[0], s[2]))
     for at in _AT.finditer(text):
         start = at.start()
-        while start > max(0, at.start() - 64) and text[start - 1] in _LOCAL:
+        while start > 0 and text[start - 1] in _LOCAL:
             start -= 1
         host = _HOST.match(text, at.end())
         if start == at.start() or not host:
             continue
-        end = host.end()
-        for _ in range(MAX_GROUPS):
+        end, parts = host.end(), 0
+        while True:
             dot = _DOT.match(text, end)
             if dot and at[0] == " at " and dot[0] == ".":   # plain prose: "at" and a full stop
                 break
             host = dot and _HOST.match(text, dot.end())
             if not host:
                 break
-            end = host.end()
+            end, parts = host.end(), parts + 1
+            if parts <= MAX_GROUPS:
+                out.add((start, end, EMAIL))
+        if parts > MAX_GROUPS:                              # of a longer host, the whole besides
             out.add((start, end, EMAIL))
     return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
@@ -287,20 +290,19 @@ def _disjoint(spans: list[Span]) -> list[Span]:
 
 
 def _windows(text: str | None) -> Iterator[str]:
-    """Text around each region of candidates or base spans, cut at spaces."""
+    """Text around each region of candidates or base spans, cut at spaces; a region beyond ``WINDOW`` goes on in the next."""
     if not text:
         return
     marks = sorted([s[:2] for s in base_spans(text)] + [s[:2] for s in candidates(text)])
     i = 0
     while i < len(marks):
         start, end = marks[i]
-        while i < len(marks) and marks[i][0] <= end + GAP:
+        while i < len(marks) and marks[i][0] <= min(end + GAP, start + WINDOW):
             end = max(end, marks[i][1])
             i += 1
-        if end - start <= 400:
-            left = text.rfind(" ", max(0, start - GAP), start)
-            right = text.find(" ", end, end + GAP)
-            yield text[left + 1 if left >= 0 else start:right if right >= 0 else end]
+        left = text.rfind(" ", max(0, start - GAP), start)
+        right = text.find(" ", end, end + GAP)
+        yield text[left + 1 if left >= 0 else start:right if right >= 0 else end]
 
 
 def _rewritten(text: str, span: Span, rng: random.Random) -> tuple[str, Span] | None:
