@@ -262,7 +262,7 @@ def test_regions_of_any_length_are_learned_from():
     seen = {w[s:e] for w in windows for s, e, _ in pii.candidates(w)}
     assert {x for x in found if len(x) <= 12} <= seen
     word = "y" * 1000 + "@" + "z" * 500 + ".com"
-    assert list(pii._windows(f"to {word} it")) == [f"to {word} it"]
+    assert list(pii._windows(f"to {word} it")) == [word]
 
 
 def test_each_language_keeps_its_part_of_the_filter(spark):
