@@ -205,3 +205,16 @@ def test_a_batch_that_broke_off_or_ran_twice_leaves_one_copy(spark, tmp_dir):
     for _ in range(2):
         append_new_enrichment(spark, reviews, model, model=picky, batch_id="d1")
     assert spark.read.parquet(model).count() == 32 and spark.read.parquet(f"{model}_rejects").count() == 8
+
+
+def test_answers_of_any_shape(spark):
+    rows = [(1, '{"sentiment":"positive","category":"delivery","confidence":0.9,"note":{"a":1}}'),
+            (2, '{"sentiment_label":"negative","sentiment_score":-0.5,"topic":"Delivery","key_issue":"late"}'),
+            (3, '{"sentiment_label":"neutral","sentiment_score":0,"topic":"Other"}'), (4, '{"sentiment":"positive","confidence":0.9}'),
+            (5, '{"sentiment":"positive","category":"delivery","confidence":"high"}'), (6, "Sorry, no."), (7, None), (8, ""), (9, "[1, 2]"), (10, '{"sentiment":')]
+    got = {r.review_id: r for r in E.parse_any_answer(spark.createDataFrame(rows, "review_id long, answer string")).collect()}
+    assert (got[1]["shape"], got[1].sentiment, got[1].topic, got[1].score, got[1].key_issue) == ("active", "positive", E.TOPIC_BY_CATEGORY["delivery"], 0.9, None)
+    assert (got[2]["shape"], got[2].sentiment, got[2].topic, got[2].score, got[2].key_issue) == ("mart", "negative", "Delivery", -0.5, "late")
+    assert got[3]["shape"] == "mart" and got[3].score == 0.0 and got[3].key_issue is None
+    assert all(got[i].rejected and got[i]["shape"] is None and got[i].sentiment is None for i in range(4, 11))
+    assert not any(got[i].rejected for i in (1, 2, 3))

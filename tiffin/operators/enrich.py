@@ -297,3 +297,29 @@ def parse_answers(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
     ok = p["sentiment"].isNotNull() & p["category"].isNotNull() & p["confidence"].isNotNull()
     return answers.select("review_id", p["sentiment"].alias("sentiment"), p["category"].alias("category"),
                           p["confidence"].alias("confidence"), (~F.coalesce(ok, F.lit(False))).alias("rejected"))
+
+
+def parse_any_answer(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
+    """Answers of either shape, told apart row by row: review_id, shape, sentiment, topic, score, key_issue, rejected.
+
+    ``active`` answers hold sentiment, category and confidence; ``mart`` answers hold sentiment_label, topic and
+    sentiment_score, and a key_issue that may be null or absent. A text is parsed once, as a VARIANT, and fields are read by
+    path; further fields do not matter. Prose, a null, a missing field or a score that is no number is rejected, with the
+    fields that could be read left out.
+    """
+    rows = answers.select("review_id", F.try_parse_json(F.col(answer_col)).alias("_v"))
+
+    def read(path: str, kind: str) -> Column:
+        return F.try_variant_get(F.col("_v"), f"$.{path}", kind)
+
+    rows = rows.select("review_id", *[read(n, k).alias(f"_{n}") for n, k in (
+        ("sentiment", "string"), ("category", "string"), ("confidence", "double"),
+        ("sentiment_label", "string"), ("topic", "string"), ("sentiment_score", "double"), ("key_issue", "string"))])
+    active = F.col("_sentiment").isNotNull() & F.col("_category").isNotNull() & F.col("_confidence").isNotNull()
+    mart = F.col("_sentiment_label").isNotNull() & F.col("_topic").isNotNull() & F.col("_sentiment_score").isNotNull()
+    shape = F.when(active, "active").when(mart, "mart")
+    pick = lambda a, b: F.when(active, F.col(a)).when(mart, F.col(b))
+    return rows.select("review_id", shape.alias("shape"), pick("_sentiment", "_sentiment_label").alias("sentiment"),
+                       F.when(active, _topic(F.col("_category"))).when(mart, F.col("_topic")).alias("topic"),
+                       pick("_confidence", "_sentiment_score").alias("score"),
+                       F.when(~active & mart, F.col("_key_issue")).alias("key_issue"), shape.isNull().alias("rejected"))

@@ -380,6 +380,38 @@ def _parse_enrichment_json(spark, sf_dir):
     return E.parse_answers(E.model_answers(_reviews_with_comment(spark, sf_dir)))
 
 
+def _answer_of_any_shape(label: str, cat: str, topic: str) -> str:
+    """SQL of both engines: by review, an answer of either shape, one without a field, prose, a score in words, or none."""
+    score = "CASE WHEN review_id % 2 = 0 THEN '0.25' ELSE '0.75' END"
+    active = f"concat('{{\"sentiment\":\"', {label}, '\",\"category\":\"', {cat}, '\",\"confidence\":', {score}, ',\"more\":[1]}}')"
+    mart = (f"concat('{{\"topic\":\"', {topic}, '\",\"sentiment_label\":\"', {label}, '\",\"sentiment_score\":-', {score}, "
+            f"CASE WHEN review_id % 4 = 1 THEN ',\"key_issue\":null}}' ELSE ',\"key_issue\":\"cold food\"}}' END)")
+    return (f"CASE CAST(review_id % 6 AS INT) WHEN 0 THEN {active} WHEN 1 THEN {mart} WHEN 2 THEN concat('{{\"sentiment\":\"', {label}, '\",\"confidence\":0.5}}') "
+            f"WHEN 3 THEN {O.q(O.enrich.NO_ANSWER_TEXT)} WHEN 4 THEN replace({active}, {score}, '\"high\"') END")
+
+
+_ANY_TOPIC = f"CASE category {' '.join(f'WHEN {O.q(k)} THEN {O.q(v)}' for k, v in O.enrich.TOPIC_BY_CATEGORY.items())} END"
+_ANY_FIELD = "CASE WHEN json_valid(answer) THEN json_extract_string(answer, '$.{}') END AS {}"
+
+
+@register("parse_answer_shapes", O.with_ctes(
+    "SELECT review_id, shape, CASE shape WHEN 'active' THEN sentiment WHEN 'mart' THEN sentiment_label END AS sentiment, "
+    f"CASE shape WHEN 'active' THEN {_ANY_TOPIC} WHEN 'mart' THEN topic END AS topic, "
+    "CASE shape WHEN 'active' THEN TRY_CAST(confidence AS DOUBLE) WHEN 'mart' THEN TRY_CAST(sentiment_score AS DOUBLE) END AS score, "
+    "CASE shape WHEN 'mart' THEN key_issue END AS key_issue, shape IS NULL AS rejected FROM (SELECT *, "
+    "CASE WHEN sentiment IS NOT NULL AND category IS NOT NULL AND TRY_CAST(confidence AS DOUBLE) IS NOT NULL THEN 'active' "
+    "WHEN sentiment_label IS NOT NULL AND topic IS NOT NULL AND TRY_CAST(sentiment_score AS DOUBLE) IS NOT NULL THEN 'mart' END AS shape "
+    "FROM (SELECT review_id, " + ", ".join(_ANY_FIELD.format(f, f) for f in (
+        "sentiment", "category", "confidence", "sentiment_label", "topic", "sentiment_score", "key_issue"))
+    + " FROM (SELECT review_id, " + _answer_of_any_shape("label", "category", _ANY_TOPIC) + " AS answer FROM "
+    + f"(SELECT review_id, {O.sentiment('comment')} AS label, {O.category('comment')} AS category " + _RC + ") c) a) f) g"))
+def _parse_answer_shapes(spark, sf_dir):
+    """Answers of either shape, with missing fields, prose, words for numbers and nulls."""
+    from .operators import enrich as E
+    said = E.classify(_reviews_with_comment(spark, sf_dir)).withColumnRenamed("sentiment", "label")
+    return E.parse_any_answer(said.select("review_id", F.expr(_answer_of_any_shape("label", "category", _ANY_TOPIC)).alias("answer")))
+
+
 @register("enrich_append", O.with_ctes(_ENRICH_SQL + f", '{O.enrich.KEYWORD_MODEL}' AS model " + _RC))
 def _enrich_append(spark, sf_dir):
     """The enriched table is created by the first append; later runs add only new reviews."""
