@@ -259,18 +259,20 @@ def raw_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_reviews(orders: DataFrame) -> DataFrame:
-    """One review per order, taken from the RAW orders (restaurant id kept as text)."""
+def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One review per order (restaurant id kept as text): orders and the first supplier of their lines, nothing else."""
+    o = read_driver(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_orderdate")
+    first = read_driver(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.min("l_suppkey").alias("r_id"))
     k = F.col("order_id")
-    return orders.select(
+    return o.join(first, "order_id", "left").select(
         k.alias("review_id"),
         k.alias("order_id"),
-        F.col("user_id"),
+        F.col("o_custkey").alias("user_id"),
         F.col("r_id").cast("string").alias("restaurant_id"),
         F.when(k % 37 == 0, F.lit(None)).otherwise(1 + (k * 7) % 5).cast("bigint").alias("rating"),
         F.when(k % 29 == 0, F.lit(None)).otherwise(F.concat(
             pick(k % len(REVIEW_PHRASES), REVIEW_PHRASES), pick(F.expr("order_id div 3") % len(REVIEW_ENDINGS), REVIEW_ENDINGS))).alias("comment"),
-        F.when(k % 31 == 0, F.lit(None)).otherwise(F.col("order_date")).alias("review_date"),
+        F.when(k % 31 == 0, F.lit(None)).otherwise(F.to_date("o_orderdate")).alias("review_date"),
     )
 
 
@@ -287,11 +289,7 @@ class DriverRaw(RawTables):
 
     def get(self, name: str) -> DataFrame:
         if name not in self._built:
-            if name == "reviews":
-                df = raw_reviews(self.get("orders"))
-            else:
-                df = globals()[f"raw_{name}"](self._spark, self._dir)
-            self._built[name] = _conform(df, name)
+            self._built[name] = _conform(globals()[f"raw_{name}"](self._spark, self._dir), name)
         return self._built[name]
 
     def names(self) -> list[str]:
