@@ -246,6 +246,10 @@ FROM fct_orders GROUP BY 1, 2""",
   count(CASE WHEN is_delivered THEN 1 END) AS delivered_orders,
   {sround('median(delivery_time_min)', 1)} AS p50,
   {sround('quantile_cont(delivery_time_min, 0.9)', 1)} AS p90
+FROM fct_orders WHERE is_delivered GROUP BY 1, 2""",
+    "mart_delivery_value": f"""SELECT city, CAST(hour(order_timestamp) AS INTEGER) AS order_hour, count(*) AS delivered_orders,
+  {sround('quantile_cont(CAST(sales_amount AS DOUBLE) / delivery_time_min, 0.5)', 6)} AS p50,
+  {sround('quantile_cont(CAST(sales_amount AS DOUBLE) / delivery_time_min, 0.9)', 6)} AS p90
 FROM fct_orders WHERE is_delivered GROUP BY 1, 2""",
     "mart_restaurant_performance": f"""SELECT f.restaurant_id, r.restaurant_name, r.city, r.cuisine,
   count(*) AS orders,

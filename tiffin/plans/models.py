@@ -93,6 +93,10 @@ class Models:
     def mart_delivery_sla(self) -> DataFrame:
         return marts.mart_delivery_sla(self.fct_orders)
 
+    @property
+    def mart_delivery_value(self) -> DataFrame:
+        return marts.mart_delivery_value(self.fct_orders)     # stages its values: built anew for every use
+
     @cached_property
     def mart_restaurant_performance(self) -> DataFrame:
         return marts.mart_restaurant_performance(self.fct_orders, self.dim_restaurants)

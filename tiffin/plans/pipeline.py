@@ -61,7 +61,8 @@ def append_new_enrichment(spark: SparkSession, reviews: DataFrame, table_path: s
     """
     mine = F.lit(f"run-{batch_id or uuid.uuid4().hex[:12]}")
     done = read_or_none(spark, table_path)
-    todo = enrich.reviews_to_enrich(reviews, None if done is None else done.where(F.col("batch") != mine), batch_size)
+    todo = enrich.reviews_to_enrich(reviews, None if done is None else done.where(F.col("batch") != mine), batch_size,
+                                    key_filter=True)
 
     def put(df: DataFrame, path: str) -> None:
         df.withColumn("batch", mine).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)

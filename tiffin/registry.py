@@ -73,6 +73,7 @@ for _name, _dec in [
     ("fct_order_items", ["price", "line_amount"]),
     ("mart_daily_city_revenue", ["gmv"]),
     ("mart_delivery_sla", []),
+    ("mart_delivery_value", []),
     ("mart_restaurant_performance", ["revenue"]),
     ("mart_review_insights", []),
 ]:
@@ -106,6 +107,16 @@ def _dim_date_covering(spark, sf_dir):
     return dim_date_covering(_models(spark, sf_dir).fct_orders)
 
 
+CALENDAR_END = "1997-12-31"
+
+
+@register("dim_date_until", O.with_ctes(O.CALENDAR_SQL + f" WHERE d <= DATE '{CALENDAR_END}'"))
+def _dim_date_until(spark, sf_dir):
+    """The calendar of the orders, cut at a last day."""
+    from .plans.marts import dim_date_covering
+    return dim_date_covering(_models(spark, sf_dir).fct_orders, end=CALENDAR_END)
+
+
 # ------------------------------------------------------------- scalar functions
 @register("fn_city_cleanup", O.with_ctes(
     f"SELECT order_id, restaurant_city, {O.after_last_comma('restaurant_city')} AS city FROM raw_orders"))
@@ -240,6 +251,15 @@ def _dq_unique(spark, sf_dir):
     return unique_failures(_models(spark, sf_dir).fct_orders, "order_id")
 
 
+@register("dq_unique_orders_of_items", O.with_ctes(
+    "SELECT order_id, count(*) AS n_records FROM fct_order_items WHERE order_id IS NOT NULL GROUP BY order_id "
+    "HAVING count(*) > 1"))
+def _dq_unique_orders_of_items(spark, sf_dir):
+    """Q1 on a column that does repeat: the orders with several items."""
+    from .operators.quality import unique_failures
+    return unique_failures(_models(spark, sf_dir).fct_order_items, "order_id")
+
+
 @register("dq_not_null", O.with_ctes(
     "SELECT order_id, customer_id, restaurant_id FROM stg_orders WHERE restaurant_id IS NULL"))
 def _dq_not_null(spark, sf_dir):
@@ -330,6 +350,28 @@ def _enrich_new_only(spark, sf_dir):
     return E.enrich_reviews(E.reviews_to_enrich(raw, done=_done_before_cutoff(spark, sf_dir)))
 
 
+@register("enrich_new_filtered", O.with_ctes(_ENRICH_SQL + _RC + _NEW_ONLY))
+def _enrich_new_filtered(spark, sf_dir):
+    """J5 with a key filter ahead of the anti join: only possible repeats are shuffled."""
+    from .operators import enrich as E
+    raw = _models(spark, sf_dir).raw.reviews
+    return E.enrich_reviews(E.reviews_to_enrich(raw, done=_done_before_cutoff(spark, sf_dir), key_filter=True))
+
+
+@register("enrich_stamped", O.with_ctes(
+    "SELECT model, count(*) AS reviews, count(*) AS stamped, CAST(1 AS BIGINT) AS stamps, true AS in_this_run "
+    "FROM review_enriched GROUP BY model"))
+def _enrich_stamped(spark, sf_dir):
+    """all rows of one run carry one time, the run's own."""
+    from .operators import enrich as E
+    done = E.review_enriched(_reviews_with_comment(spark, sf_dir))
+    now = F.current_timestamp()
+    return done.groupBy("model").agg(
+        F.count(F.lit(1)).alias("reviews"), F.count("enriched_at").alias("stamped"),
+        F.count_distinct("enriched_at").alias("stamps"),
+        F.every(F.col("enriched_at").between(now - F.expr("INTERVAL 1 HOUR"), now)).alias("in_this_run"))
+
+
 @register("enrich_batch", O.with_ctes(
     _ENRICH_SQL + _RC + _NEW_ONLY + " ORDER BY review_date ASC NULLS LAST, review_id LIMIT 5"))
 def _enrich_batch(spark, sf_dir):
@@ -354,7 +396,7 @@ def _enrich_documents(spark, sf_dir):
     from .operators import enrich as E
     from .sources.fixtures import read_driver
     d = read_driver(spark, sf_dir, "documents").select("doc_id", "text")
-    return E.classify(d, "text").select("doc_id", "sentiment", "category", "sentiment_score", "key_issue")
+    return E.classify_long_texts(d, "text").select("doc_id", "sentiment", "category", "sentiment_score", "key_issue")
 
 
 @register("enrich_pluggable", O.with_ctes(
@@ -771,6 +813,25 @@ def _merge_duplicate_keys(spark, sf_dir):
     return comparable(t.read())
 
 
+@register("merge_duplicates_refused", O.with_ctes(
+    "SELECT city, count(*) AS orders, CAST(sum(delivery_fee) AS DOUBLE) AS fees, true AS refused FROM fct_orders GROUP BY city"))
+def _merge_duplicates_refused(spark, sf_dir):
+    """I3 in ``error`` mode: a batch that repeats keys of the table is refused and leaves the table as it was."""
+    from .operators.incremental import DuplicateKeyError
+    fct = _models(spark, sf_dir).fct_orders
+    t = _inc_table(spark, "fct_orders_refused", "order_id", "order_timestamp")
+    t.full_refresh(fct)
+    recent = fct.where(F.col("order_timestamp") >= _ts(CUTOFF))
+    newer = recent.withColumn("delivery_fee", (F.col("delivery_fee") + 1).cast("decimal(12,2)"))
+    refused = False
+    try:
+        t.merge(recent.unionByName(newer), on_duplicates="error")
+    except DuplicateKeyError:
+        refused = True
+    return comparable(t.read().groupBy("city").agg(F.count(F.lit(1)).alias("orders"), F.sum("delivery_fee").alias("fees"),
+                                                   F.lit(refused).alias("refused")))
+
+
 # ------------------------------------------------------------- ingestion
 _RAW_ORDERS_DEC = ["subtotal", "discount", "delivery_fee", "gst", "sales_amount"]
 
