@@ -153,7 +153,7 @@ def test_naive_bayes_matches_brute_force(spark):
             (4, "http://cheapcasino.net/win"), (5, "http://dailygarden.net/news"), (6, "http://zzz.net/"), (7, None), (7, None)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = {r["page_id"]: r for r in urls.judge(df, texts, rules=rules).collect()}
-    words = urls.Unigrams.of(urls.count_words(texts))
+    words = urls.Unigrams.of({r["word"]: r["n"] for r in urls.count_words(texts).collect()})
     count = {"block": {}, "allow": {}}
     for i, u in rows[:4]:
         host, path, *_ = brute_rule(u)
@@ -168,3 +168,17 @@ def test_naive_bayes_matches_brute_force(spark):
         assert got[i]["log_odds"] == pytest.approx(odds, abs=1e-5) and got[i]["verdict"] == ("block" if odds > 0 else "allow")
     assert got[4]["verdict"] == "block" and got[5]["verdict"] == "allow"
     assert urls.judge(df.limit(0), texts.limit(0)).count() == 0
+
+
+def test_rare_and_long_words_split_hosts(spark):
+    """Words seen once among 60,000 others, and words of over 20 letters, are known to the model."""
+    common = " ".join("".join(chr(97 + i // 26 ** k % 26) for k in range(5)) for i in range(60_000))
+    long = "donaudampfschifffahrtsgesellschaft"
+    texts = spark.createDataFrame([(common + " " + common,), (f"zebra quilt {long}",), (None,), ("y" * 200,)], "text string")
+    hosts = spark.createDataFrame([("zebraquilt.example.org",), (f"zebra{long}.org",), ("",), ("x" * 300 + ".org",)], "host string")
+    got = dict(tuple(r) for r in urls.split_hosts(hosts, texts).collect())
+    assert got["zebraquilt.example.org"][:2] == ["h:zebra", "h:quilt"]
+    assert got[f"zebra{long}.org"] == ["h:zebra", f"h:{long}", "t:org"]
+    assert got[""] == [] and got["x" * 300 + ".org"][-1] == "t:org"
+    whole = urls.Unigrams.of({r["word"]: r["n"] for r in urls.count_words(texts).collect()})
+    assert got == {h: urls.host_tokens(h, whole) for h in got}

@@ -12,16 +12,17 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stage
 
 #: (host, path, verdict). A rule fits its host and all subdomains if the path starts with the rule's; longest wins.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Words of the unigram model, most frequent first, and their greatest length.
-MAX_WORDS, MAX_WORD = 50_000, 20
+#: Longest word of a host: a label of a domain name has at most 63 characters.
+MAX_WORD = 63
 #: Steps per unit of log-probability: sums of tokens are exact integers.
 UNIT = 1_000_000
 
@@ -53,8 +54,9 @@ class Unigrams:
     unknown: float          # per letter of a run that is no word
 
     @classmethod
-    def of(cls, counts: dict[str, int]) -> "Unigrams":
-        total = sum(counts.values()) + 1
+    def of(cls, counts: dict[str, int], words: int | None = None) -> "Unigrams":
+        """From word counts; ``words``: the number of words in all, if ``counts`` holds only those of interest."""
+        total = (sum(counts.values()) if words is None else words) + 1
         return cls({w: math.log(total / n) for w, n in counts.items()}, math.log(total) + math.log(26))
 
     def split(self, run: str) -> list[str]:
@@ -76,25 +78,31 @@ class Unigrams:
 _RUN = re.compile(r"[^\W\d_]+|\d+")
 
 
-def tokens(host: str | None, path: str | None, words: Unigrams) -> list[str]:
-    """h:<word> per word of the host, h:. for its last label, p:<word> per word of the path, numbers as their length."""
+def _label_runs(host: str | None) -> list[str]:
+    """Runs of letters and of digits of all labels but the last."""
+    return [run for label in (host or "").split(".")[:-1] for run in _RUN.findall(label)]
+
+
+def host_tokens(host: str | None, words: Unigrams) -> list[str]:
+    """h:<word> per word of the host, t:<its last label>, numbers as their length."""
     out = []
-    labels = (host or "").split(".")
-    for label in labels[:-1]:
-        for run in _RUN.findall(label):
-            out += [f"h:{w}" for w in words.split(run)] if not run[0].isdigit() else [f"h:#{len(run)}"]
-    if labels[-1]:
-        out.append(f"t:{labels[-1]}")
-    out += [f"p:{r.lower()}" if not r[0].isdigit() else f"p:#{len(r)}" for r in _RUN.findall(path or "")]
-    return out
+    for run in _label_runs(host):
+        out += [f"h:{w}" for w in words.split(run)] if not run[0].isdigit() else [f"h:#{len(run)}"]
+    last = (host or "").split(".")[-1]
+    return out + [f"t:{last}"] if last else out
 
 
-def count_words(texts: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS) -> dict[str, int]:
-    """The most frequent words (runs of letters, lower case) of all texts, at most ``max_words`` of them.
+def path_tokens(path: str | None) -> list[str]:
+    """p:<word> per word of the path, numbers as their length."""
+    return [f"p:{r.lower()}" if not r[0].isdigit() else f"p:#{len(r)}" for r in _RUN.findall(path or "")]
 
-    The cut falls between two of the fine steps of a logarithmic count scale, so
-    words of one count stay or go together and only they reach the driver.
-    """
+
+def tokens(host: str | None, path: str | None, words: Unigrams) -> list[str]:
+    return host_tokens(host, words) + path_tokens(path)
+
+
+def count_words(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of all words (runs of letters, lower case) of all texts."""
     word = re.compile(r"[^\W\d_]+")
 
     def run(batches):
@@ -111,21 +119,54 @@ def count_words(texts: DataFrame, text_col: str = "text", max_words: int = MAX_W
                     held.clear()
         yield emit()
 
-    counts = texts.select(text_col).mapInArrow(run, "word string, n long").where(F.length("word") <= MAX_WORD) \
-        .groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 64).cast("int"))
-    counts = stage(counts, "url-words")
-    least, total = 1 << 30, 0
-    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():       # a few thousand steps at most
-        total += r["count"]
-        if total > max_words:
-            break
-        least = r["step"]
-    return {r["word"]: r["n"] for r in counts.where(F.col("step") >= least).collect()}
+    return texts.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _substrings(batches):
+    """(host, part) for every substring of a letter run of the host that could be a word, at least once each."""
+    parts: set[tuple[str, str]] = set()
+
+    def emit():
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string())], names=["host", "part"])
+    for b in batches:
+        for host in b.column(0).to_pylist():
+            for run in _label_runs(host):
+                if run[0].isdigit():
+                    continue
+                for start in range(len(run)):
+                    parts.update((host, run[start:end]) for end in range(start + 1, min(len(run), start + MAX_WORD) + 1))
+                    if len(parts) > 100_000:
+                        yield emit()
+                        parts.clear()
+    yield emit()
+
+
+def split_hosts(hosts: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(host, host_tokens) per row of ``hosts`` (host, distinct), by the counts of all words of all texts.
+
+    Only words that stand in some host are of use, so the counts of all words meet the distinct substrings of the
+    hosts, and each host gets those of its own; nothing is cut by frequency and no vocabulary is sent around.
+    """
+    counts = stage(count_words(texts, text_col), "url-words")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = hosts.mapInArrow(_substrings, "host string, part string")
+    useful = parts.select("part").distinct()
+    useful = stage(counts.join(useful, F.col("word") == F.col("part"), "left_semi"), "url-host-words")
+    own = parts.join(useful, F.col("part") == F.col("word")).groupBy("host").agg(F.collect_set(F.struct("word", "n")).alias("words"))
+
+    def split(batches):
+        for b in batches:
+            out = []
+            for host, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out.append(host_tokens(host, Unigrams.of({k["word"]: k["n"] for k in known or ()}, total)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["host", "host_tokens"])
+
+    return hosts.join(own, "host", "left").select("host", "words").mapInArrow(split, "host string, host_tokens array<string>")
 
 
 # ------------------------------------------------------------------ operator
 def judge(urls: DataFrame, texts: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "text",
-          rules: list[tuple[str, str, str]] = RULES, max_words: int = MAX_WORDS) -> DataFrame:
+          rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the classifier's log-odds of block where no rule fits, per row of ``urls``.
 
     A null url and one without ``://`` have empty host and path, no tokens, and
@@ -133,25 +174,17 @@ def judge(urls: DataFrame, texts: DataFrame, id_col: str = "page_id", url_col: s
     classes under rules, everything else is allowed. Distinct (host, path) pairs
     are tokenised and scored once, so a host of many repeats costs no more.
     """
-    words = urls.sparkSession.sparkContext.broadcast(Unigrams.of(count_words(texts, text_col, max_words)))
     url = F.coalesce(F.col(url_col), F.lit(""))
     pages = urls.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
 
-    def split(batches):
-        seen: dict[str, list[str]] = {}
-        for b in batches:
-            out = []
-            for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if host not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[host] = tokens(host, None, words.value)
-                out.append(seen[host] + tokens(None, path, words.value))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.string()))], names=b.schema.names + ["tokens"])
-
-    pairs = pages.groupBy("host", "path").agg(F.count("*").alias("n"))
-    pairs = stage(pairs.mapInArrow(split, T.StructType(pairs.schema.fields + [T.StructField("tokens", T.ArrayType(T.StringType()))]))
-                  .withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("host", "path", "n", "tokens", "r.rule", "r.verdict"), "url-pairs")
+    @F.pandas_udf("array<string>")
+    def of_path(paths: pd.Series) -> pd.Series:
+        return paths.map(path_tokens)
+
+    pairs = stage(pages.groupBy("host", "path").agg(F.count("*").alias("n")), "url-paths")
+    hosts = stage(split_hosts(pairs.select("host").distinct(), texts, text_col), "url-hosts")
+    pairs = stage(pairs.join(hosts, "host").withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+                  .select("host", "path", "n", F.concat("host_tokens", of_path("path")).alias("tokens"), "r.rule", "r.verdict"), "url-pairs")
     block = F.col("verdict") == "block"
     known = pairs.where("verdict IS NOT NULL")
     totals = known.agg(F.sum(F.when(block, F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(block, 0).otherwise(F.col("n"))).alias("a")).first()
