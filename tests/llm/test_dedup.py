@@ -134,3 +134,13 @@ def test_queries_on_given_tables(spark, sf):
     sizes, label = brute_documents(docs, 85, 3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op6_near_duplicates"](spark, sf).collect()}
     assert got == {i: (sizes[i], label[i]) for i in sizes}
+
+
+def test_slack_covers_single_precision_at_any_width():
+    import numpy as np
+    from tiffin.llm.metricjoin import slack, unit
+    rng = np.random.default_rng(5)
+    for width in (1, 3, 64, 1000, 30_000):
+        x, y = unit(rng.random((40, width)) + 0.1), unit(rng.random((40, width)) + 0.1)    # one sign: errors add up
+        error = np.abs(x.astype(np.float32) @ y.astype(np.float32).T - x @ y.T).max()
+        assert error <= slack(width) / 2

@@ -22,8 +22,15 @@ from .common import connected_components, stage
 #: Vectors a cell should have on average; pivots at most (beyond, cells are larger and joined in more blocks);
 #: candidates per pivot for the farthest-first choice; rows of a block of a cell.
 CELL, MAX_PIVOTS, CANDIDATES, BLOCK = 4096, 512, 8, 4096
-#: Pairs this far below the limit in single precision are compared again in double.
-SLACK = 2e-5
+
+
+def slack(width: int) -> float:
+    """Pairs this far below the limit in single precision are compared again in double.
+
+    Twice the bound of the rounding errors of a single-precision product of two unit vectors: half a unit in the last
+    place (2^-24) for each of the ``width`` products and sums, and for rounding the components of both.
+    """
+    return (width + 8) * 2.0 ** -23
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -86,7 +93,7 @@ def _join_blocks(dtype, width, least):
             px, py = place[:len(xi)], place[len(xi):]
             label = ids.copy()
             for lo in range(0, len(x), 512):
-                near = x32[lo:lo + 512] @ y32.T >= least - SLACK
+                near = x32[lo:lo + 512] @ y32.T >= least - slack(width)
                 rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
                 if not len(rows):
                     continue
