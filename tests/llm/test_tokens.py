@@ -144,3 +144,28 @@ def test_segmentation_query(spark, sf):
     from tiffin.llm.queries import QUERIES
     rows = QUERIES["op9_nbest_segmentation"](spark, sf).collect()
     assert len(rows) == table(spark, sf, "documents").count() and all(r["round_trip"] and len(r["best"]) == 4 for r in rows if r["n_pieces"] > 3)
+
+
+def test_models_are_told_apart_and_prefixes_have_no_limit():
+    import itertools
+    import numpy as np
+    from tiffin.llm import nbest
+    text = [bytes([i]) for i in range(256)]
+    byte_id = list(range(256))
+
+    def model(pieces, scores):
+        return nbest.Pieces({p: 256 + i for i, p in enumerate(pieces)}, np.array([-9.0] * 256 + scores), byte_id, text + [p.encode() for p in pieces], -30.0)
+
+    many = [chr(97 + i) * 3 for i in range(60)]
+    a, b = model(many + ["xy", "yz"], [-1.0] * 60 + [-2.0, -3.0]), model(many + ["xy", "yz"], [-1.0] * 60 + [-3.0, -2.0])
+    assert a.digest != b.digest and nbest._memory(a) is not nbest._memory(b) and nbest._memory(a) is nbest._memory(model(many + ["xy", "yz"], [-1.0] * 60 + [-2.0, -3.0]))
+    letters = [chr(0x4E00 + i) for i in range(104)]                                # 1,135,784 prefixes, more than 2^20
+    big = ["".join(t) for t in itertools.product(letters, repeat=3)]
+    memory = nbest.Memory(model(big, [-1.0] * len(big)))
+    h, wanted = [], []
+    for piece in (big[0], big[-1], big[77_777]):
+        x = 0
+        for c in piece:
+            x = memory._roll(x, ord(c))
+        h.append(x), wanted.append(256 + big.index(piece))
+    assert memory.piece[memory._find(np.array(h + [12345], np.uint64))].tolist() == wanted + [-1]

@@ -14,6 +14,7 @@ change one of the N best paths of the text.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
@@ -68,6 +69,10 @@ class Pieces:
         if inside or any("\n" in p for p in self.ids):
             raise ValueError("pieces of this model run across word starts or line breaks")
         self.longest = max(map(len, self.ids))
+        # Tells models apart: everything a segmentation depends on.
+        whole = hashlib.sha256(np.ascontiguousarray(self.scores).tobytes())
+        whole.update(repr((sorted(self.ids.items()), self.byte_id, self.unknown)).encode("utf-8", "surrogatepass"))
+        self.digest = whole.hexdigest()
 
     def decode(self, ids: list[int]) -> str:
         """Text of piece ids; the space put before the text when encoding goes."""
@@ -145,18 +150,17 @@ class Memory(dict):
             prefixes[h] = i
         self.prefix = np.array([0] + list(prefixes), _U)            # number 0 stands for no prefix
         self.piece = np.array([-1] + list(prefixes.values()), np.int64)
-        self.slots = np.zeros(1 << self.SLOT_BITS, np.int32)
+        self.slot_bits = max(16, (4 * len(prefixes)).bit_length())  # a quarter to an eighth of the slots is taken
+        self.slots = np.zeros(1 << self.slot_bits, np.int32)
         for number, h in enumerate(prefixes, 1):
-            at = h >> 64 - self.SLOT_BITS
+            at = h >> 64 - self.slot_bits
             while self.slots[at]:
                 at = (at + 1) % len(self.slots)
             self.slots[at] = number
 
-    SLOT_BITS = 20
-
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the prefixes with these hashes, 0 for none: open addressing, all lookups at once."""
-        at = (h >> _U(64 - self.SLOT_BITS)).astype(np.int64)
+        at = (h >> _U(64 - self.slot_bits)).astype(np.int64)
         out = self.slots[at]
         wrong = np.flatnonzero((out > 0) & (self.prefix[out] != h))
         while len(wrong):
@@ -313,11 +317,11 @@ def segment(words: list[str], numbers: np.ndarray, memory: Memory, n: int) -> li
 
 
 # ------------------------------------------------------------------ operator
-_MEMORY: dict[int, Memory] = {}
+_MEMORY: dict[str, Memory] = {}
 
 
 def _memory(pieces: Pieces) -> Memory:
-    key = zlib.crc32(repr((len(pieces.ids), float(pieces.scores.sum()), pieces.unknown, sorted(pieces.ids)[:50])).encode())
+    key = pieces.digest
     if key not in _MEMORY or len(_MEMORY[key]) > REMEMBERED:
         _MEMORY[key] = Memory(pieces)
     return _MEMORY[key]
