@@ -68,6 +68,45 @@ def test_articles_are_weighed_and_titles_stay():
         assert styletree.main_text(f"<article>{head}<p>x</p><div class=share>s</div></article>").split("\n\n") == ["T", "x"]
 
 
+STORY = "<h1>Storm</h1><p>" + "the storm came over the hills and took the roofs " * 20 + "</p>"
+
+
+def test_one_article_is_no_free_pass():
+    text = styletree.main_text(f'<div class="wrap">{STORY}</div><article><p>a short teaser</p></article>')
+    assert text.startswith("Storm\n\nthe storm") and "teaser" not in text
+    assert styletree.main_text("<div><p>one two three four</p></div><article><p>five six seven</p></article>") == "five six seven"
+
+
+@pytest.mark.parametrize("name", ["share-price", "promo-code-story", "related-work", "menu-items", "header-compression", "search-algorithms"])
+def test_names_that_mention_furniture_stay_in_articles(name):
+    for part in (f'<p class="{name}">kept words</p>', f'<ul class="{name}"><li>kept words</li></ul>', f'<div id="{name}"><p>kept words</p></div>'):
+        for page in (f"<article>{STORY}{part}</article>", f'<div class="content">{STORY}{part}</div>'):
+            assert styletree.main_text(page).endswith("\n\nkept words")
+
+
+@pytest.mark.parametrize("name", ["share", "share-buttons", "reader-comments", "comment-list", "cookie-notice", "ad-300x250", "related-posts", "newsletter-box", "post__share", "x sidebar"])
+def test_names_of_furniture_go_from_articles(name):
+    assert "gone" not in styletree.main_text(f'<article>{STORY}<div class="{name}"><p>gone words</p></div></article>')
+
+
+def test_a_hint_needs_links_or_sameness(spark):
+    linked = '<div class="related-work"><a href=x>gone words</a> or <a href=y>others</a></div>'
+    assert "gone" not in styletree.main_text(f"<article>{STORY}{linked}</article>")
+    words = lambda i: " ".join(f"w{i * 37 + k}" for k in range(30))
+    pages = lambda host, part: [(len(host) * 100 + i, f"http://{host}/{i}", f"<article><h1>T{i}</h1><p>{words(i)}</p>{part(i)}</article>") for i in range(12)]
+    same = pages("a.example", lambda i: f'<div class="share-price"><p>Prices of {("oil", "tea")[i % 2]} today</p></div>')
+    new = pages("bb.example", lambda i: f'<div class="share-price"><p>Price of the day {words(i + 500)}</p></div>')
+    got = {r["page_id"]: r["text"] for r in styletree.extract(spark.createDataFrame(same + new, "page_id long, url string, html string")).collect()}
+    for (i, _, page), (j, _, other) in zip(same, new):
+        assert "Prices of" in styletree.main_text(page) and "Prices of" not in got[i] and got[i].count("\n\n") == 1
+        assert "Price of the day" in got[j] and got[j] == styletree.main_text(other)
+
+
+def test_marks_alone_fail_on_every_page_of_a_host_that_the_tree_gets_right():
+    for _, _, page, text in site():
+        assert styletree.main_text(page) != text and set(text.split("\n\n")) < set(styletree.main_text(page).split("\n\n"))
+
+
 def test_style_tree_removes_a_notice_inside_articles(spark):
     words = lambda i: " ".join(f"w{i * 37 + k}" for k in range(30))
     rows = [(i, f"http://h.example/{i}", f"<article><h1>Daily news</h1><p>{words(i)}</p><p>All rights kept by us</p><ul><li>{words(i + 500)}</li><li>Write to us</li></ul></article>") for i in range(20)]

@@ -6,7 +6,9 @@ its child elements, and its content are the text blocks below it. An element
 whose presentation varies over the pages, or whose blocks are new on each page,
 matters; one that looks and reads alike on all of them is a template. Branches
 of low importance are removed from each page, then marked furniture (menus,
-forms, scripts ...), and the blocks that are left are the text.
+forms, scripts ...), and the blocks that are left are the text. Inside an
+article a name that only mentions furniture ("share-price") is no more than a
+hint: it takes links or a lower importance on the host to remove such a branch.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .urls import host_of
 
 #: Weight of an element's own presentation against the content below it; importance at or below which a branch goes.
 GAMMA, LEAST = 0.9, 0.25
+#: Importance at or below which a branch goes whose name mentions furniture; weight of a single article against the text beside it.
+LEAST_HINTED, ARTICLE_WEIGHT = 0.6, 2
 #: Content importance at or below which a single block of an article goes.
 EMPTY = 0.05
 #: Distinct pages of a host that must show an element before its importance counts.
@@ -48,6 +52,11 @@ FURNITURE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|pr
                        r"social|related|recommend\w*|comments?|discussion|responses|feedback|disqus|replies|respond|pagination|pager|copyright|legal|disclaimer|"
                        r"search|skip|complementary|contentinfo|navigation|form|trending|popular|teasers?|sr-only|visually-hidden)(?:$|[\s_-])")
 ASIDE = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|reply|replies|related|promo\w*|sponsor\w*|ads?|advert\w*|teasers?)(?:$|[\s_-])")
+#: Parts of a name that say nothing about what is named, so that the part before them does ("share-buttons" are furniture, a "share-price" is not).
+EMPTY_PART = re.compile(r"(?i)(?:[a-z]?\d[\dx]*|[a-z]|box|bar|block|list|links?|buttons?|icons?|tools?|wrap|wrapper|wrapping|container|holder|area|section|group|panel|pane|slot|unit|"
+                        r"row|col|column|inner|outer|top|bottom|left|right|center|desktop|mobile|module|component|region|zone|thread|posts|articles|stories|message|msg|text|"
+                        r"form|title|heading|label)$")
+_PART = re.compile(r"[A-Za-z0-9]+")
 TITLE = re.compile(r"(?i)(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])")
 ARTICLE = re.compile(r"(?i)(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])")
 
@@ -69,6 +78,9 @@ class Element:
     out: bool = False               # furniture, once the whole page is known
     shared: bool = False            # an ancestor's children continue here (inline or too deep)
     muted: bool = False             # inline furniture, or inside it: its text is left out of the block around it
+    story: bool = False             # inside an article or an element named like one
+    hinted: bool = False            # inside a story, with a name that mentions furniture
+    linked: bool = False            # inside a link
     children: list[int] = field(default_factory=list)
 
 
@@ -76,6 +88,20 @@ class Element:
 class Block:
     text: str
     element: Element
+    links: int = 0                  # characters of it inside links
+
+
+def names_furniture(names: str) -> bool:
+    """Whether a class, id or role names furniture itself: the last part that says anything is such a word."""
+    for name in names.split():
+        parts = _PART.findall(name)
+        while len(parts) > 1 and EMPTY_PART.match(parts[-1]) and not FURNITURE.match(parts[-1]):
+            parts.pop()
+        if parts and FURNITURE.fullmatch(parts[-1]):
+            return True
+        if FURNITURE.fullmatch(name):                              # words that hold a hyphen themselves
+            return True
+    return False
 
 
 def parse(page: str | None) -> tuple[list[Block], list[Element]]:
@@ -84,13 +110,16 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
     root = Element("body", 0, (), False, (), False)
     elements, stack = [root], [root]
     parts: list[str] = []
+    links = 0
     owner = root
 
     def flush() -> None:
+        nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            blocks.append(Block(text, owner))
+            blocks.append(Block(text, owner, min(links, len(text))))
+        links = 0
 
     def close(to: int) -> None:
         nonlocal owner
@@ -103,6 +132,8 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
     while True:
         m = _TOKEN.search(page, at)
         parts.append(" " if stack[-1].muted else page[at:m.start() if m else len(page)])
+        if stack[-1].linked:
+            links += len(parts[-1])
         if not m:
             break
         at = m.end()
@@ -149,6 +180,8 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
         names = " ".join(filter(None, (attrs.get("class"), attrs.get("id"), attrs.get("role"))))
         parent = stack[-1]
         article = parent.article or tag in ("article", "main")
+        story = parent.story or article or bool(names and ARTICLE.search(names))
+        hinted = False
         if not names or tag == "main":
             named = False
         elif tag == "article" or (not parent.article and ARTICLE.search(names)):
@@ -157,6 +190,8 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
             named = bool(ASIDE.search(names))
         else:
             named = bool(FURNITURE.search(names))
+        if named and parent.story and tag != "article" and not names_furniture(names):
+            named, hinted = False, True
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
         hard = tag in DROPPED or hidden or (tag == "header" and not article)
         muted = parent.muted or (tag not in BLOCK and (named or hard))
@@ -164,10 +199,12 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
             flush()
         if tag not in BLOCK or (len(stack) > MAX_DEPTH and not named and not hard):
             e = Element(tag, parent.path, parent.above, parent.hard or muted, parent.named, article, shared=True, muted=muted)
+            e.linked = parent.linked or tag == "a"
         else:
             base = next(x for x in reversed(stack) if not x.shared)
             name = f"{tag}.{_DIGITS.sub('#', names)}"
             e = Element(tag, xxhash.xxh3_64_intdigest(name.encode(), base.path) >> 1, base.above + (base,), parent.hard or hard, parent.named, article, names, muted=muted)
+            e.hinted, e.linked = hinted, parent.linked
             if tag in ("h1", "h2") and article:                    # so does an element of it that is named so
                 e.named = tuple(x for x in e.named if not x.article or not TITLE.search(x.names) or ASIDE.search(x.names))
             if named:
@@ -175,6 +212,7 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
             base.children.append(xxhash.xxh3_64_intdigest(name.encode()) >> 1)
             elements.append(e)
             owner = e
+        e.story = story
         stack.append(e)
     flush()
     _settle(blocks, elements)
@@ -182,19 +220,30 @@ def parse(page: str | None) -> tuple[list[Block], list[Element]]:
 
 
 def _settle(blocks: list[Block], elements: list[Element]) -> None:
-    """Decide what is furniture. A name is no proof for a wrapper that holds most of the page's text and its article or top heading."""
-    whole, held, holds = 0, {}, set()
+    """Decide what is furniture.
+
+    A name is no proof for a wrapper that holds most of the page's text and its
+    article or top heading, nor, unless it names comments or adverts, for a part
+    of an article with most of the page's text. A hint is followed if half of the
+    branch are links.
+    """
+    whole, held, holds, hints = 0, {}, set(), {}
     for b in blocks:
         if not b.element.hard:
             whole += len(b.text)
+            for e in (*b.element.above, b.element):
+                if e.hinted:
+                    text, links = hints.get(id(e), (0, 0))
+                    hints[id(e)] = text + len(b.text), links + b.links
             for e in b.element.named:
                 held[id(e)] = held.get(id(e), 0) + len(b.text)
                 inside = b.element.above[b.element.above.index(e) + 1:] + (b.element,) if e is not b.element else ()
-                if any(x.tag in ("article", "main", "h1") for x in inside):
+                if any(x.tag in ("article", "main", "h1") for x in inside) or (e.tag not in ("article", "main") and e.article and not ASIDE.search(e.names)):
                     holds.add(id(e))
     wrappers = {e for e in holds if 2 * held[e] > whole}
+    listed = {e for e, (text, links) in hints.items() if 2 * links >= text and 2 * text <= whole}
     for e in {id(x): x for x in (*elements, *(b.element for b in blocks))}.values():
-        e.out = e.hard or any(id(n) not in wrappers for n in e.named)
+        e.out = e.hard or any(id(n) not in wrappers for n in e.named) or any(id(x) in listed for x in (*e.above, e))
 
 
 def block_hash(text: str) -> int:
@@ -265,8 +314,8 @@ def _size(blocks: list[Block]) -> int:
 def _branch(kept: list[Block], low: set[int]) -> list[Block]:
     """The blocks of the articles, or those beside them if these have more text that is no template of the host.
 
-    A single article is taken for the story unless an element beside it is named
-    like one; several may be cards, and any text beside them counts.
+    A single article counts ``ARTICLE_WEIGHT`` times, unless an element beside it is named
+    like one; several may be cards and count once. On a tie the articles are taken.
     """
     inside = [b for b in kept if b.element.article]
     if not inside:
@@ -274,12 +323,13 @@ def _branch(kept: list[Block], low: set[int]) -> list[Block]:
     outermost = {id(next(e for e in (*b.element.above, b.element) if e.tag in ("article", "main") or e is b.element)) for b in inside}
     around = {id(e) for b in inside for e in (*b.element.above, b.element)}
     beside = [b for b in kept if not b.element.article and not any(e.path in low for e in (*b.element.above, b.element))]
-    if len(outermost) == 1:
-        beside = [b for b in beside if any(id(e) not in around and ARTICLE.search(e.names) for e in (*b.element.above, b.element))]
-    return beside if _size(beside) > _size(inside) else inside
+    alike = [b for b in beside if any(id(e) not in around and ARTICLE.search(e.names) for e in (*b.element.above, b.element))]
+    if len(outermost) == 1 and _size(alike) > _size(inside):
+        return alike
+    return beside if _size(beside) > (ARTICLE_WEIGHT if len(outermost) == 1 else 1) * _size(inside) else inside
 
 
-def main_text(page: str | None, low: set[int] = frozenset(), common: set[int] = frozenset()) -> str:
+def main_text(page: str | None, low: set[int] = frozenset(), common: set[int] = frozenset(), doubted: set[int] = frozenset()) -> str:
     """Blocks of a page that are in no furniture and no branch of ``low`` paths, joined by two line breaks.
 
     Of the page's articles and the text beside them, one is taken (``_branch``). An
@@ -287,16 +337,17 @@ def main_text(page: str | None, low: set[int] = frozenset(), common: set[int] =
     of the text or more stays, and the paragraphs and headings of an article do not
     go with its branch. Blocks of an article other than headings go one by one if
     they are ``common`` to the host's pages and have less than half of the text.
+    Branches of ``low`` or ``doubted`` paths whose name hints at furniture go whole.
     """
     kept = _branch([b for b in parse(page)[0] if not b.element.out], low)
-    if low:
+    if low or doubted:
         held: dict[int, int] = {}
         for b in kept:
             for path in {e.path for e in (*b.element.above, b.element)}:
                 held[path] = held.get(path, 0) + len(b.text)
         whole = _size(kept)
-        going = {p for p, n in held.items() if p in low and 2 * n < whole}
-        kept = [b for b in kept if not any(e.path in going and not (e.article and e.tag in TEXT) for e in (*b.element.above, b.element))]
+        going = {p for p, n in held.items() if (p in low or p in doubted) and 2 * n < whole}
+        kept = [b for b in kept if not any(e.path in going and (e.hinted or e.path in low and not (e.article and e.tag in TEXT)) for e in (*b.element.above, b.element))]
     if common:
         alike = [b for b in kept if b.element.article and not HEADING.match(b.element.tag) and block_hash(b.text) in common]
         if 2 * _size(alike) < _size(kept):
@@ -322,19 +373,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         _tree_rows, "page long, host string, path long, look long, block long")
     tree = stage(tree, "html-elements")
     distinct = tree.join(digest.select(F.col("first").alias("page")).distinct(), "page", "left_semi")
-    low = stage(importance(distinct).where(F.col("importance") <= LEAST).select("host", "path"), "html-low")
+    low = stage(importance(distinct).where(F.col("importance") <= LEAST_HINTED).select("host", "path", (F.col("importance") > LEAST).alias("doubted")), "html-low")
     alike = stage(common_blocks(distinct).select("host", "path", "block"), "html-common")
     # A page's own elements and blocks at most.
-    marked = tree.where("look IS NOT NULL").select("page", "host", "path").join(low, ["host", "path"], "left_semi") \
-        .select("page", "path", F.lit(None).cast("long").alias("block")) \
-        .unionAll(tree.where("block IS NOT NULL").join(alike, ["host", "path", "block"], "left_semi").select("page", F.lit(None).cast("long").alias("path"), "block"))
-    marked = stage(marked.groupBy("page").agg(F.collect_set("path").alias("low"), F.collect_set("block").alias("common")), "html-marked")
+    marked = tree.where("look IS NOT NULL").select("page", "host", "path").join(low, ["host", "path"]) \
+        .select("page", F.when(~F.col("doubted"), F.col("path")).alias("path"), F.lit(None).cast("long").alias("block"), F.when(F.col("doubted"), F.col("path")).alias("doubt")) \
+        .unionAll(tree.where("block IS NOT NULL").join(alike, ["host", "path", "block"], "left_semi").select("page", F.lit(None).cast("long").alias("path"), "block", F.lit(None).cast("long").alias("doubt")))
+    marked = stage(marked.groupBy("page").agg(F.collect_set("path").alias("low"), F.collect_set("block").alias("common"), F.collect_set("doubt").alias("doubted")), "html-marked")
 
     def run(batches):
         for b in batches:
-            text = [main_text(h, set(low or ()), set(common or ())) for h, low, common in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))]
+            text = [main_text(h, *(set(x or ()) for x in marks)) for h, *marks in zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(marked, rows["page_id"] == marked["page"], "left").select("page_id", "url", "html", "low", "common") \
+    return rows.join(marked, rows["page_id"] == marked["page"], "left").select("page_id", "url", "html", "low", "common", "doubted") \
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")
