@@ -84,6 +84,20 @@ def test_outliers_go_and_regular_documents_stay(spark):
     assert kept == {i for i, _ in regular}
 
 
+def test_repeated_lines_and_passages_can_reject_alone(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    regular = [(i, "\n".join(words(12) for _ in range(rng.randint(5, 30)))) for i in range(400)]
+    lines = [(1000 + i, "\n".join(f"{words(12)}\nabcde" for _ in range(15))) for i in range(5)]
+    passages = [(1100 + i, " ".join([words(100), p, words(100), p, words(100)])) for i, p in enumerate(words(50) for _ in range(5))]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in regular + lines + passages], "doc_id long, text string, lang string, source string")
+    rows = quality.judge(df).collect()
+    assert not any(r["base_failed"] for r in rows) and {r["doc_id"] for r in rows if r["kept"]} == {i for i, _ in regular}
+    limit = quality.chi_square(quality.D, quality.REJECT_Z)
+    assert (np.log(101) / quality.VECTOR["v_lines"]) ** 2 > limit and (np.log(31) / quality.VECTOR["v_repeats"]) ** 2 > limit
+
+
 def test_quality_edge_cases(nasty, empty):
     rows = quality.judge(nasty).collect()
     assert len(rows) == nasty.count()

@@ -21,12 +21,13 @@ WINDOW = 8   # words of a repeated passage
 
 #: The vector: name, and the scale below which a spread counts as this much (in natural-log units). A statistic that
 #: hardly varies in a group (most documents have no symbols at all) would otherwise reject any document that differs.
+#: The scales leave every statistic room to reject alone: its extreme is more than sqrt(chi_square(D, REJECT_Z)) scales away.
 VECTOR = {
     "v_words": 0.5,      # ln words
     "v_length": 0.15,    # ln mean word length
     "v_symbols": 0.4,    # ln (1 + symbols per 100 characters)
-    "v_lines": 1.0,      # ln (1 + repeated lines per 100 lines)
-    "v_repeats": 1.0,    # ln (1 + words in repeated passages per 100 words)
+    "v_lines": 0.5,      # ln (1 + repeated lines per 100 lines)
+    "v_repeats": 0.4,    # ln (1 + words in repeated passages per 100 words)
     "v_distinct": 0.25,  # ln distinct words per word
     "v_other": 0.3,      # ln (1 + characters that are no letters, per 100)
     "v_upper": 0.4,      # ln (1 + capitals per 100 characters)
@@ -183,13 +184,15 @@ def robust_estimates(cells: DataFrame) -> DataFrame:
 
 
 def _pooled(cells: DataFrame) -> DataFrame:
-    """(lang, source) -> (group_lang, group_source): groups that are too small share one per language, then one for all."""
+    """(lang, source) -> (group_lang, group_source) and its documents: groups that are too small share one per language, then one for all."""
     small = F.col("n") < MIN_GROUP
     n = cells.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     n = n.withColumn("group_source", F.when(small, F.lit("*")).otherwise(F.col("source")))
     per = n.groupBy(F.col("lang").alias("l"), F.col("group_source").alias("s")).agg(F.sum("n").alias("pool"))
     n = n.join(per, (F.col("lang") == F.col("l")) & (F.col("group_source") == F.col("s")))
-    return n.select("lang", "source", F.when(F.col("pool") < MIN_GROUP, F.lit("*")).otherwise(F.col("lang")).alias("group_lang"), "group_source")
+    n = n.select("lang", "source", "n", F.when(F.col("pool") < MIN_GROUP, F.lit("*")).otherwise(F.col("lang")).alias("group_lang"), "group_source")
+    whole = n.groupBy(F.col("group_lang").alias("l"), F.col("group_source").alias("s")).agg(F.sum("n").alias("group_n"))
+    return n.join(whole, (F.col("group_lang") == F.col("l")) & (F.col("group_source") == F.col("s"))).select("lang", "source", "group_lang", "group_source", "group_n")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -203,11 +206,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = stage(vectors(statistics(docs, id_col, text_col, lang_col, source_col)).withColumn("base_failed", base_failed()), "quality-stats")
     cells = rows.where(~F.col("base_failed")).groupBy("lang", "source", *_NAMES).agg(F.count("*").alias("c"))
     groups = stage(_pooled(cells), "quality-groups")
-    as_group = lambda x: x.join(groups, ["lang", "source"]).drop("lang", "source") \
-        .withColumnsRenamed({"group_lang": "lang", "group_source": "source"})
-    cells = stage(as_group(cells).groupBy("lang", "source", *_NAMES).agg(F.sum("c").alias("c")), "quality-cells")
-    sizes = cells.groupBy("lang", "source").agg(F.sum("c").alias("n")).where(F.col("n") >= MIN_GROUP).select("lang", "source")
-    fit = stage(robust_estimates(cells.join(sizes, ["lang", "source"], "left_semi")), "quality-fit")
+    # Groups that are too small go here, before the cells are staged, so nothing later is dealt by group.
+    cells = cells.join(groups.where(F.col("group_n") >= MIN_GROUP), ["lang", "source"]).drop("lang", "source", "group_n") \
+        .withColumnsRenamed({"group_lang": "lang", "group_source": "source"})
+    cells = stage(cells.groupBy("lang", "source", *_NAMES).agg(F.sum("c").alias("c")), "quality-cells")
+    fit = stage(robust_estimates(cells), "quality-fit")
     # Distances whose median is above the chi-square median are scaled back to it; where least spreads keep them
     # below, the quantile itself is the limit.
     limit = F.greatest(F.pow(F.lit(2.0), (F.col("half") + 1) / BINS) / chi_square(D, 0.0), F.lit(1.0)) * chi_square(D, REJECT_Z)
