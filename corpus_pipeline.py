@@ -57,9 +57,10 @@ def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation, and score and digest of the four best."""
+    """Piece ids of the best segmentation by the pieces' frequencies in ``docs``, and score and digest of the four best."""
     import public_tokenizers
-    return nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), n=4)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return nbest.encode(docs, model, n=4, counts=nbest.piece_counts(docs, model))
 
 
 STAGES = [("language_id", language_id), ("minhash_near_dedup", near_dedup), ("personal_data", personal_data),

@@ -122,6 +122,47 @@ def test_paths_match_all_segmentations(pieces):
         assert pieces.decode(got[0][1].tolist()) == text
 
 
+def brute_counts(texts):
+    from sentencepiece import SentencePieceProcessor
+    out = {}
+    for ids in SentencePieceProcessor(model_file=PIECES).encode([t for t in texts if t], num_threads=1):
+        for i in ids:
+            out[i] = out.get(i, 0) + 1
+    return out
+
+
+def test_piece_counts_and_their_paths(spark, nasty, empty, sf, monkeypatch):
+    """Counts equal the library's on whole texts; paths by their log-frequencies need about as few pieces as the library's."""
+    odd = [r["text"] for r in nasty.collect()] + ["a\nb\n\n  c ", "\n", " ", "x\ty\r\nz", "\n漢字\n"]
+    assert nbest.piece_counts(spark.createDataFrame([(t,) for t in odd], "text string"), PIECES) == brute_counts(odd)
+    assert nbest.piece_counts(empty, PIECES) == {}
+    docs = table(spark, sf, "documents")
+    texts = [r["text"] for r in docs.collect()]
+    monkeypatch.setattr(nbest, "COUNTED", 50)
+    counts = nbest.piece_counts(docs, PIECES)
+    assert counts == brute_counts(texts)
+    n = nbest.encode(docs, PIECES, n=1, counts=counts).agg({"n_pieces": "sum"}).first()[0]
+    assert n <= 1.02 * sum(counts.values())
+    ranks = nbest.encode(docs, PIECES, n=1).agg({"n_pieces": "sum"}).first()[0]
+    assert ranks > 1.1 * n
+
+
+def test_n_best_of_texts_match_all_segmentations_by_frequency(pieces):
+    rng = random.Random(3)
+    known = nbest.Pieces.load(PIECES, {i: rng.randint(0, 5) for i in pieces.ids.values()})
+    assert all(known.unknown < known.scores[i] <= 0 for i in known.ids.values())
+    memory = nbest.Memory(known)
+    for text in ["the cat", "aaaa aa\naa", "on it ☃", "größe x"] + ["".join(rng.choice("aabetn  \n,") for _ in range(9)) for _ in range(30)]:
+        w = nbest.chunks(text)
+        numbers = np.array([memory[x] for x in w])
+        memory.learn()
+        every = all_paths("▁" + text.replace(" ", "▁"), known)
+        for n in (1, 4):
+            got = nbest.segment(w, numbers, memory, n)
+            assert [s for s, _ in got] == [s for s, _ in every[:n]]          # sums of these scores are exact
+            assert len({tuple(i.tolist()) for _, i in got}) == len(got) and all((s, tuple(i.tolist())) in every for s, i in got)
+
+
 def test_segmentation_operator(spark, nasty, empty):
     got = nbest.encode(nasty, PIECES, n=3)
     rows = got.collect()

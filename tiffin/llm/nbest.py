@@ -1,5 +1,8 @@
-"""N-best segmentation of whole texts with the pieces and scores of a SentencePiece model, and decoding.
+"""N-best segmentation of whole texts with the pieces of a SentencePiece model, and decoding.
 
+A path's score is the sum of the scores of its pieces: those of the model, or,
+for a model whose scores are the ranks of merges and so say nothing about whole
+paths, the log-frequencies of its pieces in a corpus (``piece_counts``).
 The best segmentations are the paths of highest total score through the lattice
 of pieces: a forward Viterbi pass gives every position the score of its best
 prefix, and an A* search from the end uses these scores as an exact heuristic,
@@ -18,6 +21,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +36,10 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED, GROUP, PASS_CHARS = 300_000, 512, 100_000
 #: Scores at or below this mark pieces that the model keeps out of segmentations.
 UNUSED_SCORE = -1e8
+#: What a piece that the corpus lacks counts as; log-frequencies are rounded to steps of this size, so sums of scores are exact.
+UNSEEN, SCORE_STEP = 0.5, 2.0 ** -16
+#: Distinct words whose pieces a task counts at once.
+COUNTED = 200_000
 
 _U = np.uint64
 
@@ -47,7 +55,8 @@ class Pieces:
     unknown: float
 
     @classmethod
-    def load(cls, path: str) -> "Pieces":
+    def load(cls, path: str, counts: dict[int, int] | None = None) -> "Pieces":
+        """The model's pieces, with their scores or, if given, the log-frequencies by ``counts`` (piece id to count)."""
         from sentencepiece import SentencePieceProcessor
         sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
@@ -61,6 +70,9 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 ids[piece] = i
                 text[i] = piece.replace(SPACE_MARK, " ").encode()
+        if counts is not None:
+            n_of = np.array([counts.get(i, 0) + UNSEEN for i in range(n)])
+            scores = np.round(np.log(n_of / n_of[list(ids.values())].sum()) / SCORE_STEP) * SCORE_STEP
         usable = [scores[i] for i in ids.values() if scores[i] > UNUSED_SCORE]
         return cls(ids, scores, byte_id, text, min(usable) - UNKNOWN_PENALTY)
 
@@ -91,6 +103,39 @@ def chunks(text: str) -> list[str]:
     return _CHUNK.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
 
 
+def piece_counts(docs: DataFrame, model_path: str, text_col: str = "text") -> dict[int, int]:
+    """How often the library's own encoder uses each piece over all whole texts, null ones aside.
+
+    Pieces keep to the lattices of ``chunks``, so each distinct one of a task is
+    encoded once. One row per piece, at most the model's size, reaches the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]):
+        from sentencepiece import SentencePieceProcessor
+        sp = SentencePieceProcessor(model_file=model_path)
+        total, words = np.zeros(sp.get_piece_size(), np.int64), Counter()
+
+        def flush() -> None:
+            # The library puts a space mark before a text; a line break before it keeps a chunk apart from that one.
+            marked = [w[0] == SPACE_MARK and len(w) > 1 for w in words]
+            bare = [(w[1:] if m else "\n" + w).replace(SPACE_MARK, " ") for w, m in zip(words, marked)]
+            for m, n, ids in zip(marked, words.values(), sp.encode(bare, num_threads=1)):
+                np.add.at(total, ids if m else ids[2:], n)
+            words.clear()
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                words.update(chunks(text))
+                if len(words) > COUNTED:
+                    flush()
+        flush()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["piece", "n"])
+
+    rows = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(run, "piece long, n long") \
+        .groupBy("piece").agg(F.sum("n").alias("n"))
+    return {r["piece"]: r["n"] for r in rows.collect()}
+
+
 # ------------------------------------------------------------------ one lattice: Viterbi forward, A* backward
 def edges(word: str, pieces: Pieces) -> list[list[tuple[int, tuple[int, ...], float]]]:
     """Per end position: (start, ids, score) of the pieces that end there, shortest first."""
@@ -328,17 +373,18 @@ def _memory(pieces: Pieces) -> Memory:
 
 
 def encode(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text",
-           with_ids: bool = True) -> DataFrame:
+           with_ids: bool = True, counts: dict[int, int] | None = None) -> DataFrame:
     """Per document: id, n_pieces, ids_crc32 and round_trip of the best path, and the n best as an array.
 
     ``best`` holds (score, n_pieces, ids_crc32) of each path, best first, and
     ``ids`` the ids of the best. Whole texts; null and empty texts have one
     empty path. ``round_trip`` says whether decoding gives the text back: it does
     unless the text holds the space mark itself. Crc32 is over the ids as
-    little-endian unsigned 32-bit integers. Other columns are not read.
+    little-endian unsigned 32-bit integers. Scores are the model's, or by
+    ``counts`` (``piece_counts``). Other columns are not read.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Pieces.load(model_path))
+    shared = spark.sparkContext.broadcast(Pieces.load(model_path, counts))
 
     def run(batches: Iterator[pa.RecordBatch]):
         pieces = shared.value

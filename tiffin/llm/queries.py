@@ -87,8 +87,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_nbest_segmentation")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    from .nbest import encode
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4, with_ids=False)
+    from .nbest import encode, piece_counts
+    docs, model = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    return encode(docs, model, n=4, with_ids=False, counts=piece_counts(docs, model))
 
 
 @query("op8_soft_mixing")
