@@ -122,6 +122,12 @@ def test_paths_match_all_segmentations(pieces):
         assert pieces.decode(got[0][1].tolist()) == text
 
 
+def test_chunks_match_their_pattern():
+    rng = random.Random(8)
+    for t in ["", " ", "\n", "a", " a", "a ", "\n\n a \n"] + ["".join(rng.choice("ab  \n\t▁é"[:rng.choice((4, 5, 9))]) for _ in range(rng.randint(1, 12))) for _ in range(5000)]:
+        assert nbest.chunks(t) == (nbest._CHUNK.findall("▁" + t.replace(" ", "▁")) if t else []), repr(t)
+
+
 def brute_counts(texts):
     from sentencepiece import SentencePieceProcessor
     out = {}

@@ -33,13 +33,13 @@ SPACE_MARK = "▁"
 #: Score of a character without a piece, below the worst piece; it is spelled in byte pieces.
 UNKNOWN_PENALTY = 10.0
 #: Distinct words remembered by a worker before its memory is emptied; texts handled at once; characters of one Viterbi pass.
-REMEMBERED, GROUP, PASS_CHARS = 300_000, 512, 100_000
+REMEMBERED, GROUP, PASS_CHARS = 700_000, 512, 100_000
 #: Scores at or below this mark pieces that the model keeps out of segmentations.
 UNUSED_SCORE = -1e8
 #: What a piece that the corpus lacks counts as; log-frequencies are rounded to steps of this size, so sums of scores are exact.
 UNSEEN, SCORE_STEP = 0.5, 2.0 ** -16
 #: Distinct words whose pieces a task counts at once.
-COUNTED = 200_000
+COUNTED = 500_000
 
 _U = np.uint64
 
@@ -99,7 +99,9 @@ _CHUNK = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n")
 
 
 def chunks(text: str) -> list[str]:
-    """The independent lattices of a text, in order."""
+    """The independent lattices of a text, in order: ``_CHUNK`` finds them; in texts without space runs, marks or a space first, so does a split."""
+    if text and "  " not in text and SPACE_MARK not in text and text[0] != " ":
+        return list(filter(None, (SPACE_MARK + text.replace(" ", " " + SPACE_MARK).replace("\n", " \n ")).split(" ")))
     return _CHUNK.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
 
 
