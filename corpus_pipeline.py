@@ -60,7 +60,7 @@ def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Piece ids of the best segmentation by the pieces' frequencies in ``docs``, and score and digest of the four best."""
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return nbest.encode(docs, model, n=4, counts=nbest.piece_counts(docs, model))
+    return nbest.encode(docs, model, n=4, counts=nbest.piece_counts(docs, model), remembered=300_000, keep_words=False)
 
 
 STAGES = [("language_id", language_id), ("minhash_near_dedup", near_dedup), ("personal_data", personal_data),

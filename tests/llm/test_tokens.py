@@ -128,6 +128,14 @@ def test_chunks_match_their_pattern():
         assert nbest.chunks(t) == (nbest._CHUNK.findall("▁" + t.replace(" ", "▁")) if t else []), repr(t)
 
 
+def test_a_memory_forgets_words_and_goes_on(pieces):
+    memory = nbest.Memory(pieces)
+    solve = lambda w: ([memory[x] for x in w], memory.learn(), [memory.alternatives(x, 3) for x in w])[2]
+    first = solve(["▁hello", "▁world", "▁☃"])
+    memory.forget()
+    assert len(memory) == len(memory.score) == 0 and solve(["▁☃", "▁hello"]) == [first[2], first[0]]
+
+
 def brute_counts(texts):
     from sentencepiece import SentencePieceProcessor
     out = {}
@@ -149,6 +157,8 @@ def test_piece_counts_and_their_paths(spark, nasty, empty, sf, monkeypatch):
     assert counts == brute_counts(texts)
     n = nbest.encode(docs, PIECES, n=1, counts=counts).agg({"n_pieces": "sum"}).first()[0]
     assert n <= 1.02 * sum(counts.values())
+    few = nbest.encode(docs, PIECES, n=3, counts=counts, remembered=100, keep_words=False).collect()
+    assert sorted(few) == sorted(nbest.encode(docs, PIECES, n=3, counts=counts).collect())
     ranks = nbest.encode(docs, PIECES, n=1).agg({"n_pieces": "sum"}).first()[0]
     assert ranks > 1.1 * n
 

@@ -184,10 +184,8 @@ class Memory(dict):
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces, self.new = pieces, []
-        self.flat, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
-        self.score, self.loss = np.empty(0), np.empty(0)
-        self.paths: dict[tuple[str, int], list] = {}
+        self.pieces = pieces
+        self.forget()
         prefixes: dict[int, int] = {}
         for piece, i in pieces.ids.items():
             h = 0
@@ -205,6 +203,14 @@ class Memory(dict):
                 at = (at + 1) % len(self.slots)
             self.slots[at] = number
 
+    def forget(self) -> None:
+        """Empty the memory of words; the prefixes of the pieces stay."""
+        self.clear()
+        self.new: list[str] = []
+        self.flat, self.offsets = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.score, self.loss = np.empty(0), np.empty(0)
+        self.paths: dict[tuple[str, int], list] = {}
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the prefixes with these hashes, 0 for none: open addressing, all lookups at once."""
         at = (h >> _U(64 - self.slot_bits)).astype(np.int64)
@@ -255,6 +261,8 @@ class Memory(dict):
             hit = found > 0
             at, found = at[hit], found[hit]
             piece[k, at] = self.piece[found]
+        longest = max([1, *np.flatnonzero((piece >= 0).any(axis=1))])     # of the pieces met here
+        piece = piece[:longest + 1]
         score = np.where(piece >= 0, p.scores[np.maximum(piece, 0)], -np.inf)
         score[1, (left > 0) & (piece[1] < 0)] = p.unknown
         ahead, behind = np.full(len(code), -np.inf), np.full(len(code), -np.inf)
@@ -368,14 +376,16 @@ _MEMORY: dict[str, Memory] = {}
 
 
 def _memory(pieces: Pieces) -> Memory:
+    """The worker's memory for a model."""
     key = pieces.digest
-    if key not in _MEMORY or len(_MEMORY[key]) > REMEMBERED:
+    if key not in _MEMORY:
+        _MEMORY.clear()
         _MEMORY[key] = Memory(pieces)
     return _MEMORY[key]
 
 
 def encode(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text",
-           with_ids: bool = True, counts: dict[int, int] | None = None) -> DataFrame:
+           with_ids: bool = True, counts: dict[int, int] | None = None, remembered: int = REMEMBERED, keep_words: bool = True) -> DataFrame:
     """Per document: id, n_pieces, ids_crc32 and round_trip of the best path, and the n best as an array.
 
     ``best`` holds (score, n_pieces, ids_crc32) of each path, best first, and
@@ -383,17 +393,28 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id",
     empty path. ``round_trip`` says whether decoding gives the text back: it does
     unless the text holds the space mark itself. Crc32 is over the ids as
     little-endian unsigned 32-bit integers. Scores are the model's, or by
-    ``counts`` (``piece_counts``). Other columns are not read.
+    ``counts`` (``piece_counts``). Workers remember ``remembered`` words, from one
+    task to the next unless ``keep_words`` is false: then a worker that goes on to
+    other work holds none. Results do not depend on either. Other columns are not read.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Pieces.load(model_path, counts))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        pieces = shared.value
+        memory = _memory(shared.value)
+        try:
+            yield from work(batches, memory)
+        finally:
+            if not keep_words:
+                memory.forget()
+
+    def work(batches: Iterator[pa.RecordBatch], memory: Memory):
+        pieces = memory.pieces
         for whole in batches:
             for lo in range(0, whole.num_rows, GROUP):
                 b = whole.slice(lo, GROUP)
-                memory = _memory(pieces)
+                if len(memory) > remembered:
+                    memory.forget()
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 words = [chunks(t) for t in texts]
                 numbers = [np.fromiter(map(memory.__getitem__, w), np.int64, len(w)) for w in words]
