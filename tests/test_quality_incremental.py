@@ -240,6 +240,58 @@ def test_merge_does_not_shuffle_the_target(spark, tmp_dir, broadcast):
     assert stored.data_type == "4"
 
 
+@pytest.mark.parametrize("most, join", [(None, "ShuffledHashJoin"), (10, "SortMergeJoin")])
+def test_merge_shuffles_the_batch_once(spark, tmp_dir, monkeypatch, most, join):
+    from tiffin.operators import incremental
+    if most is not None:
+        monkeypatch.setattr(incremental, "HASHED_KEYS", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, write = [], IncrementalTable._written
+
+    def noted(self, df, *args, **more):
+        plans.append(_plan(df))
+        return write(self, df, *args, **more)
+
+    monkeypatch.setattr(IncrementalTable, "_written", noted)
+    try:
+        t = IncrementalTable(spark, f"{tmp_dir}/once", "order_id", "ts", buckets=4)
+        t.full_refresh(spark.createDataFrame([(i, _t(i % 20), "a") for i in range(200)] + [(None, _t(1), "n"), (7, _t(2), "twice")], SCHEMA))
+        t.merge(spark.createDataFrame([(i, _t(22), "b") for i in range(150, 260)] + [(None, _t(23), "m"), (300, _t(22), "c"), (300, _t(22), "d")], SCHEMA))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 3 and join in plans[2] and "Exchange" not in plans[2]
+    assert "spark.sql.maxConcurrentOutputFileWriters" not in {r.key for r in spark.sql("SET").collect()}     # settings of the write are gone
+    want = [(i, "a" if i < 150 else "b") for i in range(260)] + [(None, "n"), (None, "m"), (7, "twice"), (300, "c"), (300, "d")]
+    assert sorted(map(str, ((r.order_id, r.v) for r in t.read().collect()))) == sorted(map(str, want))
+    assert t.watermark() == _t(23)
+
+
+@pytest.mark.parametrize("partition_by, tracked", [(None, False), (["v"], False), (None, True)])
+def test_a_staged_first_build_is_published_as_it_was_written(spark, tmp_dir, partition_by, tracked):
+    make = lambda: IncrementalTable(spark, f"{tmp_dir}/st", "order_id", "ts", partition_by=partition_by, buckets=4, track_changes=tracked)
+    rows = spark.createDataFrame([(i, _t(i % 20), "ab"[i % 2]) for i in range(200)] + [(None, _t(1), "a"), (7, _t(2), "b")], SCHEMA)
+    tables = lambda: {r.tableName for r in spark.sql(f"SHOW TABLES IN {make().database}").collect()}
+    t = make()
+    batch, whole = t.staged_batch(rows, f"{tmp_dir}/unused")
+    assert not t.exists() and whole.count() == 202 and set(whole.columns) == set(rows.columns)
+    staged = tables()
+    t.discard()
+    assert len(staged) == 1 and not tables()
+    t.discard()                                                    # nothing is staged any more
+    batch, _ = t.staged_batch(rows, f"{tmp_dir}/unused")
+    staged = tables()
+    assert t.publish(batch) == 1 and t.watermark() == _t(19)
+    assert tables() == staged | {"st"} and make().read().count() == 202         # shown, not written again
+    t = make()
+    batch, whole = t.staged_batch(spark.createDataFrame([(i, _t(22), "a") for i in range(150, 260)], SCHEMA), f"{tmp_dir}/day2")
+    assert t.publish(batch) == 2
+    got = sorted(map(str, ((r.order_id, r.v) for r in make().read().collect())))
+    assert got == sorted(map(str, [(i, "ab"[i % 2] if i < 150 else "a") for i in range(260)] + [(None, "a"), (7, "b")]))
+    assert got == sorted(map(str, ((r.order_id, r.v) for r in whole.collect())))
+    assert t._in_buckets() == (partition_by is None)               # the first merge deals it
+
+
 @pytest.mark.parametrize("partition_by", [None, ["d"]])
 def test_changes_without_a_newer_timestamp_are_merged(spark, tmp_dir, partition_by):
     schema = "order_id long, ts timestamp_ntz, status string, note string, d date"

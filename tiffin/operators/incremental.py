@@ -5,16 +5,17 @@ Facts are tables of the session catalogue, written and committed by Spark:
 
 * unpartitioned facts are bucketed by their key. A merge writes the next table,
   then the view that readers use is replaced in one catalogue call. The target
-  meets the batch bucket by bucket, so only the batch is shuffled;
+  meets the batch bucket by bucket, so only the batch is shuffled, once. A first build
+  that was staged for tests is published as it was written, and its first merge deals it;
 * partitioned facts stay one table behind their view, and a merge overwrites the
   partitions it touches (dynamic partition overwrite, committed by Spark after all tasks).
 
 Watermark and version are properties of the view. Runs in different sessions
 need a catalogue that outlives a session, such as a metastore.
 
-A merge first writes its batch to a table of its own, dropped afterwards. That
-computes the source once, cuts the lineage, and gives the planner the batch's
-real size: a small one is broadcast, a large one is dealt to the buckets.
+A merge first writes its batch to a table of its own, in the buckets of the fact,
+dropped afterwards. That computes the source once, cuts the lineage, and the search
+for repeated keys, the join and the write all go bucket by bucket.
 """
 
 from __future__ import annotations
@@ -28,10 +29,19 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import session_settings
 from .changes import DIGEST, classify, with_digest
 
 EPOCH_FLOOR = dt.datetime(1900, 1, 1)
 
+#: While a fact is written. A task holds one bucket: its file is open from the start, instead of
+#: sorting the rows by bucket first. Buckets are read one per task, whether a join asks for it or not. A join of
+#: the source whose smaller side turns out small per task is hashed instead of sorting both sides.
+_WRITING = {"spark.sql.maxConcurrentOutputFileWriters": "8", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+            "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+#: Batch keys a bucket that are hashed to look for replaced rows (some 100 bytes each, in a task's memory); more are sorted.
+HASHED_KEYS = 1_000_000
+
 
 class DuplicateKeyError(RuntimeError):
     pass
@@ -87,6 +97,7 @@ class IncrementalTable:
         self.keys_keep_partition = keys_keep_partition
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.track_changes = track_changes
+        self.staged: tuple[DataFrame, str, dt.datetime | None] | None = None    # a first build's frame, table and watermark
         root, _, name = self.path.rpartition("/")
         self.database = f"tiffin_{zlib.crc32(root.encode()):08x}"
         self.root = root
@@ -140,13 +151,29 @@ class IncrementalTable:
     def _measured(self, df: DataFrame) -> tuple[DataFrame, Observation]:
         """``df`` with max(ts) measured while it is written."""
         obs = Observation(f"wm_{uuid.uuid4().hex[:8]}")
-        return df.observe(obs, F.max(self.ts_col).alias("wm")), obs
+        return df.observe(obs, F.max(self.ts_col).alias("wm"), F.count(F.lit(1)).alias("n")), obs
+
+    def _written(self, df: DataFrame, name: str, dealt: bool = False) -> Observation:
+        """Write ``df`` as a table of the fact's database, laid out like the fact; max(ts) and the number of rows.
 
-    def _written(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a table of the fact's database."""
+        ``dealt``: each task of ``df`` holds rows of one bucket already.
+        """
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}'")
-        df.write.format("parquet").saveAsTable(name)
-        return self.spark.table(name)
+        if self.partition_by:
+            df, obs = self._measured(self._ordered(df))
+            df.write.format("parquet").partitionBy(*self.partition_by).saveAsTable(name)
+        else:
+            df, obs = self._measured(df if dealt else df.repartition(self.buckets, *self.keys))
+            with session_settings(self.spark, _WRITING):
+                df.write.format("parquet").bucketBy(self.buckets, *self.keys).saveAsTable(name)
+        return obs
+
+    def _next_table(self, version: int) -> str:
+        return f"{self.name}__v{version:06d}_{uuid.uuid4().hex[:6]}"
+
+    def _in_buckets(self) -> bool:
+        """The current table is bucketed: not one that was staged and has seen no merge."""
+        return self.spark.sql(f"DESCRIBE EXTENDED {self._tables()[-1]}").where("col_name = 'Num Buckets'").first() is not None
 
     @staticmethod
     def _clause(version: int, watermark, **more) -> str:
@@ -160,15 +187,9 @@ class IncrementalTable:
 
     def _replace(self, df: DataFrame, version: int | None, dealt: bool = False) -> int:
         """Make ``df`` the whole table. ``dealt``: each task of ``df`` holds rows of one bucket already."""
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}'")
         new = 1 if version is None else version + 1
-        table = f"{self.name}__v{new:06d}_{uuid.uuid4().hex[:6]}"
-        if self.partition_by:
-            df, obs = self._measured(self._ordered(df))
-            df.write.format("parquet").partitionBy(*self.partition_by).saveAsTable(table)
-        else:
-            df, obs = self._measured(df if dealt else df.repartition(self.buckets, *self.keys))
-            df.write.format("parquet").bucketBy(self.buckets, *self.keys).saveAsTable(table)
+        table = self._next_table(new)
+        obs = self._written(df, table, dealt)
         self._unchanged_since(version)
         self._show(new, obs.get.get("wm"), [*self._tables(), table])
         return new
@@ -205,21 +226,39 @@ class IncrementalTable:
     def staged_batch(self, source: DataFrame, stage_path: str) -> tuple[DataFrame, DataFrame]:
         """(rows of ``source`` past the watermark, written to ``stage_path``; the table as it would be with them).
 
-        Nothing of the table changes: tests can run on the second frame before ``publish``.
+        Nothing of the table changes: tests can run on the second frame before ``publish``. A first
+        build is written once, as the table that ``publish`` will show (or ``discard`` drops), without a shuffle.
         """
-        first = not self.exists()
-        batch = source if first else watermark_filter(source, self.ts_col, self.watermark())
+        if not self.exists():
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.root}'")
+            table = self._next_table(1)
+            df, obs = self._measured(self._ordered(with_digest(source, self.keys) if self.track_changes else source))
+            with session_settings(self.spark, _WRITING):
+                df.write.format("parquet").option("compression", "zstd").partitionBy(*self.partition_by).saveAsTable(table)
+            batch = self.spark.table(table).drop(DIGEST)
+            self.staged = (batch, table, obs.get.get("wm"))
+            return batch, batch
+        batch = watermark_filter(source, self.ts_col, self.watermark())
         batch.write.mode("overwrite").parquet(stage_path)
         batch = self.spark.read.parquet(stage_path)
-        if first:
-            return batch, batch
         kept = self.read().join(batch.select(*self.keys), self.keys, "left_anti")
         return batch, kept.unionByName(batch, allowMissingColumns=True)
 
     def publish(self, batch: DataFrame, on_duplicates: str = "error") -> int:
         """Make a staged batch part of the table: its first version, or a merge."""
+        if self.staged is not None and batch is self.staged[0]:
+            self._unchanged_since(None)
+            self._show(1, self.staged[2], [self.staged[1]])
+            self.staged = None
+            return 1
         return self.merge(batch, on_duplicates, staged=True) if self.exists() else self.full_refresh(batch)
 
+    def discard(self) -> None:
+        """Drop a staged first build that is not to be published."""
+        if self.staged is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.staged[1]}")
+            self.staged = None
+
     def merge(self, batch: DataFrame, on_duplicates: str = "error", staged: bool = False) -> int:
         """Upsert ``batch`` on the unique key; new source columns are appended.
 
@@ -230,10 +269,12 @@ class IncrementalTable:
         """
         version, watermark, target = self.current_version(), self.watermark(), self._stored()
         batch_table = f"{self.name}__batch_{uuid.uuid4().hex[:12]}"
-        if not staged:
-            batch = self._written(batch, batch_table)
         try:
-            if batch.isEmpty():
+            rows = None
+            if not staged:
+                rows = self._written(batch, batch_table).get["n"]
+                batch = self.spark.table(batch_table)
+            if batch.isEmpty() if rows is None else not rows:
                 return version
             batch = self._dedupe(batch, target, on_duplicates)
             if self.track_changes:
@@ -242,17 +283,24 @@ class IncrementalTable:
             cols = target.columns + [c for c in batch.columns if c not in target.columns]
             if self.partition_by:
                 return self._merge_partitions(batch, target, cols, version, watermark)
-            dealt = batch.repartition(self.buckets, *self.keys)
-            merged = self.not_replaced(batch, target).unionByName(dealt, allowMissingColumns=True)
+            dealt = batch.repartition(self.buckets, *self.keys) if staged else batch
+            if not self._in_buckets():
+                target = target.repartition(self.buckets, *self.keys)
+            hashed = rows is not None and rows <= HASHED_KEYS * self.buckets
+            merged = self.not_replaced(batch, target, hashed).unionByName(dealt, allowMissingColumns=True)
             return self._replace(merged.select(*cols), version, dealt=True)
         finally:
             if not staged:
                 self.spark.sql(f"DROP TABLE IF EXISTS {batch_table}")
 
-    def not_replaced(self, batch: DataFrame, target: DataFrame | None = None) -> DataFrame:
-        """Rows of the target that the batch does not replace: no exchange of the target, whatever the size of the batch."""
+    def not_replaced(self, batch: DataFrame, target: DataFrame | None = None, hashed: bool = False) -> DataFrame:
+        """Rows of the target that the batch does not replace: no exchange of the target, whatever the size of the batch.
+
+        ``hashed``: the batch's keys of a bucket fit into a task's memory (repeated ones count once), so the target's rows are not sorted.
+        """
         target = self._stored() if target is None else target
-        return target.join(batch.select(*self.keys), self.keys, "left_anti")
+        keys = batch.select(*self.keys)
+        return target.join(keys.hint("shuffle_hash") if hashed else keys, self.keys, "left_anti")
 
     def _among(self, values: list) -> Column:
         """Partition filter: one flat IN, nulls apart."""
