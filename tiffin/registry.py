@@ -902,7 +902,7 @@ def _landing(spark, sf_dir) -> str:
     root = scratch_path(spark, "landing")
     raw = _models(spark, sf_dir).raw
     for name in raw.names():
-        write_landing(raw.get(name), f"{root}/{name}")
+        write_landing(raw.get(name), f"{root}/{name}", compression="gzip")
         if name in TOLERANT:
             columns = RAW_SCHEMAS[name].fieldNames()
             lines = [",".join(columns), ",".join(["bad"] * (len(columns) + 3))]

@@ -55,9 +55,11 @@ def load_strict(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return _reader(spark, schema, fmt, options).option("mode", "FAILFAST").load(path)
 
 
-def write_landing(df: DataFrame, path: str, fmt: str = "csv", mode: str = "append") -> None:
-    """Write a DataFrame as landing files (text formats keep every value as written)."""
+def write_landing(df: DataFrame, path: str, fmt: str = "csv", mode: str = "append", compression: str | None = None) -> None:
+    """Write a DataFrame as landing files (text formats keep every value as written), plain or e.g. as ``.csv.gz``."""
     w = df.write.mode(mode).format(fmt)
+    if compression:
+        w = w.option("compression", compression)
     if fmt == "csv":
         w = w.option("header", "true").option("escape", '"')
     w.save(path)

@@ -33,7 +33,7 @@ def ingest_new_files(spark: SparkSession, landing: str, schema: T.StructType, ta
     for k, v in opts.items():
         reader = reader.option(k, v)
     stream = reader.load(landing)
-    q = (stream.writeStream.format("parquet").option("path", table_path)
+    q = (stream.writeStream.format("parquet").option("path", table_path).option("compression", "zstd")
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -71,7 +71,7 @@ def ingest_with_rejects(spark: SparkSession, landing: str, schema: T.StructType,
         for part, path in ((rows.where(~bad).select(*schema.fieldNames()), table_path),
                            (rows.where(bad).select(F.col("_corrupt_record").alias("raw_line"), "file", *schema.fieldNames()), rejects_path)):
             # A batch without rows of a kind still leaves its (empty) partition, so the table can be read.
-            part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+            part.write.mode("overwrite").option("compression", "zstd").parquet(f"{path.rstrip('/')}/batch={batch_id}")
         ran.append(batch_id)
 
     q = (lines.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
