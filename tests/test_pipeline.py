@@ -96,3 +96,26 @@ def test_daily_run_with_a_model_keeps_its_name_and_rejects(spark, tmp_dir):
     assert {r.model for r in enriched.select("model").distinct().collect()} == {"picky-1"}
     assert len(rejects.first().error) > 600                       # the whole error text is kept
     assert latest_table(spark, out, "mart_review_insights").agg(F.sum("reviews")).first()[0] == enriched.count()
+
+
+def test_landing_and_raw_files_are_compressed(spark, tmp_dir):
+    from tiffin.plans.pipeline import TOLERANT, land
+    from tiffin.registry import _landing
+    landing = _landing(spark, SF)
+    for name in ("orders", "order_items", "reviews", "menu"):
+        assert list(Path(landing, name).glob("*.csv.gz")) and not list(Path(landing, name).glob("*.csv"))
+    land(spark, landing, f"{tmp_dir}/raw")
+    for name in ("orders", "order_items", *TOLERANT):
+        files = list(Path(tmp_dir, "raw", name).rglob("*.parquet"))
+        assert files and all(".zstd." in f.name for f in files)
+
+
+def test_a_first_daily_run_writes_each_fact_once(spark, tmp_dir):
+    raw = raw_from_driver(spark, SF)
+    run_daily(spark, raw, f"{tmp_dir}/once", tests_severity="warn")
+    for fact in ("fct_orders", "fct_order_items"):
+        assert not list(Path(tmp_dir, "once", "_staging").glob(f"{fact}-*"))
+        assert len(list(Path(tmp_dir, "once").glob(f"{fact}__v*"))) == 1
+    with pytest.raises(DataQualityError):
+        run_daily(spark, raw, f"{tmp_dir}/refused")
+    assert not list(Path(tmp_dir, "refused").glob("fct_*"))        # a refused first build leaves no table

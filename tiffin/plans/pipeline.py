@@ -21,13 +21,16 @@ from pyspark.sql.utils import AnalysisException
 from ..operators import enrich, quality
 from ..operators.incremental import IncrementalTable
 from ..sources.raw import RAW_SCHEMAS, RawTables, scan_raw
-from ..session import scratch_path
+from ..session import scratch_path, session_settings
 from ..streaming.ingest import ingest_new_files, ingest_with_rejects
 from .models import Models
 
 TABLE_MARTS = ["dim_customers", "dim_restaurants", "dim_food", "mart_daily_city_revenue", "mart_delivery_sla",
                "mart_restaurant_performance"]
 
+#: While reviews are classified: see ``session._DEFAULTS``; the caller's session may not have it.
+_CLASSIFYING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 @dataclass
 class RunResult:
@@ -65,7 +68,8 @@ def append_new_enrichment(spark: SparkSession, reviews: DataFrame, table_path: s
                                     key_filter=True)
 
     def put(df: DataFrame, path: str) -> None:
-        df.withColumn("batch", mine).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        with session_settings(spark, _CLASSIFYING):
+            df.withColumn("batch", mine).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     if model is None:
         new = enrich.enrich_reviews(todo)
@@ -138,7 +142,7 @@ def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity
     m = Models(spark, raw)
     tables: dict[str, str] = {}
 
-    # Facts: first run builds, later runs merge rows past the high watermark. Both are staged first.
+    # Facts: first run builds, later runs merge rows past the high watermark. Both are staged first; a first build is not written again.
     fo = IncrementalTable(spark, f"{out}/fct_orders", "order_id", "order_timestamp", partition_by=partition_facts_by,
                           keys_keep_partition=keys_keep_partition)
     new_orders, all_orders = fo.staged_batch(m.fct_orders, f"{out}/_staging/fct_orders-{run_id}")
@@ -155,6 +159,8 @@ def run_daily(spark: SparkSession, raw: RawTables, out_root: str, tests_severity
     report = spark.read.parquet(report_path)
     failed = [r.test_name for r in report.where("failures > 0").select("test_name").collect()]
     if tests_severity == "error" and failed:
+        fo.discard()
+        fi.discard()
         raise quality.DataQualityError(f"data tests failed: {failed}")
 
     fo.publish(new_orders)
