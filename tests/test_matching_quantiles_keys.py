@@ -103,3 +103,16 @@ def test_new_keys_of_empty_tables_and_other_types(spark):
     assert newkeys.rows_with_new_keys(none, some, "id").count() == 0
     with pytest.raises(TypeError):
         newkeys.rows_with_new_keys(some, some.select(F.col("id").cast("string")), "id")
+
+
+def test_rows_with_new_keys_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def noted(k):
+        seen.add(1)
+        return k + 1
+
+    rows = spark.range(0, 3000, 1, 4).withColumn("x", noted(F.col("id")))
+    assert newkeys.rows_with_new_keys(rows, spark.range(0, 3000, 3), "id").count() == 2000
+    assert seen.value == 3000

@@ -3,7 +3,7 @@
 Most rows of a day are new. A filter over the finished keys, tested where a row is
 read, lets a row that cannot be a repeat pass at once; only possible repeats are
 shuffled, and the anti join decides among them, so the result is exact whatever the
-filter says. The filter never has more than ``max_bits`` bits (32 MiB): with ever
+filter says. The rows are computed and tested once, and staged with the answer. The filter never has more than ``max_bits`` bits (32 MiB): with ever
 more finished keys it fills up and more rows go through the join, down to a plain
 anti join, with no other path to switch to.
 """
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: Bits a finished key (about 1 % of new rows take the join), and the greatest filter: what the driver holds and sends.
 BITS_PER_KEY, MAX_BITS = 10, 1 << 28
 
@@ -37,9 +39,9 @@ class KeyFilter:
         at = F.explode(F.array(*[self._place(F.col(key), i) for i in range(self.hashes)]))
         words = (keys.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word"))
                  .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask")))
-        found = words.toPandas()
+        found = words.toArrow()
         filled = np.zeros(self.bits // 64, dtype=np.int64)
-        filled[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
+        filled[found["word"].to_numpy()] = found["mask"].to_numpy()
         self.shared = done.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
 
     def _place(self, key: Column, i: int) -> Column:
@@ -69,7 +71,12 @@ def rows_with_new_keys(rows: DataFrame, done: DataFrame, key: str, max_bits: int
     """
     if rows.schema[key].dataType != done.schema[key].dataType:
         raise TypeError(f"{key}: {rows.schema[key].dataType.simpleString()} against {done.schema[key].dataType.simpleString()}")
-    tested = rows.withColumn("_maybe", KeyFilter(done, key, max_bits).maybe(F.col(key)))
+    # As a column of staged rows, the test runs once a row: a filter above a join would be inferred for
+    # the rows of its other side too, and each half of the union would compute the rows anew.
+    spark = rows.sparkSession
+    staged = scratch_path(spark, "tested-keys")
+    rows.withColumn("_maybe", KeyFilter(done, key, max_bits).maybe(F.col(key))).write.option("compression", "zstd").parquet(staged)
+    tested = spark.read.parquet(staged)
     sure = tested.where(~F.col("_maybe")).drop("_maybe")
     possible = tested.where(F.col("_maybe")).drop("_maybe")
     return sure.unionByName(possible.join(done.select(key), key, "left_anti").select(*rows.columns))
