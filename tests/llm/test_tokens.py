@@ -226,3 +226,42 @@ def test_models_are_told_apart_and_prefixes_have_no_limit():
             x = memory._roll(x, ord(c))
         h.append(x), wanted.append(256 + big.index(piece))
     assert memory.piece[memory._find(np.array(h + [12345], np.uint64))].tolist() == wanted + [-1]
+
+
+def test_pre_tokens_follow_the_rule_of_the_tokenizer_file():
+    import re
+    rule = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-zß-öø-ÿ0-9]+")
+    rng = random.Random(4)
+    texts = ["", "'", "'s", "''s", "a's'tx", "x'llama", "'re", "'r", "y 've!'d", "12'm\x1c", "\n \t"] + \
+        ["".join(rng.choice("'''streveldm1! \né") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    for t in texts:
+        raw = t.encode("latin-1")
+        start, end = tokenfile.pre_tokens(np.frombuffer(raw, np.uint8))
+        assert [raw[a:b].decode("latin-1") for a, b in zip(start, end)] == rule.findall(t), repr(t)
+
+
+def test_encoder_equals_the_library_when_hashes_meet_and_windows_are_small(monkeypatch):
+    """With radix 1 all anagrams have one hash; long words outgrow a window; the memory is emptied again and again."""
+    from tokenizers import Tokenizer
+    with open(WORD_BPE, encoding="utf-8") as f:
+        text = f.read()
+    library = Tokenizer.from_str(text)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abe'1") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["x" * 500 + " ab ba", None, ""]
+    monkeypatch.setattr(tokenfile, "WINDOW", 64)
+    for radix, remembered in ((1, 10**6), (1, 20), (0x9E3779B97F4A7C15, 20), (0x9E3779B97F4A7C15, 10**6)):
+        monkeypatch.setattr(tokenfile.PreTokenMemory, "RADIX", radix)
+        monkeypatch.setattr(tokenfile, "REMEMBERED", remembered)
+        mine = tokenfile.Encoder(text)
+        for _ in range(2):
+            assert [i.tolist() for i in mine.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert bool(mine.memory.same_hash) == (radix == 1) or remembered == 20
+
+
+def test_a_growing_memory_finds_all_its_pre_tokens_again():
+    with open(WORD_BPE, encoding="utf-8") as f:
+        coder = tokenfile.Encoder(f.read())
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{'xyzw'[i // 17576]}" for i in range(40_000)]
+    first = [i.tolist() for i in coder.encode([" ".join(words), " ".join(words[::-1])])]
+    assert coder.memory.n == len(words) and coder.memory.bits > 16
+    assert [i.tolist() for i in coder.encode([" ".join(words), " ".join(words[::-1])])] == first and coder.memory.n == len(words)
