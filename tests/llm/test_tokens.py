@@ -265,3 +265,27 @@ def test_a_growing_memory_finds_all_its_pre_tokens_again():
     first = [i.tolist() for i in coder.encode([" ".join(words), " ".join(words[::-1])])]
     assert coder.memory.n == len(words) and coder.memory.bits > 16
     assert [i.tolist() for i in coder.encode([" ".join(words), " ".join(words[::-1])])] == first and coder.memory.n == len(words)
+
+
+def test_pieces_are_counted_with_few_words_and_ids_held(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefg  \n☃") for _ in range(300)) for _ in range(200)]
+
+    class Watched:
+        def __init__(self):
+            self.sp, self.most = SentencePieceProcessor(model_file=PIECES), 0
+
+        def get_piece_size(self):
+            return self.sp.get_piece_size()
+
+        def encode(self, words, **kind):
+            self.most = max(self.most, len(words))
+            return self.sp.encode(words, **kind)
+
+    for counted, encoded in ((500, 64), (10**6, 1000)):
+        monkeypatch.setattr(nbest, "COUNTED", counted)
+        monkeypatch.setattr(nbest, "ENCODED", encoded)
+        sp = Watched()
+        total = nbest.count_pieces(texts, sp)
+        assert {i: int(total[i]) for i in np.flatnonzero(total)} == brute_counts(texts) and sp.most == encoded

@@ -22,8 +22,9 @@ import heapq
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ REMEMBERED, GROUP, PASS_CHARS = 700_000, 512, 100_000
 UNUSED_SCORE = -1e8
 #: What a piece that the corpus lacks counts as; log-frequencies are rounded to steps of this size, so sums of scores are exact.
 UNSEEN, SCORE_STEP = 0.5, 2.0 ** -16
-#: Distinct words whose pieces a task counts at once.
-COUNTED = 500_000
+#: Distinct words that a task holds with their counts, and of these how many the library encodes at once.
+COUNTED, ENCODED = 500_000, 8192
+#: Words whose n best paths a worker keeps.
+PATHS = 25_000
 
 _U = np.uint64
 
@@ -105,31 +108,40 @@ def chunks(text: str) -> list[str]:
     return _CHUNK.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
 
 
+def count_pieces(texts: Iterable[str], sp) -> np.ndarray:
+    """How often the library's encoder ``sp`` uses each piece over whole texts; of words and their ids no more than ``COUNTED``, ``ENCODED`` are held."""
+    total, words = np.zeros(sp.get_piece_size(), np.int64), Counter()
+
+    def flush() -> None:
+        # The library puts a space mark before a text; a line break before it keeps a chunk apart from that one.
+        for part in batched(words.items(), ENCODED):
+            marked = [w[0] == SPACE_MARK and len(w) > 1 for w, _ in part]
+            bare = [(w[1:] if m else "\n" + w).replace(SPACE_MARK, " ") for (w, _), m in zip(part, marked)]
+            ids = [i if m else i[2:] for i, m in zip(sp.encode(bare, num_threads=1), marked)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            times = np.repeat(np.fromiter((n for _, n in part), np.int64, len(part)), size)
+            np.add.at(total, np.fromiter(chain.from_iterable(ids), np.int64, len(times)), times)
+        words.clear()
+
+    for text in texts:
+        words.update(chunks(text))
+        if len(words) > COUNTED:
+            flush()
+    flush()
+    return total
+
+
 def piece_counts(docs: DataFrame, model_path: str, text_col: str = "text") -> dict[int, int]:
     """How often the library's own encoder uses each piece over all whole texts, null ones aside.
 
     Pieces keep to the lattices of ``chunks``, so each distinct one of a task is
-    encoded once. One row per piece, at most the model's size, reaches the driver.
+    encoded once, or once per ``COUNTED``. One row per piece, at most the model's
+    size, reaches the driver.
     """
     def run(batches: Iterator[pa.RecordBatch]):
         from sentencepiece import SentencePieceProcessor
-        sp = SentencePieceProcessor(model_file=model_path)
-        total, words = np.zeros(sp.get_piece_size(), np.int64), Counter()
-
-        def flush() -> None:
-            # The library puts a space mark before a text; a line break before it keeps a chunk apart from that one.
-            marked = [w[0] == SPACE_MARK and len(w) > 1 for w in words]
-            bare = [(w[1:] if m else "\n" + w).replace(SPACE_MARK, " ") for w, m in zip(words, marked)]
-            for m, n, ids in zip(marked, words.values(), sp.encode(bare, num_threads=1)):
-                np.add.at(total, ids if m else ids[2:], n)
-            words.clear()
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                words.update(chunks(text))
-                if len(words) > COUNTED:
-                    flush()
-        flush()
+        texts = (t for b in batches for lo in range(0, b.num_rows, GROUP) for t in b.column(0).slice(lo, GROUP).to_pylist())
+        total = count_pieces(texts, SentencePieceProcessor(model_file=model_path))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["piece", "n"])
 
@@ -331,7 +343,7 @@ class Memory(dict):
     def alternatives(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best paths of a word; the first is the one the Viterbi pass chose."""
         if (word, n) not in self.paths:
-            if len(self.paths) > 50_000:
+            if len(self.paths) > PATHS:
                 self.paths.clear()
             number = self[word]
             mine = tuple(self.flat[self.offsets[number]:self.offsets[number + 1]].tolist())
