@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tiffin.llm import langid, minhash, mixing, nbest, pii
-from tiffin.llm.common import free_name, stage, table
+from tiffin.llm.common import free_name, small_batches, stage, table
 
 #: Documents whose best language covers less than this share of their n-grams are in none of the languages.
 MIN_LANGUAGE_SCORE = 0.3
@@ -19,6 +19,7 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language; a missing ``lang`` becomes the predicted one."""
+    small_batches(spark)
     names = docs.columns
     model = langid.train(langid.learnable(docs))
     said = langid.identify(docs, model, pred_col="__lang", score_col="__score")
@@ -48,6 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by the name of its kind."""
+    small_batches(spark)
     return pii.redact(docs, pii.train(docs))
 
 
@@ -59,6 +61,7 @@ def mixing_rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of the best segmentation by the pieces' frequencies in ``docs``, and score and digest of the four best."""
     import public_tokenizers
+    small_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     return nbest.encode(docs, model, n=4, counts=nbest.piece_counts(docs, model), remembered=300_000, keep_words=False)
 

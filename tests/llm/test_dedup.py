@@ -144,3 +144,31 @@ def test_slack_covers_single_precision_at_any_width():
         x, y = unit(rng.random((40, width)) + 0.1), unit(rng.random((40, width)) + 0.1)    # one sign: errors add up
         error = np.abs(x.astype(np.float32) @ y.astype(np.float32).T - x @ y.T).max()
         assert error <= slack(width) / 2
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    from tiffin.llm.common import BATCH
+    from pyspark.sql import functions as F
+
+    def watched(real):
+        def made(*args):
+            work = real(*args)
+
+            def run(batches):
+                def seen():
+                    for b in batches:
+                        assert b.nbytes <= 6 << 20, f"a batch of {b.nbytes} bytes"
+                        yield b
+                return work(seen())
+            return run
+        return made
+
+    for name in ("_sketch", "_sets"):
+        monkeypatch.setattr(minhash, name, watched(getattr(minhash, name)))
+    # 24 MB of texts in one task; each text comes twice but for its last word.
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr(
+        "concat_ws(' ', transform(sequence(1, 800), x -> hex(hash(x, id div 2))), string(id % 2))").alias("text"))
+    before = spark.conf.get(BATCH[0], None)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(3000)}
+    assert spark.conf.get(BATCH[0], None) == before

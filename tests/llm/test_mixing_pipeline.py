@@ -199,3 +199,20 @@ def test_pipeline_on_nothing(spark, sf):
         docs = stage(work(spark, docs, sf), "none")
     assert docs.count() == 0
     assert set(corpus_pipeline.QUERIES) == {"pipeline"} and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_bound_the_batches_of_what_they_return(spark, sf):
+    from tiffin.llm.common import BATCH
+    key, size = BATCH
+    docs = table(spark, sf, "documents").limit(30)
+    work = {name: f for name, f in corpus_pipeline.STAGES if name in ("language_id", "personal_data", "sentencepiece")}
+    try:
+        for f in work.values():
+            spark.conf.unset(key)
+            f(spark, docs, sf)
+            assert spark.conf.get(key) == size
+            spark.conf.set(key, "7m")                    # a caller's own value stays
+            f(spark, docs, sf)
+            assert spark.conf.get(key) == "7m"
+    finally:
+        spark.conf.unset(key)

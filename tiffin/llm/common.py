@@ -10,6 +10,9 @@ from tiffin.session import scratch_path
 
 #: White space that separates words in every contract of this subpackage (fixed value).
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of one Arrow batch of whole texts (a longer text is a batch alone). Spark's default fills a batch with 10,000 rows
+#: whatever their size, and executor and worker each hold a batch several times over while it is handed across.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def batch_settings(spark: SparkSession) -> dict[str, str]:
+    """The session setting that bounds Arrow batches by ``BATCH``; none if the caller has set it."""
+    key, size = BATCH
+    return {key: size} if spark.conf.get(key, None) in (None, "") else {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """``batch_settings`` hold from here on: for frames whose Python work runs when the caller writes them."""
+    for key, size in batch_settings(spark).items():
+        spark.conf.set(key, size)
+
+
 def free_name(taken: Iterable[str], base: str) -> str:
     """``base``, or the first of ``base_1``, ``base_2``, ... that is not a column yet."""
     taken = {c.lower() for c in taken}

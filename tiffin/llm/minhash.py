@@ -26,7 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, stage
+from tiffin.session import session_settings
+
+from .common import batch_settings, connected_components, stage
 
 #: Sketch layout: 2**P buckets, R mantissa bits. Banding: BANDS bands of ROWS registers.
 #: A pair of Jaccard j misses every band with probability (1 - j**4)**24: 2e-8 at 0.85, 3e-6 at 0.8.
@@ -133,9 +135,17 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 # ------------------------------------------------------------------ tasks
+def _forgetting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``; at their end the worker forgets its words, so it holds none while it does other work."""
+    try:
+        yield from batches
+    finally:
+        _HASHES.clear()
+
+
 def _sketch(width):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _forgetting(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             n, digest, regs, keys = [], [], [], []
             for text in texts:
@@ -156,7 +166,7 @@ def _sketch(width):
 
 def _sets(width):
     def run(batches):
-        for batch in batches:
+        for batch in _forgetting(batches):
             sets = [shingles(t, width).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
     return run
@@ -237,6 +247,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id link with nothing, get a null component and stay. Rows that repeat an id
     share its vertex. Ids are integers. Columns other than the two named are not read.
     """
+    # All Python work runs in here: what is returned only joins staged tables.
+    with session_settings(docs.sparkSession, batch_settings(docs.sparkSession)):
+        return _near_duplicates(docs, id_col, text_col, percent, width)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     sketch = stage(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, digest binary, regs binary, bands array<long>"), "mh-sketch")
     known = sketch.where("doc_id IS NOT NULL AND digest IS NOT NULL")
