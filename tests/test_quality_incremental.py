@@ -324,3 +324,62 @@ def test_change_capture_reads_two_columns_of_a_bucketed_target(spark, tmp_dir):
     t.run_changes(rows)
     plan = _plan(t.changes(rows))
     assert "ReadSchema: struct<order_id:bigint,_row_digest:bigint>" in plan
+
+
+# ------------------------------------------------------------------ disk of a write
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_shuffle_files_go_when_a_fact_is_written(spark, tmp_dir):
+    import time
+    rows = spark.range(400).selectExpr("id AS order_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, id % 20) AS ts", "'a' AS v")
+    later = spark.range(300, 500).selectExpr("id AS order_id", "timestamp_ntz'2024-01-02' AS ts", "'b' AS v")
+    t = IncrementalTable(spark, f"{tmp_dir}/gone", "order_id", "ts", buckets=4)
+    for write in (lambda: t.run(rows), lambda: t.run(later)):
+        before = _shuffle_files(spark)
+        write()
+        until = time.time() + 10                       # the files are removed by messages
+        while (left := _shuffle_files(spark) - before) and time.time() < until:
+            time.sleep(0.1)
+        assert not left
+    assert sorted((r.order_id, r.v) for r in t.read().collect()) == [(i, "a" if i < 300 else "b") for i in range(500)]
+    assert t.watermark() == dt.datetime(2024, 1, 2)
+
+
+def test_a_write_that_fails_leaves_no_table(spark, tmp_dir):
+    t = IncrementalTable(spark, f"{tmp_dir}/broken", "order_id", "ts", buckets=4)
+    bad = spark.range(9).selectExpr("id AS order_id", "timestamp_ntz'2024-01-01' AS ts", "raise_error('broken') AS v").withColumn("v", F.col("v").cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        t.run(bad)
+    assert not t.exists() and not spark.sql(f"SHOW TABLES IN {t.database}").collect()
+    t.run(spark.createDataFrame([(1, _t(1), "a")], SCHEMA))
+    assert t.read().count() == 1
+
+
+def test_order_lines_without_a_row_of_the_run_are_not_shuffled(spark, tmp_dir, monkeypatch):
+    from tiffin.operators import incremental
+    from tiffin.plans.models import Models
+    from tiffin.registry import QUERIES, comparable
+    from tiffin.session import session_settings
+    made = {"nation": "SELECT 1 AS n_nationkey, 'Spain' AS n_name",
+            "customer": "SELECT id AS c_custkey, 1 AS c_nationkey, 'AUTO' AS c_mktsegment FROM range(20)",
+            "part": "SELECT id AS p_partkey, CAST(id AS DOUBLE) AS p_retailprice FROM range(50)",
+            "orders": "SELECT if(id = 7, NULL, id) AS o_orderkey, id % 25 AS o_custkey, 'F' AS o_orderstatus, 1.5D AS o_totalprice, '5-LOW' AS o_orderpriority, "
+                      "timestamp_ntz'1998-01-01' + make_dt_interval(CAST(id % 300 AS INT)) AS o_orderdate FROM range(600)",
+            "lineitem": "SELECT if(id % 90 = 1, NULL, id % 650) AS l_orderkey, id % 60 AS l_partkey, id % 9 AS l_suppkey, CAST(id % 4 AS INT) AS l_linenumber, 2D AS l_quantity, "
+                        "3.25D AS l_extendedprice, 0.1D AS l_discount, 0.1D AS l_tax, timestamp_ntz'1998-03-01' AS l_shipdate FROM range(2000)"}
+    for name, text in made.items():
+        spark.sql(text).write.parquet(f"{tmp_dir}/{name}.parquet")
+    fct = Models.from_driver(spark, tmp_dir).fct_order_items
+    want = sorted(map(str, comparable(fct).collect()))
+    monkeypatch.setitem(incremental._WRITING, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    monkeypatch.setitem(incremental._WRITING, "spark.sql.optimizer.runtime.bloomFilter.numBits", str(1 << 20))
+    with session_settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        for part in (fct.where(F.col("order_ts") < incremental.ntz_literal(dt.datetime(1998, 6, 1))),
+                     incremental.watermark_filter(fct, "order_ts", dt.datetime(1998, 6, 1))):
+            with session_settings(spark, incremental._WRITING):
+                assert any("might_contain" in line and "xxhash64(l_orderkey" in line for line in _plan(part.select("*")).splitlines())
+        got = QUERIES["fct_order_items_incremental"](spark, tmp_dir)
+    assert len(want) > 1000 and sorted(map(str, got.collect())) == want

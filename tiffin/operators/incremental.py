@@ -16,6 +16,9 @@ need a catalogue that outlives a session, such as a metastore.
 A merge first writes its batch to a table of its own, in the buckets of the fact,
 dropped afterwards. That computes the source once, cuts the lineage, and the search
 for repeated keys, the join and the write all go bucket by bucket.
+
+Disk: the shuffle files of a bucketed write go when it is done, and of a join with a filtered side
+only rows that may find a partner are shuffled (``_WRITING``).
 """
 
 from __future__ import annotations
@@ -36,9 +39,19 @@ EPOCH_FLOOR = dt.datetime(1900, 1, 1)
 
 #: While a fact is written. A task holds one bucket: its file is open from the start, instead of
 #: sorting the rows by bucket first. Buckets are read one per task, whether a join asks for it or not. A join of
-#: the source whose smaller side turns out small per task is hashed instead of sorting both sides.
+#: the source whose smaller side turns out small per task is hashed instead of sorting both sides. Shuffle files go
+#: when their write is done, instead of staying beside those of the next one.
 _WRITING = {"spark.sql.maxConcurrentOutputFileWriters": "8", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
-            "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+            "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a fact is written, a join of its source whose one side is filtered (orders past the watermark) tests the keys of the
+#: other side (order lines) with Spark's runtime Bloom filter where they are read, so rows that find no partner are not shuffled.
+#: Only for scans above the threshold. 16 MiB of bits hold 28 million keys with some 10 % false positives; with more keys more rows
+#: pass, never fewer. A task that makes or tests a filter holds a few copies of it (32 MiB were too much for 4 tasks in a heap of 1 GB).
+_BLOOM = "spark.sql.optimizer.runtime.bloomFilter"
+BLOOM_SCAN, BLOOM_BITS, BLOOM_KEYS = "128m", 1 << 27, 1 << 25
+_WRITING |= {f"{_BLOOM}.enabled": "true", f"{_BLOOM}.applicationSideScanSizeThreshold": BLOOM_SCAN, f"{_BLOOM}.creationSideThreshold": "1t",
+             f"{_BLOOM}.numBits": str(BLOOM_BITS), f"{_BLOOM}.maxNumBits": str(BLOOM_BITS),
+             f"{_BLOOM}.expectedNumItems": str(BLOOM_KEYS), f"{_BLOOM}.maxNumItems": str(BLOOM_KEYS)}
 #: Batch keys a bucket that are hashed to look for replaced rows (some 100 bytes each, in a task's memory); more are sorted.
 HASHED_KEYS = 1_000_000
 
@@ -163,9 +176,15 @@ class IncrementalTable:
             df, obs = self._measured(self._ordered(df))
             df.write.format("parquet").partitionBy(*self.partition_by).saveAsTable(name)
         else:
+            # Made empty, then filled: Spark removes the shuffle files of an insert, not those under CREATE TABLE AS SELECT.
+            df.where(F.lit(False)).write.format("parquet").bucketBy(self.buckets, *self.keys).saveAsTable(name)
             df, obs = self._measured(df if dealt else df.repartition(self.buckets, *self.keys))
-            with session_settings(self.spark, _WRITING):
-                df.write.format("parquet").bucketBy(self.buckets, *self.keys).saveAsTable(name)
+            try:
+                with session_settings(self.spark, _WRITING):
+                    df.write.insertInto(name)
+            except BaseException:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                raise
         return obs
 
     def _next_table(self, version: int) -> str:
