@@ -37,12 +37,14 @@ from .changes import DIGEST, classify, with_digest
 
 EPOCH_FLOOR = dt.datetime(1900, 1, 1)
 
+#: Shuffle files go when the query that wrote them is done.
+_CLEANING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: While a fact is written. A task holds one bucket: its file is open from the start, instead of
 #: sorting the rows by bucket first. Buckets are read one per task, whether a join asks for it or not. A join of
 #: the source whose smaller side turns out small per task is hashed instead of sorting both sides. Shuffle files go
 #: when their write is done, instead of staying beside those of the next one.
 _WRITING = {"spark.sql.maxConcurrentOutputFileWriters": "8", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
-            "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+            "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m", **_CLEANING}
 #: While a fact is written, a join of its source whose one side is filtered (orders past the watermark) tests the keys of the
 #: other side (order lines) with Spark's runtime Bloom filter where they are read, so rows that find no partner are not shuffled.
 #: Only for scans above the threshold. 16 MiB of bits hold 28 million keys with some 10 % false positives; with more keys more rows
@@ -237,8 +239,10 @@ class IncrementalTable:
         if on_duplicates == "error":
             # Only the batch is aggregated; the target is consulted only if a key repeats.
             dups = batch.groupBy(*self.keys).count().where("count > 1").select(*self.keys)
-            if not dups.isEmpty() and not dups.join(target.select(*self.keys), self.keys, "left_semi").isEmpty():
-                raise DuplicateKeyError(f"batch repeats keys present in {self.path}")
+            with session_settings(self.spark, _CLEANING):
+                # Not isEmpty(): the cleaning does not know the shuffle it makes.
+                if dups.limit(1).count() and dups.join(target.select(*self.keys), self.keys, "left_semi").limit(1).count():
+                    raise DuplicateKeyError(f"batch repeats keys present in {self.path}")
             return batch
         raise ValueError(on_duplicates)
 
